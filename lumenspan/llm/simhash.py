@@ -117,7 +117,7 @@ def fingerprint_links(distinct: DataFrame, count: int, radius: int = 4) -> DataF
     masks = _masks(bits, half)
     low = (1 << bits) - 1
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         fps = np.unique(table.column("fp").to_numpy()).view(np.uint64)
         a, b = ball_collisions(fps, bits, key[0].as_py(), half)
         label = common.local_labels(len(fps), a, b)

@@ -175,11 +175,11 @@ def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 16) -> DataF
     blocks = max(1, -(-size // BLOCK_BYTES), 2 * common.shuffle_partitions(spark))
     dealt = common.documents_of(docs).select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
 
-    def report_anchors(key, table: pa.Table) -> pa.Table:
+    def report_anchors(key, table):
         h, lo, hi = anchors(_block_of(table), window, phrase)
         return pa.table({"h": _signed(h), "block": pa.array(np.full(len(h), key[0].as_py(), np.int32)), "lo": pa.array(lo), "hi": pa.array(hi)})
 
-    def report_windows(key, docs: pa.Table, phrases: pa.Table) -> pa.Table:
+    def report_windows(key, docs, phrases):
         if not len(docs) or not len(phrases):
             return pa.table({"w1": common.long_array([]), "w2": common.long_array([]), "block": pa.array([], pa.int32()), "lo": common.long_array([]), "hi": common.long_array([])})
         block = _block_of(docs)
@@ -187,7 +187,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 16) -> DataF
         (w1, w2), lo, hi = _least_and_last((block.rolled(window, _BASES[0])[at], block.rolled(window, _BASES[1])[at]), block.doc[block.owner[at]])
         return pa.table({"w1": _signed(w1), "w2": _signed(w2), "block": pa.array(np.full(len(w1), key[0].as_py(), np.int32)), "lo": pa.array(lo), "hi": pa.array(hi)})
 
-    def remove(key, docs: pa.Table, repeats: pa.Table) -> pa.Table:
+    def remove(key, docs, repeats):
         block = _block_of(docs)
         gone = np.zeros(len(block.hash) + 1, dtype=np.int32)
         if len(repeats) and len(block.hash):
