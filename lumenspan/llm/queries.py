@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash, substring
+from . import bpe, langid, packing, quality, simhash, substring
 
 
 def vocabulary() -> str:
@@ -43,11 +43,30 @@ def op8_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary(), window=4096, end_id=2)
 
 
+def _held_out(remainder: int, modulus: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus == remainder
+
+
+def op5_quality_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(~_held_out(1, 3)).select("doc_id", F.col("quality").alias("label"))
+    out = quality.score(docs, quality.fit(labels, docs))
+    return out.select("doc_id", _held_out(1, 3).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.fit(docs.where(~_held_out(2, 4)).select("doc_id", "text", "lang")))
+    return out.select("doc_id", _held_out(2, 4).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_quality_voting": op5_quality_voting,
     "op6_bpe_roundtrip": op6_bpe_roundtrip,
     "op8_retrieval_packing": op8_retrieval_packing,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
