@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality, simhash, substring
+from . import ann, bpe, embdedup, langid, packing, quality, simhash, substring
 
 
 def vocabulary() -> str:
@@ -24,6 +24,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=4, shingle=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -54,6 +58,10 @@ def op5_quality_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", _held_out(1, 3).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = langid.predict(docs, langid.fit(docs.where(~_held_out(2, 4)).select("doc_id", "text", "lang")))
@@ -62,10 +70,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_quality_voting": op5_quality_voting,
     "op6_bpe_roundtrip": op6_bpe_roundtrip,
     "op8_retrieval_packing": op8_retrieval_packing,
+    "op9_ann_search": op9_ann_search,
     "op10_language_id": op10_language_id,
 }
 
