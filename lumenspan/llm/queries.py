@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embdedup, langid, packing, quality, simhash, substring
+from . import ann, bpe, embdedup, langid, licenses, packing, pii, quality, simhash, substring
 
 
 def vocabulary() -> str:
@@ -28,6 +28,11 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.95)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_known", "sequence", F.array_join("licenses", ",").alias("licenses"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=4, shingle=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -43,6 +48,19 @@ def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(_table(spark, sf_dir, "documents"))
+    of_kind = lambda kind: lambda s: s["kind"] == kind
+    counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return out.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.rendered(F.col("base")), 256).alias("base_sha256"),
+        pii.rendered(F.concat("base", "ids")).alias("spans"),
+        F.size("ids").cast("long").alias("n_id"),
+    )
+
+
 def op8_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary(), window=4096, end_id=2)
 
@@ -71,12 +89,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_quality_voting": op5_quality_voting,
     "op6_bpe_roundtrip": op6_bpe_roundtrip,
+    "op7_pii_bootstrap": op7_pii_bootstrap,
     "op8_retrieval_packing": op8_retrieval_packing,
     "op9_ann_search": op9_ann_search,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_license_scan": licenses.oracle_sql()}

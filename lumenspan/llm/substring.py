@@ -236,8 +236,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 16) -> DataF
         dealt.groupBy("block")
         .cogroup(phrases.groupBy("block"))
         .applyInArrow(report_windows, "w1 long, w2 long, block int, lo long, hi long")
-        .select("w1", "w2", "block", F.min("lo").over(by_window).alias("lo"), F.max("hi").over(by_window).alias("last"))
-        .where("lo < last")
+        .select("w1", "w2", "block", F.min("lo").over(by_window).alias("lo"), "hi")
+        .where("lo < hi")  # a block whose only such document is the first one has nothing to remove
         .select("block", "w1", "w2", "lo")
     )
     return dealt.groupBy("block").cogroup(repeats.groupBy("block")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
