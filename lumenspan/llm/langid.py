@@ -135,20 +135,35 @@ class Scorer(dict):
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, lang_pred, score) of each row's whole text."""
+def _scorer(sent) -> Scorer:
+    """This worker's scorer of a broadcast model."""
+    key = sent.value["id"]
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Scorer(sent.value)
+    return _HELD[key]
+
+
+def annotate(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns and ``predicted``, a struct of lang and score, last."""
     spark = docs.sparkSession
     common.ship_package(spark)
     sent = spark.sparkContext.broadcast(model)
+    rows = docs.drop("predicted")
+    at = rows.columns.index(text_col)
+    schema = rows.select("*", F.struct(F.lit("").alias("lang"), F.lit(0.0).alias("score")).alias("predicted")).schema
 
     def run(batches):
-        key = sent.value["id"]
-        if key not in _HELD:
-            _HELD.clear()
-            _HELD[key] = Scorer(sent.value)
-        scorer = _HELD[key]
+        scorer = _scorer(sent)
         for b in batches:
-            out = [scorer.predict(t) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            out = [scorer.predict(t) for t in b.column(at).to_pylist()]
+            both = pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.float64())], names=["lang", "score"])
+            yield pa.record_batch([*b.columns, both], names=[*b.schema.names, "predicted"])
 
-    return common.documents_of(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, lang_pred, score) of each row's whole text."""
+    out = annotate(common.documents_of(docs), model)
+    return out.select("doc_id", F.col("predicted.lang").alias("lang_pred"), F.col("predicted.score").alias("score"))

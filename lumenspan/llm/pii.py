@@ -76,36 +76,50 @@ def _holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, email, ip, card, phone, token, rejected): arrays of (start, end, value) in each row."""
-    out = common.documents_of(docs).withColumn("text", F.coalesce("text", F.lit("")))
+def base_spans(rows: DataFrame) -> DataFrame:
+    """``rows`` (with text) and email, ip, card, phone, token, rejected: arrays of (start, end, value)."""
+    kept = rows.columns
     patterns = PATTERNS | {"token": TOKEN}
-    digit = F.col("text").rlike("[0-9]")
-    needs = {k: digit if (c := NEEDED.get(k)) is None else F.contains("text", F.lit(c)) for k in patterns}
-    out = out.select("*", *[F.when(needs[k], F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(f"m_{k}") for k, p in patterns.items()])
-    out = out.select("doc_id", "text", *[_spans(F.col("text"), p, F.col(f"m_{k}")).alias(k) for k, p in patterns.items()])
+    out = rows.withColumn("digit", F.col("text").rlike("[0-9]"))
+    needs = {k: F.contains("text", F.lit(c)) if (c := NEEDED.get(k)) else F.col("digit") for k in patterns}
+    out = out.select(*kept, *[F.when(needs[k], F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(f"m_{k}") for k, p in patterns.items()])
+    out = out.select(*kept, *[_spans(F.col("text"), p, F.col(f"m_{k}")).alias(k) for k, p in patterns.items()])
     valid = lambda kind: lambda s: _holds(kind, s["value"])
     failing = lambda kind: lambda s: ~_holds(kind, s["value"])
     rejected = F.concat(*[F.filter(k, failing(k)) for k in KINDS])
     return out.withColumn("rejected", rejected).withColumns({k: F.filter(k, valid(k)) for k in KINDS})
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """(key, kind, start, end, value, left, right) of each seed and each other token."""
+def _context(text: Column, s: Column) -> tuple[Column, Column]:
+    """The words left and right of a span, in lower case."""
+    before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
+    after = F.substring(text, s["end"] + 1, F.lit(CONTEXT))
+    return F.lower(F.regexp_extract(before, r"(\S+)\s*$", 1)), F.lower(F.regexp_extract(after, r"^\s*(\S+)", 1))
+
+
+def extract(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, base, items) of each row: base spans in order, and seeds and other tokens in context.
+
+    ``key`` tells rows of one id with different texts apart. One pass over the texts, which
+    are not in the result.
+    """
+    rows = common.documents_of(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    found = base_spans(rows).withColumn("all", F.concat(*KINDS))
     meets = lambda spans, t: F.exists(spans, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    item = lambda kind: lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
-    seeds = [F.transform(k, item(k)) for k in KINDS]
-    tokens = [
-        F.transform(F.filter("token", lambda t: ~meets("base", t) & ~meets("rejected", t)), item("id")),
-        F.transform(F.filter("token", lambda t: ~meets("base", t) & meets("rejected", t)), item("no")),
+
+    def item(kind):
+        def make(s):
+            left, right = _context(F.col("text"), s)
+            return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), left.alias("left"), right.alias("right"))
+
+        return make
+
+    listed = lambda kind: lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+    items = [F.transform(k, item(k)) for k in KINDS] + [
+        F.transform(F.filter("token", lambda t: ~meets("all", t) & ~meets("rejected", t)), item("id")),
+        F.transform(F.filter("token", lambda t: ~meets("all", t) & meets("rejected", t)), item("no")),
     ]
-    rows = found.withColumn("base", F.concat(*KINDS)).withColumn("items", F.concat(*seeds, *tokens))
-    rows = rows.where(F.size("items") > 0).select("key", "text", F.explode("items").alias("i")).select("key", "text", "i.*")
-    before = F.substring(F.col("text"), F.greatest(F.col("start") - CONTEXT, F.lit(0)) + 1, F.least(F.col("start"), F.lit(CONTEXT)))
-    after = F.substring(F.col("text"), F.col("end") + 1, F.lit(CONTEXT))
-    return rows.select(
-        "key", "kind", "start", "end", "value", F.lower(F.regexp_extract(before, r"(\S+)\s*$", 1)).alias("left"), F.lower(F.regexp_extract(after, r"^\s*(\S+)", 1)).alias("right")
-    )
+    return found.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.concat(*[F.transform(k, listed(k)) for k in KINDS]).alias("base"), F.concat(*items).alias("items"))
 
 
 def discovered(items: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -137,17 +151,25 @@ def discovered(items: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, text, base, ids) for each row: base spans in order of kind and start, and those that the method adds."""
-    found = base_spans(docs).withColumn("key", F.xxhash64("doc_id", "text"))
-    items = common.materialize(_contexts(found), "pii-items")
+    """(key, doc_id, base, ids) for each row: base spans in order of kind and start, and those that the method adds."""
+    found = common.materialize(extract(docs), "pii-found")
+    items = found.where(F.size("items") > 0).select("key", F.explode("items").alias("i")).select("key", "i.*")
     accepted = discovered(items, rounds)
     # the few rows with added spans, by document
     added = items.where("kind = 'id'").withColumn("instance", F.xxhash64("value", "kind")).join(accepted, "instance", "left_semi")
     added = added.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("ids"))
-    listed = lambda k: F.transform(k, lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    rows = found.select("key", "doc_id", "text", F.concat(*[listed(k) for k in KINDS]).alias("base"))
-    ids = F.transform(F.coalesce("ids", F.array().cast("array<struct<start:int,end:int>>")), lambda s: F.struct(F.lit("id").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return rows.join(added, "key", "left").select("doc_id", "text", "base", ids.alias("ids"))
+    as_id = lambda s: F.struct(F.lit("id").alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+    ids = F.transform(F.coalesce("ids", F.array().cast("array<struct<start:int,end:int>>")), as_id)
+    return found.select("key", "doc_id", "base").join(added, "key", "left").select("key", "doc_id", "base", ids.alias("ids"))
+
+
+def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``docs`` (with doc_id and text) and all its columns, each span of a text replaced by its kind in brackets."""
+    spans = find(docs, rounds).select("key", F.concat("base", "ids").alias("spans")).where(F.size("spans") > 0).dropDuplicates(["key"])
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    out = keyed.join(spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left")
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("__spans")))
+    return out.withColumn("text", text).select(*docs.columns)
 
 
 def rendered(spans: Column) -> Column:

@@ -165,15 +165,20 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 16) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) for each row; ``kept``: remaining words, joined by a space."""
+def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) for each row; ``kept``: remaining words, joined by a space.
+
+    Columns named in ``carry`` stay beside them.
+    """
     spark = docs.sparkSession
     common.ship_package(spark)
     if not 0 < phrase < window:
         raise ValueError("a phrase has fewer words than a window, and one at least")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES), 2 * common.shuffle_partitions(spark))
-    dealt = common.documents_of(docs).select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in carry if c != "text"]).where(F.col("doc_id").isNotNull())
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), *rows.columns)
+    schema = "doc_id long, n_words long, n_removed long, kept string" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in dealt.schema if f.name in carry)
 
     def report_anchors(key, table):
         h, lo, hi = anchors(_block_of(table), window, phrase)
@@ -221,6 +226,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 16) -> DataF
             kept.append(b" ".join(words) if not n else b" ".join([w for w, x in zip(words, g.tolist()) if not x]))
         return pa.table(
             {"doc_id": pa.array(block.doc), "n_words": pa.array(block.end - block.begin), "n_removed": common.long_array(n_removed), "kept": pa.array(kept, pa.binary()).cast(pa.string())}
+            | {c: docs.column(c) for c in carry}
         )
 
     by_anchor = Window.partitionBy("h")
@@ -236,8 +242,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 16) -> DataF
         dealt.groupBy("block")
         .cogroup(phrases.groupBy("block"))
         .applyInArrow(report_windows, "w1 long, w2 long, block int, lo long, hi long")
-        .select("w1", "w2", "block", F.min("lo").over(by_window).alias("lo"), "hi")
-        .where("lo < hi")  # a block whose only such document is the first one has nothing to remove
+        .select("w1", "w2", "block", F.min("lo").over(by_window).alias("lo"), F.max("hi").over(by_window).alias("last"))
+        .where("lo < last")
         .select("block", "w1", "w2", "lo")
     )
-    return dealt.groupBy("block").cogroup(repeats.groupBy("block")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
+    return dealt.groupBy("block").cogroup(repeats.groupBy("block")).applyInArrow(remove, schema)
