@@ -20,22 +20,22 @@ def _latest(windows: DataFrame) -> DataFrame:
 
 def error_spikes(windows: DataFrame) -> DataFrame:
     """Rate over the pooled earlier rate by three standard errors; ``windows``: (service, start, closed, final, elapsed_s, n, errors)."""
-    now = _latest(windows).select("service", F.col("start").alias("at"), F.col("n").alias("now_n"), F.col("errors").alias("now_errors"))
-    base = windows.where("final").join(now, "service").where("start < at").groupBy("service", "at", "now_n", "now_errors").agg(F.count(F.lit(1)).alias("base_windows"), F.sum("n").alias("base_n"), F.sum("errors").alias("base_errors"))
+    now = _latest(windows).select("service", F.col("start").alias("moment"), F.col("n").alias("now_n"), F.col("errors").alias("now_errors"))
+    base = windows.where("final").join(now, "service").where("start < moment").groupBy("service", "moment", "now_n", "now_errors").agg(F.count(F.lit(1)).alias("base_windows"), F.sum("n").alias("base_n"), F.sum("errors").alias("base_errors"))
     rated = base.where((F.col("base_windows") >= MIN_BASE_WINDOWS) & (F.col("base_n") >= MIN_BASE_REQUESTS)).withColumns({"rate": F.col("now_errors") / F.col("now_n"), "p": F.col("base_errors") / F.col("base_n")})
     spread = F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("now_n"))
     fires = (F.col("rate") > F.col("p")) & F.when(spread > 0, F.col("rate") >= F.col("p") + SIGMA * spread).otherwise(F.col("now_errors") > 0)
-    return rated.where(fires).select("service", "at", "rate", "p", "base_windows", S.relative_severity(F.col("rate"), F.col("p")).alias("severity"))
+    return rated.where(fires).select("service", "moment", "rate", "p", "base_windows", S.relative_severity(F.col("rate"), F.col("p")).alias("severity"))
 
 
 def latency_spikes(windows: DataFrame) -> DataFrame:
     """p99 over mean and three population deviations of earlier p99s, twice the mean where they have no spread."""
-    now = _latest(windows).where("p99_us > 0").select("service", F.col("start").alias("at"), F.col("p99_us").alias("now_p99"))
-    base = windows.where(F.col("final") & (F.col("p99_us") > 0) & (F.col("n") >= MIN_REQUESTS)).join(now, "service").where("start < at")
-    base = base.groupBy("service", "at", "now_p99").agg(F.count(F.lit(1)).alias("base_windows"), F.avg("p99_us").alias("mean"), F.stddev_pop("p99_us").alias("sd"))
+    now = _latest(windows).where("p99_us > 0").select("service", F.col("start").alias("moment"), F.col("p99_us").alias("now_p99"))
+    base = windows.where(F.col("final") & (F.col("p99_us") > 0) & (F.col("n") >= MIN_REQUESTS)).join(now, "service").where("start < moment")
+    base = base.groupBy("service", "moment", "now_p99").agg(F.count(F.lit(1)).alias("base_windows"), F.avg("p99_us").alias("mean"), F.stddev_pop("p99_us").alias("sd"))
     limit = F.when(F.col("sd") == 0, F.col("mean") * 2).otherwise(F.col("mean") + SIGMA * F.col("sd"))
     return base.where((F.col("base_windows") >= MIN_BASE_WINDOWS) & (F.col("now_p99") > limit) & (F.col("mean") > 0)).select(
-        "service", "at", "now_p99", "mean", "sd", "base_windows", S.relative_severity(F.col("now_p99"), F.col("mean")).alias("severity")
+        "service", "moment", "now_p99", "mean", "sd", "base_windows", S.relative_severity(F.col("now_p99"), F.col("mean")).alias("severity")
     )
 
 
@@ -53,17 +53,17 @@ def preceded_by(anomalies: DataFrame, seconds: int = 30) -> DataFrame:
     A range join on buckets of the reach: each left row meets its own bucket and its two
     neighbours, so that equal keys, not all pairs, are compared.
     """
-    bucket = F.floor(F.unix_micros("at") / (seconds * 1_000_000))
+    bucket = F.floor(F.unix_micros("moment") / (seconds * 1_000_000))
     a = anomalies.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    b = anomalies.select("tenant_id", F.col("id").alias("other"), F.col("at").alias("other_at"), bucket.alias("bucket"))
-    apart = F.abs(F.unix_micros("other_at") - F.unix_micros("at"))
+    b = anomalies.select("tenant_id", F.col("id").alias("other"), F.col("moment").alias("other_moment"), bucket.alias("bucket"))
+    apart = F.abs(F.unix_micros("other_moment") - F.unix_micros("moment"))
     return a.join(b, ["tenant_id", "bucket"]).where((F.col("id") != F.col("other")) & (apart < seconds * 1_000_000)).drop("bucket")
 
 
 def ticks(anomalies: DataFrame, seconds: int = 1800) -> DataFrame:
     """Worst severity, count and newest of each service and half hour; ``anomalies``: (service, severity, at)."""
     rank = F.when(F.col("severity") == "critical", 3).when(F.col("severity") == "warning", 2).otherwise(1)
-    out = anomalies.groupBy("service", S.window_start(F.col("at"), seconds).alias("tick")).agg(F.max_by("severity", rank).alias("severity"), F.count(F.lit(1)).alias("n"), F.max("at").alias("newest"))
+    out = anomalies.groupBy("service", S.window_start(F.col("moment"), seconds).alias("tick")).agg(F.max_by("severity", rank).alias("severity"), F.count(F.lit(1)).alias("n"), F.max("moment").alias("newest"))
     return out
 
 
@@ -77,5 +77,5 @@ def raw_thresholds(nodes: DataFrame) -> DataFrame:
 
 def upsert(anomalies: DataFrame) -> DataFrame:
     """The newest anomaly of each (service, type)."""
-    newest = F.max_by(F.struct(*[c for c in anomalies.columns if c not in ("service", "type")]), "at").alias("x")
+    newest = F.max_by(F.struct(*[c for c in anomalies.columns if c not in ("service", "type")]), "moment").alias("x")
     return anomalies.groupBy("service", "type").agg(newest).select("service", "type", "x.*")

@@ -21,7 +21,7 @@ def reduce_spans(spans: DataFrame, keys: list[str] | None = None) -> DataFrame:
     kind = F.col("kind") if "kind" in spans.columns else F.lit(None).cast("int")
     rows = spans.withColumn("window", S.window_start(F.col("start_time"))).withColumn("request", S.is_request(F.col("parent_span_id"), kind))
     return rows.groupBy("window", *keys).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(is_error()).alias("errors"), F.count_if("request").alias("requests"),
+        F.count(F.lit(1)).alias("n"), F.count_if(is_error()).alias("errors"), F.count_if(F.col("request")).alias("requests"),
         F.sum("duration_us").alias("duration_sum"), F.min("duration_us").alias("duration_min"), F.max("duration_us").alias("duration_max"),
     )
 

@@ -54,11 +54,11 @@ def adaptive_sample(spans: DataFrame, per_second: float = 10.0, slow_us: int = 5
 
 def cooldown(events: DataFrame, keys: list[str], seconds: int = 300) -> DataFrame:
     """Of each key's events the first, then each one that is ``seconds`` after the last kept."""
-    ordered = F.array_sort(F.collect_list(F.unix_micros("at")))
+    ordered = F.array_sort(F.collect_list(F.unix_micros("moment")))
     none = F.array().cast("array<bigint>")
     fold = F.aggregate("times", none, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= seconds * 1_000_000), F.concat(acc, F.array(t))).otherwise(acc))
     kept = events.groupBy(*keys).agg(ordered.alias("times")).select(*keys, F.explode(fold).alias("micros"))
-    return kept.select(*keys, F.timestamp_micros("micros").alias("at"))
+    return kept.select(*keys, F.timestamp_micros("micros").alias("moment"))
 
 
 def capped_bytes(spans: DataFrame, size: str, most: int) -> DataFrame:

@@ -79,8 +79,8 @@ def top_failing(spans: DataFrame, k: int = 5) -> DataFrame:
 
 def traffic(spans: DataFrame, seconds: int) -> DataFrame:
     """(bucket, count, errors) in epoch-aligned buckets."""
-    out = spans.groupBy(S.window_start(F.col("start_time"), seconds).alias("at")).agg(F.count(F.lit(1)).alias("n"), F.count_if(is_error()).alias("errors"))
-    return out.select(stamp("at").alias("bucket"), "n", "errors")
+    out = spans.groupBy(S.window_start(F.col("start_time"), seconds).alias("moment")).agg(F.count(F.lit(1)).alias("n"), F.count_if(is_error()).alias("errors"))
+    return out.select(stamp("moment").alias("bucket"), "n", "errors")
 
 
 def stamp(c: str | Column) -> Column:
@@ -89,7 +89,7 @@ def stamp(c: str | Column) -> Column:
 
 def latency_heatmap(spans: DataFrame, most: int = 2000) -> DataFrame:
     newest = spans.orderBy(F.desc("start_time"), F.desc("span_id")).limit(most)
-    return newest.select("span_id", stamp("start_time").alias("at"), "duration_us")
+    return newest.select("span_id", stamp("start_time").alias("moment"), "duration_us")
 
 
 def trace_list(spans: DataFrame, sort_by: str = "timestamp", descending: bool = True, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -101,10 +101,10 @@ def trace_list(spans: DataFrame, sort_by: str = "timestamp", descending: bool =
         F.min("start_time").alias("start_time"), F.max("duration_us").alias("duration_us"), F.min_by("service_name", first).alias("service_name"),
         F.max(is_error()).alias("error"), F.count(F.lit(1)).alias("span_count"), F.min("operation_name").alias("operation"),
     )
-    traces = traces.withColumn("status", F.when("error", STATUS_ERROR).otherwise("STATUS_CODE_UNSET"))
+    traces = traces.withColumn("status", F.when(F.col("error"), STATUS_ERROR).otherwise("STATUS_CODE_UNSET"))
     order = F.desc(key) if descending else F.asc(key)
     page = traces.orderBy(order, "trace_id").offset(offset).limit(limit)
-    return page.select("trace_id", stamp("start_time").alias("at"), "duration_us", "service_name", "status", "span_count", F.coalesce("operation", F.lit("Unknown")).alias("operation"))
+    return page.select("trace_id", stamp("start_time").alias("moment"), "duration_us", "service_name", "status", "span_count", F.coalesce("operation", F.lit("Unknown")).alias("operation"))
 
 
 def trace_detail(spans: DataFrame, trace_id: str) -> DataFrame:
@@ -120,7 +120,7 @@ def trace_upsert(spans: DataFrame) -> DataFrame:
     out = spans.groupBy("tenant_id", "trace_id").agg(
         F.min_by("service_name", first).alias("service_name"), F.min_by("duration_us", first).alias("duration_us"), F.max(is_error()).alias("error"), F.count(F.lit(1)).alias("observed")
     )
-    return out.select("tenant_id", "trace_id", "service_name", "duration_us", F.when("error", STATUS_ERROR).otherwise("STATUS_CODE_UNSET").alias("status"), "observed")
+    return out.select("tenant_id", "trace_id", "service_name", "duration_us", F.when(F.col("error"), STATUS_ERROR).otherwise("STATUS_CODE_UNSET").alias("status"), "observed")
 
 
 def span_dedup(spans: DataFrame) -> DataFrame:
