@@ -16,53 +16,96 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
 from . import common
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 #: Ids, or characters, that one Arrow batch of results holds at most (a single document may have more).
 BATCH_IDS = 1 << 20
-_PLAIN = re.compile(rb"[!-~]+")
-#: The split pattern of word-level vocabularies with word ends, on printable ASCII in lower case.
-_ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_FAST_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Bytes of text whose words are looked up together.
+LOOKUP_BYTES = 4 << 20
+#: Printable ASCII and the letters of Latin-1, on which normalisation is lower-casing alone, and
+#: the split pattern of word-level vocabularies with word ends on the lower-cased text.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PLAIN_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PLAIN_NORMALIZERS = ("NFC", "Replace", "Lowercase")
+_PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SETS: dict[str, "Encoder"] = {}
 
 
-class Encoder(dict):
-    """The ids of words, as bytes, worked out when first asked for."""
+class Recent(dict):
+    """A cache that keeps what was used lately: entries move on to the next generation when asked for again."""
 
-    def __init__(self, path: str):
+    def __init__(self, work, size: int):
         super().__init__()
+        self.work, self.size, self.old = work, size // 2, {}
+
+    def __missing__(self, key):
+        out = self.old.get(key)
+        if out is None:
+            out = self.work(key)
+            if len(key) > 64:
+                return out
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+
+def byte_alphabet() -> list[str]:
+    """The character that byte-level vocabularies use for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
+class Encoder:
+    """Encodes with forced boundaries by one vocabulary file, and decodes."""
+
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
         model = spec["model"]
         if model["type"] != "BPE" or spec.get("post_processor") or model.get("byte_fallback") or model.get("unk_token"):
             raise ValueError("forced boundaries need a byte-level BPE vocabulary without unknown tokens")
-        self.suffix = model.get("end_of_word_suffix") or ""
+        suffix = model.get("end_of_word_suffix") or ""
         vocab, merges = model["vocab"], [tuple(m) for m in model["merges"]]
-        self.last = BPE(vocab, merges, end_of_word_suffix=self.suffix) if self.suffix else BPE(vocab, merges)
-        self.inner = BPE(vocab, merges) if self.suffix else self.last
-        names = [t[: -len(self.suffix)] if self.suffix and t.endswith(self.suffix) else t for t in vocab]
+        # no caches of their own: words come here once
+        self.last = BPE(vocab, merges, end_of_word_suffix=suffix, cache_capacity=0) if suffix else BPE(vocab, merges, cache_capacity=0)
+        self.inner = BPE(vocab, merges, cache_capacity=0) if suffix else self.last
+        names = [t[: -len(suffix)] if suffix and t.endswith(suffix) else t for t in vocab]
         self.joined = {t[i : i + 2] for t in names for i in range(len(t) - 1)}
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.tokens = [self.library.id_to_token(i) or "" for i in range(size)]
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.specials = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") or re.search(r"\s", t["content"]) for t in spec.get("added_tokens", [])):
+        self.bytes = [i.to_bytes(self.dtype.itemsize, "little") for i in range(size)]
+        added = spec.get("added_tokens", [])
+        if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") or re.search(r"\s", t["content"]) for t in added):
             raise ValueError("special tokens that depend on their surroundings are not supported")
-        self.special = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
-        self.fast = _FAST_SPLIT in json.dumps(spec.get("pre_tokenizer"), ensure_ascii=False).replace("\\\\", "\\")
+        self.specials = {t["content"]: self.bytes[t["id"]] for t in added}
+        self.special = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.specials, key=len, reverse=True)) + ")") if added else None
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.plain = tuple(x["type"] for x in steps) == _PLAIN_NORMALIZERS and split.get("pattern", {}).get("Regex") == _PLAIN_SPLIT
+        self.alphabet = dict(enumerate(byte_alphabet()))
+        self.chunks = Recent(self.chunk, CACHE_WORDS // 8)
+        self.parts = Recent(self.part, CACHE_WORDS)
+        self.inner_ids = Recent(lambda f: self.merged(self.inner, f), CACHE_WORDS // 8)
+        self.last_ids = Recent(lambda f: self.merged(self.last, f), CACHE_WORDS // 8)
 
     def cut(self, word: str) -> list[str]:
-        """The fragments of one word between certain cuts."""
+        """The fragments of one word (in the byte alphabet) between certain cuts."""
         out, start = [], 0
         for i in range(1, len(word)):
             if word[i - 1 : i + 1] not in self.joined:
@@ -71,35 +114,81 @@ class Encoder(dict):
         out.append(word[start:])
         return out
 
-    def word_ids(self, word: str) -> list[int]:
-        """Ids of one pre-split word, in the vocabulary's byte alphabet."""
+    def merged(self, model: BPE, fragment: str) -> bytes:
+        """Ids of one fragment by the vocabulary's merges."""
+        bytes_of = self.bytes
+        return b"".join([bytes_of[t.id] for t in model.tokenize(fragment)])
+
+    def word(self, word: str) -> bytes:
+        """Ids of one word in the byte alphabet: its fragments' ids, one after another."""
+        if self.joined.issuperset(map(add, word, word[1:])):
+            return self.merged(self.last, word)
         *inner, last = self.cut(word)
-        return [t.id for f in inner for t in self.inner.tokenize(f)] + [t.id for t in self.last.tokenize(last)]
-
-    def piece_ids(self, piece: str) -> list[int]:
-        """Ids of a text without special tokens."""
-        if self.fast and piece.isascii() and piece.isprintable() and " " not in piece:
-            words = _ASCII_WORD.findall(piece.lower())
-        else:
-            text = self.library.normalizer.normalize_str(piece) if self.library.normalizer else piece
-            words = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
-        return [i for w in words for i in self.word_ids(w)]
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "replace")
-        if self.special and "<" in text and self.special.search(text):
-            ids = [i for p in self.special.split(text) if p for i in ([self.specials[p]] if p in self.specials else self.piece_ids(p))]
-        else:
-            ids = self.piece_ids(text)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        out = np.array(ids, dtype=self.dtype).tobytes()
-        if len(chunk) <= 64:
-            self[chunk] = out
-        return out
+        return b"".join([*map(self.inner_ids.__getitem__, inner), self.last_ids[last]])
+
+    def piece(self, text: str) -> bytes:
+        """Ids of a text without special tokens, by the library's own normaliser and split."""
+        text = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+        return b"".join([self.word(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)])
 
-    def encode(self, text: bytes) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, text.split())), dtype=self.dtype)
+    def chunk(self, text: str) -> bytes:
+        """Ids of a piece of text between ASCII white space."""
+        if self.special and "<" in text and self.special.search(text):
+            return b"".join([self.specials.get(p) or self.piece(p) for p in self.special.split(text) if p])
+        return self.piece(text)
+
+    def part(self, text: str) -> bytes:
+        """Ids of one word, mark or digit of plain lower-case text."""
+        return self.word(text if text.isascii() else self.shown(text))
+
+    def looked_up(self, text: str) -> bytes:
+        """``chunk`` by way of the caches; of plain text they keep the parts, not how these are joined or capitalised."""
+        if not self.plain or not _PLAIN.fullmatch(text) or (self.special and "<" in text):
+            return self.chunks[text]
+        low = text.lower()
+        return self.parts[low] if low.isalpha() else b"".join(map(self.parts.__getitem__, _PLAIN_WORD.findall(low)))
+
+    def shown(self, word: str) -> str:
+        """A word in the byte alphabet."""
+        return word.encode().decode("latin-1").translate(self.alphabet)
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ends, ids) of a column of texts, null as empty: text k has ids[ends[k]:ends[k + 1]].
+
+        Each distinct word of the column is looked up once; numpy puts the ids together.
+        """
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        found = list(map(self.parts.get, words))  # most are plain and in lower case
+        for i, ids in enumerate(found):
+            if ids is None:
+                found[i] = self.looked_up(words[i])
+        flat = np.frombuffer(b"".join(found), dtype=self.dtype)
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.dtype.itemsize
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        each = size[code]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        first = np.cumsum(size) - size
+        at = np.repeat(first[code] - upto[:-1], each)
+        at += np.arange(len(at))
+        bounds = lists.offsets.to_numpy()
+        return upto[bounds - bounds[0]], flat[at]
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column, a few megabytes at a time."""
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            before = size[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(size, before + LOOKUP_BYTES, side="right")))
+            ends, ids = self.encode_column(texts.slice(at, stop - at))
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                yield ids[a:b]
+            at = stop
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_column(pa.array([text], pa.string()))[1]
 
     def decode(self, ids) -> str:
         """The library's text of some ids, special tokens included."""
@@ -123,11 +212,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         enc = encoder(path)
         for b in batches:
             at, ids, n = 0, [], 0
-            texts = common.text_bytes(b.column(1))
-            for k, t in enumerate(texts):
-                ids.append(enc.encode(t))
-                n += len(ids[-1])
-                if n >= BATCH_IDS or k + 1 == len(texts):
+            for k, x in enumerate(enc.encode_all(b.column(1))):
+                ids.append(x)
+                n += len(x)
+                if n >= BATCH_IDS or k + 1 == b.num_rows:
                     ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
                     flat = pa.array(np.concatenate(ids).astype(np.int32))
                     yield pa.record_batch([b.column(0).slice(at, len(ids)), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "ids"])

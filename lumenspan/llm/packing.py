@@ -47,8 +47,8 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         rank, end = _ranking(len(enc.tokens)), np.array([end_id], enc.dtype)
         for b in batches:
             n, key, ids = [], [], []
-            for t in common.text_bytes(b.column(1)):
-                x = np.append(enc.encode(t), end)
+            for x in enc.encode_all(b.column(1)):
+                x = np.append(x, end)
                 n.append(len(x))
                 key.append(int(rank[x[:-1]].min()) if len(x) > 1 else 0)
                 ids.append(press.compress(x.tobytes()))

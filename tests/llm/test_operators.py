@@ -133,7 +133,7 @@ def test_forced_cuts():
 def test_packing(spark, texts):
     rows = packing.pack(docs_of(spark, texts), vocabulary(), 256, 2).collect()
     enc = bpe.encoder(vocabulary())
-    ids = {i: np.append(enc.encode((t or "").encode()), np.array([2], enc.dtype)) for i, t in texts}
+    ids = {i: np.append(enc.encode(t or ""), np.array([2], enc.dtype)) for i, t in texts}
     sequences, total = defaultdict(list), 0
     for r in rows:
         x = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
