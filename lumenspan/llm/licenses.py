@@ -97,10 +97,10 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_known, sequence, licenses) for each row: known sentences, their identifiers in order, rules that match."""
     spark = docs.sparkSession
     known = spark.createDataFrame([(_plain(s), k) for k, s in SENTENCES.items()], "sentence string, known string")
-    hits = sentences(docs).join(F.broadcast(known), "sentence").select("row", "at", "known").distinct()
-    by_row = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "known"))).alias("found"))
+    hits = sentences(docs).join(F.broadcast(known), "sentence").select("doc_id", "row", "at", "known").distinct()
+    by_row = hits.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("at", "known"))).alias("found"))
     rows = common.documents_of(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("row"))
-    out = rows.join(by_row, "row", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<at:int,known:string>>")))
+    out = rows.join(by_row, ["doc_id", "row"], "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<at:int,known:string>>")))
     out = out.select("doc_id", F.size("found").cast("long").alias("n_known"), F.array_join(F.transform("found", lambda x: F.concat(F.lit("<"), x["known"], F.lit(">"))), "").alias("sequence"))
     matched = [F.when(F.col("sequence").like("%" + "%".join(f"<{s}>" for s in rule) + "%"), name) for name, rule in RULES]
     names = F.array_sort(F.array_distinct(F.filter(F.array(*matched), lambda x: x.isNotNull())))

@@ -153,21 +153,21 @@ def discovered(items: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(key, doc_id, base, ids) for each row: base spans in order of kind and start, and those that the method adds."""
     found = common.materialize(extract(docs), "pii-found")
-    items = found.where(F.size("items") > 0).select("key", F.explode("items").alias("i")).select("key", "i.*")
+    items = found.where(F.size("items") > 0).select("doc_id", "key", F.explode("items").alias("i")).select("doc_id", "key", "i.*")
     accepted = discovered(items, rounds)
     # the few rows with added spans, by document
     added = items.where("kind = 'id'").withColumn("instance", F.xxhash64("value", "kind")).join(accepted, "instance", "left_semi")
-    added = added.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("ids"))
+    added = added.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("ids"))
     as_id = lambda s: F.struct(F.lit("id").alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     ids = F.transform(F.coalesce("ids", F.array().cast("array<struct<start:int,end:int>>")), as_id)
-    return found.select("key", "doc_id", "base").join(added, "key", "left").select("key", "doc_id", "base", ids.alias("ids"))
+    return found.select("key", "doc_id", "base").join(added, ["doc_id", "key"], "left").select("key", "doc_id", "base", ids.alias("ids"))
 
 
 def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` (with doc_id and text) and all its columns, each span of a text replaced by its kind in brackets."""
-    spans = find(docs, rounds).select("key", F.concat("base", "ids").alias("spans")).where(F.size("spans") > 0).dropDuplicates(["key"])
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    out = keyed.join(spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left")
+    spans = find(docs, rounds).select("doc_id", "key", F.concat("base", "ids").alias("spans")).where(F.size("spans") > 0).dropDuplicates(["doc_id", "key"])
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))})
+    out = keyed.join(spans.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans")), ["__id", "__key"], "left")
     text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("__spans")))
     return out.withColumn("text", text).select(*docs.columns)
 
