@@ -39,7 +39,6 @@ _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PLAIN_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 _PLAIN_NORMALIZERS = ("NFC", "Replace", "Lowercase")
 _PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_SETS: dict[str, "Encoder"] = {}
 
 
 class Recent(dict):
@@ -75,7 +74,9 @@ class Encoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
+        library = Tokenizer.from_file(path)
+        # its parts are kept, not its own copy of the vocabulary and merges
+        self.normalizer, self.pre_tokenizer, self.decoder = library.normalizer, library.pre_tokenizer, library.decoder
         model = spec["model"]
         if model["type"] != "BPE" or spec.get("post_processor") or model.get("byte_fallback") or model.get("unk_token"):
             raise ValueError("forced boundaries need a byte-level BPE vocabulary without unknown tokens")
@@ -86,8 +87,8 @@ class Encoder:
         self.inner = BPE(vocab, merges, cache_capacity=0) if suffix else self.last
         names = [t[: -len(suffix)] if suffix and t.endswith(suffix) else t for t in vocab]
         self.joined = {t[i : i + 2] for t in names for i in range(len(t) - 1)}
-        size = self.library.get_vocab_size(with_added_tokens=True)
-        self.tokens = [self.library.id_to_token(i) or "" for i in range(size)]
+        size = library.get_vocab_size(with_added_tokens=True)
+        self.tokens = [library.id_to_token(i) or "" for i in range(size)]
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.bytes = [i.to_bytes(self.dtype.itemsize, "little") for i in range(size)]
         added = spec.get("added_tokens", [])
@@ -128,8 +129,8 @@ class Encoder:
 
     def piece(self, text: str) -> bytes:
         """Ids of a text without special tokens, by the library's own normaliser and split."""
-        text = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
-        return b"".join([self.word(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)])
+        text = self.normalizer.normalize_str(text) if self.normalizer else text
+        return b"".join([self.word(w) for w, _ in self.pre_tokenizer.pre_tokenize_str(text)])
 
     def chunk(self, text: str) -> bytes:
         """Ids of a piece of text between ASCII white space."""
@@ -192,16 +193,13 @@ class Encoder:
 
     def decode(self, ids) -> str:
         """The library's text of some ids, special tokens included."""
-        if self.library.decoder is not None:
-            return self.library.decode(list(ids), skip_special_tokens=False)
-        return " ".join(map(self.tokens.__getitem__, ids))
+        tokens = list(map(self.tokens.__getitem__, ids))
+        return self.decoder.decode(tokens) if self.decoder is not None else " ".join(tokens)
 
 
 def encoder(path: str) -> Encoder:
     """This worker's encoder of a vocabulary file."""
-    if path not in _SETS:
-        _SETS[path] = Encoder(path)
-    return _SETS[path]
+    return common.held(("encoder", path), lambda: Encoder(path))
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:

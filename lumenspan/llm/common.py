@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 # --------------------------------------------------------------------------- session
 
+#: Bytes that one Arrow batch holds, or a single row's: a count of rows alone bounds nothing where texts are long.
+BATCH_BYTES = 4 << 20
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
@@ -36,7 +39,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give this package to the Python workers, once for each application."""
+    """Give this package to the Python workers, once for each application, and bound their batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_lumenspan_shipped", False):
         return
@@ -54,6 +58,22 @@ def ship_package(spark: SparkSession) -> None:
     sc._lumenspan_shipped = True
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """This worker's one large model: a call with another key lets go of the last."""
+    if key not in _HELD:
+        let_go()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Work that holds much itself and needs no model makes room first."""
+    _HELD.clear()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -31,7 +31,6 @@ LONGEST = 4
 UNKNOWN_WORDS = 150_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_HELD: dict[str, "Scorer"] = {}
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -51,6 +50,7 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> dict
     chance = F.xxhash64(F.col("doc_id"), F.lit(11)).bitwiseAND((1 << 30) - 1) / float(1 << 30)
 
     def count(batches):
+        common.let_go()
         for b in batches:
             words: dict[str, Counter] = {}
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -137,11 +137,7 @@ class Scorer(dict):
 
 def _scorer(sent) -> Scorer:
     """This worker's scorer of a broadcast model."""
-    key = sent.value["id"]
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = Scorer(sent.value)
-    return _HELD[key]
+    return common.held(("languages", sent.value["id"]), lambda: Scorer(sent.value))
 
 
 def annotate(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:

@@ -158,6 +158,7 @@ def located(block: Block, recurring: np.ndarray, window: int, phrase: int) -> np
 
 
 def _block_of(table: pa.Table) -> Block:
+    common.let_go()
     return Block(table.column("doc_id").to_numpy(), common.text_bytes(table.column("text")))
 
 

@@ -122,7 +122,7 @@ def test_bpe(spark, texts):
 
 def test_forced_cuts():
     enc = bpe.encoder(vocabulary())
-    names = [t.removesuffix("</w>") for t in enc.library.get_vocab()]
+    names = [t.removesuffix("</w>") for t in enc.tokens]
     for word in ("qzxjvq", "abzqx"):
         parts = enc.cut(word)
         assert "".join(parts) == word
