@@ -5,6 +5,8 @@ parts, level by level, at the median of each part's second eigenvector. A small
 classifier learns to name a vector's part. It files every row into its most probable part, and
 routes each query to several of the most probable ones, as many as the sample's own neighbours
 needed for ``RECALL``; candidates there are ranked by exact inner products in double precision.
+A task holds a bundle of parts next to each other in the cutting, so that a query reports its
+nearest once for all of the bundle's parts that it visits, not once for each.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, or that have
 another length than most, take no part; of rows that repeat an id, the one whose vector sorts
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ SAMPLE = 8192
 PART_VECTORS, MOST_PARTS = 2048, 256
 GRAPH_NEIGHBOURS = 10
 RECALL = 0.97
+#: A bundle has two to this power of parts, and is dealt out in chunks beyond so many members.
+BUNDLE_BITS, BUNDLE_MEMBERS = 2, 16384
 _ROWS = 256
 
 
@@ -140,16 +145,26 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
             want = np.maximum(visits, (np.cumsum(sizes[order], axis=1) < k + 1).sum(1) + 1)
             yield pa.record_batch([b.column(0), b.column(1), pa.array([o[:m].tolist() for o, m in zip(order, want)], pa.list_(pa.int32()))], names=["vec_id", "embedding", "cells"])
 
-    queries = rows.where(is_query).mapInArrow(route, f"vec_id long, embedding {kind}, cells array<int>").select("vec_id", "embedding", F.explode("cells").alias("cell"))
+    routed = rows.where(is_query).mapInArrow(route, f"vec_id long, embedding {kind}, cells array<int>")
+    bundles = F.array_distinct(F.transform("cells", lambda c: F.shiftright(c, BUNDLE_BITS)))
+    queries = routed.select("vec_id", "embedding", "cells", F.explode(bundles).alias("cell"))
+    held = members.select("vec_id", "embedding", F.col("cell").alias("part"), F.shiftright("cell", BUNDLE_BITS).alias("cell"))
+    within = (1 << BUNDLE_BITS) - 1
 
     def rank(key, own, asks):
         found = [[], [], []]
         if len(own) and len(asks):
             x, q = vectors.matrix(own.column("embedding")), vectors.matrix(asks.column("embedding"))
             ids, who = own.column("vec_id").to_numpy(), asks.column("vec_id").to_numpy()
+            part = own.column("part").to_numpy() & within
+            cells = asks.column("cells").combine_chunks()
+            visited, by = cells.flatten().to_numpy(), np.repeat(np.arange(len(q)), pc.list_value_length(cells).to_numpy())
+            here = visited >> BUNDLE_BITS == key[0].as_py()
+            visits_part = np.zeros((len(q), within + 1), bool)
+            visits_part[by[here], visited[here] & within] = True
             for at in range(0, len(q), _ROWS):
                 s = q[at : at + _ROWS] @ x.T
-                s[who[at : at + _ROWS, None] == ids[None, :]] = -np.inf
+                s[(who[at : at + _ROWS, None] == ids[None, :]) | ~visits_part[at : at + _ROWS][:, part]] = -np.inf
                 top = min(k, s.shape[1])
                 least = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top]
                 for i, row in enumerate(s):
@@ -163,7 +178,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
         a, b, c = (np.concatenate(f) if f else np.empty(0) for f in found)
         return pa.table({"query_id": common.long_array(a), "vec_id": common.long_array(b), "score": pa.array(c.astype(np.float64))})
 
-    dealt, asks = vectors.deal(members, queries, "vec_id")
+    dealt, asks = vectors.deal(held, queries, "vec_id", BUNDLE_MEMBERS)
     hits = dealt.groupBy("cell", "mc", "qc").cogroup(asks.groupBy("cell", "mc", "qc")).applyInArrow(rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -64,7 +64,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 3) -> np.ndarray
     return centres
 
 
-def deal(members: DataFrame, queries: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+def deal(members: DataFrame, queries: DataFrame, id_col: str, chunk: int = CHUNK_MEMBERS) -> tuple[DataFrame, DataFrame]:
     """Both sides with the columns (cell, mc, qc) to cogroup by.
 
     ``members`` has a row in its own ``cell``; ``queries`` has one for each cell that it probes.
@@ -77,7 +77,7 @@ def deal(members: DataFrame, queries: DataFrame, id_col: str) -> tuple[DataFrame
     if not sizes:
         none = F.lit(0)
         return (x.withColumns({"mc": none, "qc": none}) for x in (members, queries))
-    mc = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, math.ceil(n / CHUNK_MEMBERS))])
+    mc = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, math.ceil(n / chunk))])
     qc = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, math.ceil(max(1, asked.get(c, 0)) / CHUNK_QUERIES))])
     cell, key = F.col("cell"), F.xxhash64(F.col(id_col), F.lit(31))
     dealt = members.withColumn("mc", F.pmod(key, mc[cell]).cast("int")).withColumn("qc", F.explode(F.sequence(F.lit(0), qc[cell] - 1)))
