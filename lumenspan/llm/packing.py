@@ -3,8 +3,8 @@
 Documents are encoded, dealt into shards by a lexical key (the least of a fixed random ranking
 of their tokens, so that alike documents tend to meet), and each shard builds a BM25 inverted
 index over its documents' tokens with document frequencies and lengths of the whole corpus. A
-shard then takes its documents one after another as seeds; the index returns each seed's
-unused neighbours, which fill the seed's window greedily. The last neighbour is cut where the
+shard then takes its documents one after another as seeds; a seed's query is all its distinct
+tokens, and the index returns its unused neighbours, which fill the seed's window greedily. The last neighbour is cut where the
 window ends and its rest stays unused, so all windows but a shard's last are full; the last
 one is split into sequences whose lengths are powers of two, which need no padding.
 
@@ -29,8 +29,10 @@ from . import bpe, common
 
 #: Tokens that a shard holds on average.
 SHARD_TOKENS = 4 << 20
-#: BM25 parameters, and how many of a seed's weightiest tokens make its query.
-K1, B, QUERY_TOKENS = 1.2, 0.75, 24
+#: BM25 parameters.
+K1, B = 1.2, 0.75
+#: Tokens in a larger part of a shard's documents have a dense row of weights, which takes at most 1/DENSE as many cells as there are postings.
+DENSE = 0.25
 _COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -91,21 +93,32 @@ class Shard:
         term, tf, doc = np.concatenate(terms), np.concatenate(counts), np.concatenate(docs)
         norm = (K1 * (1 - B + B * self.size / average)).astype(np.float32)
         weight = idf[term].astype(np.float32) * tf * np.float32(K1 + 1) / (tf + norm[doc])
-        ends = np.cumsum([len(t) for t in terms])
-        self.query = []
-        for d, t in enumerate(terms):
-            w = weight[ends[d] - len(t) : ends[d]]
-            self.query.append(t[np.argpartition(-w, QUERY_TOKENS)[:QUERY_TOKENS]] if len(t) > QUERY_TOKENS else t)
+        self.terms = terms
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
-
-    def neighbours(self, seed: int):
-        """Unused documents with a token of the seed's query, the highest BM25 score first."""
-        score = np.zeros(len(self.ids), np.float32)
-        for t in self.query[seed]:
+        common_terms = np.flatnonzero(np.diff(self.first) > DENSE * len(ids))
+        self.row = np.full(len(idf), -1, np.int32)
+        self.row[common_terms] = np.arange(len(common_terms))
+        self.dense = np.zeros((len(common_terms), len(ids)), np.float32)
+        for row, t in zip(self.dense, common_terms):
             a, b = self.first[t], self.first[t + 1]
+            row[self.doc[a:b]] = self.weight[a:b]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of each document for the query of all the seed's distinct tokens."""
+        score, terms = np.zeros(len(self.ids), np.float32), self.terms[seed]
+        row = self.row[terms]
+        for r in row[row >= 0].tolist():
+            score += self.dense[r]
+        rare = terms[row < 0].astype(np.int64)
+        for a, b in zip(self.first[rare].tolist(), self.first[rare + 1].tolist()):
             score[self.doc[a:b]] += self.weight[a:b]
+        return score
+
+    def neighbours(self, seed: int):
+        """Unused documents with a token of the seed's, the highest BM25 score first."""
+        score = self.scores(seed)
         score[self.done >= self.size] = 0
         some = min(32, len(score))
         top = np.argpartition(-score, some - 1)[:some]

@@ -157,6 +157,23 @@ def test_packing_prefers_lexical_neighbours():
     assert first[:2] == [0, 2]
 
 
+def test_packing_scores_all_tokens_of_a_seed():
+    idf = np.full(60, 1.0, np.float32)
+    idf[24:40] = 0.9
+    ids = [np.arange(40), np.array([0, *range(41, 56)]), np.arange(24, 40)]  # the last shares sixteen tokens lighter than the first 24
+    shard = packing.Shard(ids, idf, 20.0)
+    shard.done[0] = 40
+    assert list(shard.neighbours(0)) == [2, 1]
+    rng = np.random.default_rng(3)
+    ids = [rng.zipf(1.3, rng.integers(1, 300)) % 500 for _ in range(80)]
+    idf = rng.random(500).astype(np.float32)
+    average = float(np.mean([len(x) for x in ids]))
+    shard = packing.Shard(ids, idf, average)
+    for seed in range(80):
+        want = [sum(idf[t] * 2.2 * c / (c + 1.2 * (0.25 + 0.75 * len(x) / average)) for t in np.unique(ids[seed]) if (c := (x == t).sum())) for x in ids]
+        assert np.allclose(shard.scores(seed), want, rtol=1e-4)
+
+
 def test_language(spark):
     words = {"en": ["the", "house", "water", "think"], "de": ["das", "haus", "wasser", "denken"], "fr": ["la", "maison", "eau", "penser"]}
     rng = random.Random(3)
