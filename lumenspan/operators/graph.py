@@ -1,7 +1,9 @@
 """Walks over spans and over the service graph.
 
-Walks are rounds of joins: a frontier of rows is joined with the edges once for each step, up
-to a depth that is a parameter, so that no graph comes to the driver or into one task.
+Walks are rounds of joins: a frontier of rows is joined with the edges once for each step, so
+that no graph comes to the driver or into one task. Error chains and shortest paths go on until
+nothing moves; each round is checkpointed and the driver learns only whether rows are left.
+Walks around a seed go up to a depth that is a parameter.
 """
 
 from __future__ import annotations
@@ -15,28 +17,39 @@ from ..functions import scalars as S
 from .traffic import is_error
 
 
-def error_chains(spans: DataFrame, depth: int = 10) -> DataFrame:
-    """From each trace's first error span up to its root.
+def _settled(df: DataFrame) -> DataFrame:
+    """``df`` worked out once: in the folder of ``spark.checkpoint.dir``, on the executors only where that is unset."""
+    sc, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return df.checkpoint() if sc.getCheckpointDir() else df.localCheckpoint()
+
+
+def error_chains(spans: DataFrame, depth: int | None = None) -> DataFrame:
+    """From each trace's first error span up to its root, or ``depth`` steps at most.
 
     (trace_id, error_span, root_span, root_service, hops, complete): ``complete`` if the walk
     reached a span without a parent. A parent that is missing, or met before, ends the walk.
     """
     first = F.struct("start_time", "span_id")
     seed = spans.where(is_error()).groupBy("tenant_id", "trace_id").agg(F.min_by(F.struct("span_id", "parent_span_id", "service_name"), first).alias("s"))
-    walk = seed.select(
+    walk = _settled(seed.select(
         "tenant_id", "trace_id", F.col("s.span_id").alias("error_span"), F.col("s.span_id").alias("at"), F.col("s.parent_span_id").alias("next"),
         F.col("s.service_name").alias("service"), F.lit(0).cast("long").alias("hops"), F.array("s.span_id").alias("path"),
-    )
+    ))
     parents = spans.select("tenant_id", "trace_id", F.col("span_id").alias("next"), F.col("parent_span_id").alias("up"), F.col("service_name").alias("up_service"))
-    parents = parents.dropDuplicates(["tenant_id", "trace_id", "next"])
-    for _ in range(depth):
+    parents = parents.join(walk.select("tenant_id", "trace_id"), ["tenant_id", "trace_id"], "left_semi")
+    parents = _settled(parents.dropDuplicates(["tenant_id", "trace_id", "next"]))
+    ended = []
+    while (depth is None or len(ended) < depth) and not walk.isEmpty():
         step = walk.join(parents, ["tenant_id", "trace_id", "next"], "left")
-        moves = F.col("up").isNotNull() & ~F.array_contains("path", F.col("next"))
-        walk = step.select(
-            "tenant_id", "trace_id", "error_span", F.when(moves, F.col("next")).otherwise(F.col("at")).alias("at"),
-            F.when(moves, F.col("up")).otherwise(F.col("next")).alias("next"), F.when(moves, F.col("up_service")).otherwise(F.col("service")).alias("service"),
-            (F.col("hops") + moves.cast("long")).alias("hops"), F.when(moves, F.array_append("path", F.col("next"))).otherwise(F.col("path")).alias("path"),
+        step = _settled(step.withColumn("moves", F.col("up").isNotNull() & ~F.array_contains("path", F.col("next"))))
+        ended.append(step.where("not moves").select(*walk.columns))
+        walk = step.where("moves").select(
+            "tenant_id", "trace_id", "error_span", F.col("next").alias("at"), F.col("up").alias("next"), F.col("up_service").alias("service"),
+            (F.col("hops") + 1).alias("hops"), F.array_append("path", F.col("next")).alias("path"),
         )
+    walk = reduce(DataFrame.unionByName, ended, walk)
     return walk.select("trace_id", "error_span", F.col("at").alias("root_span"), F.col("service").alias("root_service"), "hops", (F.col("next") == "").alias("complete"))
 
 
@@ -71,17 +84,20 @@ def map_around(edges: DataFrame, seed: str, depth: int = 1) -> DataFrame:
     return _reach(both, seed, depth).select(F.col("node").alias("service"), F.col("depth").alias("hops"))
 
 
-def shortest_path(edges: DataFrame, source: str, rounds: int = 6) -> DataFrame:
+def shortest_path(edges: DataFrame, source: str) -> DataFrame:
     """(service, distance) of least weight from a source; an undirected edge weighs 1/calls.
 
-    Bellman-Ford: one join and one grouping for each round, over services, not spans.
+    Bellman-Ford until no distance falls: one join and one grouping for each round, over services, not spans.
     """
     w = edges.select(F.col("caller").alias("a"), F.col("callee").alias("b"), "calls").union(edges.select(F.col("callee").alias("a"), F.col("caller").alias("b"), "calls"))
-    w = w.groupBy("a", "b").agg((1.0 / F.max("calls")).alias("w"))
-    best = edges.sparkSession.createDataFrame([(source, 0.0)], "node string, distance double")
-    for _ in range(rounds):
-        moved = best.join(w, best["node"] == w["a"]).select(F.col("b").alias("node"), (F.col("distance") + F.col("w")).alias("distance"))
-        best = best.unionByName(moved).groupBy("node").agg(F.min("distance").alias("distance"))
+    w = _settled(w.groupBy("a", "b").agg((1.0 / F.max("calls")).alias("w")))
+    best = fallen = _settled(edges.sparkSession.createDataFrame([(source, 0.0)], "node string, distance double"))
+    while not fallen.isEmpty():
+        moved = fallen.join(w, fallen["node"] == w["a"]).groupBy(F.col("b").alias("node")).agg(F.min(F.col("distance") + F.col("w")).alias("nearer"))
+        both = _settled(best.join(moved, "node", "full"))
+        falls = F.col("distance").isNull() | (F.col("nearer") < F.col("distance"))
+        fallen = both.where(falls).select("node", F.col("nearer").alias("distance"))
+        best = both.select("node", F.least("distance", "nearer").alias("distance"))
     return best.select(F.col("node").alias("service"), "distance")
 
 

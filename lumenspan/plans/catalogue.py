@@ -468,7 +468,7 @@ def map_around(spark, d):
 p AS (SELECT 'user-1' AS node, 0.0::DOUBLE AS dist, 0 AS k UNION SELECT b, dist + w, k + 1 FROM p JOIN u ON a = node WHERE k < 5) SELECT node AS service, round(min(dist), 9) AS distance FROM p GROUP BY 1"""
 )
 def shortest_path(spark, d):
-    return graph.shortest_path(_conv_edges(spark, d), "user-1", 5).withColumn("distance", F.round("distance", 9))
+    return graph.shortest_path(_conv_edges(spark, d), "user-1").withColumn("distance", F.round("distance", 9))
 
 
 @_query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.functions import scalars as S
 from lumenspan.functions import sketch
-from lumenspan.operators import anomaly, counters, histogram, logs, rollup, sampling, traffic
+from lumenspan.operators import anomaly, counters, graph, histogram, logs, rollup, sampling, traffic
 
 NOON = datetime(2026, 6, 1, 12)
 E, U = "STATUS_CODE_ERROR", "STATUS_CODE_UNSET"
@@ -165,3 +165,22 @@ def test_search_clamp():
 def test_severities(spark):
     row = lambda *a: spark.range(1).select(S.severity_tier(*map(F.lit, a))).first()[0]
     assert [row("critical", 0), row("ERR", 0), row("warning", 0), row("", 0), row("x", 0), row("info", 17)] == [6, 5, 4, 0, 3, 5]
+
+
+def test_error_chains_have_no_depth_limit(spark):
+    chain = [("t1", f"s{k}", f"s{k - 1}" if k else "", f"svc-{k}", E if k == 14 else U, NOON) for k in range(15)]
+    ring = [("t2", f"r{k}", f"r{(k + 1) % 12}", f"svc-{k}", E if k == 0 else U, NOON) for k in range(12)]
+    lost = [("t3", "x", "gone", "svc-x", E, NOON)]
+    spans = spark.createDataFrame([("default", *r) for r in chain + ring + lost], "tenant_id string, trace_id string, span_id string, parent_span_id string, service_name string, status string, start_time timestamp")
+    got = {tuple(r) for r in graph.error_chains(spans).collect()}
+    assert got == {("t1", "s14", "s0", "svc-0", 14, True), ("t2", "r0", "r11", "svc-11", 11, False), ("t3", "x", "x", "svc-x", 0, False)}
+    assert {(r["root_span"], r["hops"]) for r in graph.error_chains(spans.where("trace_id = 't1'"), 3).collect()} == {("s11", 3)}
+    assert graph.error_chains(spans.where("trace_id = 't4'")).count() == 0
+    roots = graph.root_causes(graph.error_chains(spans), spark.createDataFrame([], "service string"))
+    assert {r["service"] for r in roots.collect()} == {"svc-0", "svc-11", "svc-x"}
+
+
+def test_shortest_path_has_no_round_limit(spark):
+    edges = [(f"n{k}", f"n{k + 1}", 100) for k in range(9)] + [("n0", "n9", 2)]  # nine light edges beat one heavy one
+    got = dict(map(tuple, graph.shortest_path(spark.createDataFrame(edges, "caller string, callee string, calls long"), "n0").collect()))
+    assert {k: round(v, 9) for k, v in got.items()} == {f"n{k}": round(k / 100, 9) for k in range(10)}
