@@ -29,6 +29,8 @@ DOCS_PER_LANGUAGE = 2000
 LEAST_COUNT = 3
 LONGEST = 4
 UNKNOWN_WORDS = 150_000
+#: Words that are looked up at once; room for that many unseen ones is made before.
+CHUNK_WORDS = 100_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -105,16 +107,19 @@ class Scorer(dict):
     def __missing__(self, word: str) -> int:
         if not any(c.isalpha() for c in word):
             return 0
-        if len(self.unseen) >= UNKNOWN_WORDS:
-            for w in self.unseen:
-                del self[w]
-            self.unseen = []
         at = self.known + len(self.unseen)
         self.table[at] = self.backoff(word)
         self.unseen.append(word)
         self[word] = at
         return at
 
+    def make_room(self, n: int) -> None:
+        """Forget the unseen words if fewer than ``n`` more fit; row numbers taken before are void then."""
+        if len(self.unseen) + n > UNKNOWN_WORDS:
+            for w in self.unseen:
+                del self[w]
+            self.unseen = []
+
     def backoff(self, word: str) -> np.ndarray:
         for n in range(LONGEST, 0, -1):
             found = [i for g in grams(word, n) if (i := self.grams.get((n, g)))]
@@ -125,8 +130,11 @@ class Scorer(dict):
     def predict(self, text: str | None) -> tuple[str, float]:
         words = _WORD.findall(text.lower()) if text and self.languages else []
         total, letters = np.zeros(len(self.languages)), False
-        for k in range(0, len(words), 100_000):  # fewer at once than are kept of unseen words
-            at = np.fromiter(map(self.__getitem__, words[k : k + 100_000]), dtype=np.int64)
+        step = min(CHUNK_WORDS, UNKNOWN_WORDS)
+        for k in range(0, len(words), step):
+            chunk = words[k : k + step]
+            self.make_room(len(chunk))
+            at = np.fromiter(map(self.__getitem__, chunk), dtype=np.int64)
             letters |= bool(at.any())
             total += self.table[at].sum(axis=0, dtype=np.float64)
         if not letters:

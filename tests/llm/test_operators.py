@@ -187,6 +187,20 @@ def test_language(spark):
     assert langid.predict(docs_of(spark, asked), empty).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_with_a_full_cache(spark, monkeypatch):
+    words = {"en": ["the", "house", "water", "think"], "de": ["das", "haus", "wasser", "denken"]}
+    rng = random.Random(4)
+    model = langid.fit(spark.createDataFrame([(i, " ".join(rng.choice(words[k]) for _ in range(20)), k) for i, k in enumerate(sorted(words) * 30)], "doc_id long, text string, lang string"))
+    texts = [" ".join(rng.choice(words[rng.choice(sorted(words))]) + rng.choice("abcde") + rng.choice("xyz") for _ in range(n)) for n in (3, 7, 9, 40, 5, 120)]
+    want = [langid.Scorer(model).predict(t) for t in texts]
+    monkeypatch.setattr(langid, "UNKNOWN_WORDS", 10)
+    monkeypatch.setattr(langid, "CHUNK_WORDS", 7, raising=False)
+    small = langid.Scorer(model)
+    for t, (lang, score) in zip(texts, want):
+        got = small.predict(t)
+        assert got[0] == lang and abs(got[1] - score) < 1e-6
+
+
 def test_quality(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
