@@ -8,9 +8,15 @@ needed for ``RECALL``; candidates there are ranked by exact inner products in do
 A task holds a bundle of parts next to each other in the cutting, so that a query reports its
 nearest once for all of the bundle's parts that it visits, not once for each.
 
-Cases: vectors that are null, empty, zero or hold null or non-finite components, or that have
-another length than most, take no part; of rows that repeat an id, the one whose vector sorts
-first stands; ties go to the smaller id; an empty table gives an empty result.
+There are at most ``MOST_PARTS`` parts, as their graph and classifier are fitted on a bounded
+sample: beyond ``MOST_PARTS * PART_VECTORS`` vectors the parts grow with the table, and so does the
+work for each query. No row is left out.
+
+Cases: vectors that are null, empty, zero or hold null or non-finite components take no part;
+vectors of each length have parts of their own, as others have no inner product with them; every
+row is a candidate, and a query if its id is one, also where rows repeat an id, and only the
+query's own row is left out of its answer; ties go to the smaller id; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -115,47 +121,55 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     spark = table.sparkSession
     common.ship_package(spark)
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).where("vec_id is not null")
-    rows = rows.where(vectors.is_valid(F.col("embedding"))).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    rows = rows.where(F.size("embedding") == vectors.usual_length(rows))
-    rows = common.materialize(rows, "ann-rows")
-    count = rows.count()
-    x = vectors.sample(rows, "vec_id", count, SAMPLE)
-    if not len(x):
-        first = rows.first()
-        x = np.array([first["embedding"]] if first else [[1.0]], dtype=np.float64)
-    router, visits = fit(x, count, k)
-    sent = spark.sparkContext.broadcast(router)
+    rows = rows.where(vectors.is_valid(F.col("embedding"))).withColumn("row", F.monotonically_increasing_id())
+    rows = common.materialize(rows.select("vec_id", "embedding", "row"), "ann-rows")
+    counts = {r["d"]: r["n"] for r in rows.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each length
+    known: dict[int, list] = {d: [] for d in counts}
+    for v in vectors.sample(rows, "vec_id", sum(counts.values()), SAMPLE):
+        known[len(v)].append(v)
+    models, first, within = {}, 0, (1 << BUNDLE_BITS) - 1
+    for d, n in sorted(counts.items()):
+        router, visits = fit(np.array(known[d] or [[1.0] * d], dtype=np.float64), n, k)
+        models[d] = (router, visits, first)
+        first = (first + len(router.b) + within) & ~within  # no bundle holds parts of two lengths
+    sent = spark.sparkContext.broadcast(models)
     kind = dict(rows.dtypes)["embedding"]
 
-    def file(batches):
+    def chances(batches):
+        """Each batch's rows of one length, their routers' probabilities and the number of their first part."""
         for b in batches:
-            p = sent.value.probabilities(vectors.unit(vectors.matrix(b.column(1))))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(p.argmax(1).astype(np.int32))], names=["vec_id", "embedding", "cell"])
+            for d, at in vectors.by_length(pc.list_value_length(b.column(1)).to_numpy()):
+                part = b.take(pa.array(at))
+                router, visits, start = sent.value[d]
+                yield part, router.probabilities(vectors.unit(vectors.matrix(part.column(1)))), visits, start
+
+    def file(batches):
+        for b, p, _, start in chances(batches):
+            yield pa.record_batch([*b.columns, pa.array((start + p.argmax(1)).astype(np.int32))], names=["vec_id", "embedding", "row", "cell"])
 
-    members = common.materialize(rows.mapInArrow(file, f"vec_id long, embedding {kind}, cell int"), "ann-filed")
-    sizes = np.zeros(len(router.b), np.int64)
+    members = common.materialize(rows.mapInArrow(file, f"vec_id long, embedding {kind}, row long, cell int"), "ann-filed")
+    sizes = np.zeros(max(1, first), np.int64)
     for r in members.groupBy("cell").count().collect():  # one row for each part
         sizes[r["cell"]] = r["count"]
 
     def route(batches):
-        for b in batches:
-            p = sent.value.probabilities(vectors.unit(vectors.matrix(b.column(1))))
+        for b, p, visits, start in chances(batches):
             order = np.argsort(-p, axis=1, kind="stable")
             # further parts for a query whose own ones hold too few rows
-            want = np.maximum(visits, (np.cumsum(sizes[order], axis=1) < k + 1).sum(1) + 1)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([o[:m].tolist() for o, m in zip(order, want)], pa.list_(pa.int32()))], names=["vec_id", "embedding", "cells"])
+            want = np.maximum(visits, (np.cumsum(sizes[start + order], axis=1) < k + 1).sum(1) + 1)
+            yield pa.record_batch([*b.columns, pa.array([(start + o[:m]).tolist() for o, m in zip(order, want)], pa.list_(pa.int32()))], names=["vec_id", "embedding", "row", "cells"])
 
-    routed = rows.where(is_query).mapInArrow(route, f"vec_id long, embedding {kind}, cells array<int>")
+    routed = rows.where(is_query).mapInArrow(route, f"vec_id long, embedding {kind}, row long, cells array<int>")
     bundles = F.array_distinct(F.transform("cells", lambda c: F.shiftright(c, BUNDLE_BITS)))
-    queries = routed.select("vec_id", "embedding", "cells", F.explode(bundles).alias("cell"))
-    held = members.select("vec_id", "embedding", F.col("cell").alias("part"), F.shiftright("cell", BUNDLE_BITS).alias("cell"))
-    within = (1 << BUNDLE_BITS) - 1
+    queries = routed.select("vec_id", "embedding", "row", "cells", F.explode(bundles).alias("cell"))
+    held = members.select("vec_id", "embedding", "row", F.col("cell").alias("part"), F.shiftright("cell", BUNDLE_BITS).alias("cell"))
 
     def rank(key, own, asks):
-        found = [[], [], []]
+        found = [[], [], [], []]
         if len(own) and len(asks):
             x, q = vectors.matrix(own.column("embedding")), vectors.matrix(asks.column("embedding"))
             ids, who = own.column("vec_id").to_numpy(), asks.column("vec_id").to_numpy()
+            mine, asking = own.column("row").to_numpy(), asks.column("row").to_numpy()
             part = own.column("part").to_numpy() & within
             cells = asks.column("cells").combine_chunks()
             visited, by = cells.flatten().to_numpy(), np.repeat(np.arange(len(q)), pc.list_value_length(cells).to_numpy())
@@ -164,21 +178,23 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
             visits_part[by[here], visited[here] & within] = True
             for at in range(0, len(q), _ROWS):
                 s = q[at : at + _ROWS] @ x.T
-                s[(who[at : at + _ROWS, None] == ids[None, :]) | ~visits_part[at : at + _ROWS][:, part]] = -np.inf
+                s[(asking[at : at + _ROWS, None] == mine[None, :]) | ~visits_part[at : at + _ROWS][:, part]] = -np.inf
                 top = min(k, s.shape[1])
                 least = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top]
                 for i, row in enumerate(s):
                     # all that rounding in the product may have put below the last place
-                    near = np.flatnonzero((row >= least[i] - 1e-9 * (1 + abs(least[i]))) & (row > -np.inf))
+                    limit = least[i] - 1e-9 * (1 + abs(least[i])) if np.isfinite(least[i]) else least[i]
+                    near = np.flatnonzero((row >= limit) & (row > -np.inf))
                     exact = (x[near] * q[at + i]).sum(1)
                     best = np.lexsort((ids[near], -exact))[:k]
-                    found[0].append(np.full(len(best), who[at + i]))
-                    found[1].append(ids[near[best]])
-                    found[2].append(exact[best])
-        a, b, c = (np.concatenate(f) if f else np.empty(0) for f in found)
-        return pa.table({"query_id": common.long_array(a), "vec_id": common.long_array(b), "score": pa.array(c.astype(np.float64))})
-
-    dealt, asks = vectors.deal(held, queries, "vec_id", BUNDLE_MEMBERS)
-    hits = dealt.groupBy("cell", "mc", "qc").cogroup(asks.groupBy("cell", "mc", "qc")).applyInArrow(rank, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                    found[0].append(np.full(len(best), asking[at + i]))
+                    found[1].append(np.full(len(best), who[at + i]))
+                    found[2].append(ids[near[best]])
+                    found[3].append(exact[best])
+        a, b, c, d = (np.concatenate(f) if f else np.empty(0) for f in found)
+        return pa.table({"row": common.long_array(a), "query_id": common.long_array(b), "vec_id": common.long_array(c), "score": pa.array(d.astype(np.float64))})
+
+    dealt, asks = vectors.deal(held, queries, "row", BUNDLE_MEMBERS)
+    hits = dealt.groupBy("cell", "mc", "qc").cogroup(asks.groupBy("cell", "mc", "qc")).applyInArrow(rank, "row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

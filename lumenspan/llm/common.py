@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -21,21 +22,64 @@ BATCH_BYTES = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``.
+
+    Where that is unset and the master is local, as in tests, a temporary folder takes its place; on
+    a cluster executors would not see each other's files there, so that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="lumenspan-")
         atexit.register(shutil.rmtree, root, True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; what is left there goes when Python ends."""
+    sc = spark.sparkContext
+    path = f"{scratch_dir(spark)}/lumenspan/{sc.applicationId}"
+    if not getattr(sc, "_lumenspan_swept", False):
+        sc._lumenspan_swept = True
+        atexit.register(_sweep, spark, path)
+    return path
+
+
+def _sweep(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/lumenspan/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lumenspan_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``, once no result needs it any more."""
+    _delete(df.sparkSession, df._lumenspan_path)
+
+
+def fresh(name: str, taken) -> str:
+    """``name``, with underscores before it until it clashes with no column."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -120,7 +164,8 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 4
 
     Alternates large-star and small-star steps, each one grouping and one join, until the set
     of edges stands still. Only a count and a checksum of the edges come to the driver; each
-    round is written to the shared folder, so that a lost executor costs one round at most.
+    round is written to the shared folder, so that a lost executor costs one round at most, and
+    is deleted once the next one stands.
     Self loops and null ends are dropped. No edges: no rows.
     """
     star = edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").select("a", "b").distinct()
@@ -141,7 +186,8 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 4
             .where("a <> b")
             .distinct()
         )
-        star = materialize(small, f"{name}-round{k}")
+        last, star = star, materialize(small, f"{name}-round{k}")
+        release(last)
         now = _edge_mark(star)
         if now == seen:
             break

@@ -5,7 +5,9 @@ word by its longest known character n-grams (4, then 3, 2, 1 characters, word en
 A document's score is the sum over its words, turned into a probability.
 
 The model is fitted on a sample of labelled rows: at most about ``docs_per_language`` rows of
-each language, chosen by a hash of the id. That bounds it, and it is broadcast.
+each language, chosen by a hash of the id; words and n-grams seen fewer than ``least_count`` times
+in it are left to the backoff. That bounds it, and it is broadcast. Words are runs of letters and
+of other characters of words (such as numerals and marks) with a letter among them.
 
 Cases: null text and text without a letter get ``und`` and score 0, and so does every row where
 nothing was learned; ties go to the language that sorts first; rows without an id are left out.
@@ -25,7 +27,6 @@ from pyspark.sql import functions as F
 from . import common
 
 DOCS_PER_LANGUAGE = 2000
-#: Words and n-grams seen more rarely in the sample are left out of the model.
 LEAST_COUNT = 3
 LONGEST = 4
 UNKNOWN_WORDS = 150_000
@@ -41,7 +42,11 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
-def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> dict:
+def has_letter(word: str) -> bool:
+    return any(map(str.isalpha, word))
+
+
+def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, least_count: int = LEAST_COUNT) -> dict:
     """The model of rows (doc_id, text, lang): languages, and the log-probability rows of words and n-grams."""
     common.ship_package(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null")
@@ -59,6 +64,7 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> dict
                 words.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
             for lang, seen in words.items():
                 parts: list[Counter] = [Counter() for _ in range(LONGEST + 1)]
+                seen = Counter({w: c for w, c in seen.items() if has_letter(w)})
                 parts[0] = seen
                 for w, c in seen.items():
                     for n in range(1, LONGEST + 1):
@@ -71,7 +77,7 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> dict
                     )
 
     counted = rows.where(chance < share[F.col("lang")]).select("text", "lang").mapInArrow(count, "lang string, size int, gram string, n long")
-    counted = counted.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
+    counted = counted.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
     languages = sorted(sizes)
     at = {k: i for i, k in enumerate(languages)}
     names: dict[tuple, int] = {}
@@ -105,7 +111,7 @@ class Scorer(dict):
         self.unseen: list[str] = []
 
     def __missing__(self, word: str) -> int:
-        if not any(c.isalpha() for c in word):
+        if not has_letter(word):
             return 0
         at = self.known + len(self.unseen)
         self.table[at] = self.backoff(word)
@@ -148,23 +154,24 @@ def _scorer(sent) -> Scorer:
     return common.held(("languages", sent.value["id"]), lambda: Scorer(sent.value))
 
 
-def annotate(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns and ``predicted``, a struct of lang and score, last."""
+def annotate(docs: DataFrame, model: dict, text_col: str = "text", name: str = "predicted") -> DataFrame:
+    """``docs`` with all its columns and, last, a struct ``name`` of lang and score; no column may have that name."""
     spark = docs.sparkSession
     common.ship_package(spark)
+    if common.fresh(name, docs.columns) != name:
+        raise ValueError(f"there is a column {name!r} already")
     sent = spark.sparkContext.broadcast(model)
-    rows = docs.drop("predicted")
-    at = rows.columns.index(text_col)
-    schema = rows.select("*", F.struct(F.lit("").alias("lang"), F.lit(0.0).alias("score")).alias("predicted")).schema
+    at = docs.columns.index(text_col)
+    schema = docs.select("*", F.struct(F.lit("").alias("lang"), F.lit(0.0).alias("score")).alias(name)).schema
 
     def run(batches):
         scorer = _scorer(sent)
         for b in batches:
             out = [scorer.predict(t) for t in b.column(at).to_pylist()]
             both = pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.float64())], names=["lang", "score"])
-            yield pa.record_batch([*b.columns, both], names=[*b.schema.names, "predicted"])
+            yield pa.record_batch([*b.columns, both], names=[*b.schema.names, name])
 
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:

@@ -84,6 +84,7 @@ class Shard:
         self.ids = ids
         self.size = np.array([len(x) for x in ids], dtype=np.int64)
         self.done = np.zeros(len(ids), dtype=np.int64)
+        self.mark = 0
         terms, counts, docs = [], [], []
         for d, x in enumerate(ids):
             t, c = np.unique(x, return_counts=True)
@@ -153,7 +154,14 @@ class Shard:
     def _fillers(self, seed: int):
         yield seed
         yield from self.neighbours(seed)
-        yield from range(seed + 1, len(self.ids))  # too few neighbours: the next unused documents
+        # too few neighbours: the next unused documents; those before the mark are all used up
+        self.mark = max(self.mark, seed + 1)
+        while self.mark < len(self.ids):
+            if self.done[self.mark] < self.size[self.mark]:
+                yield self.mark
+            if self.done[self.mark] < self.size[self.mark]:
+                return  # the window is full
+            self.mark += 1
 
     @staticmethod
     def _cut(pieces: list, total: int, window: int, made: int):

@@ -1,13 +1,13 @@
 """SimHash near-dedup by meet-in-the-middle ball hashing.
 
-Two fingerprints within ``radius`` bits have a common point within half that radius of both.
-So each distinct fingerprint stands for all its variants within half the radius, the variants
+Two fingerprints within ``radius`` bits have a common point within half that radius of both; where
+the radius is odd, within half rounded up of the one and rounded down of the other. So each distinct fingerprint stands for all its variants within half the radius, the variants
 are dealt out by their low bits, and those that collide in a bucket link their owners. A task
 gets a bucket's fingerprints and unfolds the variants there, so the shuffle carries a
 fingerprint once for each bucket that its ball touches instead of once for each variant.
 
-Every variant's owners lie within ``radius`` of each other, so a chain through them keeps each
-link without all pairs of a group.
+A variant's owners that lie within half the radius rounded down of it are within ``radius`` of all
+its owners, so links from one of them to all the others keep each link without all pairs of a group.
 
 Cases: null or empty text has fingerprint zero and links like any other; texts of fewer words
 than a shingle are one shingle; repeated rows and equal fingerprints fall in one component;
@@ -75,43 +75,47 @@ def _masks(width: int, most: int) -> list[int]:
     return out
 
 
-def ball_collisions(fps: np.ndarray, low_bits: int, value: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+def ball_collisions(fps: np.ndarray, low_bits: int, value: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs that join all fingerprints sharing a variant whose low bits are ``value``.
 
     ``fps``: distinct unsigned fingerprints. Where a bucket's variants are too many for one
     step, it is unfolded by further bits, one sub-bucket after another.
     """
+    half, inner = (radius + 1) // 2, radius // 2
     ones = np.uint64((1 << low_bits) - 1)
     apart = np.bitwise_count((fps ^ np.uint64(value)) & ones)
     count = sum(int((apart == p).sum()) * sum(math.comb(64 - low_bits, i) for i in range(half - p + 1)) for p in range(half + 1))
     if count > STEP_VARIANTS and low_bits < 60:
         near = np.flatnonzero(apart <= half)
-        found = [ball_collisions(fps[near], low_bits + 2, value | (x << low_bits), half) for x in range(4)]
+        found = [ball_collisions(fps[near], low_bits + 2, value | (x << low_bits), radius) for x in range(4)]
         a = near[np.concatenate([f[0] for f in found])]
         b = near[np.concatenate([f[1] for f in found])]
         return a, b
-    variants, owners = [], []
+    variants, owners, outer = [], [], []
     for p in range(half + 1):
         own = np.flatnonzero(apart == p)
         if len(own):
-            flips = np.array(_masks(64 - low_bits, half - p), dtype=np.uint64) << np.uint64(low_bits)
+            flips = np.array(_masks(64 - low_bits, half - p), dtype=np.uint64)
             base = (fps[own] & ~ones) | np.uint64(value)
-            variants.append((base[:, None] ^ flips[None, :]).ravel())
+            variants.append((base[:, None] ^ (flips << np.uint64(low_bits))[None, :]).ravel())
             owners.append(np.repeat(own.astype(np.int32), len(flips)))
+            outer.append(np.tile(np.bitwise_count(flips) + p > inner, len(own)))
     if not variants:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    v, o = np.concatenate(variants), np.concatenate(owners)
-    order = np.argsort(v)
-    v, o = v[order], o[order]
-    same = v[1:] == v[:-1]
-    pairs = np.unique(np.stack([np.minimum(o[1:], o[:-1])[same], np.maximum(o[1:], o[:-1])[same]], axis=1).astype(np.int64), axis=0)
-    pairs = pairs[np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= 2 * half]
+    v, o, far = np.concatenate(variants), np.concatenate(owners), np.concatenate(outer)
+    order = np.lexsort((far, v)) if half > inner else np.argsort(v)
+    v, o, far = v[order], o[order], far[order]
+    begin = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+    first = np.repeat(begin, np.diff(np.append(begin, len(v))))  # a variant's first owner: an inner one if it has any
+    use = (first != np.arange(len(v))) & ~far[first]
+    pairs = np.unique(np.stack([o[first[use]], o[use]], axis=1).astype(np.int64), axis=0)
+    pairs = pairs[np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= radius]
     return pairs[:, 0], pairs[:, 1]
 
 
 def fingerprint_links(distinct: DataFrame, count: int, radius: int = 4) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that keep each component whole."""
-    half = radius // 2
+    half = (radius + 1) // 2
     ball = sum(math.comb(64, i) for i in range(half + 1))
     bits = max(0, min(32, math.ceil(math.log2(max(1, count * ball / BUCKET_VARIANTS)))))
     masks = _masks(bits, half)
@@ -119,7 +123,7 @@ def fingerprint_links(distinct: DataFrame, count: int, radius: int = 4) -> DataF
 
     def run(key, table):
         fps = np.unique(table.column("fp").to_numpy()).view(np.uint64)
-        a, b = ball_collisions(fps, bits, key[0].as_py(), half)
+        a, b = ball_collisions(fps, bits, key[0].as_py(), radius)
         label = common.local_labels(len(fps), a, b)
         own = np.flatnonzero(label != np.arange(len(fps)))
         return pa.table({"a": pa.array(fps[own].view(np.int64)), "b": pa.array(fps[label[own]].view(np.int64))})

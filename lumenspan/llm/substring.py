@@ -4,19 +4,24 @@ Documents are dealt into blocks of a few megabytes. Of the phrases of ``phrase``
 window of ``window`` words, the one with the least hash is the window's anchor, so equal
 windows have equal anchors. Three passes over the same shuffled blocks:
 
-1. each block reports its anchors, and those seen in two documents are confirmed as recurring;
-2. each block compiles its shard of the recurring phrases into an Aho-Corasick automaton over
-   word numbers, streams all its documents through it, and reports every window that holds a
-   located phrase, by a 128-bit hash with the first and last document it starts in;
-3. windows that start in two documents go back to their blocks, which remove the words covered
-   by a window whose first document is a smaller one.
+1. each block reports its anchors, each once and with a place where it stands, and those seen in
+   two documents are confirmed as recurring;
+2. the confirmed phrases come back as shards, one for each block that may hold them. A block
+   compiles the words of its shard into an Aho-Corasick automaton and streams all its documents
+   through it. The automaton's hits are the phrases' occurrences, and the windows anchored at a
+   hit are reported, each once, by a 128-bit hash and a place, with the first document it starts in;
+3. windows that start in two documents are the recurring passages. They go back to their blocks,
+   which compile the passages' anchors, stream all documents through that automaton, compare the
+   words of the windows at its hits with the passages' own and remove the words covered by a
+   window whose first document is a smaller one.
 
 A block reports an anchor or window once, so that one which a third of all documents share
 meets in as many rows as there are blocks, not documents.
 
 Cases: null and empty texts have no words, nothing removed and an empty kept text; repeated
 rows with one id never remove each other; texts shorter than a window are kept whole; rows
-without an id are left out; an empty table gives an empty result.
+without an id are left out; an empty table gives an empty result; columns to be carried along may
+have any names.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK_BYTES = 4 << 20
+#: Places whose words are looked at together.
+_ROWS = 1 << 15
 #: Odd multipliers of the two polynomial hashes, and those of the final mix (splitmix64).
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -55,7 +62,7 @@ class Block:
         self.end = np.cumsum(size)
         self.begin = self.end - size
         self.number = [list(map(numbers.__getitem__, w)) for w in self.words]
-        flat = np.fromiter((x for w in self.number for x in w), dtype=np.int64, count=int(size.sum()))
+        self.flat = flat = np.fromiter((x for w in self.number for x in w), dtype=np.int32, count=int(size.sum()))
         table = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), dtype=np.uint64, count=len(numbers))
         self.hash = table[flat] if len(flat) else np.empty(0, np.uint64)
         self.owner = np.repeat(np.arange(len(size)), size)
@@ -103,63 +110,87 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def _least_and_last(hashes: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple:
-    """Each distinct hash with the smallest and largest doc among its rows."""
-    order = np.lexsort((doc, *hashes[::-1]))
-    hashes, doc = tuple(h[order] for h in hashes), doc[order]
+#: A block's number, a place in it and whether two of its documents share what stands there, in one number.
+_PLACE_BITS = 32
+
+
+def _reference(block: int, at: np.ndarray, many: np.ndarray) -> pa.Array:
+    return pa.array((np.int64(block) << (_PLACE_BITS + 1)) | (at.astype(np.int64) << 1) | many)
+
+
+def _place(reference: np.ndarray) -> np.ndarray:
+    return (reference >> 1) & ((1 << _PLACE_BITS) - 1)
+
+
+def _once(hashes: tuple[np.ndarray, ...], at: np.ndarray, doc: np.ndarray) -> tuple:
+    """Each distinct hash once: hashes, first place, smallest doc, whether there are two docs."""
+    order = np.lexsort((at, doc, *hashes[::-1]))
+    hashes, at, doc = tuple(h[order] for h in hashes), at[order], doc[order]
     new = np.zeros(len(doc), bool)
     new[:1] = True
     for h in hashes:
         new[1:] |= h[1:] != h[:-1]
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc)) - 1 if len(first) else first
-    return tuple(h[first] for h in hashes), doc[first], doc[last]
+    return tuple(h[first] for h in hashes), at[first], doc[first], doc[first] < doc[last]
 
 
 def anchors(block: Block, window: int, phrase: int) -> tuple:
-    """(hashes, first doc, last doc) of the block's anchors."""
+    """((hashes,), places, smallest doc, whether there are two docs) of the block's anchors."""
     ok = block.starts(window)
-    least = _sliding_min(block.rolled(phrase, _BASES[0]), window - phrase + 1)[: len(ok)]
+    hashes = block.rolled(phrase, _BASES[0])
+    least = _sliding_min(hashes, window - phrase + 1)[: len(ok)]
     keep = ok.copy()
     keep[1:] &= (least[1:] != least[:-1]) | (block.owner[1 : len(ok)] != block.owner[: len(ok) - 1]) | ~ok[:-1]
-    at = np.flatnonzero(keep)
-    (h,), lo, hi = _least_and_last((least[at],), block.doc[block.owner[at]])
-    return h, lo, hi
+    at = anchor_places(hashes, np.flatnonzero(keep), window, phrase)
+    return _once((hashes[at],), at, block.doc[block.owner[at]])
 
 
-def located(block: Block, recurring: np.ndarray, window: int, phrase: int) -> np.ndarray:
-    """Which windows hold an occurrence of a recurring phrase, found by the block's automaton."""
+def anchor_places(hashes: np.ndarray, at: np.ndarray, window: int, phrase: int) -> np.ndarray:
+    """Where the windows at places ``at`` have their anchors."""
+    reach = np.arange(window - phrase + 1)
+    return np.concatenate([x + hashes[x[:, None] + reach].argmin(1) for x in np.array_split(at, len(at) // _ROWS + 1)])
+
+
+def located(block: Block, places: np.ndarray, window: int, phrase: int) -> np.ndarray:
+    """Places of the windows anchored at an occurrence of the phrases that stand at ``places``.
+
+    The occurrences are the hits of an automaton over all the block's documents.
+    """
     ok = block.starts(window)
-    held = np.zeros(len(ok) + 1, dtype=np.int32)
-    hashes = block.rolled(phrase, _BASES[0])
-    whole = block.starts(phrase)
-    at = np.flatnonzero(whole & np.isin(hashes, recurring)) if len(recurring) else np.empty(0, np.int64)
-    if not len(at):
-        return ok & False
+    if not len(places) or not len(ok):
+        return np.empty(0, np.int64)
     machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    _, first = np.unique(hashes[at], return_index=True)
-    for i in at[first]:
-        d = block.owner[i]
-        k = i - block.begin[d]
+    for i, d in zip(places.tolist(), block.owner[places].tolist()):
+        k = i - int(block.begin[d])
         machine.add_word(tuple(block.number[d][k : k + phrase]))
     machine.make_automaton()
-    for d, numbers in enumerate(block.number):
-        if len(numbers) < window:
-            continue
-        ends = np.fromiter((e for e, _ in machine.iter(tuple(numbers))), dtype=np.int64)
-        if len(ends):
-            # windows that begin early enough to reach the phrase's end and no later than its start
-            a = block.begin[d] + np.maximum(ends - window + 1, 0)
-            b = block.begin[d] + np.minimum(ends - phrase + 1, len(numbers) - window) + 1
-            live = b > a
-            np.add.at(held, a[live], 1)
-            np.add.at(held, b[live], -1)
-    return ok & (np.cumsum(held[:-1]) > 0)
-
-
-def _block_of(table: pa.Table) -> Block:
+    hashes = block.rolled(phrase, _BASES[0])
+    hit = np.zeros(len(hashes), bool)
+    for begin, numbers in zip(block.begin.tolist(), block.number):
+        if len(numbers) >= window:
+            ends = np.fromiter((e for e, _ in machine.iter(tuple(numbers))), dtype=np.int64)
+            hit[begin + ends - phrase + 1] = True
+    width = window - phrase + 1
+    least, least_hit = (_sliding_min(x, width)[: len(ok)] for x in (hashes, np.where(hit, hashes, np.iinfo(np.uint64).max)))
+    return np.flatnonzero(ok & (least == least_hit))
+
+
+def same_words(block: Block, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` words at places ``a`` and ``b`` are the same."""
+    out, step = np.ones(len(a), bool), np.arange(length)
+    for k in range(0, len(a), _ROWS):
+        x, y = a[k : k + _ROWS], b[k : k + _ROWS]
+        out[k : k + _ROWS] = (block.flat[x[:, None] + step] == block.flat[y[:, None] + step]).all(1)
+    return out
+
+
+def _block_of(table: pa.Table) -> tuple[Block, pa.Table]:
+    """A block's words and rows, in an order that doesn't depend on how the rows came."""
     common.let_go()
-    return Block(table.column("doc_id").to_numpy(), common.text_bytes(table.column("text")))
+    ids, texts = table.column("doc_id").to_numpy(), common.text_bytes(table.column("text"))
+    order = np.lexsort((np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64), ids))
+    return Block(ids[order], [texts[i] for i in order.tolist()]), table.take(pa.array(order))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -167,9 +198,9 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) for each row; ``kept``: remaining words, joined by a space.
+    """(doc_id, n_words, n_removed, kept, carried) for each row; ``kept``: remaining words, joined by a space.
 
-    Columns named in ``carry`` stay beside them.
+    ``carried`` is a struct of the columns named in ``carry``.
     """
     spark = docs.sparkSession
     common.ship_package(spark)
@@ -177,45 +208,47 @@ def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 16, carry: t
         raise ValueError("a phrase has fewer words than a window, and one at least")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES), 2 * common.shuffle_partitions(spark))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in carry if c != "text"]).where(F.col("doc_id").isNotNull())
+    carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried.alias("carried")).where(F.col("doc_id").isNotNull())
     dealt = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), *rows.columns)
-    schema = "doc_id long, n_words long, n_removed long, kept string" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in dealt.schema if f.name in carry)
+    out = rows.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept"), "carried").schema
 
     def report_anchors(key, table):
-        h, lo, hi = anchors(_block_of(table), window, phrase)
-        return pa.table({"h": _signed(h), "block": pa.array(np.full(len(h), key[0].as_py(), np.int32)), "lo": pa.array(lo), "hi": pa.array(hi)})
+        block, _ = _block_of(table)
+        (h,), at, lo, many = anchors(block, window, phrase)
+        return pa.table({"h": _signed(h), "ref": _reference(key[0].as_py(), at, many), "lo": pa.array(lo)})
 
     def report_windows(key, docs, phrases):
         if not len(docs) or not len(phrases):
-            return pa.table({"w1": common.long_array([]), "w2": common.long_array([]), "block": pa.array([], pa.int32()), "lo": common.long_array([]), "hi": common.long_array([])})
-        block = _block_of(docs)
-        at = np.flatnonzero(located(block, phrases.column("h").to_numpy().view(np.uint64), window, phrase))
-        (w1, w2), lo, hi = _least_and_last((block.rolled(window, _BASES[0])[at], block.rolled(window, _BASES[1])[at]), block.doc[block.owner[at]])
-        return pa.table({"w1": _signed(w1), "w2": _signed(w2), "block": pa.array(np.full(len(w1), key[0].as_py(), np.int32)), "lo": pa.array(lo), "hi": pa.array(hi)})
-
-    def remove(key, docs, repeats):
-        block = _block_of(docs)
-        gone = np.zeros(len(block.hash) + 1, dtype=np.int32)
-        if len(repeats) and len(block.hash):
-            ok = block.starts(window)
-            r1, r2, lo = (repeats.column(c).to_numpy() for c in ("w1", "w2", "lo"))
+            return pa.table({c: common.long_array([]) for c in ("w1", "w2", "ref", "lo")})
+        block, _ = _block_of(docs)
+        at = located(block, _place(phrases.column("ref").to_numpy()), window, phrase)
+        (w1, w2), at, lo, many = _once((block.rolled(window, _BASES[0])[at], block.rolled(window, _BASES[1])[at]), at, block.doc[block.owner[at]])
+        return pa.table({"w1": _signed(w1), "w2": _signed(w2), "ref": _reference(key[0].as_py(), at, many), "lo": pa.array(lo)})
+
+    def remove(key, docs, passages):
+        block, docs = _block_of(docs)
+        gone = np.zeros(len(block.flat) + 1, dtype=np.int32)
+        if len(passages) and len(block.flat):
+            r1, r2, lo = (passages.column(c).to_numpy() for c in ("w1", "w2", "lo"))
             order = np.lexsort((r2, r1))
-            r1, r2, lo = r1[order], r2[order], lo[order]
-            w1, w2 = (block.rolled(window, b).view(np.int64) for b in _BASES)
-            at = np.flatnonzero(ok)
-            k = np.searchsorted(r1, w1[at])
-            first = np.full(len(at), np.iinfo(np.int64).max)
+            r1, r2, lo, place = r1[order], r2[order], lo[order], _place(passages.column("ref").to_numpy())[order]
+            at = located(block, np.unique(anchor_places(block.rolled(phrase, _BASES[0]), place, window, phrase)), window, phrase)
+            w1, w2 = (block.rolled(window, b).view(np.int64)[at] for b in _BASES)
+            k = np.searchsorted(r1, w1)
+            which = np.full(len(at), -1)
             live = np.arange(len(at))
             while len(live):  # equal first halves lie side by side
-                inside = k[live] < len(r1)
-                live = live[inside]
-                same = r1[k[live]] == w1[at[live]]
-                live = live[same]
-                hit = r2[k[live]] == w2[at[live]]
-                first[live[hit]] = lo[k[live[hit]]]
+                live = live[k[live] < len(r1)]
+                live = live[r1[k[live]] == w1[live]]
+                hit = r2[k[live]] == w2[live]
+                which[live[hit]] = k[live[hit]]
                 live = live[~hit]
                 k[live] += 1
-            at = at[first < block.doc[block.owner[at]]]
+            found = np.flatnonzero(which >= 0)
+            at, which = at[found], which[found]
+            use = (lo[which] < block.doc[block.owner[at]]) & same_words(block, at, place[which], window)
+            at = at[use]
             gone[at] += 1
             np.subtract.at(gone, at + window, 1)
         gone = np.cumsum(gone[:-1]) > 0
@@ -226,25 +259,17 @@ def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 16, carry: t
             n_removed.append(n)
             kept.append(b" ".join(words) if not n else b" ".join([w for w, x in zip(words, g.tolist()) if not x]))
         return pa.table(
-            {"doc_id": pa.array(block.doc), "n_words": pa.array(block.end - block.begin), "n_removed": common.long_array(n_removed), "kept": pa.array(kept, pa.binary()).cast(pa.string())}
-            | {c: docs.column(c) for c in carry}
+            {"doc_id": pa.array(block.doc), "n_words": pa.array(block.end - block.begin), "n_removed": common.long_array(n_removed), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "carried": docs.column("carried")}
         )
 
-    by_anchor = Window.partitionBy("h")
-    phrases = (
-        dealt.groupBy("block")
-        .applyInArrow(report_anchors, "h long, block int, lo long, hi long")
-        .select("h", "block", F.min("lo").over(by_anchor).alias("first"), F.max("hi").over(by_anchor).alias("last"))
-        .where("first < last")
-        .select("block", "h")
-    )
-    by_window = Window.partitionBy("w1", "w2")
-    repeats = (
-        dealt.groupBy("block")
-        .cogroup(phrases.groupBy("block"))
-        .applyInArrow(report_windows, "w1 long, w2 long, block int, lo long, hi long")
-        .select("w1", "w2", "block", F.min("lo").over(by_window).alias("lo"), "hi")
-        .where("lo < hi")  # a block whose only such document is the first one has nothing to remove
-        .select("block", "w1", "w2", "lo")
-    )
-    return dealt.groupBy("block").cogroup(repeats.groupBy("block")).applyInArrow(remove, schema)
+    def recurring(reports, *by):
+        """Reports of what two documents hold, without blocks that hold it in the first of them alone, each in its block."""
+        of = Window.partitionBy(*by)
+        first, two = F.min("lo").over(of), F.max(F.col("ref").bitwiseAND(1)).over(of) == 1
+        seen = reports.withColumns({"first": first, "many": two | (F.max("lo").over(of) > first)}).where("many")
+        return seen.select(F.shiftright("ref", _PLACE_BITS + 1).cast("int").alias("block"), *by, "ref", "lo", "first")
+
+    phrases = recurring(dealt.groupBy("block").applyInArrow(report_anchors, "h long, ref long, lo long"), "h").select("block", "ref")
+    passages = recurring(dealt.groupBy("block").cogroup(phrases.groupBy("block")).applyInArrow(report_windows, "w1 long, w2 long, ref long, lo long"), "w1", "w2")
+    passages = passages.where((F.col("lo") > F.col("first")) | (F.col("ref").bitwiseAND(1) == 1)).select("block", "w1", "w2", "ref", F.col("first").alias("lo"))
+    return dealt.groupBy("block").cogroup(passages.groupBy("block")).applyInArrow(remove, out)

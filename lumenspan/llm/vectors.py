@@ -19,17 +19,11 @@ def is_valid(column: Column) -> Column:
     return F.coalesce(column.isNotNull() & finite & F.exists(column, lambda x: x != 0), F.lit(False))
 
 
-def usual_length(vectors: DataFrame) -> int:
-    """The commonest length of valid vectors (ties: the shortest); 0 if there are none."""
-    row = vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return row["d"] if row else 0
-
-
-def sample(vectors: DataFrame, id_col: str, count: int, most: int) -> np.ndarray:
-    """About ``most`` of ``count`` vectors, chosen by a hash of the id, as rows of doubles."""
+def sample(vectors: DataFrame, id_col: str, count: int, most: int) -> list[list]:
+    """About ``most`` of ``count`` vectors, chosen by a hash of the id and in its order."""
     chance = F.xxhash64(F.col(id_col), F.lit(29)).bitwiseAND((1 << 30) - 1) / float(1 << 30)
     got = vectors.where(chance < min(1.0, most / max(1, count))).select(id_col, "embedding").collect()
-    return np.array([r["embedding"] for r in sorted(got, key=lambda r: r[id_col])], dtype=np.float64)
+    return [r["embedding"] for r in sorted(got, key=lambda r: r[id_col])]
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -43,9 +37,20 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by the largest component first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def by_length(lengths: np.ndarray):
+    """(length, row numbers) of each length among a batch's rows."""
+    order = np.argsort(lengths, kind="stable")
+    cuts = np.flatnonzero(np.diff(lengths[order])) + 1
+    for rows in np.split(order, cuts):
+        if len(rows):
+            yield int(lengths[rows[0]]), rows
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 3) -> np.ndarray:
     """Centres of plain k-means; an empty one moves to the point farthest from its own centre."""
     rng = np.random.default_rng(seed)

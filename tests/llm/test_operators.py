@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lumenspan.llm import ann, bpe, common, embdedup, langid, licenses, packing, pii, quality, simhash, substring
 from lumenspan.llm.queries import vocabulary
 
-DOCS = "doc_id long, text string, block string, fp string, score string, predicted string, at string"
+DOCS = "doc_id long, text string, block string, kept string, n_words string, predicted string, at string"
 
 
 def docs_of(spark, rows):
@@ -45,8 +45,9 @@ def texts():
 
 def test_substring(spark, texts):
     got = defaultdict(list)
-    for r in substring.remove_repeats(docs_of(spark, texts), 50, 16).collect():
+    for r in substring.remove_repeats(docs_of(spark, texts), 50, 16, carry=("doc_id", "block", "kept", "n_words")).collect():
         got[r["doc_id"]].append((r["n_words"], r["n_removed"], r["kept"]))
+        assert tuple(r["carried"]) == (r["doc_id"], "x", "x", "x")
     words = [(i, (t or "").encode().split()) for i, t in texts]
     first = {}
     for i, w in sorted(words, key=lambda x: x[0]):
@@ -84,13 +85,27 @@ def test_simhash(spark, texts):
     assert got == {(i, f, prints[order[label[place[k]]]][0]) for k, (i, f) in enumerate(prints)}
 
 
+@pytest.mark.parametrize("radius", [0, 1, 3, 4, 5])
+def test_links_at_any_radius(spark, radius):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 2**62, 60, dtype=np.uint64)
+    bits = lambda n: np.bitwise_or.reduce(np.uint64(1) << rng.choice(62, n, replace=False).astype(np.uint64)) if n else np.uint64(0)
+    fps = np.unique(np.concatenate([base, np.array([0, 31], np.uint64), *[[b ^ bits(k) for b in base[:20]] for k in range(8)]]))
+    rows = spark.createDataFrame([(int(x),) for x in fps], "fp long")
+    links = simhash.fingerprint_links(rows, len(fps), radius).collect()
+    place = {int(x): i for i, x in enumerate(fps)}
+    a, b = (np.array([place[r[c]] for r in links], dtype=np.int64) for c in "ab")
+    near = np.argwhere(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius)
+    assert np.array_equal(common.local_labels(len(fps), a, b), common.local_labels(len(fps), near[:, 0], near[:, 1]))
+
+
 def test_ball_collisions_in_small_steps(monkeypatch):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     fps = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(5)]))
-    whole = simhash.ball_collisions(fps, 0, 0, 2)
+    whole = simhash.ball_collisions(fps, 0, 0, 4)
     monkeypatch.setattr(simhash, "STEP_VARIANTS", 20_000)
-    parts = simhash.ball_collisions(fps, 0, 0, 2)
+    parts = simhash.ball_collisions(fps, 0, 0, 4)
     near = np.argwhere(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4)
     want = common.local_labels(len(fps), near[:, 0], near[:, 1])
     for a, b in (whole, parts):
@@ -187,6 +202,15 @@ def test_language(spark):
     assert langid.predict(docs_of(spark, asked), empty).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_of_texts_without_letters(spark):
+    rows = [(i, "½ ½ haus", "de") for i in range(8)] + [(20 + i, "house ² ٣", "en") for i in range(8)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs_of(spark, [(1, "½"), (2, "² ½ ½"), (3, "½ haus")]), model).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and got[3][0] == "de"
+    with pytest.raises(ValueError):
+        langid.annotate(docs_of(spark, []), model)
+
+
 def test_language_with_a_full_cache(spark, monkeypatch):
     words = {"en": ["the", "house", "water", "think"], "de": ["das", "haus", "wasser", "denken"]}
     rng = random.Random(4)
@@ -236,10 +260,80 @@ def test_pii_base(spark):
     rng = random.Random(3)
     parts = [*"a1@.-+ ()%_é😀0255", "4111111111111111", "a.b@c.d", "10.0.0.7", "+1 (988) 555-2485", " ", "..", "\n"]
     rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))) for i in range(3000)] + [(9000, None), (9001, ""), (9002, "1" * 50_000), (9003, "a" * 50_000 + "@"), (9004, "7 " * 20_000)]
-    got = {r["doc_id"]: r["b"] for r in pii.find(docs_of(spark, rows), 1).select("doc_id", pii.rendered(F.col("base")).alias("b")).collect()}
+    got = {r["doc_id"]: r["b"] for r in pii.find(docs_of(spark, rows)).select("doc_id", pii.rendered(F.col("base")).alias("b")).collect()}
     assert all(got[i] == _base(t) for i, t in rows)
 
 
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{8,}")
+
+
+def _bootstrap(texts):
+    """(doc, start, end) of the tokens that a plain version of the bootstrap accepts."""
+    edges, spans = defaultdict(set), defaultdict(list)
+    for i, text in texts:
+        text = text or ""
+        base, bad = [], []
+        for kind, p in [*PATTERNS.items(), ("token", TOKEN.pattern)]:
+            last, found = 0, list(re.finditer(p, text))
+            for m, after in zip(found, [*found[1:], None]):
+                squeeze = lambda x: re.sub(r"\s+", " ", x).lower()
+                left = re.search(r"(?<!\w)(\w+\W*)$", text[last : m.start()])
+                right = re.search(r"^(\W*\w+)", text[m.end() : after.start() if after else len(text)])
+                left, right = squeeze(left[1]) if left else "", squeeze(right[1]) if right else ""
+                last = m.end()
+                meets = lambda of: any(a < m.end() and m.start() < b for a, b in of)  # noqa: B023, E731
+                if kind != "token":
+                    ok = _holds(kind, m[0])
+                    if ok or kind != "card" or len(re.sub("[^0-9]", "", m[0])) >= 13:  # shorter runs of digits are no cards to be rejected
+                        (base if ok else bad).append(m.span())
+                    if not ok:
+                        continue
+                elif meets(base):
+                    continue
+                else:
+                    kind_, telling = "id", bool(re.match(pii.TELLING, m[0]))
+                    cue = re.match(r"\w+", left)
+                    kind_ = "no" if meets(bad) or telling and cue and cue[0] in pii.CHECKSUMS else "key" if telling else "id"
+                    spans[m[0], kind_].append((i, *m.span()))
+                name = (m[0], kind if kind != "token" else kind_)
+                for pattern in ([f"L {left}"] if left else []) + ([f"R {right}"] if right else []) + ([f"B {left} _ {right}"] if left and right else []):
+                    edges[pattern].add(name)
+    sure = {}
+    for _ in range(50):
+        value = lambda n: 1.0 if n[1] in (*pii.KINDS, "key") else sure.get(n, 0.0)
+        mean = {p: sum(map(value, ns)) / len(ns) for p, ns in edges.items() if sum(map(value, ns)) >= pii.LEAST_SUPPORT}
+        doubt = defaultdict(lambda: 1.0)
+        for p, m in mean.items():
+            if m >= pii.LEAST_PATTERN:
+                for n in edges[p]:
+                    doubt[n] *= 1 - min(m, 0.99)
+        sure = {n: 1 - d for n, d in doubt.items() if n[1] in ("id", "key")}
+    return {s for n, c in sure.items() if c >= pii.LEAST_INSTANCE for s in spans[n]}
+
+
+def test_pii_bootstrap_against_brute_force(spark):
+    rng = random.Random(12)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(12)]
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    some = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 6)))
+    rows = [(i, f'{some()} token = "{h}" {some()}') for i, h in enumerate(hexes[:6])]
+    rows += [(20 + i, f"{some()} commit {h} {some()}") for i, h in enumerate(hexes[6:])]
+    rows += [(40, 'x token = "short12345" then member SHORT-77777 said'), (41, "x member AB-1234567 said"), (42, "member CD-7654321 said"), (43, "a member {0}: said".format(hexes[0]))]
+    rows += [(50 + i, f"{some()} card no {c} {some()}") for i, c in enumerate(["4111111111111111", "5500005555555559", "4012888888881881", "1234567890123456", "XY-99887766"])]
+    rows += [(70 + i, f"{some()} member ZZ-{i}998877 {some()}, {rng.choice(hexes)}") for i in range(6)] + [(90, None), (91, ""), (92, " ".join(f"n{k}abcdefg" for k in range(3000)))]
+    got = {(r["doc_id"], s["start"], s["end"]) for r in pii.find(docs_of(spark, rows)).collect() for s in r["ids"]}
+    want = _bootstrap(rows)
+    assert got == want and {i for i, *_ in want} >= {0, 1, 2, 3, 4, 5, 40} and not {i for i, *_ in want} & {20, 21, 22}
+
+
+def test_masking_long_texts(spark):
+    rng = random.Random(5)
+    parts = ["é" * rng.randint(0, 9000) + f" a{k}@b.cd " for k in range(600)]
+    rows = [(1, "".join(parts)), (2, "😀" * 4095 + "x@y.zz" + "😀" * 8192), (3, "1.1.1.1@a.b 4111 1111 1111 1111")]
+    got = {r["doc_id"]: r["text"] for r in pii.redact(docs_of(spark, rows)).collect()}
+    assert got[1] == re.sub(r"a\d+@b\.cd", "[EMAIL]", rows[0][1]) and got[2] == "😀" * 4095 + "[EMAIL]" + "😀" * 8192 and got[3] == "[IP] [CARD]"
+
+
 def test_pii_bootstrap_and_redaction(spark):
     rows = [(i, f"please call account number {4000 + i}00.{i}@mail.example.com now or later") for i in range(6)]
     rows += [(10, "please call account number QX99812345 now or later"), (11, "the room had table BC12345678 inside"), (12, "plain words"), (13, None)]
@@ -251,13 +345,76 @@ def test_pii_bootstrap_and_redaction(spark):
     assert out[0]["block"] == "x"
 
 
+def _wrapped(text, mark, width=60):
+    import textwrap
+
+    return "\n".join(mark + line for line in textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False))
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+BSD3 = """Copyright (c) 2020, A. N. Author
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+
+
 def test_licenses(spark):
-    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. Other words. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
-    rows = [(1, mit), (2, "Licensed under the Apache License, Version 2.0.\nAll rights reserved."), (3, None), (4, ""), (5, mit[: len(mit) // 2]), (6, "x. " * 10_000), (2, "Licensed under the Apache License, Version 2.0.\nAll rights reserved.")]
+    rows, want = [], {}
+    for text, name in ((APACHE, "Apache-2.0"), (GPL3, "GPL-3.0-or-later"), (GPL3.replace("software:", "software;").replace("version 3", "version 2"), "GPL-2.0-or-later"), (MPL, "MPL-2.0"), (BSD3, "BSD-3-Clause"), (BSD3[: BSD3.index("3. ")], "BSD-2-Clause")):
+        for mark in ("", "// ", " * ", "# ", "  ;; "):
+            want[len(rows)] = [name]
+            rows.append((len(rows), "some words\n" + "\n".join(mark + line for line in text.split("\n")) + "\nand more"))
+    for licence, rule in licenses.RULES:
+        text = " ".join(licenses.SENTENCES[k] + "." for k in rule)
+        for mark in ("", "// "):
+            want[len(rows)] = licence
+            rows.append((len(rows), "a line without a stop\n" + _wrapped(text, mark)))
+    assert len({licence for licence, _ in licenses.RULES}) >= 25
+    for text, names in (
+        (None, []), ("", []), (APACHE[:60], []), ("x. " * 10_000, []), ("no stop here\nReleased under the MIT License\nnor here", ["MIT"]), ("All rights reserved.", ["Proprietary"]),
+        ("All rights reserved. Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]), ("We are not Released under the MIT License", []), ("word " * 30_000 + "\n# SPDX-License-Identifier: 0BSD", ["0BSD"]),
+    ):
+        want[len(rows)] = names
+        rows.append((len(rows), text))
     got = defaultdict(list)
-    for r in licenses.scan(docs_of(spark, rows)).collect():
+    for r in licenses.scan(docs_of(spark, rows + rows[:1])).collect():
         got[r["doc_id"]].append(r["licenses"])
-    assert got == {1: [["MIT"]], 2: [["Apache-2.0", "Proprietary"]] * 2, 3: [[]], 4: [[]], 5: [[]], 6: [[]]}
+    assert len(got[0]) == 2
+    for i, names in want.items():
+        assert got[i][0] == names if isinstance(names, list) else names in got[i][0], (i, rows[i][1], got[i])
 
 
 def _vectors(spark, n=900, d=24):
@@ -282,10 +439,16 @@ def test_embedding_dedup(spark, monkeypatch):
     assert embdedup.near_duplicates(table.where("vec_id < 0")).count() == 0
 
 
+def test_embedding_dedup_of_all_lengths_and_sizes(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.001, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0]), (5, [-1.0, 0.0]), (6, [1e200, 1e200]), (7, [1e200, 1.001e200]), (8, [1e-200, -1e-200]), (9, [5e-324, -5e-324]), (10, [1.0]), (11, [2.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embdedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5), 6: (1, 6), 7: (1, 6), 8: (1, 8), 9: (1, 8), 10: (1, 10), 11: (1, 10)}
+
+
 def test_ann(spark, monkeypatch):
     x, table = _vectors(spark)
     monkeypatch.setattr(ann, "PART_VECTORS", 200)
-    rows = ann.search(table.unionByName(table.where("vec_id < 3")), F.col("vec_id") % 20 == 0, 20).collect()
+    rows = ann.search(table, F.col("vec_id") % 20 == 0, 20).collect()
     got = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
         got[r["query_id"]].append((r["vec_id"], r["score"]))
@@ -303,10 +466,19 @@ def test_ann(spark, monkeypatch):
     assert len(few) == 4
 
 
+def test_ann_of_repeated_ids_and_all_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [4.0, 0.0, 1.0]), (4, None)]
+    got = defaultdict(list)
+    for r in sorted(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(0, 2, 4), 20).collect()):
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert got == {0: [(1, 1, 3.0), (2, 1, 2.0), (3, 1, 2.0)], 2: [(1, 3, 4.0)]}
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, [])
-    for out in (substring.remove_repeats(none), simhash.near_duplicates(none), bpe.encode(none, vocabulary()), packing.pack(none, vocabulary()), pii.find(none), pii.redact(none), licenses.scan(none), langid.annotate(none, langid.fit(none.select("doc_id", "text", F.lit("en").alias("lang"))))):
+    for out in (substring.remove_repeats(none), simhash.near_duplicates(none), bpe.encode(none, vocabulary()), packing.pack(none, vocabulary()), pii.find(none), pii.redact(none), licenses.scan(none), langid.annotate(none, langid.fit(none.select("doc_id", "text", F.lit("en").alias("lang"))), name="other"), bpe.decode(bpe.encode(none, vocabulary()), vocabulary()), quality.score(none, quality.fit(none.select("doc_id", F.lit(1).alias("label")), none))):
         assert out.count() == 0
     nulls = docs_of(spark, [(None, "a b c")])
-    for out in (substring.remove_repeats(nulls), simhash.near_duplicates(nulls), packing.pack(nulls, vocabulary()), pii.find(nulls), licenses.scan(nulls)):
+    model = langid.fit(nulls.select("doc_id", "text", F.lit("en").alias("lang")))
+    for out in (substring.remove_repeats(nulls), simhash.near_duplicates(nulls), packing.pack(nulls, vocabulary()), pii.find(nulls), licenses.scan(nulls), bpe.encode(nulls, vocabulary()), langid.predict(nulls, model), quality.score(nulls, quality.fit(nulls.select("doc_id", F.lit(1).alias("label")), nulls))):
         assert out.count() == 0
