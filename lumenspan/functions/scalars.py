@@ -106,10 +106,11 @@ def mask_token(token: Column) -> Column:
 
 
 def mask_tokens(body: Column, most: int = 128) -> Column:
-    """The masked tokens of a line; beyond ``most`` of them <TRUNC> stands last."""
+    """The masked tokens of a line; where anything, be it white space, follows ``most`` of them, <TRUNC> stands last."""
     tokens = F.filter(F.split(body, SPACE, -1), lambda t: t != "")
     cut = F.transform(F.slice(tokens, 1, most), mask_token)
-    return F.when(F.size(tokens) >= most, F.when(F.size(tokens) > most, F.concat(cut, F.array(F.lit("<TRUNC>")))).otherwise(cut)).otherwise(cut)
+    more = (F.size(tokens) > most) | ((F.size(tokens) == most) & body.rlike(SPACE + "$"))
+    return F.when(more, F.array_append(cut, F.lit("<TRUNC>"))).otherwise(cut)
 
 
 def mask_line(line: Column) -> Column:

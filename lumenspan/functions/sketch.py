@@ -48,8 +48,11 @@ def downscale(bins: DataFrame, keys: list[str], by: int) -> DataFrame:
 
 def collapse(bins: DataFrame, keys: list[str], most: int = MAX_BINS) -> DataFrame:
     """At most ``most`` bins: the lowest ones fold into the lowest that is kept."""
-    top = F.max("bin").over(Window.partitionBy(*keys))
-    return merge(bins.withColumn("bin", F.greatest("bin", top - (most - 1))), keys) if keys else bins
+    if keys:
+        capped = bins.withColumn("top", F.max("bin").over(Window.partitionBy(*keys)))
+    else:
+        capped = bins.crossJoin(F.broadcast(bins.agg(F.max("bin").alias("top"))))  # a single row
+    return merge(capped.withColumn("bin", F.when(F.col("bin").isNotNull(), F.greatest("bin", F.col("top") - (most - 1)))), keys)
 
 
 def quantiles(bins: DataFrame, keys: list[str], qs: list[float], scale: int = SCALE) -> DataFrame:

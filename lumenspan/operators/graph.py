@@ -14,17 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .settle import settled
 from .traffic import is_error
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """``df`` worked out once: in the folder of ``spark.checkpoint.dir``, on the executors only where that is unset."""
-    sc, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint() if sc.getCheckpointDir() else df.localCheckpoint()
-
-
 def error_chains(spans: DataFrame, depth: int | None = None) -> DataFrame:
     """From each trace's first error span up to its root, or ``depth`` steps at most.
 
@@ -33,17 +26,17 @@ def error_chains(spans: DataFrame, depth: int | None = None) -> DataFrame:
     """
     first = F.struct("start_time", "span_id")
     seed = spans.where(is_error()).groupBy("tenant_id", "trace_id").agg(F.min_by(F.struct("span_id", "parent_span_id", "service_name"), first).alias("s"))
-    walk = _settled(seed.select(
+    walk = settled(seed.select(
         "tenant_id", "trace_id", F.col("s.span_id").alias("error_span"), F.col("s.span_id").alias("at"), F.col("s.parent_span_id").alias("next"),
         F.col("s.service_name").alias("service"), F.lit(0).cast("long").alias("hops"), F.array("s.span_id").alias("path"),
     ))
     parents = spans.select("tenant_id", "trace_id", F.col("span_id").alias("next"), F.col("parent_span_id").alias("up"), F.col("service_name").alias("up_service"))
     parents = parents.join(walk.select("tenant_id", "trace_id"), ["tenant_id", "trace_id"], "left_semi")
-    parents = _settled(parents.dropDuplicates(["tenant_id", "trace_id", "next"]))
+    parents = settled(parents.dropDuplicates(["tenant_id", "trace_id", "next"]))
     ended = []
     while (depth is None or len(ended) < depth) and not walk.isEmpty():
         step = walk.join(parents, ["tenant_id", "trace_id", "next"], "left")
-        step = _settled(step.withColumn("moves", F.col("up").isNotNull() & ~F.array_contains("path", F.col("next"))))
+        step = settled(step.withColumn("moves", F.col("up").isNotNull() & ~F.array_contains("path", F.col("next"))))
         ended.append(step.where("not moves").select(*walk.columns))
         walk = step.where("moves").select(
             "tenant_id", "trace_id", "error_span", F.col("next").alias("at"), F.col("up").alias("next"), F.col("up_service").alias("service"),
@@ -58,7 +51,7 @@ def trace_graph(spans: DataFrame) -> DataFrame:
     known = spans.select("tenant_id", "trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("known")).dropDuplicates(["tenant_id", "trace_id", "parent_span_id"])
     joined = spans.join(known, ["tenant_id", "trace_id", "parent_span_id"], "left")
     root = F.col("parent_span_id") == ""
-    return joined.groupBy("trace_id").agg(F.count(F.lit(1)).alias("spans"), F.count_if(root).alias("roots"), F.count_if(~root & F.col("known").isNull()).alias("dangling"))
+    return joined.groupBy("tenant_id", "trace_id").agg(F.count(F.lit(1)).alias("spans"), F.count_if(root).alias("roots"), F.count_if(~root & F.col("known").isNull()).alias("dangling"))
 
 
 def _reach(edges: DataFrame, seed: str, depth: int) -> DataFrame:
@@ -90,11 +83,11 @@ def shortest_path(edges: DataFrame, source: str) -> DataFrame:
     Bellman-Ford until no distance falls: one join and one grouping for each round, over services, not spans.
     """
     w = edges.select(F.col("caller").alias("a"), F.col("callee").alias("b"), "calls").union(edges.select(F.col("callee").alias("a"), F.col("caller").alias("b"), "calls"))
-    w = _settled(w.groupBy("a", "b").agg((1.0 / F.max("calls")).alias("w")))
-    best = fallen = _settled(edges.sparkSession.createDataFrame([(source, 0.0)], "node string, distance double"))
+    w = settled(w.groupBy("a", "b").agg((1.0 / F.max("calls")).alias("w")))
+    best = fallen = settled(edges.sparkSession.createDataFrame([(source, 0.0)], "node string, distance double"))
     while not fallen.isEmpty():
         moved = fallen.join(w, fallen["node"] == w["a"]).groupBy(F.col("b").alias("node")).agg(F.min(F.col("distance") + F.col("w")).alias("nearer"))
-        both = _settled(best.join(moved, "node", "full"))
+        both = settled(best.join(moved, "node", "full"))
         falls = F.col("distance").isNull() | (F.col("nearer") < F.col("distance"))
         fallen = both.where(falls).select("node", F.col("nearer").alias("distance"))
         best = both.select("node", F.least("distance", "nearer").alias("distance"))

@@ -41,13 +41,15 @@ def fold_explicit(points: DataFrame, keys: list[str]) -> DataFrame:
     negative = body & ((F.col("lower") < 0) | (F.col("upper") <= 0)) & ~((F.coalesce(F.col("min"), F.lit(-1.0)) >= 0) & (F.col("upper") > 0))
     lo = F.greatest(F.col("lower"), F.lit(0.0))
     rows = rows.withColumn("bin", F.when(body, sketch.bin_of(S.bucket_midpoint(lo, F.col("upper")))))
-    return rows.groupBy(*keys).agg(
+    out = rows.groupBy(*keys).agg(
         (~F.max(F.coalesce(negative, F.lit(False)))).alias("usable"),
         F.coalesce(F.sum(F.when(F.col("tail"), F.col("c"))), F.lit(0)).cast("long").alias("tail_count"),
         F.max(F.when(F.col("tail") & (F.col("c") > 0), F.get(F.col("bounds"), F.size("bounds") - 1))).alias("tail_bound"),
         F.max(F.when(body, S.bucket_error(lo, F.col("upper")))).alias("source_error"),
         F.array_sort(F.collect_list(F.when(body, F.struct("bin", "c")))).alias("bins"),
     )
+    # a point that percentiles can't use has no tail either
+    return out.withColumns({"tail_count": F.when(F.col("usable"), F.col("tail_count")).otherwise(0).cast("long"), "tail_bound": F.when(F.col("usable"), F.col("tail_bound"))})
 
 
 def fold_exponential(points: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .settle import settled
 
 K1, B = 1.2, 0.75
 
@@ -36,31 +38,37 @@ def clamp_search_window(start: datetime | None, end: datetime | None, now: datet
     return start, end
 
 
+#: Accented letters and what stands for them in full-text search.
+ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def folded(text):
+    """Lower case, without accents."""
+    return F.translate(F.regexp_replace(F.lower(text), "[\u0300-\u036f]", ""), ACCENTED, PLAIN)
+
+
 def tokens(body):
-    """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(body), r"[^\p{L}\p{N}]+", -1), lambda t: t != "")
+    """Runs of letters and digits of the folded text."""
+    return F.filter(F.split(folded(body), r"[^\p{L}\p{N}]+", -1), lambda t: t != "")
 
 
 def search_bm25(logs: DataFrame, terms: list[str]) -> DataFrame:
     """(log_id, score): logs that hold a word with each term as its prefix, by BM25 over all logs.
 
-    Only words that a term matches leave the tokenising stage.
+    The corpus is read and cut into words once; lengths and frequencies of the terms are kept
+    (three numbers a log), and totals and hits both come from them.
     """
-    terms = [t.lower() for t in terms]
-    words = logs.select("log_id", tokens(F.col("body")).alias("t")).withColumn("len", F.size("t"))
-    stats = words.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"))
-    counts = [F.size(F.filter("t", _prefix(t))) for t in terms]
-    tf = words.select("log_id", "len", *[c.alias(f"tf{i}") for i, c in enumerate(counts)])
-    any_hit = tf.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms))))
-    df = any_hit.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    all_hit = any_hit.where(" AND ".join(f"tf{i} > 0" for i in range(len(terms))))
-    rows = all_hit.crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(df))  # single rows
+    words = logs.select("log_id", tokens(F.col("body")).alias("t"), F.array(*[folded(F.lit(t)) for t in terms]).alias("terms"))
+    counts = [F.size(F.filter("t", _prefix(F.get("terms", F.lit(i))))).alias(f"tf{i}") for i in range(len(terms))]
+    tf = settled(words.select("log_id", F.size("t").alias("len"), *counts))
+    totals = tf.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    rows = tf.where(" AND ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(totals))  # a single row
     norm = K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
     part = lambda i: F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + norm)
     return rows.select("log_id", sum((part(i) for i in range(1, len(terms))), part(0)).alias("score"))
 
 
-def _prefix(term: str):
+def _prefix(term):
     return lambda w: w.startswith(term)
 
 
@@ -75,24 +83,30 @@ def severity_gate(logs: DataFrame, least: str) -> DataFrame:
 
 
 def clusters(mined: DataFrame) -> DataFrame:
-    """Mined log lines (service_name, template, severity, timestamp) by template: counts, first and last, severities."""
-    by = mined.groupBy("service_name", "template", "severity").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
-    out = by.groupBy("service_name", "template").agg(
+    """Mined log lines (tenant_id, service_name, template, severity, timestamp) by template: counts, first and last, severities."""
+    by = mined.groupBy("tenant_id", "service_name", "template", "severity").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+    out = by.groupBy("tenant_id", "service_name", "template").agg(
         F.sum("n").alias("n"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"), F.map_from_entries(F.collect_list(F.struct("severity", "n"))).alias("severities")
     )
     return out.withColumn("cluster_id", F.concat(F.lit("lc_"), "service_name", F.lit("_"), F.lower(F.hex(F.xxhash64("template")))))
 
 
+OTHER_TEMPLATE = "__other__"
+
+
 class Miner:
-    """Order-dependent template mining of one service: a layer by length, a prefix tree, then similarity."""
+    """Order-dependent template mining of one service: a layer by length, a prefix tree, then similarity.
+
+    Of at most ``most`` templates each keeps its number while its text widens.
+    """
 
     def __init__(self, depth: int = 4, children: int = 100, similarity: float = 0.4, most: int = 10):
         self.depth, self.children, self.similarity, self.most = depth, children, similarity, most
-        self.leaves: dict[tuple, list[list]] = {}
+        self.leaves: dict[tuple, list[int]] = {}
         self.fanout: dict[tuple, set] = {}
-        self.count = 0
+        self.templates: list[list[str]] = []
 
-    def _leaf(self, words: list[str]) -> list[list]:
+    def _leaf(self, words: list[str]) -> list[int]:
         path: tuple = (len(words),)
         for w in words[: self.depth]:
             known = self.fanout.setdefault(path, set())
@@ -103,45 +117,69 @@ class Miner:
             path += (w,)
         return self.leaves.setdefault(path, [])
 
-    def mine(self, words: list[str]) -> str:
+    def mine(self, words: list[str]) -> int:
+        """The number of the template that a line falls under, which it may widen or found; -1 if none."""
         if not words:
-            return "__other__"
+            return -1
         leaf = self._leaf(words)
-        share = lambda t: sum(a == b or a == "<*>" for a, b in zip(t, words)) / len(words)
+        share = lambda t: sum(a == b or a == "<*>" for a, b in zip(self.templates[t], words)) / len(words)
         best = max(leaf, key=share, default=None)
         if best is not None and share(best) >= self.similarity:
-            best[:] = [a if a == b else "<*>" for a, b in zip(best, words)]
-            return " ".join(best)
-        if self.count >= self.most:
-            return "__other__"
-        leaf.append(list(words))
-        self.count += 1
-        return " ".join(words)
+            self.templates[best] = [a if a == b else "<*>" for a, b in zip(self.templates[best], words)]
+            return best
+        if len(self.templates) >= self.most:
+            return -1
+        leaf.append(len(self.templates))
+        self.templates.append(list(words))
+        return leaf[-1]
 
 
-def mine_templates(logs: DataFrame, most: int = 10) -> DataFrame:
-    """(service_name, template, n): templates of masked lines, mined in order of (timestamp, log_id).
+_SERVICE = ["tenant_id", "service_name"]
+
 
-    The order matters, so a service's distinct masked lines are folded in one task; they are
-    counted first, so that a line seen often is one row there.
+def mined_lines(logs: DataFrame, most: int = 10) -> DataFrame:
+    """(tenant_id, service_name, line, n, number, template): each distinct masked line under its template's last text.
+
+    Lines are mined in order of (timestamp, log_id). The order is the definition, so a service's
+    distinct lines stream through one task, which holds the miner's templates and one batch.
     """
-    masked = logs.select("service_name", "timestamp", "log_id", S.mask_tokens(F.col("body")).alias("words"))
-    lines = masked.groupBy("service_name", "words").agg(F.min(F.struct("timestamp", "log_id")).alias("first"), F.count(F.lit(1)).alias("n"))
-    rows = lines.select("service_name", "words", F.col("first.timestamp").alias("timestamp"), F.col("first.log_id").alias("log_id"), "n")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        miner, total = Miner(most=most), {}
-        order = pdf.sort_values(["timestamp", "log_id"])
-        for words in order["words"]:
-            miner.mine(list(words))
-        final = Miner(most=most)
-        final.leaves, final.fanout, final.count = miner.leaves, miner.fanout, most  # now match only
-        for words, n in zip(order["words"], order["n"]):
-            t = final.mine(list(words))
-            total[t] = total.get(t, 0) + n
-        return pd.DataFrame({"service_name": pdf["service_name"].iloc[0], "template": list(total), "n": list(total.values())})
-
-    return rows.groupBy("service_name").applyInPandas(fold, "service_name string, template string, n long")
+    masked = logs.select(*_SERVICE, "timestamp", "log_id", S.mask_tokens(F.col("body")).alias("words"))
+    lines = masked.groupBy(*_SERVICE, "words").agg(F.min(F.struct("timestamp", "log_id")).alias("first"), F.count(F.lit(1)).alias("n"))
+    rows = lines.select(*_SERVICE, F.md5(F.array_join("words", " ")).alias("line"), "words", "first", "n")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        service, miner = None, Miner(most=most)
+
+        def texts():
+            named = [(*service, None, 0, k, " ".join(t)) for k, t in enumerate(miner.templates)] if service else []
+            return pd.DataFrame(named, columns=[*_SERVICE, "line", "n", "number", "template"])
+
+        for pdf in batches:
+            for key, part in pdf.groupby(_SERVICE, sort=False, dropna=False):
+                if key != service:
+                    yield texts()
+                    service, miner = key, Miner(most=most)
+                numbers = [miner.mine(list(words)) for words in part["words"]]
+                yield part[[*_SERVICE, "line", "n"]].assign(number=numbers, template=None)
+        yield texts()
+
+    dealt = rows.repartition(*_SERVICE).sortWithinPartitions(*_SERVICE, "first").drop("first")
+    out = dealt.mapInPandas(fold, "tenant_id string, service_name string, line string, n long, number long, template string")
+    out = settled(out)  # mined once for lines and texts
+    named = out.where("line is null").select(*_SERVICE, "number", F.col("template").alias("text"))
+    lined = out.where("line is not null").join(named, [*_SERVICE, "number"], "left")
+    return lined.select(*_SERVICE, "line", "n", "number", F.coalesce("text", F.lit(OTHER_TEMPLATE)).alias("template"))
+
+
+def mine_templates(logs: DataFrame, most: int = 10) -> DataFrame:
+    """(tenant_id, service_name, template, n): how many lines fall under each template."""
+    return mined_lines(logs, most).groupBy(*_SERVICE, "number", "template").agg(F.sum("n").alias("n")).drop("number")
+
+
+def with_template(logs: DataFrame, most: int = 10) -> DataFrame:
+    """``logs`` with the template that each one's body was mined to."""
+    line = F.md5(F.array_join(S.mask_tokens(F.col("body")), " "))
+    return logs.withColumn("line", line).join(mined_lines(logs, most).select(*_SERVICE, "line", "template"), [*_SERVICE, "line"], "left").drop("line")
 
 
 def latest(logs: DataFrame, k: int = 50) -> DataFrame:

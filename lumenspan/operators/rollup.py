@@ -44,14 +44,14 @@ def rollup_cube(deltas: DataFrame) -> DataFrame:
 def reduce_edges(calls: DataFrame) -> DataFrame:
     """Deltas of service edges; all measures are the callee's."""
     rows = calls.withColumn("window", S.window_start(F.col("start_time")))
-    return rows.groupBy("window", "caller", "callee").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_error()).alias("errors"), F.sum("duration_us").alias("duration_sum"))
+    return rows.groupBy("window", "tenant_id", "caller", "callee").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_error()).alias("errors"), F.sum("duration_us").alias("duration_sum"))
 
 
 def reduce_logs(logs: DataFrame) -> DataFrame:
     """Deltas of logs by service and severity tier; error means tier 5 or more."""
     tier = S.severity_tier(F.col("severity"), F.lit(None).cast("int")).cast("long")
     rows = logs.withColumn("window", S.window_start(F.col("timestamp"))).withColumn("tier", tier)
-    return rows.groupBy("window", "service_name", "tier").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("tier") >= 5).alias("errors"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+    return rows.groupBy("window", "tenant_id", "service_name", "tier").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("tier") >= 5).alias("errors"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
 
 
 def gauges(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,7 +63,7 @@ def gauges(points: DataFrame, keys: list[str]) -> DataFrame:
 
 def metric_ring(points: DataFrame, seconds: int = 30, samples: int = 256) -> DataFrame:
     """Count and nearest-rank percentiles of the first ``samples`` points of each series and window."""
-    keys = ["service_name", "name", "window"]
+    keys = ["tenant_id", "service_name", "name", "window"]
     rows = points.withColumn("window", S.window_start(F.col("timestamp"), seconds))
     kept = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("timestamp", "seq")))
     first = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY CASE WHEN rn <= {samples} THEN value END)")
@@ -71,11 +71,16 @@ def metric_ring(points: DataFrame, seconds: int = 30, samples: int = 256) -> Dat
 
 
 def moving_mean(points: DataFrame, keys: list[str], alpha: float = 0.1) -> DataFrame:
-    """Exponential moving mean over time: the first value, then a share ``alpha`` of each next one."""
-    ordered = F.array_sort(F.collect_list(F.struct("timestamp", "seq", "value")))
-    out = points.groupBy(*keys).agg(ordered.alias("v"), F.min("value").alias("min"), F.max("value").alias("max"))
-    fold = F.aggregate(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0))), F.element_at("v", 1)["value"], lambda a, x: a * (1 - alpha) + x["value"] * alpha)
-    return out.select(*keys, fold.alias("ema"), "min", "max")
+    """Exponential moving mean over time: the first value, then a share ``alpha`` of each next one.
+
+    It is a weighted sum, with weights that fall by 1 - alpha from each point to the one before, so
+    numbered points are summed with partial aggregation.
+    """
+    late = Window.partitionBy(*keys).orderBy(F.desc("timestamp"), F.desc("seq"))
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy("timestamp", "seq")) == 1
+    rows = points.withColumns({"age": F.row_number().over(late) - 1, "first": last})
+    weight = F.pow(F.lit(1 - alpha), F.col("age")) * F.when(F.col("first"), 1.0).otherwise(alpha)
+    return rows.groupBy(*keys).agg(F.sum(weight * F.col("value")).alias("ema"), F.min("value").alias("min"), F.max("value").alias("max"))
 
 
 def overflow(rows: DataFrame, scope: list[str], name: str, order: list[str], most: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,44 +22,74 @@ def select_exemplars(spans: DataFrame, slow_us: int = 500_000, healthy_rate: flo
     """
     grade = F.when(is_error(), 0).when(F.col("duration_us") >= slow_us, 1).otherwise(2)
     key = F.md5(F.col("trace_id"))
-    rows = spans.select(S.window_start(F.col("start_time")).alias("window"), "service_name", "operation_name", "trace_id", grade.alias("class"))
-    best = rows.groupBy("window", "service_name", "trace_id").agg(F.min("class").alias("class"), F.min_by("operation_name", F.struct("class", "operation_name")).alias("operation_name"))
+    rows = spans.select(S.window_start(F.col("start_time")).alias("window"), "tenant_id", "service_name", "operation_name", "trace_id", grade.alias("class"))
+    best = rows.groupBy("window", "tenant_id", "service_name", "trace_id").agg(F.min("class").alias("class"), F.min_by("operation_name", F.struct("class", "operation_name")).alias("operation_name"))
     best = best.withColumn("hash", key)
     # the first eight hexadecimal digits as a share of their range
     share = F.conv(F.substring("hash", 1, 8), 16, 10).cast("double") / 4294967296.0
     best = best.where((F.col("class") < 2) | (share < healthy_rate))
     keep = lambda df, by, order, n: df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rn") <= n).drop("rn")
-    out = keep(best, ["window", "service_name", "operation_name", "class"], ["hash", "trace_id"], PER_STRATUM)
-    out = keep(out, ["window", "service_name"], ["class", "hash", "trace_id"], PER_SERVICE)
-    return keep(out, ["window"], ["class", "hash", "trace_id", "service_name"], PER_WINDOW)
+    out = keep(best, ["window", "tenant_id", "service_name", "operation_name", "class"], ["hash", "trace_id"], PER_STRATUM)
+    out = keep(out, ["window", "tenant_id", "service_name"], ["class", "hash", "trace_id"], PER_SERVICE)
+    return keep(out, ["window", "tenant_id"], ["class", "hash", "trace_id", "service_name"], PER_WINDOW)
+
 
+def adaptive_sample(spans: DataFrame, rate: float = 0.05, slow_us: int = 500_000) -> DataFrame:
+    """(tenant_id, service_name, span_id) of the spans that are kept.
 
-def adaptive_sample(spans: DataFrame, per_second: float = 10.0, slow_us: int = 500_000) -> DataFrame:
-    """Keeps errors, slow spans and each service's first; the rest by a token bucket in order of time."""
-    rows = spans.select("service_name", "span_id", "start_time", (is_error() | (F.col("duration_us") >= slow_us)).alias("always"))
+    Errors and slow spans always are. Of a service's other spans the first is, and each later one if
+    its token bucket holds a token: ``rate`` tokens a second flow in, up to max(1, 1/rate), which a
+    new bucket holds. Rates of 1 and more keep all, of 0 and less none of these. Each service's
+    spans stream through one task in order of time; only its bucket is held.
+    """
+    always = is_error() | (F.col("duration_us") >= slow_us) | F.lit(rate >= 1)
+    rows = spans.select("tenant_id", "service_name", "span_id", "start_time", F.unix_micros("start_time").alias("micros"), always.alias("always"))
+    keys = ["tenant_id", "service_name", "span_id"]
+    if rate <= 0 or rate >= 1:
+        return rows.where("always").select(*keys)
+    most = max(1.0, 1.0 / rate)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_time", "span_id"])
-        left, last, kept = per_second, None, []
-        for at, always in zip(pdf["start_time"], pdf["always"]):
-            if last is None:
-                kept.append(True)
-            else:
-                left = min(per_second, left + (at - last).total_seconds() * per_second)
-                kept.append(bool(always) or left >= 1)
-                left -= 0 if always or left < 1 else 1
-            last = at
-        return pdf.assign(kept=kept)[["service_name", "span_id", "kept"]]
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        service, left, last = None, most, None
+        for pdf in batches:
+            kept = []
+            for tenant, name, micros, sure in zip(pdf["tenant_id"], pdf["service_name"], pdf["micros"], pdf["always"]):
+                if (tenant, name) != service:
+                    service, last = (tenant, name), None
+                if sure:
+                    kept.append(True)
+                elif last is None:
+                    left, last = most, micros
+                    kept.append(True)
+                else:
+                    left, last = min(most, left + (micros - last) / 1e6 * rate), micros
+                    kept.append(left >= 1)
+                    left -= kept[-1]
+            yield pdf.loc[kept, keys]
 
-    return rows.groupBy("service_name").applyInPandas(fold, "service_name string, span_id string, kept boolean").where("kept")
+    dealt = rows.repartition("tenant_id", "service_name").sortWithinPartitions("tenant_id", "service_name", "start_time", "span_id")
+    return dealt.mapInPandas(fold, "tenant_id string, service_name string, span_id string")
 
 
 def cooldown(events: DataFrame, keys: list[str], seconds: int = 300) -> DataFrame:
-    """Of each key's events the first, then each one that is ``seconds`` after the last kept."""
-    ordered = F.array_sort(F.collect_list(F.unix_micros("moment")))
-    none = F.array().cast("array<bigint>")
-    fold = F.aggregate("times", none, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= seconds * 1_000_000), F.concat(acc, F.array(t))).otherwise(acc))
-    kept = events.groupBy(*keys).agg(ordered.alias("times")).select(*keys, F.explode(fold).alias("micros"))
+    """Of each key's events the first, then each one that is ``seconds`` after the last kept.
+
+    Events stream through in order of time; of each key only the last moment kept is held.
+    """
+    rows = events.select(*keys, F.unix_micros("moment").alias("micros"))
+    schema = rows.schema.simpleString().removeprefix("struct<").removesuffix(">")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, 0
+        for pdf in batches:
+            kept = []
+            for *now, micros in pdf.itertuples(index=False, name=None):
+                kept.append(now != key or micros - last >= seconds * 1_000_000)
+                if kept[-1]:
+                    key, last = now, micros
+            yield pdf[kept]
+
+    kept = rows.repartition(*keys).sortWithinPartitions(*keys, "micros").mapInPandas(fold, schema)
     return kept.select(*keys, F.timestamp_micros("micros").alias("moment"))
 
 

@@ -29,8 +29,8 @@ def percentile_disc(column: str, q: float) -> Column:
 
 def service_map_nodes(spans: DataFrame) -> DataFrame:
     named = spans.where("service_name <> ''")
-    out = named.groupBy("service_name").agg(F.count(F.lit(1)).alias("spans"), F.count_if(is_error()).alias("errors"), F.avg("duration_us").alias("mean"))
-    return out.select("service_name", "spans", "errors", S.scaled_round(F.col("mean") / 1000, 2).alias("avg_ms"))
+    out = named.groupBy("tenant_id", "service_name").agg(F.count(F.lit(1)).alias("spans"), F.count_if(is_error()).alias("errors"), F.avg("duration_us").alias("mean"))
+    return out.select("tenant_id", "service_name", "spans", "errors", S.scaled_round(F.col("mean") / 1000, 2).alias("avg_ms"))
 
 
 def calls(spans: DataFrame) -> DataFrame:
@@ -46,8 +46,8 @@ def calls(spans: DataFrame) -> DataFrame:
 
 
 def service_map_edges(spans: DataFrame) -> DataFrame:
-    out = calls(spans).groupBy("caller", "callee").agg(F.count(F.lit(1)).alias("calls"), F.count_if(is_error()).alias("errors"), F.avg("duration_us").alias("mean"))
-    return out.select("caller", "callee", "calls", S.scaled_round(F.col("mean") / 1000, 2).alias("avg_ms"), S.scaled_round(F.col("errors") / F.col("calls"), 4).alias("error_rate"))
+    out = calls(spans).groupBy("tenant_id", "caller", "callee").agg(F.count(F.lit(1)).alias("calls"), F.count_if(is_error()).alias("errors"), F.avg("duration_us").alias("mean"))
+    return out.select("tenant_id", "caller", "callee", "calls", S.scaled_round(F.col("mean") / 1000, 2).alias("avg_ms"), S.scaled_round(F.col("errors") / F.col("calls"), 4).alias("error_rate"))
 
 
 def dashboard(spans: DataFrame, logs: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def dashboard(spans: DataFrame, logs: DataFrame) -> DataFrame:
 
 
 def p99_exact(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("service_name").agg(percentile_disc("duration_us", 0.99).cast("long").alias("p99_us"), F.count(F.lit(1)).alias("n"))
+    return spans.groupBy("tenant_id", "service_name").agg(percentile_disc("duration_us", 0.99).cast("long").alias("p99_us"), F.count(F.lit(1)).alias("n"))
 
 
 def top_failing(spans: DataFrame, k: int = 5) -> DataFrame:
@@ -92,19 +92,35 @@ def latency_heatmap(spans: DataFrame, most: int = 2000) -> DataFrame:
     return newest.select("span_id", stamp("start_time").alias("moment"), "duration_us")
 
 
-def trace_list(spans: DataFrame, sort_by: str = "timestamp", descending: bool = True, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of traces with span count and first operation; unknown sort columns mean timestamp."""
-    key = SORTABLE.get(sort_by, "start_time")
-    limit = max(1, min(1000, limit))
+def traces(spans: DataFrame) -> DataFrame:
+    """One row for each (tenant, trace): start, duration, first service, status, spans and an operation."""
     first = F.struct("start_time", "span_id")
-    traces = spans.groupBy("trace_id").agg(
+    rows = spans.groupBy("tenant_id", "trace_id").agg(
         F.min("start_time").alias("start_time"), F.max("duration_us").alias("duration_us"), F.min_by("service_name", first).alias("service_name"),
         F.max(is_error()).alias("error"), F.count(F.lit(1)).alias("span_count"), F.min("operation_name").alias("operation"),
     )
-    traces = traces.withColumn("status", F.when(F.col("error"), STATUS_ERROR).otherwise("STATUS_CODE_UNSET"))
+    return rows.withColumn("status", F.when(F.col("error"), STATUS_ERROR).otherwise("STATUS_CODE_UNSET")).withColumn("operation", F.coalesce("operation", F.lit("Unknown")))
+
+
+def trace_list(
+    spans: DataFrame, sort_by: str = "timestamp", descending: bool = True, limit: int = 50, offset: int = 0,
+    tenant: str | None = None, status: str = "", trace_id: str = "", services: list[str] | None = None, start=None, end=None,
+) -> DataFrame:
+    """A page of traces and, in ``total``, how many the filters leave.
+
+    ``status`` and ``trace_id`` are parts of the words looked for, in any case (% and _ stand for
+    any characters); unknown sort columns mean timestamp; the offset is not below 0 and the limit
+    between 1 and 1000.
+    """
+    key = SORTABLE.get(sort_by, "start_time")
+    rows = in_range(traces(spans if tenant is None else spans.where(F.col("tenant_id") == tenant)), "start_time", start, end)
+    for column, part in (("status", status), ("trace_id", trace_id)):
+        rows = rows.where(F.col(column).ilike(f"%{part}%")) if part else rows
+    rows = rows.where(F.col("service_name").isin(services)) if services else rows
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
     order = F.desc(key) if descending else F.asc(key)
-    page = traces.orderBy(order, "trace_id").offset(offset).limit(limit)
-    return page.select("trace_id", stamp("start_time").alias("moment"), "duration_us", "service_name", "status", "span_count", F.coalesce("operation", F.lit("Unknown")).alias("operation"))
+    page = rows.orderBy(order, "tenant_id", "trace_id").offset(max(0, offset)).limit(max(1, min(1000, limit))).crossJoin(F.broadcast(total))  # a single row
+    return page.select("tenant_id", "trace_id", stamp("start_time").alias("moment"), "duration_us", "service_name", "status", "span_count", "operation", "total")
 
 
 def trace_detail(spans: DataFrame, trace_id: str) -> DataFrame:
@@ -154,7 +170,7 @@ def system_summary(nodes: DataFrame) -> DataFrame:
 
 
 def topology_closed(spans: DataFrame, services: list[str]) -> DataFrame:
-    """Edges of the service map whose ends are both among ``services``."""
+    """Edges of the service map whose ends are both among ``services``, by tenant."""
     return service_map_edges(spans.where(F.col("service_name") != "")).where(F.col("caller").isin(services) & F.col("callee").isin(services))
 
 

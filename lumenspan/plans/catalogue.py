@@ -29,6 +29,11 @@ def _query(sql: str | None = None):
     return add
 
 
+def _one(spans: DataFrame) -> DataFrame:
+    """One tenant's rows."""
+    return spans.where("tenant_id = 'default'")
+
+
 def _windows(spans: DataFrame) -> DataFrame:
     """Daily windows of each service in the shape of the detectors; all but the newest are final."""
     spike = F.col("start_time") >= F.lit("2024-01-30").cast("timestamp")  # an outage on the last day: views fail, all is slow
@@ -68,7 +73,7 @@ def dashboard(spark, d):
     return traffic.dashboard(T.event_spans(spark, d), T.document_logs(spark, d))
 
 
-@_query(f"WITH {V.EVT} SELECT service_name, quantile_disc(duration_us, 0.99)::BIGINT AS p99_us, count(*)::BIGINT AS n FROM spans GROUP BY 1")
+@_query(f"WITH {V.EVT} SELECT tenant_id, service_name, quantile_disc(duration_us, 0.99)::BIGINT AS p99_us, count(*)::BIGINT AS n FROM spans GROUP BY 1, 2")
 def p99_exact(spark, d):
     return traffic.p99_exact(T.event_spans(spark, d))
 
@@ -101,14 +106,42 @@ def latency_heatmap(spark, d):
 
 
 @_query(
-    f"""WITH {V.ORD}, t AS (SELECT trace_id, min(start_time) AS st, max(duration_us) AS duration_us, arg_min(service_name, (start_time, span_id)) AS service_name, bool_or({V.ERROR}) AS e,
-count(*)::BIGINT AS span_count, min(operation_name) AS operation FROM spans GROUP BY 1)
-SELECT trace_id, {V.stamp('st')} AS moment, duration_us, service_name, CASE WHEN e THEN 'STATUS_CODE_ERROR' ELSE 'STATUS_CODE_UNSET' END AS status, span_count, operation FROM t ORDER BY duration_us DESC, trace_id LIMIT 50 OFFSET 100"""
+    f"""WITH {V.ORD}, t AS (SELECT tenant_id, trace_id, min(start_time) AS st, max(duration_us) AS duration_us, arg_min(service_name, (start_time, span_id)) AS service_name, bool_or({V.ERROR}) AS e,
+count(*)::BIGINT AS span_count, min(operation_name) AS operation FROM spans GROUP BY 1, 2)
+SELECT tenant_id, trace_id, {V.stamp('st')} AS moment, duration_us, service_name, CASE WHEN e THEN 'STATUS_CODE_ERROR' ELSE 'STATUS_CODE_UNSET' END AS status, span_count, operation, (SELECT count(*) FROM t)::BIGINT AS total FROM t ORDER BY duration_us DESC, tenant_id, trace_id LIMIT 50 OFFSET 100"""
 )
 def trace_list(spark, d):
     return traffic.trace_list(T.order_spans(spark, d), "duration", True, 50, 100)
 
 
+def _trace_pages(column, descending, where):
+    """The SQL of a filtered page of one tenant's traces."""
+    return f"""WITH {V.ORD1}, g AS (SELECT tenant_id, trace_id, min(start_time) AS start_time, max(duration_us) AS duration_us, arg_min(service_name, (start_time, span_id)) AS service_name,
+CASE WHEN bool_or({V.ERROR}) THEN 'STATUS_CODE_ERROR' ELSE 'STATUS_CODE_UNSET' END AS status, count(*)::BIGINT AS span_count, min(operation_name) AS operation FROM spans GROUP BY 1, 2),
+t AS (SELECT * FROM g WHERE {where}) SELECT tenant_id, trace_id, {V.stamp('start_time')} AS moment, duration_us, service_name, status, span_count, operation, (SELECT count(*) FROM t)::BIGINT AS total
+FROM t ORDER BY {column} {'DESC' if descending else 'ASC'}, tenant_id, trace_id LIMIT 20"""
+
+
+@_query(_trace_pages("t.service_name", False, "status ILIKE '%error%' AND trace_id ILIKE '%7%'"))
+def trace_list_by_service(spark, d):
+    return traffic.trace_list(T.order_spans(spark, d), "service_name", False, 20, -5, tenant="default", status="error", trace_id="7")
+
+
+@_query(_trace_pages("t.status", True, "service_name IN ('1-URGENT', '5-LOW', 'sup-3')"))
+def trace_list_by_status(spark, d):
+    return traffic.trace_list(T.order_spans(spark, d), "status", True, 20, tenant="default", services=["1-URGENT", "5-LOW", "sup-3"])
+
+
+@_query(_trace_pages("t.trace_id", False, "start_time >= TIMESTAMP '1996-01-01' AND start_time <= TIMESTAMP '1997-01-01'"))
+def trace_list_by_id(spark, d):
+    return traffic.trace_list(T.order_spans(spark, d), "trace_id", False, 20, tenant="default", start=datetime(1996, 1, 1), end=datetime(1997, 1, 1))
+
+
+@_query(_trace_pages("t.start_time", True, "true"))
+def trace_list_by_time(spark, d):
+    return traffic.trace_list(T.order_spans(spark, d), "no such column", True, 20, tenant="default")
+
+
 @_query(f"WITH {V.CONV} SELECT trace_id, string_agg(span_id, ',' ORDER BY span_id) AS span_ids, sum(duration_us)::BIGINT AS total_us FROM spans WHERE trace_id = '7' GROUP BY 1")
 def trace_detail(spark, d):
     return traffic.trace_detail(T.conversation_spans(spark, d), "7")
@@ -164,12 +197,12 @@ def db_stats(spark, d):
 
 
 @_query(
-    f"""WITH {V.ORD}, {V.NODES}, r AS (SELECT *, errors / spans AS rate FROM nodes), s AS (SELECT *, round(greatest(0, 1 - 5 * rate - CASE WHEN avg_ms > 200 THEN (avg_ms - 200) / 2000 ELSE 0 END) * 100) / 100 AS score FROM r)
+    f"""WITH {V.ORD1}, {V.NODES}, r AS (SELECT *, errors / spans AS rate FROM nodes), s AS (SELECT *, round(greatest(0, 1 - 5 * rate - CASE WHEN avg_ms > 200 THEN (avg_ms - 200) / 2000 ELSE 0 END) * 100) / 100 AS score FROM r)
 SELECT count(*)::BIGINT AS services, (count(*) FILTER (score >= 0.9))::BIGINT AS healthy, (count(*) FILTER (score >= 0.7 AND score < 0.9))::BIGINT AS degraded, (count(*) FILTER (score < 0.7))::BIGINT AS critical,
 round(avg(rate) * 1000000) / 1000000 AS mean_error_rate, round(avg(avg_ms) * 10000) / 10000 AS mean_latency_ms FROM s"""
 )
 def system_summary(spark, d):
-    return traffic.system_summary(traffic.service_map_nodes(T.order_spans(spark, d)))
+    return traffic.system_summary(traffic.service_map_nodes(_one(T.order_spans(spark, d))))
 
 
 @_query(f"WITH {V.ORD}, {V.CALLS} SELECT * FROM edges WHERE caller IN ('1-URGENT', 'sup-1', 'sup-2', '5-LOW') AND callee IN ('1-URGENT', 'sup-1', 'sup-2', '5-LOW')")
@@ -186,7 +219,7 @@ def log_search_like(spark, d):
 
 
 @_query(
-    f"""WITH {V.LOGS}, w AS (SELECT log_id, list_filter(string_split_regex(lower(body), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS t FROM logs),
+    f"""WITH {V.LOGS}, w AS (SELECT log_id, list_filter(string_split_regex(strip_accents(lower(body)), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS t FROM logs),
 c AS (SELECT log_id, len(t) AS n, len(list_filter(t, lambda x: starts_with(x, 'licens'))) AS a, len(list_filter(t, lambda x: starts_with(x, 'the'))) AS b FROM w),
 s AS (SELECT count(*) AS docs, avg(n) AS l, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c)
 SELECT log_id, round(ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / l)) + ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / l)), 6) AS score
@@ -299,7 +332,7 @@ def union_sources(spark, d):
 
 
 @_query(
-    f"""WITH {V.ORD}, {V.CALLS} SELECT {V.stamp(V.window('start_time'))} AS bucket, caller, callee, count(*)::BIGINT AS n, (count(*) FILTER ({V.ERROR}))::BIGINT AS errors, sum(duration_us)::BIGINT AS duration_sum FROM calls GROUP BY 1, 2, 3"""
+    f"""WITH {V.ORD}, {V.CALLS} SELECT {V.stamp(V.window('start_time'))} AS bucket, tenant_id, caller, callee, count(*)::BIGINT AS n, (count(*) FILTER ({V.ERROR}))::BIGINT AS errors, sum(duration_us)::BIGINT AS duration_sum FROM calls GROUP BY 1, 2, 3, 4"""
 )
 def reduce_edges(spark, d):
     return rollup.reduce_edges(traffic.calls(T.order_spans(spark, d))).withColumn("bucket", stamp("window")).drop("window")
@@ -307,10 +340,10 @@ def reduce_edges(spark, d):
 
 @_query(
     f"""WITH {V.LOGS}, t AS (SELECT *, CASE severity WHEN 'ERROR' THEN 5 WHEN 'WARN' THEN 4 WHEN 'DEBUG' THEN 2 ELSE 3 END::BIGINT AS tier FROM logs)
-SELECT {V.stamp(V.window('moment'))} AS bucket, service_name, tier, count(*)::BIGINT AS n, (count(*) FILTER (tier >= 5))::BIGINT AS errors FROM t GROUP BY 1, 2, 3"""
+SELECT {V.stamp(V.window('moment'))} AS bucket, tenant_id, service_name, tier, count(*)::BIGINT AS n, (count(*) FILTER (tier >= 5))::BIGINT AS errors FROM t GROUP BY 1, 2, 3, 4"""
 )
 def reduce_logs(spark, d):
-    return rollup.reduce_logs(T.document_logs(spark, d)).select(stamp("window").alias("bucket"), "service_name", "tier", "n", "errors")
+    return rollup.reduce_logs(T.document_logs(spark, d)).select(stamp("window").alias("bucket"), "tenant_id", "service_name", "tier", "n", "errors")
 
 
 @_query(f"WITH {V.METRICS} SELECT service_name, name, count(*)::BIGINT AS n, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max, arg_max(value, (moment, seq)) AS last FROM points GROUP BY 1, 2")
@@ -319,8 +352,8 @@ def gauge_last(spark, d):
 
 
 @_query(
-    f"""WITH {V.METRICS}, w AS (SELECT *, {V.window('moment', 30)} AS w, row_number() OVER (PARTITION BY service_name, name, {V.window('moment', 30)} ORDER BY moment, seq) AS rn FROM points)
-SELECT service_name, name, {V.stamp('w')} AS bucket, count(*)::BIGINT AS n, min(value) AS min, max(value) AS max, quantile_disc(value, 0.5) FILTER (rn <= 256) AS p50, quantile_disc(value, 0.95) FILTER (rn <= 256) AS p95, quantile_disc(value, 0.99) FILTER (rn <= 256) AS p99 FROM w GROUP BY 1, 2, 3"""
+    f"""WITH {V.METRICS}, w AS (SELECT *, {V.window('moment', 30)} AS w, row_number() OVER (PARTITION BY tenant_id, service_name, name, {V.window('moment', 30)} ORDER BY moment, seq) AS rn FROM points)
+SELECT tenant_id, service_name, name, {V.stamp('w')} AS bucket, count(*)::BIGINT AS n, min(value) AS min, max(value) AS max, quantile_disc(value, 0.5) FILTER (rn <= 256) AS p50, quantile_disc(value, 0.95) FILTER (rn <= 256) AS p95, quantile_disc(value, 0.99) FILTER (rn <= 256) AS p99 FROM w GROUP BY 1, 2, 3, 4"""
 )
 def ring_30s(spark, d):
     return rollup.metric_ring(T.event_metrics(spark, d)).withColumn("bucket", stamp("window")).drop("window")
@@ -412,19 +445,19 @@ def hist_quantile(spark, d):
 
 
 @_query(
-    f"""WITH {V.ORD}, {V.NODES}, r AS (SELECT *, errors / spans AS rate FROM nodes), s AS (SELECT *, greatest(0.0, least(1.0, 1 - 5 * rate - 0.1 * greatest(0.0, (avg_ms - 100) / 100))) AS score FROM r)
+    f"""WITH {V.ORD1}, {V.NODES}, r AS (SELECT *, errors / spans AS rate FROM nodes), s AS (SELECT *, greatest(0.0, least(1.0, 1 - 5 * rate - 0.1 * greatest(0.0, (avg_ms - 100) / 100))) AS score FROM r)
 SELECT service_name, round(score, 6) AS score, CASE WHEN score >= 0.9 THEN 'healthy' WHEN score >= 0.7 THEN 'degraded' ELSE 'critical' END AS state FROM s"""
 )
 def health_score(spark, d):
-    nodes = traffic.service_map_nodes(T.order_spans(spark, d))
+    nodes = traffic.service_map_nodes(_one(T.order_spans(spark, d)))
     score = S.health_score(F.col("errors") / F.col("spans"), F.col("avg_ms"))
     return nodes.select("service_name", F.round(score, 6).alias("score"), S.health_status(score).alias("state"))
 
 
-_CHAIN = f"""seed AS (SELECT trace_id, arg_min(span_id, (start_time, span_id)) AS error_span FROM spans WHERE {V.ERROR} GROUP BY 1),
-walk AS (SELECT s.trace_id, error_span, x.span_id AS moment, x.parent_span_id AS next, x.service_name, 0 AS hops FROM seed s JOIN spans x ON x.trace_id = s.trace_id AND x.span_id = error_span
- UNION ALL SELECT w.trace_id, w.error_span, p.span_id, p.parent_span_id, p.service_name, w.hops + 1 FROM walk w JOIN spans p ON p.trace_id = w.trace_id AND p.span_id = w.next WHERE w.hops < 10),
-chains AS (SELECT trace_id, error_span, arg_max(moment, hops) AS root_span, arg_max(service_name, hops) AS root_service, max(hops)::BIGINT AS hops, arg_max(next, hops) = '' AS complete FROM walk GROUP BY 1, 2)"""
+_CHAIN = f"""seed AS (SELECT tenant_id, trace_id, arg_min(span_id, (start_time, span_id)) AS error_span FROM spans WHERE {V.ERROR} GROUP BY 1, 2),
+walk AS (SELECT s.tenant_id, s.trace_id, error_span, x.span_id AS moment, x.parent_span_id AS next, x.service_name, 0 AS hops, [x.span_id] AS path FROM seed s JOIN spans x ON x.tenant_id = s.tenant_id AND x.trace_id = s.trace_id AND x.span_id = error_span
+ UNION ALL SELECT w.tenant_id, w.trace_id, w.error_span, p.span_id, p.parent_span_id, p.service_name, w.hops + 1, list_append(w.path, p.span_id) FROM walk w JOIN spans p ON p.tenant_id = w.tenant_id AND p.trace_id = w.trace_id AND p.span_id = w.next WHERE NOT list_contains(w.path, p.span_id)),
+chains AS (SELECT trace_id, error_span, arg_max(moment, hops) AS root_span, arg_max(service_name, hops) AS root_service, max(hops)::BIGINT AS hops, arg_max(next, hops) = '' AS complete FROM walk GROUP BY tenant_id, 1, 2)"""
 
 
 @_query(f"WITH RECURSIVE {V.CONV}, {_CHAIN} SELECT * FROM chains")
@@ -433,30 +466,30 @@ def error_chain(spark, d):
 
 
 @_query(
-    f"""WITH {V.CONV} SELECT s.trace_id, count(*)::BIGINT AS spans, (count(*) FILTER (s.parent_span_id = ''))::BIGINT AS roots, (count(*) FILTER (s.parent_span_id <> '' AND p.span_id IS NULL))::BIGINT AS dangling
-FROM spans s LEFT JOIN (SELECT DISTINCT trace_id, span_id FROM spans WHERE duration_us % 7000 <> 0) p ON p.trace_id = s.trace_id AND p.span_id = s.parent_span_id WHERE s.duration_us % 7000 <> 0 GROUP BY 1"""
+    f"""WITH {V.CONV} SELECT s.tenant_id, s.trace_id, count(*)::BIGINT AS spans, (count(*) FILTER (s.parent_span_id = ''))::BIGINT AS roots, (count(*) FILTER (s.parent_span_id <> '' AND p.span_id IS NULL))::BIGINT AS dangling
+FROM spans s LEFT JOIN (SELECT DISTINCT trace_id, span_id FROM spans WHERE duration_us % 7000 <> 0) p ON p.trace_id = s.trace_id AND p.span_id = s.parent_span_id WHERE s.duration_us % 7000 <> 0 GROUP BY 1, 2"""
 )
 def trace_graph(spark, d):
     return graph.trace_graph(T.conversation_spans(spark, d).where("duration_us % 7000 <> 0"))
 
 
 def _conv_edges(spark, d):
-    return traffic.service_map_edges(T.conversation_spans(spark, d))
+    return traffic.service_map_edges(_one(T.conversation_spans(spark, d)))
 
 
 @_query(
-    f"""WITH RECURSIVE {V.CONV}, {V.CALLS}, {V.NODES}, reach AS (SELECT 'system-0' AS node, 0 AS depth UNION SELECT callee, depth + 1 FROM reach JOIN edges ON caller = node WHERE depth < 5),
+    f"""WITH RECURSIVE {V.CONV1}, {V.CALLS}, {V.NODES}, reach AS (SELECT 'system-0' AS node, 0 AS depth UNION SELECT callee, depth + 1 FROM reach JOIN edges ON caller = node WHERE depth < 5),
 h AS (SELECT service_name, round(greatest(0.0, 1 - 5 * (errors / spans) - CASE WHEN avg_ms > 200 THEN (avg_ms - 200) / 2000 ELSE 0 END) * 100) / 100 AS score FROM nodes)
 SELECT node AS service, min(depth)::BIGINT AS depth, round((1 - coalesce(any_value(score), 0)) * 1000000) / 1000000 AS impact FROM reach LEFT JOIN h ON service_name = node WHERE node <> 'system-0' GROUP BY 1"""
 )
 def impact_bfs(spark, d):
-    nodes = traffic.service_map_nodes(T.conversation_spans(spark, d))
+    nodes = traffic.service_map_nodes(_one(T.conversation_spans(spark, d)))
     health = nodes.select("service_name", S.health_score_fallback(F.col("errors") / F.col("spans"), F.col("avg_ms")).alias("score"))
     return graph.impact(_conv_edges(spark, d), health, "system-0", 5)
 
 
 @_query(
-    f"""WITH RECURSIVE {V.CONV}, {V.CALLS}, u AS (SELECT caller AS a, callee AS b FROM edges UNION SELECT callee, caller FROM edges),
+    f"""WITH RECURSIVE {V.CONV1}, {V.CALLS}, u AS (SELECT caller AS a, callee AS b FROM edges UNION SELECT callee, caller FROM edges),
 reach AS (SELECT 'user-1' AS node, 0 AS depth UNION SELECT b, depth + 1 FROM reach JOIN u ON a = node WHERE depth < 2) SELECT node AS service, min(depth)::BIGINT AS hops FROM reach WHERE node <> 'user-1' GROUP BY 1"""
 )
 def map_around(spark, d):
@@ -464,29 +497,29 @@ def map_around(spark, d):
 
 
 @_query(
-    f"""WITH RECURSIVE {V.CONV}, {V.CALLS}, u AS (SELECT a, b, 1.0 / max(calls) AS w FROM (SELECT caller AS a, callee AS b, calls FROM edges UNION ALL SELECT callee, caller, calls FROM edges) GROUP BY 1, 2),
-p AS (SELECT 'user-1' AS node, 0.0::DOUBLE AS dist, 0 AS k UNION SELECT b, dist + w, k + 1 FROM p JOIN u ON a = node WHERE k < 5) SELECT node AS service, round(min(dist), 9) AS distance FROM p GROUP BY 1"""
+    f"""WITH RECURSIVE {V.CONV1}, {V.CALLS}, u AS (SELECT a, b, 1.0 / max(calls) AS w FROM (SELECT caller AS a, callee AS b, calls FROM edges UNION ALL SELECT callee, caller, calls FROM edges) GROUP BY 1, 2),
+p AS (SELECT 'user-1' AS node, 0.0::DOUBLE AS dist, ['user-1'] AS path UNION ALL SELECT b, dist + w, list_append(path, b) FROM p JOIN u ON a = node WHERE NOT list_contains(path, b)) SELECT node AS service, round(min(dist), 9) AS distance FROM p GROUP BY 1"""
 )
 def shortest_path(spark, d):
     return graph.shortest_path(_conv_edges(spark, d), "user-1").withColumn("distance", F.round("distance", 9))
 
 
 @_query(
-    f"""WITH RECURSIVE {V.CONV}, {V.NODES}, {_CHAIN}, ev AS (SELECT root_service AS service, 1 AS points FROM chains UNION ALL SELECT service_name, 2 FROM nodes WHERE errors / spans > 0.2)
+    f"""WITH RECURSIVE {V.CONV1}, {V.NODES}, {_CHAIN}, ev AS (SELECT root_service AS service, 1 AS points FROM chains UNION ALL SELECT service_name, 2 FROM nodes WHERE errors / spans > 0.2)
 SELECT service, sum(points)::BIGINT AS score, count(*)::BIGINT AS evidence FROM ev GROUP BY 1"""
 )
 def root_cause(spark, d):
-    spans = T.conversation_spans(spark, d)
+    spans = _one(T.conversation_spans(spark, d))
     failing = traffic.service_map_nodes(spans).where("errors / spans > 0.2").select(F.col("service_name").alias("service"))
     return graph.root_causes(graph.error_chains(spans), failing)
 
 
 @_query(
-    f"""WITH {V.CONV}, {V.CALLS}, {V.NODES} SELECT service_name, spans, errors, (SELECT string_agg(o, ',' ORDER BY o) FROM (SELECT DISTINCT operation_name AS o FROM spans s WHERE s.service_name = nodes.service_name)) AS operations,
+    f"""WITH {V.CONV1}, {V.CALLS}, {V.NODES} SELECT service_name, spans, errors, (SELECT string_agg(o, ',' ORDER BY o) FROM (SELECT DISTINCT operation_name AS o FROM spans s WHERE s.service_name = nodes.service_name)) AS operations,
 coalesce((SELECT string_agg(callee, ',' ORDER BY callee) FROM edges WHERE caller = service_name), '') AS calls_to, coalesce((SELECT string_agg(caller, ',' ORDER BY caller) FROM edges WHERE callee = service_name), '') AS called_by FROM nodes"""
 )
 def service_map(spark, d):
-    spans = T.conversation_spans(spark, d)
+    spans = _one(T.conversation_spans(spark, d))
     return graph.service_map(traffic.service_map_nodes(spans), spans, traffic.service_map_edges(spans))
 
 
@@ -554,35 +587,47 @@ def anomaly_ticks(spark, d):
 
 
 @_query(
-    f"""WITH {V.ORD}, {V.NODES}, r AS (SELECT *, errors / spans AS rate FROM nodes) SELECT service_name, 'error_spike' AS type, CASE WHEN rate > 0.2 THEN 'critical' WHEN rate > 0.1 THEN 'warning' ELSE 'info' END AS severity FROM r WHERE rate > 0.05
+    f"""WITH {V.ORD1}, {V.NODES}, r AS (SELECT *, errors / spans AS rate FROM nodes) SELECT service_name, 'error_spike' AS type, CASE WHEN rate > 0.2 THEN 'critical' WHEN rate > 0.1 THEN 'warning' ELSE 'info' END AS severity FROM r WHERE rate > 0.05
 UNION ALL SELECT service_name, 'latency_spike', CASE WHEN avg_ms > 2000 THEN 'critical' WHEN avg_ms > 1000 THEN 'warning' ELSE 'info' END FROM r WHERE avg_ms > 500 AND spans > 10"""
 )
 def raw_thresholds(spark, d):
-    return anomaly.raw_thresholds(traffic.service_map_nodes(T.order_spans(spark, d)))
+    return anomaly.raw_thresholds(traffic.service_map_nodes(_one(T.order_spans(spark, d))))
 
 
 # ------------------------------------------------------------------ sampling
 
 
 @_query(
-    f"""WITH {V.EVT}, g AS (SELECT {V.window('start_time')} AS w, service_name, operation_name, trace_id, CASE WHEN {V.ERROR} THEN 0 WHEN duration_us >= 500000 THEN 1 ELSE 2 END AS class FROM spans),
-b AS (SELECT w, service_name, trace_id, min(class) AS class, arg_min(operation_name, (class, operation_name)) AS operation_name, md5(trace_id) AS h FROM g GROUP BY 1, 2, 3),
+    f"""WITH {V.EVT}, g AS (SELECT {V.window('start_time')} AS w, tenant_id, service_name, operation_name, trace_id, CASE WHEN {V.ERROR} THEN 0 WHEN duration_us >= 500000 THEN 1 ELSE 2 END AS class FROM spans),
+b AS (SELECT w, tenant_id, service_name, trace_id, min(class) AS class, arg_min(operation_name, (class, operation_name)) AS operation_name, md5(trace_id) AS h FROM g GROUP BY 1, 2, 3, 4),
 k AS (SELECT * FROM b WHERE class < 2 OR ('0x' || h[1:8])::BIGINT / 4294967296.0 < 0.1),
-s AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY w, service_name, operation_name, class ORDER BY h, trace_id) <= 5),
-v AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY w, service_name ORDER BY class, h, trace_id) <= 25),
-x AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY w ORDER BY class, h, trace_id, service_name) <= 1500)
-SELECT {V.stamp('w')} AS bucket, service_name, operation_name, trace_id, class::BIGINT AS class FROM x"""
+s AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY w, tenant_id, service_name, operation_name, class ORDER BY h, trace_id) <= 5),
+v AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY w, tenant_id, service_name ORDER BY class, h, trace_id) <= 25),
+x AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY w, tenant_id ORDER BY class, h, trace_id, service_name) <= 1500)
+SELECT {V.stamp('w')} AS bucket, tenant_id, service_name, operation_name, trace_id, class::BIGINT AS class FROM x"""
 )
 def exemplar_select(spark, d):
-    return sampling.select_exemplars(T.event_spans(spark, d)).select(stamp("window").alias("bucket"), "service_name", "operation_name", "trace_id", F.col("class").cast("long").alias("class"))
+    return sampling.select_exemplars(T.event_spans(spark, d)).select(stamp("window").alias("bucket"), "tenant_id", "service_name", "operation_name", "trace_id", F.col("class").cast("long").alias("class"))
 
 
-@_query()
+_RATE = 0.0005
+
+
+@_query(
+    f"""WITH {V.EVT}, a AS (SELECT tenant_id, service_name, span_id, epoch_us(start_time) AS t, {V.ERROR} OR duration_us >= 500000 AS sure FROM spans),
+b AS (SELECT tenant_id, service_name, list({{'t': t, 'left': {1 / _RATE}::DOUBLE, 'ids': [span_id]}} ORDER BY t, span_id) AS l FROM a WHERE NOT sure GROUP BY 1, 2),
+r AS (SELECT tenant_id, service_name, unnest(list_reduce(l, lambda s, x: CASE WHEN least({1 / _RATE}::DOUBLE, s.left + (x.t - s.t) / 1000000.0 * {_RATE}::DOUBLE) >= 1
+ THEN {{'t': x.t, 'left': least({1 / _RATE}::DOUBLE, s.left + (x.t - s.t) / 1000000.0 * {_RATE}::DOUBLE) - 1, 'ids': list_concat(s.ids, x.ids)}} ELSE {{'t': x.t, 'left': least({1 / _RATE}::DOUBLE, s.left + (x.t - s.t) / 1000000.0 * {_RATE}::DOUBLE), 'ids': s.ids}} END).ids) AS span_id FROM b)
+SELECT * FROM r UNION ALL SELECT tenant_id, service_name, span_id FROM a WHERE sure"""
+)
 def adaptive_sample(spark, d):
-    return sampling.adaptive_sample(T.event_spans(spark, d), 0.0005)
+    return sampling.adaptive_sample(T.event_spans(spark, d), _RATE)
 
 
-@_query()
+@_query(
+    f"""WITH {V.EVT}, b AS (SELECT service_name AS service, list([epoch_us(start_time)] ORDER BY start_time) AS l FROM spans WHERE {V.ERROR} GROUP BY 1),
+k AS (SELECT service, unnest(list_reduce(l, lambda s, x: CASE WHEN x[1] - s[-1] >= 3600000000 THEN list_concat(s, x) ELSE s END)) AS t FROM b) SELECT service, {V.stamp('make_timestamp(t)')} AS moment FROM k"""
+)
 def cooldown(spark, d):
     events = T.event_spans(spark, d).where(traffic.is_error()).select(F.col("service_name").alias("service"), F.col("start_time").alias("moment"))
     return sampling.cooldown(events, ["service"], 3600).select("service", stamp("moment").alias("moment"))

@@ -14,19 +14,19 @@ from ..operators.traffic import stamp
 from ..sources import sinks
 from ..sources import telemetry as T
 from . import views as V
-from .catalogue import _deltas, _DELTAS, _query
+from .catalogue import _deltas, _DELTAS, _one, _query
 
 # ------------------------------------------------------------------ scalars
 
 
 @_query(
-    """SELECT event_id, CASE WHEN upper(event_type) IN ('GET', 'VIEW') THEN 'OTHER' ELSE 'OTHER' END AS method, CASE WHEN event_id % 700 BETWEEN 100 AND 599 THEN (event_id % 700) // 100 ELSE 0 END::BIGINT AS http_class,
+    """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'NONE' WHEN event_id % 4 = 1 THEN 'GET' WHEN event_id % 4 = 2 THEN 'DELETE' ELSE 'OTHER' END AS method, CASE WHEN event_id % 700 BETWEEN 100 AND 599 THEN (event_id % 700) // 100 ELSE 0 END::BIGINT AS http_class,
 CASE WHEN event_id % 30 BETWEEN 1 AND 24 THEN (event_id % 30 - 1) // 4 + 1 ELSE 0 END::BIGINT AS tier, CASE WHEN event_id % 3 = 0 OR event_id % 5 = 2 THEN true ELSE false END AS is_request FROM events"""
 )
 def scalar_classes(spark, d):
     e, i = T.table(spark, d, "events"), F.col("event_id")
     return e.select(
-        "event_id", S.parse_method(F.col("event_type")).alias("method"), S.http_class(i % 700).cast("long").alias("http_class"), S.severity_tier_from_number(i % 30).cast("long").alias("tier"),
+        "event_id", S.parse_method(F.when(i % 4 == 0, "").when(i % 4 == 1, "gEt").when(i % 4 == 2, "DELETE").otherwise(F.col("event_type"))).alias("method"), S.http_class(i % 700).cast("long").alias("http_class"), S.severity_tier_from_number(i % 30).cast("long").alias("tier"),
         S.is_request(F.when(i % 3 == 0, "").otherwise("p"), (i % 5).cast("int")).alias("is_request"),
     )
 
@@ -48,18 +48,18 @@ def _line_mask_sql():
     return out
 
 
-@_query(f"WITH {V.LOGS} SELECT log_id, md5(replace(body, 'é', 'e')) AS raw, length({_line_mask_sql().replace('body', 'ascii_body')})::BIGINT AS masked_length FROM (SELECT *, regexp_replace(body, '[^\\x00-\\x7F]', 'x', 'g') AS ascii_body FROM logs)")
+@_query(f"WITH {V.LOGS} SELECT log_id, md5({_line_mask_sql().replace('body', 'ascii_body')}) AS masked FROM (SELECT *, regexp_replace(body, '[^\\x00-\\x7F]', 'x', 'g') AS ascii_body FROM logs)")
 def line_mask(spark, d):
-    ascii_body = F.regexp_replace("body", r"[^\x00-\x7F]", "x")
-    return T.document_logs(spark, d).select("log_id", F.md5(F.replace("body", F.lit("é"), F.lit("e"))).alias("raw"), F.length(S.mask_line(ascii_body)).cast("long").alias("masked_length"))
+    """Of texts with other characters replaced, as word boundaries beside them differ between engines."""
+    return T.document_logs(spark, d).select("log_id", F.md5(S.mask_line(F.regexp_replace("body", r"[^\x00-\x7F]", "x"))).alias("masked"))
 
 
 @_query(
-    f"""WITH {V.ORD}, {V.NODES}, r AS (SELECT *, errors / spans AS rate FROM nodes) SELECT service_name, round(greatest(0, 1 - 5 * rate - CASE WHEN avg_ms > 200 THEN (avg_ms - 200) / 2000 ELSE 0 END) * 100) / 100 AS score,
+    f"""WITH {V.ORD1}, {V.NODES}, r AS (SELECT *, errors / spans AS rate FROM nodes) SELECT service_name, round(greatest(0, 1 - 5 * rate - CASE WHEN avg_ms > 200 THEN (avg_ms - 200) / 2000 ELSE 0 END) * 100) / 100 AS score,
 concat_ws('; ', CASE WHEN rate > 0.05 THEN 'high error rate: ' || floor(rate * 100)::BIGINT || '%' END, CASE WHEN avg_ms > 150 THEN 'p99 latency exceeds 500ms' END) AS alerts FROM r"""
 )
 def service_alerts(spark, d):
-    nodes = traffic.service_map_nodes(T.order_spans(spark, d))
+    nodes = traffic.service_map_nodes(_one(T.order_spans(spark, d)))
     rate = F.col("errors") / F.col("spans")
     slow = F.when(F.col("avg_ms") > 150, 501.0).otherwise(1.0)
     return nodes.select("service_name", S.health_score_fallback(rate, F.col("avg_ms")).alias("score"), F.array_join(S.alerts(rate, slow), "; ").alias("alerts"))
@@ -163,12 +163,12 @@ def bucket_page(spark, d):
 
 
 @_query(
-    f"""WITH {V.ORD}, {V.NODES}, s AS (SELECT service_name, errors / spans AS rate, greatest(0.0, least(1.0, 1 - 5 * (errors / spans) - 0.1 * greatest(0.0, (avg_ms - 100) / 100))) AS score FROM nodes),
+    f"""WITH {V.ORD1}, {V.NODES}, s AS (SELECT service_name, errors / spans AS rate, greatest(0.0, least(1.0, 1 - 5 * (errors / spans) - 0.1 * greatest(0.0, (avg_ms - 100) / 100))) AS score FROM nodes),
 b AS (SELECT service_name, round(score, 6) AS score, CASE WHEN score >= 0.9 THEN 3 WHEN score >= 0.7 THEN 1 ELSE 0 END AS bucket FROM s)
 SELECT service_name, score, (CASE WHEN bucket = 3 AND service_name LIKE 'sup-1%' THEN 2 ELSE bucket END)::BIGINT AS bucket, row_number() OVER (ORDER BY CASE WHEN bucket = 3 AND service_name LIKE 'sup-1%' THEN 2 ELSE bucket END, score, service_name)::BIGINT AS rank FROM b"""
 )
 def worst_first(spark, d):
-    nodes = traffic.service_map_nodes(T.order_spans(spark, d))
+    nodes = traffic.service_map_nodes(_one(T.order_spans(spark, d)))
     score = S.health_score(F.col("errors") / F.col("spans"), F.col("avg_ms"))
     scored = nodes.select("service_name", F.round(score, 6).alias("score"), S.health_status(score).alias("state"))
     return identity.worst_first(scored, F.col("service_name").startswith("sup-1")).select("service_name", "score", "bucket", "rank")
@@ -291,5 +291,5 @@ def correlated_logs(spark, d):
 
 @_query()
 def log_clusters(spark, d):
-    mined = T.document_logs(spark, d).withColumn("template", F.array_join(F.slice(S.mask_tokens(F.col("body")), 1, 2), " "))
-    return logs.clusters(mined).select("cluster_id", "service_name", "template", "n")
+    mined = logs.with_template(T.document_logs(spark, d))
+    return logs.clusters(mined).select("cluster_id", "tenant_id", "service_name", "template", "n")

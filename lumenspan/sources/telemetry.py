@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import STATUS_ERROR, STATUS_UNSET
@@ -16,10 +16,15 @@ def _status(error):
     return F.when(error, STATUS_ERROR).otherwise(STATUS_UNSET)
 
 
+def tenant_of(key) -> Column:
+    """The adapters' tenant of a key: a third of the keys are another one's."""
+    return F.when(F.col(key) % 3 == 0, "tenant-b").otherwise("default").alias("tenant_id")
+
+
 def event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One root span for each event."""
     return table(spark, sf_dir, "events").select(
-        F.lit("default").alias("tenant_id"),
+        tenant_of("user_id"),
         F.col("user_id").cast("string").alias("trace_id"),
         F.col("event_id").cast("string").alias("span_id"),
         F.lit("").alias("parent_span_id"),
@@ -35,6 +40,7 @@ def event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A root span for each order, and a child for each of its lines."""
     roots = table(spark, sf_dir, "orders").select(
+        tenant_of("o_orderkey"),
         F.col("o_orderkey").cast("string").alias("trace_id"),
         F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("span_id"),
         F.lit("").alias("parent_span_id"),
@@ -47,6 +53,7 @@ def order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     order = Window.partitionBy("l_orderkey").orderBy(*[c for c in lines.columns if c != "l_orderkey"])
     children = lines.withColumn("rn", F.row_number().over(order)).select(
+        tenant_of("l_orderkey"),
         F.col("l_orderkey").cast("string").alias("trace_id"),
         F.concat(F.lit("l"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("rn").cast("string")).alias("span_id"),
         F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("parent_span_id"),
@@ -56,14 +63,14 @@ def order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("l_extendedprice").cast("long").alias("duration_us"),
         _status(F.col("l_returnflag") == "R").alias("status"),
     )
-    return roots.unionByName(children).withColumn("tenant_id", F.lit("default"))
+    return roots.unionByName(children)
 
 
 def conversation_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chain of spans for each conversation: each turn is the child of the one before."""
     conv, turn = F.col("conv_id"), F.col("turn")
     return table(spark, sf_dir, "conversations").select(
-        F.lit("default").alias("tenant_id"),
+        tenant_of("conv_id"),
         conv.cast("string").alias("trace_id"),
         (conv * 1000 + turn).cast("string").alias("span_id"),
         F.when(turn > 0, (conv * 1000 + turn - 1).cast("string")).otherwise("").alias("parent_span_id"),
@@ -77,7 +84,7 @@ def conversation_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
-        F.lit("default").alias("tenant_id"),
+        tenant_of("doc_id"),
         (F.col("doc_id") % 97).cast("string").alias("trace_id"),
         F.col("doc_id").alias("log_id"),
         F.when(F.col("lang") == "en", "INFO").when(F.col("lang") == "de", "WARN").when(F.col("lang") == "fr", "ERROR").otherwise("DEBUG").alias("severity"),
@@ -89,7 +96,7 @@ def document_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
-        F.lit("default").alias("tenant_id"),
+        tenant_of("user_id"),
         F.concat(F.lit("svc-"), (F.col("user_id") % 8).cast("string")).alias("service_name"),
         F.col("event_type").alias("name"),
         "value",
