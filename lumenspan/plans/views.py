@@ -3,7 +3,7 @@
 EVT = """spans AS (SELECT CASE WHEN user_id % 3 = 0 THEN 'tenant-b' ELSE 'default' END AS tenant_id, user_id::VARCHAR AS trace_id, event_id::VARCHAR AS span_id, '' AS parent_span_id, event_type AS operation_name,
   'svc-' || (user_id % 8) AS service_name, ts AS start_time, round(value * 1000)::BIGINT AS duration_us,
   CASE WHEN event_type = 'error' THEN 'STATUS_CODE_ERROR' ELSE 'STATUS_CODE_UNSET' END AS status, props FROM events)"""
-ORD = """lines AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS rn FROM lineitem),
+ORD = """lines AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey, l_shipdate, l_extendedprice, l_returnflag) AS rn FROM lineitem),
 spans AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'tenant-b' ELSE 'default' END AS tenant_id, o_orderkey::VARCHAR AS trace_id, 'o' || o_orderkey AS span_id, '' AS parent_span_id, 'order' AS operation_name, o_orderpriority AS service_name,
   o_orderdate AS start_time, round(o_totalprice)::BIGINT AS duration_us, CASE WHEN o_orderstatus = 'P' THEN 'STATUS_CODE_ERROR' ELSE 'STATUS_CODE_UNSET' END AS status FROM orders
  UNION ALL SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'tenant-b' ELSE 'default' END, l_orderkey::VARCHAR, 'l' || l_orderkey || '-' || rn, 'o' || l_orderkey, 'line', 'sup-' || (l_suppkey % 10), l_shipdate, round(l_extendedprice)::BIGINT,

@@ -38,7 +38,7 @@ def event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A root span for each order, and a child for each of its lines."""
+    """A root span for each order, and a child for each of its lines, numbered by what a span needs of a line."""
     roots = table(spark, sf_dir, "orders").select(
         tenant_of("o_orderkey"),
         F.col("o_orderkey").cast("string").alias("trace_id"),
@@ -51,7 +51,7 @@ def order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         _status(F.col("o_orderstatus") == "P").alias("status"),
     )
     lines = table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy(*[c for c in lines.columns if c != "l_orderkey"])
+    order = Window.partitionBy("l_orderkey").orderBy("l_suppkey", "l_shipdate", "l_extendedprice", "l_returnflag")
     children = lines.withColumn("rn", F.row_number().over(order)).select(
         tenant_of("l_orderkey"),
         F.col("l_orderkey").cast("string").alias("trace_id"),
