@@ -6,7 +6,7 @@ hexadecimal strings, keys with a public prefix), unless a word of ``CHECKSUMS``
 The words and signs left and right of each seed make lexical patterns, and so do those of every
 other identifier-shaped token (letters, digits, ``-`` and ``_``; eight characters or more; a
 digit among them). What a base pattern matched and its test rejected, such as a number that fails
-the Luhn test, is known not to be one: it counts against its contexts, as checksums do. Patterns
+the Luhn test, is known not to be one, unless it is part of a telling token: it counts against its contexts, as checksums do. Patterns
 and instances form a graph, scored in rounds: a pattern is as sure as the mean certainty of the
 distinct instances it extracts, an instance as sure as its accepted patterns leave it (noisy or).
 Certainties only grow, and the rounds go on until none does; the driver learns counts and a sum.
@@ -151,7 +151,7 @@ def extract(docs: DataFrame) -> DataFrame:
     def token_kind(rejected, t):
         cue = F.regexp_extract(t["left"], r"([\p{L}\p{N}_]+)", 1).isin(*CHECKSUMS)
         telling = t["value"].rlike(TELLING)
-        return F.when(_meets(rejected, t) | (telling & cue), "no").when(telling, "key").otherwise("id")
+        return F.when(telling, F.when(cue, "no").otherwise("key")).when(_meets(rejected, t), "no").otherwise("id")
 
     open_tokens = _let(_by_piece(F.col("text"), F.col("all")), lambda held: F.filter("token", lambda t: ~_meets(held, t)))
     tokens = _let(_by_piece(F.col("text"), F.col("rejected")), lambda held: F.transform(open_tokens, lambda t: item(token_kind(held, t), t)))
