@@ -188,3 +188,67 @@ def window_start(ts: Column, seconds: int = 300) -> Column:
 def resource_slot(attributes: Column, *names: str) -> Column:
     """The first attribute of a JSON object that is present and not empty."""
     return F.coalesce(*[F.nullif(F.get_json_object(attributes, f"$['{n}']"), F.lit("")) for n in names])
+
+
+#: Offset basis (as two halves) and the low part of the prime 2**40 + 435 of 64-bit FNV-1a.
+FNV_HIGH, FNV_LOW, FNV_PRIME = 0xCBF29CE4, 0x84222325, 435
+
+
+def fnv1a(text: Column) -> Column:
+    """64-bit FNV-1a of the text's UTF-8, as 16 hex digits, in two halves of 32 bits so that nothing overflows."""
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"))
+    octets = F.transform(pairs, lambda p: F.conv(p, 16, 10).cast("long"))
+    low32 = lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+
+    def step(state, octet):
+        low = state["low"].bitwiseXOR(octet)
+        high = F.shiftright(low * FNV_PRIME, 32) + state["high"] * FNV_PRIME + F.shiftleft(low, 8)
+        return F.struct(low32(high).alias("high"), low32(low * FNV_PRIME).alias("low"))
+
+    start = F.struct(F.lit(FNV_HIGH).cast("long").alias("high"), F.lit(FNV_LOW).cast("long").alias("low"))
+    return F.aggregate(octets, start, step, lambda s: F.lower(F.concat(F.lpad(F.hex(s["high"]), 8, "0"), F.lpad(F.hex(s["low"]), 8, "0"))))
+
+
+def producer_id(instance: Column, namespace: Column, service: Column, host: Column, workload: Column) -> Column:
+    """Hash of the instance id, else of the other four; never all zeros, which stand for an unknown producer."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    four = F.concat(F.lit("t\x00"), *[F.concat(text(c), F.lit("\x00")) for c in (namespace, service, host, workload)])
+    key = fnv1a(F.when(text(instance) != "", F.concat(F.lit("i\x00"), instance)).otherwise(four))
+    return F.when(key == "0" * 16, "0" * 15 + "1").otherwise(key)
+
+
+#: Microseconds of each unit of a duration.
+UNITS = {"ns": 1e-3, "us": 1.0, "µs": 1.0, "μs": 1.0, "ms": 1e3, "s": 1e6, "m": 6e7, "h": 3.6e9}
+
+
+def parse_duration(text: Column) -> Column:
+    """Microseconds of a duration such as 1h30m or -2.5s; null if malformed."""
+    part = r"([0-9]+\.?[0-9]*|\.[0-9]+)(ns|us|µs|μs|ms|s|m|h)"
+    numbers, units = (F.regexp_extract_all(text, F.lit(part), F.lit(i)) for i in (1, 2))
+    factor = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
+    total = F.aggregate(F.zip_with(numbers, units, lambda n, u: n.cast("double") * factor[u]), F.lit(0.0), lambda a, x: a + x)
+    return F.when(text.rlike(rf"^[+-]?({part})+$"), F.when(text.startswith("-"), -total).otherwise(total)).when(text.rlike("^[+-]?0$"), 0.0)
+
+
+def parse_moment(text: Column) -> Column:
+    """An RFC 3339 time; null if malformed."""
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"), F.try_to_timestamp(text))
+
+
+def alerts_by_mean(error_rate: Column, mean_ms: Column) -> Column:
+    """Alerts of the system graph."""
+    return F.filter(
+        F.array(
+            F.when(error_rate > 0.05, "error rate above 5%"), F.when(error_rate > 0.10, "error rate above 10% — investigate immediately"),
+            F.when(mean_ms > 500, "avg latency above 500ms"), F.when(mean_ms > 1000, "avg latency above 1s — SLA breach risk"),
+        ),
+        lambda x: x.isNotNull(),
+    )
+
+
+def valid_series(signal: Column, status: Column, http_class: Column, method: Column, variant: Column) -> Column:
+    """Whether a series key's parts are in range and fit its signal: only traces have a class, method and kind."""
+    kinds = ("unspecified", "internal", "server", "client", "producer", "consumer")
+    known = http_class.between(0, 5) & method.isin("NONE", "OTHER", *METHODS) & variant.isin(*kinds) & signal.isin("trace", "edge", "log", "metric", "system")
+    bare = (http_class == 0) & (method == "NONE") & (variant == "unspecified")
+    return F.coalesce(known & status.isNotNull() & ((signal == "trace") | bare), F.lit(False))

@@ -94,6 +94,23 @@ def shortest_path(edges: DataFrame, source: str) -> DataFrame:
     return best.select(F.col("node").alias("service"), "distance")
 
 
+def shortest_routes(edges: DataFrame, source: str) -> DataFrame:
+    """(service, distance, path) as ``shortest_path``, with the services on the way; of equal ways the first by name.
+
+    Distances are kept to twelve places, so that sums in another order are still equal.
+    """
+    w = edges.select(F.col("caller").alias("a"), F.col("callee").alias("b"), "calls").union(edges.select(F.col("callee").alias("a"), F.col("caller").alias("b"), "calls"))
+    w = settled(w.groupBy("a", "b").agg((1.0 / F.max("calls")).alias("w")))
+    best = moved = settled(edges.sparkSession.createDataFrame([(source, (0.0, [source]))], "node string, way struct<distance:double, path:array<string>>"))
+    while not moved.isEmpty():
+        way = F.struct(F.round(F.col("way.distance") + F.col("w"), 12).alias("distance"), F.array_append("way.path", F.col("b")).alias("path"))
+        near = moved.join(w, moved["node"] == w["a"]).where(~F.array_contains("way.path", F.col("b"))).groupBy(F.col("b").alias("node")).agg(F.min(way).alias("nearer"))
+        both = settled(best.join(near, "node", "full"))
+        moved = both.where(F.col("way").isNull() | (F.col("nearer") < F.col("way"))).select("node", F.col("nearer").alias("way"))
+        best = both.select("node", F.least("way", "nearer").alias("way"))
+    return best.select(F.col("node").alias("service"), "way.distance", "way.path")
+
+
 def root_causes(chains: DataFrame, anomalies: DataFrame) -> DataFrame:
     """Services by evidence: one point for each chain that roots in it, two for each anomaly of it."""
     evidence = chains.select(F.col("root_service").alias("service"), F.lit(1).alias("points")).unionByName(anomalies.select("service", F.lit(2).alias("points")))

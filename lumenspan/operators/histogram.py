@@ -60,6 +60,15 @@ def fold_exponential(points: DataFrame, keys: list[str]) -> DataFrame:
     return binned.groupBy(*keys, "scale", "bin").agg(F.sum("c").alias("count"))
 
 
+def exponential_scalars(points: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, observations, sum, percentiles) of all exponential points, with those that no sketch can take.
+
+    A negative scale, or a negative observation, leaves its series without percentiles but not without counts.
+    """
+    fits = (F.col("scale") >= 0) & (F.coalesce("negative", F.lit(0)) == 0)
+    return points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("observations"), F.sum("sum").alias("sum"), F.min(fits).alias("percentiles"))
+
+
 def quantile_with_tail(folded: DataFrame, keys: list[str], q: float) -> DataFrame:
     """(keys, value, is_lower_bound): a quantile in the unbounded tail is answered by its lower end."""
     flat = folded.select(*keys, F.explode("bins").alias("b")).select(*keys, F.col("b.bin").alias("bin"), F.col("b.c").alias("count"))

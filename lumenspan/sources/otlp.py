@@ -10,6 +10,8 @@ _ATTRS = f"ARRAY<STRUCT<key:STRING,value:{_VALUE}>>"
 _RESOURCE = f"resource:STRUCT<attributes:{_ATTRS}>"
 _POINT = f"STRUCT<attributes:{_ATTRS},startTimeUnixNano:STRING,timeUnixNano:STRING,asDouble:DOUBLE,asInt:STRING,flags:INT>"
 _HIST = f"STRUCT<attributes:{_ATTRS},timeUnixNano:STRING,count:STRING,sum:DOUBLE,min:DOUBLE,max:DOUBLE,bucketCounts:ARRAY<STRING>,explicitBounds:ARRAY<DOUBLE>>"
+_BUCKETS = "STRUCT<offset:INT,bucketCounts:ARRAY<STRING>>"
+_EXPONENTIAL = f"STRUCT<attributes:{_ATTRS},timeUnixNano:STRING,count:STRING,sum:DOUBLE,scale:INT,zeroCount:STRING,positive:{_BUCKETS},negative:{_BUCKETS}>"
 TRACE_SCHEMA = (
     f"resourceSpans ARRAY<STRUCT<{_RESOURCE},scopeSpans:ARRAY<STRUCT<spans:ARRAY<STRUCT<traceId:STRING,spanId:STRING,parentSpanId:STRING,name:STRING,kind:INT,"
     f"startTimeUnixNano:STRING,endTimeUnixNano:STRING,attributes:{_ATTRS},status:STRUCT<code:INT,message:STRING>,events:ARRAY<STRUCT<name:STRING,timeUnixNano:STRING,attributes:{_ATTRS}>>>>>>>>"
@@ -19,14 +21,15 @@ LOG_SCHEMA = (
 )
 METRIC_SCHEMA = (
     f"resourceMetrics ARRAY<STRUCT<{_RESOURCE},scopeMetrics:ARRAY<STRUCT<metrics:ARRAY<STRUCT<name:STRING,gauge:STRUCT<dataPoints:ARRAY<{_POINT}>>,"
-    f"sum:STRUCT<aggregationTemporality:INT,isMonotonic:BOOLEAN,dataPoints:ARRAY<{_POINT}>>,histogram:STRUCT<aggregationTemporality:INT,dataPoints:ARRAY<{_HIST}>>>>>>>>"
+    f"sum:STRUCT<aggregationTemporality:INT,isMonotonic:BOOLEAN,dataPoints:ARRAY<{_POINT}>>,histogram:STRUCT<aggregationTemporality:INT,dataPoints:ARRAY<{_HIST}>>,"
+    f"exponentialHistogram:STRUCT<aggregationTemporality:INT,dataPoints:ARRAY<{_EXPONENTIAL}>>,summary:STRUCT<dataPoints:ARRAY<STRUCT<timeUnixNano:STRING>>>>>>>>>"
 )
 DEFAULT_SERVICE = "unknown-service"
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Export requests, one for each line; gzip is read as it is."""
-    return spark.read.schema(schema).json(path)
+def read_json(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """Export requests, one for each line, or one for each file; gzip is read as it is."""
+    return spark.read.schema(schema).json(path, multiLine=multi_line)
 
 
 def attribute(attrs: Column, key: str) -> Column:
@@ -96,6 +99,32 @@ def histogram_points(requests: DataFrame) -> DataFrame:
     )
 
 
+def _metrics(requests: DataFrame) -> DataFrame:
+    return requests.select(F.explode("resourceMetrics").alias("r")).select(_service(F.col("r.resource")).alias("service_name"), F.explode("r.scopeMetrics").alias("s")).select("service_name", F.explode("s.metrics").alias("m"))
+
+
+def exponential_points(requests: DataFrame) -> DataFrame:
+    """Exponential points of delta temporality in the shape that the folding takes; ``negative`` counts what is below zero."""
+    h = _metrics(requests).where("m.exponentialHistogram.aggregationTemporality = 1").select("service_name", F.col("m.name").alias("name"), F.explode("m.exponentialHistogram.dataPoints").alias("p"))
+    longs = lambda c: F.coalesce(F.transform(c, lambda x: x.cast("long")), F.array().cast("array<long>"))
+    return h.select(
+        "service_name", "name", _nanos(F.col("p.timeUnixNano")).alias("timestamp"), F.coalesce("p.scale", F.lit(0)).alias("scale"), F.coalesce("p.positive.offset", F.lit(0)).alias("offset"), longs("p.positive.bucketCounts").alias("counts"),
+        F.coalesce(F.col("p.zeroCount").cast("long"), F.lit(0)).alias("zeros"), F.aggregate(longs("p.negative.bucketCounts"), F.lit(0).cast("long"), lambda a, x: a + x).alias("negative"), F.col("p.count").cast("long").alias("count"), "p.sum",
+    )
+
+
+def rejected_points(requests: DataFrame) -> DataFrame:
+    """(service_name, reason, n): points that aren't taken: histograms that are not deltas, and all summaries."""
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    kinds = [
+        ("temporality", F.when(F.coalesce("m.histogram.aggregationTemporality", F.lit(0)) != 1, size("m.histogram.dataPoints"))),
+        ("temporality", F.when(F.coalesce("m.exponentialHistogram.aggregationTemporality", F.lit(0)) != 1, size("m.exponentialHistogram.dataPoints"))),
+        ("summary", size("m.summary.dataPoints")),
+    ]
+    rows = _metrics(requests).select("service_name", F.explode(F.array(*[F.struct(F.lit(r).alias("reason"), F.coalesce(n, F.lit(0)).alias("n")) for r, n in kinds])).alias("x"))
+    return rows.where("x.n > 0").groupBy("service_name", F.col("x.reason").alias("reason")).agg(F.sum("x.n").alias("n"))
+
+
 def synthesized_logs(span_rows: DataFrame, per_span: int = 8) -> DataFrame:
     """A log for each event of a span, and one for a failed span without an exception event; at most ``per_span``."""
     message = lambda e: F.coalesce(attribute(e["attributes"], "exception.message"), e["name"])

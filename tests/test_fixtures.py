@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.functions import scalars as S
 from lumenspan.functions import sketch
-from lumenspan.operators import anomaly, counters, graph, histogram, logs, rollup, sampling, traffic
+from lumenspan.operators import anomaly, counters, graph, histogram, logs, merging, rollup, sampling, traffic
 from lumenspan.sources import sinks
 from lumenspan.streaming import pipelines
 
@@ -255,3 +255,53 @@ def test_anomaly_upsert_and_late_split(spark, tmp_path):
     sinks.append(df.withColumn("tenant_id", F.lit("one")), str(tmp_path / "out"), "moment")
     sinks.append(df.withColumn("tenant_id", F.lit("two")), str(tmp_path / "out"), "moment")
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("tenant_id", "date").count().count() == 2
+
+
+def test_miner_of_a_tenant_drops_the_template_used_longest_ago(spark):
+    lines = [("one", "a b c d e f"), ("two", "k l m n o p"), ("one", "a b c d e g"), ("two", "u v w x y z"), ("two", "k l m n o q")]
+    rows = [(t, v, NOON + timedelta(seconds=i), i, b) for t in ("t1", "t2") for i, (v, b) in enumerate(lines)]
+    df = spark.createDataFrame(rows, "tenant_id string, service_name string, timestamp timestamp, log_id long, body string")
+    got = sorted(map(tuple, logs.mine_templates(df, 2, ["tenant_id"], evict=True).collect()))
+    # the third line widens the first template, so the fourth takes the second's place and the fifth the first's
+    assert got == sorted((t, x, n) for t in ("t1", "t2") for x, n in (("a b c d e <*>", 2), ("k l m n o p", 1), ("u v w x y z", 1), ("k l m n o q", 1)))
+    assert {r["template"] for r in logs.with_template(df, 2, ["tenant_id"], evict=True).where("log_id in (0, 2)").collect()} == {"a b c d e <*>"}
+
+
+def test_hash_by_published_vectors(spark):
+    texts = {"": "cbf29ce484222325", "a": "af63dc4c8601ec8c", "foobar": "85944171f73967e8"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.fnv1a(F.col("t")).alias("h"))
+    assert dict(map(tuple, df.collect())) == texts
+
+
+def test_durations_and_moments(spark):
+    cases = {"1h30m": 5.4e9, "-1.5s": -1.5e6, "2us": 2.0, "+.5ms": 500.0, "0": 0.0, "": None, "5": None, "h": None, "1h ": None, "1d": None, None: None}
+    got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", S.parse_duration(F.col("t")))
+    assert dict(map(tuple, got.collect())) == cases
+    moments = {"2026-06-01T12:00:00Z": NOON, "2026-06-01T14:00:00+02:00": NOON, "2026-06-01T12:00:00": None, "2026-13-01T12:00:00Z": None, None: None}
+    got = spark.createDataFrame([(t,) for t in moments], "t string").select("t", S.parse_moment(F.col("t")))
+    assert dict(map(tuple, got.collect())) == moments
+
+
+def test_shortest_route(spark):
+    edges = [(f"n{k}", f"n{k + 1}", 100) for k in range(9)] + [("n0", "n9", 2), ("n0", "m", 100), ("m", "n2", 100)]  # m is as near as n1, and first by name
+    got = {r["service"]: r["path"] for r in graph.shortest_routes(spark.createDataFrame(edges, "caller string, callee string, calls long"), "n0").collect()}
+    assert got["n9"] == ["n0", "m"] + [f"n{k}" for k in range(2, 10)] and got["n1"] == ["n0", "n1"] and got["n0"] == ["n0"]
+
+
+def test_pages_and_marks(spark):
+    df = spark.range(30).select("id", (F.col("id") % 3).alias("k"))
+    assert [tuple(r) for r in merging.counted_page(df, [F.col("id")], 0, -4).collect()] == [(0, 0, 30)]
+    seen, mark = [], None
+    while rows := merging.read_above(df, mark, ["k", "id"], 7).collect():
+        seen += [(r["k"], r["id"]) for r in rows]
+        mark = seen[-1]
+    assert seen == sorted((i % 3, i) for i in range(30))
+
+
+def test_merging_of_nothing(spark):
+    gauges = spark.createDataFrame([], "k string, n long, sum double, min double, max double, last double, last_time timestamp")
+    assert merging.merge_gauges(gauges, ["k"]).count() == 0
+    no_point = spark.createDataFrame([("a", 0, 9.0, 9.0, 9.0, 9.0, NOON), ("a", 1, 2.0, 2.0, 2.0, 2.0, NOON - timedelta(hours=1))], gauges.schema)
+    assert tuple(merging.merge_gauges(no_point, ["k"]).first()) == ("a", 1, 2.0, 2.0, 2.0, 2.0, NOON - timedelta(hours=1))
+    spans = spark.createDataFrame([], "tenant_id string, service_name string, span_id string, start_time timestamp, duration_us long, status string")
+    assert merging.service_nodes(spans, 60).count() == 0

@@ -97,3 +97,40 @@ def test_sink_is_idempotent(spark, tmp_path):
     for _ in range(2):
         sink(_spans(spark, 10), 0)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def test_otlp_exponential_and_rejected(spark, tmp_path):
+    point = {"timeUnixNano": str(NANOS), "count": "6", "sum": 9.5, "scale": 3, "positive": {"offset": -1, "bucketCounts": ["2", "3"]}, "negative": {"offset": 0, "bucketCounts": ["1"]}}
+    metrics = [
+        {"name": "e", "exponentialHistogram": {"aggregationTemporality": 1, "dataPoints": [point, {"timeUnixNano": str(NANOS), "count": "0"}]}}, {"name": "c", "exponentialHistogram": {"aggregationTemporality": 2, "dataPoints": [point]}},
+        {"name": "h", "histogram": {"dataPoints": [{"count": "1"}, {"count": "2"}]}}, {"name": "q", "summary": {"dataPoints": [{}, {}, {}]}}, {"name": "g", "gauge": {"dataPoints": []}},
+    ]
+    doc = {"resourceMetrics": [{"resource": {"attributes": [_attr("service.name", "api")]}, "scopeMetrics": [{"metrics": metrics}]}]}
+    (tmp_path / "x.json").write_text(json.dumps(doc, indent=1))
+    requests = otlp.read_json(spark, str(tmp_path), otlp.METRIC_SCHEMA, multi_line=True)
+    got = [tuple(r) for r in otlp.exponential_points(requests).drop("timestamp").orderBy("count").collect()]
+    assert got == [("api", "e", 0, 0, [], 0, 0, 0, None), ("api", "e", 3, -1, [2, 3], 0, 1, 6, 9.5)]
+    assert {tuple(r) for r in otlp.rejected_points(requests).collect()} == {("api", "temporality", 3), ("api", "summary", 3)}
+
+
+def test_tables_of_a_batch_stand_together(spark, tmp_path):
+    path = str(tmp_path / "out")
+    sink = sinks.write_together(path, {"spans": (lambda df: df, "start_time"), "failed": (lambda df: df.where("status = 'STATUS_CODE_ERROR'"), "start_time")})
+    for batch in (0, 0, 1):
+        sink(_spans(spark, 10), batch)
+    assert [sinks.read_committed(spark, path, t).count() for t in ("spans", "failed")] == [20, 4]
+    (tmp_path / "out/committed/batch=1").rename(tmp_path / "aside")  # as if the driver was lost before the mark
+    assert [sinks.read_committed(spark, path, t).count() for t in ("spans", "failed")] == [10, 2]
+
+
+def test_stream_rollup_is_final_after_the_watermark(spark, tmp_path):
+    early = _spans(spark, 60)
+    one = lambda name, at: spark.createDataFrame([("default", "t", name, "", "op", "svc", at, 1, "STATUS_CODE_UNSET", 1, None)], SPANS)
+    # the watermark of a batch takes effect in the second one after it, so the late span comes in the fourth
+    for df in (early, one("x", NOON + timedelta(hours=2)), one("y", NOON + timedelta(hours=2, minutes=1)), one("late", NOON)):
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    keys = ["tenant_id", "service_name", "operation_name"]
+    got = _run(pipelines.rollup(pipelines.file_stream(spark, str(tmp_path / "in"), SPANS, 1)), "finals")
+    columns = ["window", *keys, "n", "errors", "duration_sum"]
+    want = sorted(map(tuple, rollup.reduce_spans(early, keys).select(columns).collect()))
+    assert sorted(map(tuple, got.select(columns).collect())) == want  # neither the late span nor the windows still open
