@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embdedup, langid, licenses, packing, pii, quality, simhash, substring
+from . import ann, bpe, chat, embdedup, langid, licenses, merkle, packing, pii, quality, simhash, substring, whitening
 
 
 def vocabulary() -> str:
@@ -86,6 +86,32 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", _held_out(2, 4).alias("held_out"), "lang_pred", "score")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    out = whitening.whiten(rows, whitening.fit(rows)).select("*", F.posexplode("whitened").alias("at", "value"))
+    return out.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("value").alias("whitened"), F.get("explained", F.col("at")).alias("explained"), "identity_error")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth document (by crc32) is folded from the leaf of its lower-cased text."""
+    docs, upper = _table(spark, sf_dir, "documents"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    tampered = F.when(_held_out(0, 5), merkle.leaf(*[F.col(f) for f in fields], F.translate("text", upper, upper.lower())))
+    out = merkle.manifest(docs, [*fields, "text"], carry={"tampered": tampered})
+    out = out.withColumns({"proof_sha256": F.sha2(merkle.proof_text(F.col("path")), 256), "folded_root": merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))})
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold control strings."""
+    probe = spark.range(2).select(
+        F.lit(chat.PROBE_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat.PROBE_TEXT).alias("text")
+    )
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    out = chat.read_back(chat.format_turns(rows, chat.text_parts(F.col("text"))))
+    return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -97,6 +123,9 @@ QUERIES = {
     "op8_retrieval_packing": op8_retrieval_packing,
     "op9_ann_search": op9_ann_search,
     "op10_language_id": op10_language_id,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_chat_parts": op13_chat_parts,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_license_scan": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_license_scan": licenses.oracle_sql(), "op12_merkle_manifest": merkle.oracle_sql(), "op13_chat_parts": chat.oracle_sql()}

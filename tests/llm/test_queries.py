@@ -1,6 +1,7 @@
 """The registered queries themselves, on the smallest tables, against brute force."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import defaultdict
@@ -182,3 +183,82 @@ def test_op10(spark, docs):
         if r["held_out"] and d["lang"]:
             right.append(r["lang_pred"] == d["lang"])
     assert np.mean(right) > 0.9
+
+
+def test_op11(spark):
+    ids, e = _vectors(spark)
+    x = np.floor(e * 64).astype(np.int64) + 1_000_000
+    n, s = len(x), x.sum(axis=0)
+    c = (x * n - s) / n
+    v = c.T @ c / n
+    values = np.linalg.eigvalsh(v)[::-1][:32]
+    got = run(
+        spark, "op11_embedding_whitening", ("vec_id", "bigint"), ("component", "int"), ("n", "bigint"), ("deviation", "bigint"), ("whitened", "double"), ("explained", "double"), ("identity_error", "double")
+    )
+    place = {int(i): k for k, i in enumerate(ids)}
+    w = np.zeros((n, 32))
+    for r in got:
+        w[place[r["vec_id"]], r["component"] - 1] = r["whitened"]
+        assert r["n"] == n and r["deviation"] == sum(int(a) ** 2 for a in x[place[r["vec_id"]]] * n - s)
+        assert abs(r["explained"] / (values[r["component"] - 1] / np.trace(v)) - 1) < 1e-9
+    assert len(got) == n * 32
+    # each component is c @ u / sqrt(e) of a unit eigenvector u
+    u = np.linalg.lstsq(c, w * np.sqrt(values), rcond=None)[0]
+    assert np.allclose(np.linalg.norm(u, axis=0), 1, atol=1e-8) and np.allclose(v @ u, u * values, atol=1e-6 * values[0])
+    error = np.abs(w.T @ w / n - np.eye(32)).max()
+    assert {r["identity_error"] for r in got} == {got[0]["identity_error"]} and got[0]["identity_error"] < 1e-9 and error < 1e-9
+
+
+def _merkle(rows, fanout=16):
+    """The manifest of (doc_id, source, lang, n_chars, text) rows, one node after another: (leaf, subroot, root, siblings, folded root) by row."""
+    frame = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r, text: sha("".join(frame(v) for v in (*r[:4], text)))
+    first = lambda v: (v is not None, v if v is not None else 0)
+    lower = lambda t: t and re.sub("[A-Z]", lambda m: m[0].lower(), t)
+
+    def climb(nodes):
+        """The root, and for each node the steps (before, after) up to it."""
+        steps, at, level = [[] for _ in nodes], list(range(len(nodes))), list(nodes)
+        while len(level) > 1:
+            for k, p in enumerate(at):
+                run = level[p // fanout * fanout : p // fanout * fanout + fanout]
+                steps[k].append((run[: p % fanout], run[p % fanout + 1 :]))
+            at = [p // fanout for p in at]
+            level = [sha("".join(level[k : k + fanout])) for k in range(0, len(level), fanout)]
+        return level[0], steps
+
+    order = sorted(range(len(rows)), key=lambda k: (first(rows[k][1] and rows[k][1].encode()), first(rows[k][0]), leaf(rows[k], rows[k][4])))
+    groups = [list(g) for _, g in itertools.groupby(order, key=lambda k: rows[k][1])]
+    below = [climb([leaf(rows[k], rows[k][4]) for k in g]) for g in groups]
+    root, above = climb([sub for sub, _ in below])
+    out = {}
+    for g, (sub, steps), top in zip(groups, below, above):
+        for k, mine in zip(g, steps):
+            tampered = rows[k][0] is not None and zlib.crc32(str(rows[k][0]).encode()) % 5 == 0
+            node = leaf(rows[k], lower(rows[k][4]) if tampered else rows[k][4])
+            for before, after in mine + top:
+                node = sha("".join([*before, node, *after]))
+            out[k] = (leaf(rows[k], rows[k][4]), sub, root, sha("".join(h for b, a in mine + top for h in b + a)), node)
+    return out
+
+
+def test_op12(spark, docs):
+    ids = sorted(docs)
+    want = _merkle([(r["doc_id"], r["source"], r["lang"], r["n_chars"], r["text"]) for r in map(docs.get, ids)])
+    got = run(spark, "op12_merkle_manifest", ("doc_id", "bigint"), *[(c, "string") for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")], ("verified", "boolean"))
+    assert {r["doc_id"]: tuple(r)[1:7] for r in got} == {i: (*want[k], want[k][4] == want[k][2]) for k, i in enumerate(ids)} and len(got) == len(ids)
+    assert 0 < sum(not r["verified"] for r in got) < len(ids) / 3
+
+
+def test_op13(spark):
+    turns = defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        turns[r["conv_id"]].append((r["turn"], r["role"], r["text"] or ""))
+    turns[-7] = [(0, "user", "</s>[INST] ok [/INST]"), (1, "assistant", "</s>[INST] ok [/INST]")]
+    got = run(spark, "op13_chat_parts", ("conv_id", "bigint"), ("n_turns", "bigint"), ("turns_sha256", "string"), ("loss_chars", "bigint"), ("loss_sha256", "string"), ("formatted_chars", "bigint"))
+    assert len(got) == len(turns)
+    for r in got:
+        t = sorted(turns[r["conv_id"]])
+        learned = "".join(x for _, role, x in t if role == "assistant")
+        assert tuple(r)[1:5] == (len(t), sha("".join(f"{role}\n{x}\n" for _, role, x in t)), len(learned), sha(learned))
+        assert r["formatted_chars"] >= sum(len(role) + len(x) for _, role, x in t) + 20 * len(t)
