@@ -227,7 +227,7 @@ def _merkle(rows, fanout=16):
             level = [sha("".join(level[k : k + fanout])) for k in range(0, len(level), fanout)]
         return level[0], steps
 
-    order = sorted(range(len(rows)), key=lambda k: (first(rows[k][1] and rows[k][1].encode()), first(rows[k][0]), leaf(rows[k], rows[k][4])))
+    order = sorted(range(len(rows)), key=lambda k: (first(rows[k][1]), first(rows[k][0]), leaf(rows[k], rows[k][4])))
     groups = [list(g) for _, g in itertools.groupby(order, key=lambda k: rows[k][1])]
     below = [climb([leaf(rows[k], rows[k][4]) for k in g]) for g in groups]
     root, above = climb([sub for sub, _ in below])

@@ -39,7 +39,7 @@ def test_moments_merge_in_any_order():
 
 def test_whitening_cases(spark):
     rng = np.random.default_rng(2)
-    good = [(k, list(rng.normal(size=4) * [1, 2, 3, 0])) for k in range(60)] + [(60, [0.0] * 4), (61, [0.0] * 4), (None, [1.0, 1.0, 1.0, 0.0])]
+    good = [(k, (rng.normal(size=4) * [1, 2, 3, 0]).tolist()) for k in range(60)] + [(60, [0.0] * 4), (61, [0.0] * 4), (None, [1.0, 1.0, 1.0, 0.0])]
     good += [good[3]]  # a repeated row counts twice
     bad = [(70, None), (71, [1.0, None, 1.0, 1.0]), (72, [float("nan")] * 4), (73, [float("inf")] * 4), (74, [1e300] * 4), (75, [])]
     spaces, got = white(spark, good + bad)
@@ -64,7 +64,7 @@ def test_whitening_of_one_vector_and_of_none(spark):
 
 def test_each_length_is_a_space(spark):
     rng = np.random.default_rng(3)
-    rows = [(k, list(rng.normal(size=2 + k % 2))) for k in range(40)]
+    rows = [(k, rng.normal(size=2 + k % 2).tolist()) for k in range(40)]
     spaces, got = white(spark, rows, components=2)
     assert {d: s.n for d, s in spaces.items()} == {2: 20, 3: 20} and {len(r["whitened"]) for r in got} == {2} and len(got) == 40
 
