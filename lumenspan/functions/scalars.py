@@ -86,7 +86,7 @@ def severity_tier(text: Column, number: Column) -> Column:
 def severity_rank(text: Column) -> Column:
     """Rank for the ingest gate: debug 10, info 20, warn 30, error 40, fatal 50; unknown is info."""
     up = F.upper(F.coalesce(text, F.lit("")))
-    return F.when(up.contains("DEBUG"), 10).when(up.contains("INFO"), 20).when(up.contains("WARN"), 30).when(up.contains("FATAL"), 50).when(up.contains("ERR"), 40).otherwise(20)
+    return F.when(up.contains("DEBUG"), 10).when(up.contains("INFO"), 20).when(up.contains("WARN"), 30).when(up.contains("ERR"), 40).when(up.contains("FATAL"), 50).otherwise(20)
 
 
 def is_request(parent: Column, kind: Column) -> Column:

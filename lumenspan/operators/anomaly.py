@@ -7,35 +7,36 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
+SERVICE = ["tenant_id", "service"]
 #: Guards of the detectors.
 MIN_REQUESTS, MIN_BASE_REQUESTS, MIN_BASE_WINDOWS, MIN_ELAPSED, SIGMA = 20, 100, 2, 0.25, 3.0
 
 
 def _latest(windows: DataFrame) -> DataFrame:
-    """Each service's most recent window that is closed, or far enough open, with enough requests."""
+    """The most recent window of each tenant's service that is closed, or far enough open, with enough requests."""
     ok = (F.col("n") >= MIN_REQUESTS) & (F.col("closed") | (F.col("elapsed_s") >= MIN_ELAPSED * 300))
-    w = Window.partitionBy("service").orderBy(F.desc("start"))
+    w = Window.partitionBy(*SERVICE).orderBy(F.desc("start"))
     return windows.where(ok).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
 def error_spikes(windows: DataFrame) -> DataFrame:
-    """Rate over the pooled earlier rate by three standard errors; ``windows``: (service, start, closed, final, elapsed_s, n, errors)."""
-    now = _latest(windows).select("service", F.col("start").alias("moment"), F.col("n").alias("now_n"), F.col("errors").alias("now_errors"))
-    base = windows.where("final").join(now, "service").where("start < moment").groupBy("service", "moment", "now_n", "now_errors").agg(F.count(F.lit(1)).alias("base_windows"), F.sum("n").alias("base_n"), F.sum("errors").alias("base_errors"))
+    """Rate over the pooled earlier rate by three standard errors; ``windows``: (tenant_id, service, start, closed, final, elapsed_s, n, errors)."""
+    now = _latest(windows).select(*SERVICE, F.col("start").alias("moment"), F.col("n").alias("now_n"), F.col("errors").alias("now_errors"))
+    base = windows.where("final").join(now, SERVICE).where("start < moment").groupBy(*SERVICE, "moment", "now_n", "now_errors").agg(F.count(F.lit(1)).alias("base_windows"), F.sum("n").alias("base_n"), F.sum("errors").alias("base_errors"))
     rated = base.where((F.col("base_windows") >= MIN_BASE_WINDOWS) & (F.col("base_n") >= MIN_BASE_REQUESTS)).withColumns({"rate": F.col("now_errors") / F.col("now_n"), "p": F.col("base_errors") / F.col("base_n")})
     spread = F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("now_n"))
     fires = (F.col("rate") > F.col("p")) & F.when(spread > 0, F.col("rate") >= F.col("p") + SIGMA * spread).otherwise(F.col("now_errors") > 0)
-    return rated.where(fires).select("service", "moment", "rate", "p", "base_windows", S.relative_severity(F.col("rate"), F.col("p")).alias("severity"))
+    return rated.where(fires).select(*SERVICE, "moment", "rate", "p", "base_windows", S.relative_severity(F.col("rate"), F.col("p")).alias("severity"))
 
 
 def latency_spikes(windows: DataFrame) -> DataFrame:
     """p99 over mean and three population deviations of earlier p99s, twice the mean where they have no spread."""
-    now = _latest(windows).where("p99_us > 0").select("service", F.col("start").alias("moment"), F.col("p99_us").alias("now_p99"))
-    base = windows.where(F.col("final") & (F.col("p99_us") > 0) & (F.col("n") >= MIN_REQUESTS)).join(now, "service").where("start < moment")
-    base = base.groupBy("service", "moment", "now_p99").agg(F.count(F.lit(1)).alias("base_windows"), F.avg("p99_us").alias("mean"), F.stddev_pop("p99_us").alias("sd"))
+    now = _latest(windows).where("p99_us > 0").select(*SERVICE, F.col("start").alias("moment"), F.col("p99_us").alias("now_p99"))
+    base = windows.where(F.col("final") & (F.col("p99_us") > 0) & (F.col("n") >= MIN_REQUESTS)).join(now, SERVICE).where("start < moment")
+    base = base.groupBy(*SERVICE, "moment", "now_p99").agg(F.count(F.lit(1)).alias("base_windows"), F.avg("p99_us").alias("mean"), F.stddev_pop("p99_us").alias("sd"))
     limit = F.when(F.col("sd") == 0, F.col("mean") * 2).otherwise(F.col("mean") + SIGMA * F.col("sd"))
     return base.where((F.col("base_windows") >= MIN_BASE_WINDOWS) & (F.col("now_p99") > limit) & (F.col("mean") > 0)).select(
-        "service", "moment", "now_p99", "mean", "sd", "base_windows", S.relative_severity(F.col("now_p99"), F.col("mean")).alias("severity")
+        *SERVICE, "moment", "now_p99", "mean", "sd", "base_windows", S.relative_severity(F.col("now_p99"), F.col("mean")).alias("severity")
     )
 
 

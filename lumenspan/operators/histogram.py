@@ -28,7 +28,7 @@ def fold_explicit(points: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, usable, tail_count, tail_bound, source_error, bins) of each valid delta point.
 
     Each finite bucket goes to the bin of its geometric midpoint; the unbounded one is carried
-    apart. A bucket that may hold negative values makes the point unusable for percentiles,
+    apart, with the lowest bound of all tails, as that alone holds for each of them. A bucket that may hold negative values makes the point unusable for percentiles,
     unless the reported minimum rules them out.
     """
     good = points.where(reject_reason().isNull())
@@ -44,7 +44,7 @@ def fold_explicit(points: DataFrame, keys: list[str]) -> DataFrame:
     out = rows.groupBy(*keys).agg(
         (~F.max(F.coalesce(negative, F.lit(False)))).alias("usable"),
         F.coalesce(F.sum(F.when(F.col("tail"), F.col("c"))), F.lit(0)).cast("long").alias("tail_count"),
-        F.max(F.when(F.col("tail") & (F.col("c") > 0), F.get(F.col("bounds"), F.size("bounds") - 1))).alias("tail_bound"),
+        F.min(F.when(F.col("tail") & (F.col("c") > 0), F.get(F.col("bounds"), F.size("bounds") - 1))).alias("tail_bound"),
         F.max(F.when(body, S.bucket_error(lo, F.col("upper")))).alias("source_error"),
         F.array_sort(F.collect_list(F.when(body, F.struct("bin", "c")))).alias("bins"),
     )
@@ -52,12 +52,34 @@ def fold_explicit(points: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumns({"tail_count": F.when(F.col("usable"), F.col("tail_count")).otherwise(0).cast("long"), "tail_bound": F.when(F.col("usable"), F.col("tail_bound"))})
 
 
+#: The scales that a point may have, and how many buckets a side.
+LEAST_SCALE, MOST_SCALE, MOST_BUCKETS = -10, 20, 16_384
+
+
+def exponential_reject() -> Column:
+    """Why an exponential point (scale, offset, counts, zero_count, negative, count) can't be folded; null if it can.
+
+    ``negative`` is how many observations its negative buckets hold.
+    """
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    return (
+        F.when(~F.col("scale").between(LEAST_SCALE, MOST_SCALE), "scale")
+        .when((F.size("counts") > MOST_BUCKETS) | F.exists("counts", lambda c: c < 0) | (F.col("zero_count") < 0), "buckets")
+        .when(F.col("zero_count") + total + F.col("negative") != F.col("count"), "sum_of_counts")
+        .when(F.col("negative") > 0, "negative_observations")
+        .when(F.col("scale") < 0, "negative_scale")
+    )
+
+
 def fold_exponential(points: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, scale, bin, count) of exponential points (scale, offset, counts): scales over 4 shift right to it."""
-    rows = points.where("scale >= 0").select(*keys, "scale", "offset", F.posexplode("counts").alias("i", "c")).where("c > 0")
-    to = F.least("scale", F.lit(sketch.SCALE))
-    binned = rows.select(*keys, to.alias("scale"), F.expr(f"shiftright(offset + i, scale - least(scale, {sketch.SCALE}))").alias("bin"), "c")
-    return binned.groupBy(*keys, "scale", "bin").agg(F.sum("c").alias("count"))
+    """(keys, scale, bin, count) of exponential points (scale, offset, counts, zero_count): scales over 4 shift right to it.
+
+    Zeros go to the bin that is null, below all others.
+    """
+    rows = points.where("scale >= 0").select(*keys, F.least("scale", F.lit(sketch.SCALE)).alias("to"), "scale", "offset", F.posexplode("counts").alias("i", "c"))
+    filled = rows.where("c > 0").select(*keys, F.col("to").alias("scale"), F.expr("shiftright(offset + i, scale - to)").alias("bin"), "c")
+    zeros = points.where("scale >= 0 and zero_count > 0").select(*keys, F.least("scale", F.lit(sketch.SCALE)).alias("scale"), F.lit(None).cast("int").alias("bin"), F.col("zero_count").alias("c"))
+    return filled.unionByName(zeros).groupBy(*keys, "scale", "bin").agg(F.sum("c").alias("count"))
 
 
 def exponential_scalars(points: DataFrame, keys: list[str]) -> DataFrame:

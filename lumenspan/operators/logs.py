@@ -212,8 +212,8 @@ def latest(logs: DataFrame, k: int = 50) -> DataFrame:
 
 
 def first_per_slot(logs: DataFrame, error_cap: int = 50, warn_cap: int = 20) -> DataFrame:
-    """Log exemplars of each service and window: the first errors and warnings up to their caps, nothing else."""
+    """Log exemplars of each tenant, service and window: the first errors and warnings up to their caps, nothing else."""
     slot = F.when(S.severity_rank(F.col("severity")) >= 40, "error").when(S.severity_rank(F.col("severity")) == 30, "warn")
     rows = logs.withColumn("slot", slot).where("slot is not null").withColumn("window", S.window_start(F.col("timestamp")))
-    w = Window.partitionBy("service_name", "window", "slot").orderBy("timestamp", "log_id")
+    w = Window.partitionBy("tenant_id", "service_name", "window", "slot").orderBy("timestamp", "log_id")
     return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.when(F.col("slot") == "error", error_cap).otherwise(warn_cap)).drop("rn")

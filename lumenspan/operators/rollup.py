@@ -62,12 +62,12 @@ def gauges(points: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def metric_ring(points: DataFrame, seconds: int = 30, samples: int = 256) -> DataFrame:
-    """Count and nearest-rank percentiles of the first ``samples`` points of each series and window."""
+    """Count, sum, extremes and nearest-rank percentiles of the first ``samples`` points of each series and window."""
     keys = ["tenant_id", "service_name", "name", "window"]
     rows = points.withColumn("window", S.window_start(F.col("timestamp"), seconds))
     kept = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("timestamp", "seq")))
     first = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY CASE WHEN rn <= {samples} THEN value END)")
-    return kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), first(0.5).alias("p50"), first(0.95).alias("p95"), first(0.99).alias("p99"))
+    return kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"), first(0.5).alias("p50"), first(0.95).alias("p95"), first(0.99).alias("p99"))
 
 
 def moving_mean(points: DataFrame, keys: list[str], alpha: float = 0.1) -> DataFrame:

@@ -107,13 +107,42 @@ def semantic(attributes: Column) -> dict[str, Column]:
     }
 
 
+def scalar_text(value: Column) -> Column:
+    """A VARIANT's string, whole number, truth value or double as text; null for lists, objects and nulls.
+
+    Doubles have the fewest digits that tell them apart, and an exponent below 0.0001 and from 1e21 on.
+    """
+    kind, d = F.schema_of_variant(value), F.try_variant_get(value, "$", "double")
+    java = d.cast("string")
+    small = F.concat(F.regexp_replace(F.split_part(java, F.lit("E"), F.lit(1)), r"\.0$", ""), F.lit("e-"), F.lpad(F.abs(F.split_part(java, F.lit("E"), F.lit(2)).try_cast("int")).cast("string"), 2, "0"))
+    large = F.concat(F.regexp_replace(F.split_part(java, F.lit("E"), F.lit(1)), r"\.0$", ""), F.lit("e+"), F.split_part(java, F.lit("E"), F.lit(2)))
+    plain = F.regexp_replace(F.regexp_replace(d.try_cast("decimal(38,16)").cast("string"), "0+$", ""), r"\.$", "")
+    number = F.when(d == 0, "0").when(F.abs(d) < 1e-4, small).when(F.abs(d) >= 1e21, large).otherwise(plain)
+    return (
+        F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+        .when(kind.isin("BOOLEAN", "BIGINT"), F.try_variant_get(value, "$", "string"))
+        .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), number)
+    )
+
+
 def dims(attributes: Column, names: list[str], most: int = 16) -> Column:
-    """The values of all named attributes as an array, or null if any is missing, not a scalar, or the names are too many."""
+    """The values of all named attributes as an array, or null if any is missing, not a scalar, or the names are too many.
+
+    Attributes are read as VARIANT, so a string that looks like a list is a string, and a list is none.
+    """
     if not 0 < len(names) <= most:
         return F.lit(None).cast("array<string>")
-    values = [F.get_json_object(attributes, f"$['{n}']") for n in names]
-    scalar = [v.isNotNull() & ~v.rlike(r"^\s*[\[{]") for v in values]
-    return F.when(reduce(lambda a, b: a & b, scalar), F.array(*values))
+    parsed = F.try_parse_json(attributes)
+    values = [scalar_text(F.try_variant_get(parsed, f"$['{n}']", "variant")) for n in names]
+    return F.when(reduce(lambda a, b: a & b, [v.isNotNull() for v in values]), F.array(*values))
+
+
+def dim_deltas(points: DataFrame, names: list[str]) -> DataFrame:
+    """Deltas of metric points (with ``attributes``) by the whole series key with the values of its dims; points without all of them have none."""
+    rows = points.withColumns({"window": S.window_start(F.col("timestamp")), "dims": dims(F.col("attributes"), names)})
+    return rows.groupBy("window", "tenant_id", "service_name", "name", "dims").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"), F.max_by("value", F.struct("timestamp", "seq")).alias("last")
+    )
 
 
 def series_deltas(spans: DataFrame, parsed: dict[str, Column]) -> DataFrame:

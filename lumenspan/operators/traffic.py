@@ -72,9 +72,11 @@ def p99_exact(spans: DataFrame) -> DataFrame:
 
 
 def top_failing(spans: DataFrame, k: int = 5) -> DataFrame:
-    out = spans.groupBy("service_name").agg(F.count(F.lit(1)).alias("total"), F.count_if(is_error()).alias("errors"))
+    """The ``k`` services of each tenant with the most errors."""
+    out = spans.groupBy("tenant_id", "service_name").agg(F.count(F.lit(1)).alias("total"), F.count_if(is_error()).alias("errors"))
     out = out.where("errors > 0").withColumn("error_rate", S.scaled_round(F.col("errors") / F.col("total"), 6))
-    return out.orderBy(F.desc("errors"), "service_name").limit(k)
+    place = F.row_number().over(Window.partitionBy("tenant_id").orderBy(F.desc("errors"), "service_name"))
+    return out.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
 def traffic(spans: DataFrame, seconds: int) -> DataFrame:

@@ -39,15 +39,15 @@ def _windows(spans: DataFrame) -> DataFrame:
     spike = F.col("start_time") >= F.lit("2024-01-30").cast("timestamp")  # an outage on the last day: views fail, all is slow
     failed = traffic.is_error() | (spike & (F.col("operation_name") == "view"))
     spans = spans.withColumns({"failed": failed, "duration_us": F.when(spike, F.col("duration_us") * 20).otherwise(F.col("duration_us"))})
-    rows = spans.groupBy(F.col("service_name").alias("service"), F.date_trunc("day", "start_time").alias("start")).agg(
+    rows = spans.groupBy("tenant_id", F.col("service_name").alias("service"), F.date_trunc("day", "start_time").alias("start")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("failed")).alias("errors"), traffic.percentile_disc("duration_us", 0.99).cast("double").alias("p99_us")
     )
     return rows.withColumns({"closed": F.lit(True), "final": F.lit(True), "elapsed_s": F.lit(300.0)})
 
 
-_WINDOWS = f"""windows AS (SELECT service_name AS service, date_trunc('day', start_time) AS start, count(*)::BIGINT AS n, (count(*) FILTER ({V.ERROR} OR (start_time >= TIMESTAMP '2024-01-30' AND operation_name = 'view')))::BIGINT AS errors,
+_WINDOWS = f"""windows AS (SELECT tenant_id, service_name AS service, date_trunc('day', start_time) AS start, count(*)::BIGINT AS n, (count(*) FILTER ({V.ERROR} OR (start_time >= TIMESTAMP '2024-01-30' AND operation_name = 'view')))::BIGINT AS errors,
   quantile_disc(CASE WHEN start_time >= TIMESTAMP '2024-01-30' THEN duration_us * 20 ELSE duration_us END, 0.99)::DOUBLE AS p99_us FROM spans GROUP BY ALL)"""
-_NOW = "now AS (SELECT * FROM windows WHERE n >= 20 QUALIFY row_number() OVER (PARTITION BY service ORDER BY start DESC) = 1)"
+_NOW = "now AS (SELECT * FROM windows WHERE n >= 20 QUALIFY row_number() OVER (PARTITION BY tenant_id, service ORDER BY start DESC) = 1)"
 _SEVERITY = "CASE WHEN {b} <= 0 THEN 'warning' WHEN {a} / {b} >= 4 THEN 'critical' WHEN {a} / {b} >= 2 THEN 'warning' ELSE 'info' END"
 
 
@@ -79,8 +79,8 @@ def p99_exact(spark, d):
 
 
 @_query(
-    f"""WITH {V.EVT} SELECT service_name, count(*)::BIGINT AS total, (count(*) FILTER ({V.ERROR}))::BIGINT AS errors, round((count(*) FILTER ({V.ERROR})) / count(*) * 1000000) / 1000000 AS error_rate
-FROM spans GROUP BY 1 HAVING errors > 0 ORDER BY errors DESC, service_name LIMIT 5"""
+    f"""WITH {V.EVT} SELECT tenant_id, service_name, count(*)::BIGINT AS total, (count(*) FILTER ({V.ERROR}))::BIGINT AS errors, round((count(*) FILTER ({V.ERROR})) / count(*) * 1000000) / 1000000 AS error_rate
+FROM spans GROUP BY 1, 2 HAVING errors > 0 QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY errors DESC, service_name) <= 5"""
 )
 def top_failing(spark, d):
     return traffic.top_failing(T.event_spans(spark, d))
@@ -239,9 +239,9 @@ def severity_gate(spark, d):
     return logs.severity_gate(T.document_logs(spark, d), "WARN").groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query(f"WITH {V.LOGS}, r AS (SELECT log_id, service_name, {V.stamp(V.window('moment'))} AS bucket, severity, row_number() OVER (PARTITION BY service_name, {V.window('moment')}, severity ORDER BY moment, log_id) AS rn FROM logs WHERE severity IN ('WARN', 'ERROR')) SELECT log_id, service_name, bucket, severity FROM r WHERE rn <= CASE severity WHEN 'ERROR' THEN 50 ELSE 20 END")
+@_query(f"WITH {V.LOGS}, r AS (SELECT log_id, tenant_id, service_name, {V.stamp(V.window('moment'))} AS bucket, severity, row_number() OVER (PARTITION BY tenant_id, service_name, {V.window('moment')}, severity ORDER BY moment, log_id) AS rn FROM logs WHERE severity IN ('WARN', 'ERROR')) SELECT log_id, tenant_id, service_name, bucket, severity FROM r WHERE rn <= CASE severity WHEN 'ERROR' THEN 50 ELSE 20 END")
 def log_exemplars(spark, d):
-    return logs.first_per_slot(T.document_logs(spark, d)).select("log_id", "service_name", stamp("window").alias("bucket"), "severity")
+    return logs.first_per_slot(T.document_logs(spark, d)).select("log_id", "tenant_id", "service_name", stamp("window").alias("bucket"), "severity")
 
 
 _MASK = """CASE WHEN regexp_full_match(t, '[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}') THEN '<UUID>'
@@ -353,10 +353,10 @@ def gauge_last(spark, d):
 
 @_query(
     f"""WITH {V.METRICS}, w AS (SELECT *, {V.window('moment', 30)} AS w, row_number() OVER (PARTITION BY tenant_id, service_name, name, {V.window('moment', 30)} ORDER BY moment, seq) AS rn FROM points)
-SELECT tenant_id, service_name, name, {V.stamp('w')} AS bucket, count(*)::BIGINT AS n, min(value) AS min, max(value) AS max, quantile_disc(value, 0.5) FILTER (rn <= 256) AS p50, quantile_disc(value, 0.95) FILTER (rn <= 256) AS p95, quantile_disc(value, 0.99) FILTER (rn <= 256) AS p99 FROM w GROUP BY 1, 2, 3, 4"""
+SELECT tenant_id, service_name, name, {V.stamp('w')} AS bucket, count(*)::BIGINT AS n, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max, quantile_disc(value, 0.5) FILTER (rn <= 256) AS p50, quantile_disc(value, 0.95) FILTER (rn <= 256) AS p95, quantile_disc(value, 0.99) FILTER (rn <= 256) AS p99 FROM w GROUP BY 1, 2, 3, 4"""
 )
 def ring_30s(spark, d):
-    return rollup.metric_ring(T.event_metrics(spark, d)).withColumn("bucket", stamp("window")).drop("window")
+    return rollup.metric_ring(T.event_metrics(spark, d)).withColumn("sum", F.round("sum", 4)).withColumn("bucket", stamp("window")).drop("window")
 
 
 @_query(f"WITH {V.METRICS}, v AS (SELECT service_name, name, list(value ORDER BY moment, seq) AS v, min(value) AS min, max(value) AS max FROM points GROUP BY 1, 2) SELECT service_name, name, round(list_reduce(v, lambda a, x: a * 0.9 + x * 0.1), 6) AS ema, min, max FROM v")
@@ -436,9 +436,17 @@ def hist_tail(spark, d):
     return histogram.fold_explicit(_histogram_points(spark, d), ["service_name", "name"]).select("service_name", "name", "tail_count")
 
 
-@_query()
+@_query(
+    f"""WITH {V.METRICS}, b(lo, hi) AS (VALUES (0.0, 1.0), (1.0, 5.0), (5.0, 10.0), (10.0, 50.0), (50.0, 100.0), (100.0, 250.0)), s AS (SELECT service_name, name, min(value) AS mn, count(*) FILTER (value > 250) AS tail FROM points GROUP BY 1, 2),
+c AS (SELECT p.service_name, p.name, hi::DOUBLE AS hi, greatest(lo::DOUBLE, any_value(mn)) AS lo, count(*)::BIGINT AS c FROM points p JOIN b ON value > lo AND value <= hi JOIN s ON s.service_name = p.service_name AND s.name = p.name GROUP BY p.service_name, p.name, b.lo, b.hi),
+m AS (SELECT *, sqrt(lo * hi) AS v FROM c), bins AS (SELECT service_name, name, ({V.BIN})::INTEGER AS bin, sum(c) AS c FROM m GROUP BY 1, 2, 3),
+r AS (SELECT *, sum(c) OVER (PARTITION BY service_name, name ORDER BY bin NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto, sum(c) OVER (PARTITION BY service_name, name) AS body FROM bins),
+h AS (SELECT service_name, name, min(bin) AS bin FROM r JOIN s USING (service_name, name) WHERE upto > 0.99 * (body + tail - 1) GROUP BY 1, 2)
+SELECT service_name, name, CASE WHEN bin IS NOT NULL THEN round(2 * pow(2.0, (bin + 1) / 16.0) / (pow(2.0, 0.0625) + 1), 6) WHEN tail > 0 THEN 250.0 END AS value, bin IS NULL AND tail > 0 AS is_lower_bound FROM s LEFT JOIN h USING (service_name, name)"""
+)
 def hist_quantile(spark, d):
-    return histogram.quantile_with_tail(histogram.fold_explicit(_histogram_points(spark, d), ["service_name", "name"]), ["service_name", "name"], 0.99)
+    out = histogram.quantile_with_tail(histogram.fold_explicit(_histogram_points(spark, d), ["service_name", "name"]), ["service_name", "name"], 0.99)
+    return out.withColumn("value", F.round("value", 6))
 
 
 # ------------------------------------------------------------------ graph
@@ -535,36 +543,36 @@ def typed_edges(spark, d):
 
 
 @_query(
-    f"""WITH {V.EVT}, {_WINDOWS}, {_NOW}, b AS (SELECT n.service, n.start AS moment, n.n AS nn, n.errors AS ne, count(*)::BIGINT AS base_windows, sum(w.n) AS bn, sum(w.errors) AS be FROM now n JOIN windows w ON w.service = n.service AND w.start < n.start GROUP BY 1, 2, 3, 4),
+    f"""WITH {V.EVT}, {_WINDOWS}, {_NOW}, b AS (SELECT n.tenant_id, n.service, n.start AS moment, n.n AS nn, n.errors AS ne, count(*)::BIGINT AS base_windows, sum(w.n) AS bn, sum(w.errors) AS be FROM now n JOIN windows w ON w.tenant_id = n.tenant_id AND w.service = n.service AND w.start < n.start GROUP BY 1, 2, 3, 4, 5),
 r AS (SELECT *, ne / nn AS rate, be / bn AS p FROM b WHERE base_windows >= 2 AND bn >= 100)
-SELECT service, {V.stamp('moment')} AS moment, round(rate, 6) AS rate, round(p, 6) AS p, base_windows, {_SEVERITY.format(a='rate', b='p')} AS severity FROM r WHERE rate > p AND CASE WHEN p * (1 - p) > 0 THEN rate >= p + 3 * sqrt(p * (1 - p) / nn) ELSE ne > 0 END"""
+SELECT tenant_id, service, {V.stamp('moment')} AS moment, round(rate, 6) AS rate, round(p, 6) AS p, base_windows, {_SEVERITY.format(a='rate', b='p')} AS severity FROM r WHERE rate > p AND CASE WHEN p * (1 - p) > 0 THEN rate >= p + 3 * sqrt(p * (1 - p) / nn) ELSE ne > 0 END"""
 )
 def error_spike(spark, d):
     out = anomaly.error_spikes(_windows(T.event_spans(spark, d)))
-    return out.select("service", stamp("moment").alias("moment"), F.round("rate", 6).alias("rate"), F.round("p", 6).alias("p"), "base_windows", "severity")
+    return out.select("tenant_id", "service", stamp("moment").alias("moment"), F.round("rate", 6).alias("rate"), F.round("p", 6).alias("p"), "base_windows", "severity")
 
 
 @_query(
-    f"""WITH {V.EVT}, {_WINDOWS}, {_NOW}, b AS (SELECT n.service, n.start AS moment, n.p99_us AS np, count(*)::BIGINT AS base_windows, avg(w.p99_us) AS mean, stddev_pop(w.p99_us) AS sd FROM now n JOIN windows w ON w.service = n.service AND w.start < n.start AND w.n >= 20 GROUP BY 1, 2, 3)
-SELECT service, {V.stamp('moment')} AS moment, round(mean, 2) AS mean, base_windows, {_SEVERITY.format(a='np', b='mean')} AS severity FROM b WHERE base_windows >= 2 AND np > CASE WHEN sd = 0 THEN mean * 2 ELSE mean + 3 * sd END"""
+    f"""WITH {V.EVT}, {_WINDOWS}, {_NOW}, b AS (SELECT n.tenant_id, n.service, n.start AS moment, n.p99_us AS np, count(*)::BIGINT AS base_windows, avg(w.p99_us) AS mean, stddev_pop(w.p99_us) AS sd FROM now n JOIN windows w ON w.tenant_id = n.tenant_id AND w.service = n.service AND w.start < n.start AND w.n >= 20 GROUP BY 1, 2, 3, 4)
+SELECT tenant_id, service, {V.stamp('moment')} AS moment, round(mean, 2) AS mean, base_windows, {_SEVERITY.format(a='np', b='mean')} AS severity FROM b WHERE base_windows >= 2 AND np > CASE WHEN sd = 0 THEN mean * 2 ELSE mean + 3 * sd END"""
 )
 def latency_spike(spark, d):
-    return anomaly.latency_spikes(_windows(T.event_spans(spark, d))).select("service", stamp("moment").alias("moment"), F.round("mean", 2).alias("mean"), "base_windows", "severity")
+    return anomaly.latency_spikes(_windows(T.event_spans(spark, d))).select("tenant_id", "service", stamp("moment").alias("moment"), F.round("mean", 2).alias("mean"), "base_windows", "severity")
 
 
-_HOURS = "h AS (SELECT service_name, name, date_trunc('hour', moment) AS start, avg(value) AS mean FROM points GROUP BY 1, 2, 3)"
+_HOURS = "h AS (SELECT tenant_id, service_name, name, date_trunc('hour', moment) AS start, avg(value) AS mean FROM points GROUP BY 1, 2, 3, 4)"
 
 
 def _hours(spark, d):
-    return T.event_metrics(spark, d).groupBy("service_name", "name", F.date_trunc("hour", "timestamp").alias("start")).agg(F.avg("value").alias("mean"))
+    return T.event_metrics(spark, d).groupBy("tenant_id", "service_name", "name", F.date_trunc("hour", "timestamp").alias("start")).agg(F.avg("value").alias("mean"))
 
 
 @_query(
-    f"""WITH {V.METRICS}, {_HOURS}, z AS (SELECT *, avg(mean) OVER w AS base, stddev_pop(mean) OVER w AS sd, count(mean) OVER w AS prior FROM h WINDOW w AS (PARTITION BY service_name, name ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT service_name, name, {V.stamp('start')} AS moment, round((mean - base) / sd, 4) AS z FROM z WHERE prior >= 2 AND sd > 0 AND abs((mean - base) / sd) >= 3"""
+    f"""WITH {V.METRICS}, {_HOURS}, z AS (SELECT *, avg(mean) OVER w AS base, stddev_pop(mean) OVER w AS sd, count(mean) OVER w AS prior FROM h WINDOW w AS (PARTITION BY tenant_id, service_name, name ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT tenant_id, service_name, name, {V.stamp('start')} AS moment, round((mean - base) / sd, 4) AS z FROM z WHERE prior >= 2 AND sd > 0 AND abs((mean - base) / sd) >= 3"""
 )
 def metric_zscore(spark, d):
-    return anomaly.metric_zscores(_hours(spark, d), ["service_name", "name"]).select("service_name", "name", stamp("start").alias("moment"), F.round("z", 4).alias("z"))
+    return anomaly.metric_zscores(_hours(spark, d), ["tenant_id", "service_name", "name"]).select("tenant_id", "service_name", "name", stamp("start").alias("moment"), F.round("z", 4).alias("z"))
 
 
 @_query(

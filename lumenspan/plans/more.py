@@ -225,13 +225,14 @@ def reduction_stats(spark, d):
 
 @_query(
     f"""WITH {V.METRICS}, c AS (SELECT service_name, name, least(4, (seq % 7))::INTEGER AS scale_to, (floor(value))::INTEGER >> greatest(0, (seq % 7)::INTEGER - 4) AS bin FROM points WHERE seq % 7 < 7)
-SELECT service_name, name, scale_to::BIGINT AS scale, bin::BIGINT AS bin, count(*)::BIGINT AS count FROM c GROUP BY ALL"""
+SELECT service_name, name, scale_to::BIGINT AS scale, bin::BIGINT AS bin, count(*)::BIGINT AS count FROM c GROUP BY ALL
+UNION ALL SELECT service_name, name, least(4, seq % 7)::BIGINT, -999999, sum(seq % 3)::BIGINT FROM points WHERE seq % 3 > 0 GROUP BY 1, 2, 3"""
 )
 def exponential_fold(spark, d):
-    """Exponential points of one filled bucket each: scales above 4 shift right to it."""
-    m = T.event_metrics(spark, d).select("service_name", "name", (F.col("seq") % 7).cast("int").alias("scale"), F.floor("value").cast("int").alias("offset"), F.array(F.lit(1).cast("long")).alias("counts"))
+    """Exponential points of one filled bucket and some zeros each: scales above 4 shift right to it."""
+    m = T.event_metrics(spark, d).select("service_name", "name", (F.col("seq") % 7).cast("int").alias("scale"), F.floor("value").cast("int").alias("offset"), F.array(F.lit(1).cast("long")).alias("counts"), (F.col("seq") % 3).alias("zero_count"))
     out = histogram.fold_exponential(m, ["service_name", "name"])
-    return out.select("service_name", "name", F.col("scale").cast("long").alias("scale"), F.col("bin").cast("long").alias("bin"), "count")
+    return out.select("service_name", "name", F.col("scale").cast("long").alias("scale"), F.coalesce("bin", F.lit(-999_999)).cast("long").alias("bin"), "count")
 
 
 @_query(
@@ -253,13 +254,13 @@ def sketch_collapse(spark, d):
 
 
 @_query(
-    f"""WITH {V.METRICS}, w AS (SELECT service_name, name, {V.window('moment', 30)} AS w, value FROM points), r AS (SELECT service_name, name, w, min(value) AS min, max(value) AS max, round(sum(value), 4) AS sum, count(*)::BIGINT AS count FROM w GROUP BY 1, 2, 3)
-SELECT service_name, name, {V.stamp('w')} AS bucket, min, max, sum, count FROM r"""
+    f"""WITH {V.METRICS}, w AS (SELECT tenant_id, service_name, name, {V.window('moment', 30)} AS w, value FROM points), r AS (SELECT tenant_id, service_name, name, w, min(value) AS min, max(value) AS max, round(sum(value), 4) AS sum, count(*)::BIGINT AS count FROM w GROUP BY 1, 2, 3, 4)
+SELECT tenant_id, service_name, name, {V.stamp('w')} AS bucket, min, max, sum, count FROM r"""
 )
 def metric_buckets(spark, d):
     m = T.event_metrics(spark, d).withColumn("window", S.window_start(F.col("timestamp"), 30))
-    out = rollup.gauges(m, ["service_name", "name", "window"])
-    return out.select("service_name", "name", stamp("window").alias("bucket"), "min", "max", F.round("sum", 4).alias("sum"), F.col("n").alias("count"))
+    out = rollup.gauges(m, ["tenant_id", "service_name", "name", "window"])
+    return out.select("tenant_id", "service_name", "name", stamp("window").alias("bucket"), "min", "max", F.round("sum", 4).alias("sum"), F.col("n").alias("count"))
 
 
 @_query(f"WITH {V.EVT}, {_DELTAS} SELECT count(DISTINCT w)::BIGINT AS windows, {V.stamp('min(w)')} AS oldest FROM deltas WHERE w >= TIMESTAMP '2024-01-20'")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.functions import scalars as S
 from lumenspan.functions import sketch
-from lumenspan.operators import anomaly, counters, graph, histogram, logs, merging, rollup, sampling, traffic
+from lumenspan.operators import anomaly, counters, graph, histogram, logs, merging, rollup, sampling, serving, traffic
 from lumenspan.sources import sinks
 from lumenspan.streaming import pipelines
 
@@ -104,6 +104,43 @@ def test_histograms(spark):
     assert (q["value"], q["is_lower_bound"]) == (4.0, True)
 
 
+def test_tail_bound_is_the_lowest(spark):
+    points = _histogram(spark, bounds=[1.0, 2.0], counts=[0, 5, 3], count=8).unionByName(_histogram(spark, bounds=[1.0, 100.0], counts=[0, 5, 3], count=8))
+    r = histogram.fold_explicit(points, ["k"]).first()
+    assert (r["tail_count"], r["tail_bound"]) == (6, 2.0)
+
+
+def test_exponential_zeros_and_rejects(spark):
+    point = {"k": "e", "scale": 4, "offset": 0, "counts": [1, 2], "zero_count": 7, "negative": 0, "count": 10}
+    schema = "k string, scale int, offset int, counts array<long>, zero_count long, negative long, count long"
+    of = lambda *changes: spark.createDataFrame([tuple((point | c).values()) for c in changes], schema)
+    bins = histogram.fold_exponential(of({}), ["k"])
+    assert {(r["bin"], r["count"]) for r in bins.collect()} == {(None, 7), (0, 1), (1, 2)}
+    assert sketch.quantiles(bins, ["k"], [0.5]).first()["value"] == 0  # seven of ten are zeros
+    odd = [{"count": 11}, {"scale": 21}, {"scale": -11}, {"counts": [-1, 4]}, {"negative": 1, "count": 11}, {"scale": -1}, {}]
+    want = ["sum_of_counts", "scale", "scale", "buckets", "negative_observations", "negative_scale", None]
+    assert [r[0] for r in of(*odd).select(histogram.exponential_reject()).collect()] == want
+
+
+def test_log_exemplars_of_each_tenant(spark):
+    rows = [(t, "s", NOON + timedelta(seconds=i % 60), 100 * k + i, "ERROR") for k, t in enumerate("ab") for i in range(60)]
+    out = logs.first_per_slot(spark.createDataFrame(rows, "tenant_id string, service_name string, timestamp timestamp, log_id long, severity string"))
+    assert {(r["tenant_id"], r["count"]) for r in out.groupBy("tenant_id").count().collect()} == {("a", 50), ("b", 50)}
+
+
+def test_severity_ranks(spark):
+    rank = lambda t: spark.range(1).select(S.severity_rank(F.lit(t))).first()[0]
+    assert [rank(t) for t in ("FATAL ERROR", "fatal", "debug info", "Warning", "stderr", "x", None)] == [40, 50, 10, 30, 40, 20, 20]
+
+
+def test_dims_are_typed(spark):
+    cases = ['{"z": "[eu]"}', '{"z": "{a"}', '{"z": ["eu"]}', '{"z": {"a": 1}}', '{"z": 7}', '{"z": 1.0}', '{"z": 0.25}', '{"z": 1e21}', '{"z": 0.00001}', '{"z": 12345678.5}', '{"z": true}', '{"z": null}', '{"y": 1}', "{", None, '{"z": ""}', '{"z": 0.0}']
+    got = spark.createDataFrame([(c,) for c in cases], "a string").select(serving.dims(F.col("a"), ["z"])).collect()
+    want = ["[eu]", "{a", None, None, "7", "1", "0.25", "1e+21", "1e-05", "12345678.5", "true", None, None, None, None, "", "0"]
+    assert [r[0] and r[0][0] for r in got] == want
+    assert spark.range(1).select(serving.dims(F.lit('{"a.b": "x", "c": 2}'), ["a.b", "c"])).first()[0] == ["x", "2"]
+
+
 def test_sketch_laws(spark):
     import random
 
@@ -125,9 +162,10 @@ def test_sketch_powers(spark, k):
 
 
 def _windows(spark, base, now):
-    rows = [("s", NOON + timedelta(minutes=5 * i), True, True, 300.0, *w) for i, w in enumerate(base)]
-    rows.append(("s", NOON + timedelta(minutes=5 * len(base)), *now))
-    return spark.createDataFrame(rows, "service string, start timestamp, closed boolean, final boolean, elapsed_s double, n long, errors long, p99_us double")
+    rows = [("t", "s", NOON + timedelta(minutes=5 * i), True, True, 300.0, *w) for i, w in enumerate(base)]
+    rows += [("quiet", *r[1:-3], 10 * r[-3], 0, r[-1]) for r in rows]  # another tenant's baseline is none of its own
+    rows.append(("t", "s", NOON + timedelta(minutes=5 * len(base)), *now))
+    return spark.createDataFrame(rows, "tenant_id string, service string, start timestamp, closed boolean, final boolean, elapsed_s double, n long, errors long, p99_us double")
 
 
 @pytest.mark.parametrize(
