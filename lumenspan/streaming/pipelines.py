@@ -1,15 +1,10 @@
-"""Structured Streaming forms of the rollup, deduplication and counters."""
+"""Structured Streaming forms of the rollup, deduplication and edges, of built-in operators alone."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.counters import GAP_SECONDS
 from ..operators.traffic import is_error
 from ..schema import WINDOW
 
@@ -40,39 +35,14 @@ def dedup(spans: DataFrame, lateness: str = "10 minutes") -> DataFrame:
 
 
 def edges(spans: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """Calls by a stream-stream join of children with parents that start within the lateness of them."""
-    child = spans.where("parent_span_id <> ''").withWatermark("start_time", lateness)
-    parent = spans.select("tenant_id", "trace_id", F.col("span_id").alias("parent"), F.col("service_name").alias("caller"), F.col("start_time").alias("parent_start")).withWatermark("parent_start", lateness)
+    """Calls by a stream-stream join of children with parents that start within the lateness of them, in whatever order they come.
+
+    Of a span id that comes again the first within the watermark is a parent. For calls whose parent must have come
+    before, see ``stateful.seen_calls``.
+    """
+    child = spans.where("service_name <> '' and parent_span_id <> '' and parent_span_id <> '0000000000000000'").withWatermark("start_time", lateness)
+    parent = spans.where("service_name <> ''").select("tenant_id", "trace_id", F.col("span_id").alias("parent"), F.col("service_name").alias("caller"), F.col("start_time").alias("parent_start"))
+    parent = parent.withWatermark("parent_start", lateness).dropDuplicatesWithinWatermark(["tenant_id", "trace_id", "parent"])
     near = (F.col("start_time") >= F.col("parent_start") - F.expr(f"INTERVAL {lateness}")) & (F.col("start_time") <= F.col("parent_start") + F.expr(f"INTERVAL {lateness}"))
     same = (child["tenant_id"] == parent["tenant_id"]) & (child["trace_id"] == parent["trace_id"]) & (F.col("parent_span_id") == F.col("parent"))
     return child.join(parent, same & near).where("caller <> service_name").select("caller", F.col("service_name").alias("callee"), "start_time", "duration_us", "status")
-
-
-def counter_increments(points: DataFrame) -> DataFrame:
-    """Increments of cumulative points (service_name, name, producer, start_ts, timestamp, value) with state for each producer."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("timestamp")
-        out = []
-        for at, start, value in zip(rows["timestamp"], rows["start_ts"], rows["value"]):
-            micros, begun = int(at.value // 1000), int(start.value // 1000)
-            if last is None:
-                event, delta = "seed", 0.0
-            elif micros <= last[0]:
-                continue
-            elif micros - last[0] > GAP_SECONDS * 1_000_000:
-                event, delta = "gap", 0.0
-            elif begun != last[1] or value < last[2]:
-                event, delta = "reset", float(value)
-            else:
-                event, delta = "normal", float(value - last[2])
-            last = (micros, begun, float(value))
-            out.append((*key, at, event, delta))
-        if last is not None:
-            state.update(last)
-        yield pd.DataFrame(out, columns=["service_name", "name", "producer", "timestamp", "event", "delta"])
-
-    return points.groupBy("service_name", "name", "producer").applyInPandasWithState(
-        step, "service_name string, name string, producer long, timestamp timestamp, event string, delta double", "ts long, start long, value double", "append", GroupStateTimeout.NoTimeout
-    )

@@ -69,21 +69,17 @@ def test_stream_rollup_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
 
 
-def test_stream_dedup_and_counters(spark, tmp_path):
+def test_stream_dedup(spark, tmp_path):
     spans = _spans(spark, 50)
     spans.unionByName(spans).coalesce(1).write.parquet(str(tmp_path / "in"))
     assert _run(pipelines.dedup(pipelines.file_stream(spark, str(tmp_path / "in"), SPANS)), "deduped").count() == 50
-    points = [("s", "m", 0, NOON, NOON + timedelta(seconds=10 * i), v) for i, v in enumerate([100.0, 110.0, 5.0, 9.0])]
-    schema = "service_name string, name string, producer long, start_ts timestamp, timestamp timestamp, value double"
-    spark.createDataFrame(points, schema).coalesce(1).write.parquet(str(tmp_path / "points"))
-    got = _run(pipelines.counter_increments(pipelines.file_stream(spark, str(tmp_path / "points"), schema)), "increments")
-    assert [(r["event"], r["delta"]) for r in got.orderBy("timestamp").collect()] == [("seed", 0.0), ("normal", 10.0), ("reset", 5.0), ("normal", 4.0)]
 
 
 def test_stream_edges(spark, tmp_path):
     """Edges of several micro-batches, parents late and early, are those of the batch."""
     rows = [("default" if t % 2 else "other", f"t{t}", f"s{k}", f"s{k // 3}" if k else "", f"op{k}", f"svc-{k % 4}", NOON + timedelta(seconds=20 * k + t), 1000 + k, "STATUS_CODE_ERROR" if k % 5 == 0 else "STATUS_CODE_UNSET", 1, None) for t in range(6) for k in range(14)]
     late = [("default", "t1", "s99", "s1", "op", "svc-3", NOON - timedelta(hours=5), 1, "STATUS_CODE_UNSET", 1, None)]  # far from its parent: beyond the join's reach
+    late += [("default", "t1", s, p, "op", name, NOON + timedelta(seconds=30), 1, "STATUS_CODE_UNSET", 1, None) for s, p, name in (("n1", "s0", ""), ("n2", "n1", "svc-3"), ("n3", "0" * 16, "svc-3"), ("s0", "", "svc-0"))]  # none is a call
     for k in range(4):
         spark.createDataFrame(rows[k::4] + (late if k == 3 else []), SPANS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     got = _run(pipelines.edges(pipelines.file_stream(spark, str(tmp_path / "in"), SPANS, 1)), "edges")
