@@ -1,8 +1,8 @@
 """Walks over spans and over the service graph.
 
 Walks are rounds of joins: a frontier of rows is joined with the edges once for each step, so
-that no graph comes to the driver or into one task. Error chains and shortest paths go on until
-nothing moves; each round is checkpointed and the driver learns only whether rows are left.
+that no graph comes to the driver or into one task. Shortest paths go on until nothing moves, error
+chains double what they know of themselves; each round is written and the driver learns only whether rows are left.
 Walks around a seed go up to a depth that is a parameter.
 """
 
@@ -18,32 +18,83 @@ from .settle import settled
 from .traffic import is_error
 
 
-def error_chains(spans: DataFrame, depth: int | None = None) -> DataFrame:
-    """From each trace's first error span up to its root, or ``depth`` steps at most.
+def error_seeds(spans: DataFrame, service: str = "", since=None, limit: int | None = None) -> DataFrame:
+    """(tenant_id, trace_id, error_span): each trace's first error span.
 
-    (trace_id, error_span, root_span, root_service, hops, complete): ``complete`` if the walk
-    reached a span without a parent. A parent that is missing, or met before, ends the walk.
+    With a service or a moment, only of its error spans, or of those that start after it. With a limit, of each tenant's
+    newest so many error spans the newest one of each trace.
     """
-    first = F.struct("start_time", "span_id")
-    seed = spans.where(is_error()).groupBy("tenant_id", "trace_id").agg(F.min_by(F.struct("span_id", "parent_span_id", "service_name"), first).alias("s"))
-    walk = settled(seed.select(
-        "tenant_id", "trace_id", F.col("s.span_id").alias("error_span"), F.col("s.span_id").alias("at"), F.col("s.parent_span_id").alias("next"),
-        F.col("s.service_name").alias("service"), F.lit(0).cast("long").alias("hops"), F.array("s.span_id").alias("path"),
-    ))
-    parents = spans.select("tenant_id", "trace_id", F.col("span_id").alias("next"), F.col("parent_span_id").alias("up"), F.col("service_name").alias("up_service"))
-    parents = parents.join(walk.select("tenant_id", "trace_id"), ["tenant_id", "trace_id"], "left_semi")
-    parents = settled(parents.dropDuplicates(["tenant_id", "trace_id", "next"]))
-    ended = []
-    while (depth is None or len(ended) < depth) and not walk.isEmpty():
-        step = walk.join(parents, ["tenant_id", "trace_id", "next"], "left")
-        step = settled(step.withColumn("moves", F.col("up").isNotNull() & ~F.array_contains("path", F.col("next"))))
-        ended.append(step.where("not moves").select(*walk.columns))
-        walk = step.where("moves").select(
-            "tenant_id", "trace_id", "error_span", F.col("next").alias("at"), F.col("up").alias("next"), F.col("up_service").alias("service"),
-            (F.col("hops") + 1).alias("hops"), F.array_append("path", F.col("next")).alias("path"),
-        )
-    walk = reduce(DataFrame.unionByName, ended, walk)
-    return walk.select("trace_id", "error_span", F.col("at").alias("root_span"), F.col("service").alias("root_service"), "hops", (F.col("next") == "").alias("complete"))
+    rows = spans.where(is_error())
+    rows = rows.where(F.col("service_name") == service) if service else rows
+    rows = rows.where(F.col("start_time") > F.lit(since)) if since is not None else rows
+    at, pick = F.struct("start_time", "span_id"), F.min_by
+    if limit is not None:
+        newest = F.row_number().over(Window.partitionBy("tenant_id").orderBy(F.desc("start_time"), F.desc("span_id")))
+        rows, pick = rows.withColumn("place", newest).where(F.col("place") <= limit), F.max_by
+    return rows.groupBy("tenant_id", "trace_id").agg(pick("span_id", at).alias("error_span"))
+
+
+_TRACE = ["tenant_id", "trace_id"]
+
+
+def chain_spans(spans: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """(tenant_id, trace_id, error_span, position, span_id): each seed (error_span) and its ancestors, the seed at 0.
+
+    By doubling: a table of the ancestors 1, 2, 4 ... steps up is joined with itself for the next one, and with what is known of
+    the chains for twice as much of them, so a chain of d spans takes log2(d) rounds. A parent that is missing ends a
+    chain, and so does one that was met before: a ring's spans stand once, at their first position. No round goes on beyond the
+    largest trace's number of spans. Of a span id that comes twice the first by time and service is meant.
+    """
+    known = spans.join(seeds.select(*_TRACE).distinct(), _TRACE, "left_semi")
+    known = settled(known.groupBy(*_TRACE, "span_id").agg(F.min_by("parent_span_id", F.struct("start_time", "service_name")).alias("up")))
+    most = known.groupBy(*_TRACE).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    most = most if depth is None else min(most, depth + 1)
+    parents = known.select(*_TRACE, F.col("span_id").alias("up"))
+    jump = settled(known.join(parents, [*_TRACE, "up"]).select(*_TRACE, "span_id", "up"))
+    chain = [settled(seeds.select(*_TRACE, "error_span", F.lit(0).cast("long").alias("position"), F.col("error_span").alias("span_id")))]
+    step = 1
+    while step < most:
+        so_far = reduce(DataFrame.unionByName, chain)
+        higher = so_far.join(jump, [*_TRACE, "span_id"]).select(*_TRACE, "error_span", (F.col("position") + step).alias("position"), F.col("up").alias("span_id"))
+        higher = settled(higher)
+        if higher.isEmpty():
+            break
+        chain.append(higher)
+        step *= 2
+        if step < most:
+            onto = jump.select(*_TRACE, F.col("span_id").alias("up"), F.col("up").alias("further"))
+            jump = settled(jump.join(onto, [*_TRACE, "up"]).select(*_TRACE, "span_id", F.col("further").alias("up")))
+    out = reduce(DataFrame.unionByName, chain)
+    out = out if depth is None else out.where(F.col("position") <= depth)
+    return out.groupBy(*_TRACE, "error_span", "span_id").agg(F.min("position").alias("position"))
+
+
+def error_chains(spans: DataFrame, depth: int | None = None, service: str = "", since=None, limit: int | None = None, clusters: DataFrame | None = None) -> DataFrame:
+    """From error spans (see ``error_seeds``) up to their roots, or ``depth`` steps at most.
+
+    (tenant_id, trace_id, error_span, root_span, root_service, root_operation, hops, complete, chain): ``complete`` if the walk reached a
+    span without a parent; ``chain`` lists the spans from the error up. With ``clusters`` (tenant_id, service_name, cluster_id,
+    last_seen) also ``clusters``: those of the failed spans' services that were last seen after ``since``.
+    """
+    seeds = settled(error_seeds(spans, service, since, limit))
+    operation = F.col("operation_name") if "operation_name" in spans.columns else F.lit("")
+    fact = F.struct("parent_span_id", "service_name", operation.alias("operation_name"), is_error().alias("error"))
+    facts = spans.groupBy(*_TRACE, "span_id").agg(F.min_by(fact, F.struct("start_time", "service_name")).alias("x"))
+    placed = chain_spans(spans, seeds, depth).join(facts, [*_TRACE, "span_id"]).select(*_TRACE, "error_span", "position", "span_id", "x.*")
+    placed = placed if clusters is None else settled(placed)
+    listed = F.array_sort(F.collect_list(F.struct("position", "span_id", "service_name", "operation_name", "error", "parent_span_id"))).alias("chain")
+    out = placed.groupBy(*_TRACE, "error_span").agg(listed)
+    root = F.element_at("chain", -1)
+    out = out.select(
+        *_TRACE, "error_span", root["span_id"].alias("root_span"), root["service_name"].alias("root_service"), root["operation_name"].alias("root_operation"), root["position"].alias("hops"),
+        (root["parent_span_id"] == "").alias("complete"), F.transform("chain", lambda s: F.struct(s["span_id"], s["service_name"], s["operation_name"], s["error"])).alias("chain"),
+    )
+    if clusters is None:
+        return out
+    near = clusters if since is None else clusters.where(F.col("last_seen") > F.lit(since))
+    found = placed.where("error").select(*_TRACE, "error_span", "service_name").distinct().join(near.select("tenant_id", "service_name", "cluster_id"), ["tenant_id", "service_name"])
+    found = found.groupBy(*_TRACE, "error_span").agg(F.array_sort(F.collect_set("cluster_id")).alias("clusters"))
+    return out.join(found, [*_TRACE, "error_span"], "left").withColumn("clusters", F.coalesce("clusters", F.expr("cast(array() as array<string>)")))
 
 
 def trace_graph(spans: DataFrame) -> DataFrame:
@@ -112,9 +163,31 @@ def shortest_routes(edges: DataFrame, source: str) -> DataFrame:
 
 
 def root_causes(chains: DataFrame, anomalies: DataFrame) -> DataFrame:
-    """Services by evidence: one point for each chain that roots in it, two for each anomaly of it."""
-    evidence = chains.select(F.col("root_service").alias("service"), F.lit(1).alias("points")).unionByName(anomalies.select("service", F.lit(2).alias("points")))
-    return evidence.groupBy("service").agg(F.sum("points").cast("long").alias("score"), F.count(F.lit(1)).alias("evidence"))
+    """Services of each tenant by evidence: one point for each chain that roots in it, two for each anomaly (tenant_id, service) of it."""
+    evidence = chains.select("tenant_id", F.col("root_service").alias("service"), F.lit(1).alias("points")).unionByName(anomalies.select("tenant_id", "service", F.lit(2).alias("points")))
+    return evidence.groupBy("tenant_id", "service").agg(F.sum("points").cast("long").alias("score"), F.count(F.lit(1)).alias("evidence"))
+
+
+def ranked_causes(chains: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """Probable causes (service, operation) of each tenant, ranked, with all their evidence.
+
+    (tenant_id, service, operation, score, rank, evidence, chain, complete): a point for each chain that roots there and
+    two for each anomaly (tenant_id, service, text) of the service; an anomaly of a service where no chain roots makes a cause without
+    an operation. ``chain`` is the one of the last trace by id; one chain that is not complete makes the cause so. Of equal scores
+    the first by service and operation ranks higher. ``chains`` are few: those of one service and limit.
+    """
+    roots = chains.groupBy("tenant_id", F.col("root_service").alias("service"), F.col("root_operation").alias("operation")).agg(
+        F.count(F.lit(1)).alias("points"), F.array_sort(F.collect_list(F.concat(F.lit("error chain from trace "), "trace_id"))).alias("traces"), F.max_by("chain", "trace_id").alias("chain"), F.min("complete").alias("complete")
+    )
+    told = anomalies.groupBy("tenant_id", "service").agg((2 * F.count(F.lit(1))).alias("boost"), F.array_sort(F.collect_list(F.concat(F.lit("anomaly: "), "text"))).alias("texts"))
+    both = roots.join(told, ["tenant_id", "service"], "full")
+    none = F.expr("cast(array() as array<string>)")
+    out = both.select(
+        "tenant_id", "service", F.coalesce("operation", F.lit("")).alias("operation"), (F.coalesce("points", F.lit(0)) + F.coalesce("boost", F.lit(0))).alias("score"),
+        F.concat(F.coalesce("traces", none), F.coalesce("texts", none)).alias("evidence"), "chain", F.coalesce("complete", F.lit(False)).alias("complete"),
+    )
+    w = Window.partitionBy("tenant_id").orderBy(F.desc("score"), "service", "operation")
+    return out.withColumn("rank", F.row_number().over(w).cast("long"))  # a row for each cause
 
 
 def service_map(nodes: DataFrame, spans: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .settle import settled
+
 
 def unreferenced(candidates: DataFrame, keys: list[str], *users: DataFrame) -> DataFrame:
     """Candidates that none of the tables refers to: a chain of anti joins."""
@@ -13,13 +17,45 @@ def unreferenced(candidates: DataFrame, keys: list[str], *users: DataFrame) -> D
     return candidates
 
 
-def resolve_aliases(templates: DataFrame, hops: int = 8) -> DataFrame:
-    """(id, final) of templates (id, alias_of): each alias followed up to ``hops`` times; a broken link ends the walk."""
-    target = templates.where("alias_of is not null").select(F.col("id").alias("final"), F.col("alias_of").alias("next"))
-    out = templates.select("id", F.coalesce("alias_of", "id").alias("final"))
-    for _ in range(hops - 1):
-        out = out.join(target, "final", "left").select("id", F.coalesce("next", "final").alias("final"))
-    return out
+def resolve_aliases(templates: DataFrame) -> DataFrame:
+    """(id, final) of templates (id, alias_of): each alias followed to its end, whatever the chain's length.
+
+    Steps double, so a chain of n links takes log2(n) rounds. A link to an id that isn't there ends the walk at it; a ring,
+    and what leads into it, is resolved to the ring's smallest id.
+    """
+    out = settled(templates.select("id", F.coalesce("alias_of", "id").alias("final"), F.least("id", F.coalesce("alias_of", "id")).alias("low")))
+    reach, most = 1, out.count()
+    while True:
+        onto = out.select(F.col("id").alias("final"), F.col("final").alias("next"), F.col("low").alias("further"))
+        both = settled(out.join(onto, "final", "left"))
+        moves = both.where(F.col("next") != F.col("final"))
+        if moves.isEmpty():
+            return out.select("id", "final")
+        if reach > most:  # longer than any chain without a ring
+            ring = both.withColumn("ring", F.coalesce(F.col("next") != F.col("final"), F.lit(False)))
+            return ring.select("id", F.when(F.col("ring"), F.col("further")).otherwise(F.col("final")).alias("final"))
+        out = both.select("id", F.coalesce("next", "final").alias("final"), F.least("low", "further").alias("low"))
+        reach *= 2
+
+
+def sweep(identities: DataFrame, *references: DataFrame) -> DataFrame:
+    """Identities (id, alias_of) that nothing refers to, be it over any number of aliases.
+
+    ``references`` (id) mark what they name; what is marked marks the identity that it is an alias of, until nothing new is marked. Each
+    round knows of twice as many steps as the one before, so chains take as many rounds as their logarithm; a
+    ring ends when it adds nothing. Null references mark nothing, nor do those to ids that aren't there.
+    """
+    named = reduce(DataFrame.union, [r.select(F.col("id")) for r in references]).where("id is not null").distinct()
+    marked = settled(identities.select("id").join(named, "id", "left_semi").distinct())
+    jump = settled(identities.where("alias_of is not null").select("id", "alias_of").distinct())
+    while True:
+        more = marked.join(jump, "id").select(F.col("alias_of").alias("id")).distinct().join(marked, "id", "left_anti")
+        more = settled(more.join(identities.select("id").distinct(), "id", "left_semi"))
+        if more.isEmpty():
+            return identities.join(marked, "id", "left_anti")
+        marked = marked.unionByName(more)
+        onto = jump.select(F.col("id").alias("alias_of"), F.col("alias_of").alias("next"))
+        jump = settled(jump.join(onto, "alias_of").select("id", F.col("next").alias("alias_of")).distinct())
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

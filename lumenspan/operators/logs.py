@@ -1,11 +1,9 @@
-"""Log filters, keyword and full-text search, context, clusters and mined templates."""
+"""Log filters, keyword and full-text search, context and clusters of mined lines."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import datetime, timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,122 +89,6 @@ def clusters(mined: DataFrame) -> DataFrame:
     return out.withColumn("cluster_id", F.concat(F.lit("lc_"), "service_name", F.lit("_"), F.lower(F.hex(F.xxhash64("template")))))
 
 
-OTHER_TEMPLATE = "__other__"
-
-
-class Miner:
-    """Order-dependent template mining: a layer by length, a prefix tree, then similarity.
-
-    Of at most ``most`` templates each keeps its number while its text widens. Where they are full,
-    a line that fits none has no template, or, with ``evict``, takes the place of the one that was used
-    longest ago, whose last text goes to ``gone``.
-    """
-
-    def __init__(self, depth: int = 4, children: int = 100, similarity: float = 0.4, most: int = 10, evict: bool = False):
-        self.depth, self.children, self.similarity, self.most, self.evict = depth, children, similarity, most, evict
-        self.leaves: dict[tuple, list[int]] = {}
-        self.fanout: dict[tuple, set] = {}
-        self.templates: dict[int, list[str]] = {}  # in order of use
-        self.places: dict[int, tuple] = {}
-        self.gone: list[tuple[int, str]] = []
-        self.made = 0
-
-    def _place(self, words: list[str]) -> tuple:
-        path: tuple = (len(words),)
-        for w in words[: self.depth]:
-            known = self.fanout.setdefault(path, set())
-            if w not in known:
-                if len(known) >= self.children:
-                    w = "<*>"
-                known.add(w)
-            path += (w,)
-        return path
-
-    def _drop_oldest(self) -> None:
-        number = next(iter(self.templates))
-        self.gone.append((number, " ".join(self.templates.pop(number))))
-        place = self.places.pop(number)
-        self.leaves[place].remove(number)
-        if not self.leaves[place]:
-            del self.leaves[place]
-
-    def mine(self, words: list[str]) -> int:
-        """The number of the template that a line falls under, which it may widen or found; -1 if none."""
-        if not words:
-            return -1
-        place = self._place(words)
-        share = lambda t: sum(a == b or a == "<*>" for a, b in zip(self.templates[t], words)) / len(words)
-        best = max(self.leaves.get(place, ()), key=share, default=None)
-        if best is not None and share(best) >= self.similarity:
-            self.templates[best] = [a if a == b else "<*>" for a, b in zip(self.templates.pop(best), words)]
-            return best
-        if len(self.templates) >= self.most:
-            if not self.evict:
-                return -1
-            self._drop_oldest()
-        number, self.made = self.made, self.made + 1
-        self.leaves.setdefault(place, []).append(number)
-        self.templates[number], self.places[number] = list(words), place
-        return number
-
-
-_SERVICE = ["tenant_id", "service_name"]
-#: Templates that a miner of a whole tenant keeps.
-TENANT_TEMPLATES = 50_000
-
-
-def mined_lines(logs: DataFrame, most: int = 10, scope: list[str] = _SERVICE, evict: bool = False) -> DataFrame:
-    """(scope, line, n, number, template): each distinct masked line under its template's last text.
-
-    A scope is a service, with ten templates and then ``__other__``, or, with ``["tenant_id"]``,
-    ``TENANT_TEMPLATES`` and ``evict``, a tenant. Lines are mined in order of (timestamp, log_id). The
-    order is the definition, so a scope's distinct lines stream through one task, which holds the
-    miner's templates and one batch.
-    """
-    masked = logs.select(*scope, "timestamp", "log_id", S.mask_tokens(F.col("body")).alias("words"))
-    lines = masked.groupBy(*scope, "words").agg(F.min(F.struct("timestamp", "log_id")).alias("first"), F.count(F.lit(1)).alias("n"))
-    rows = lines.select(*scope, F.md5(F.array_join("words", " ")).alias("line"), "words", "first", "n")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, miner = None, Miner(most=most, evict=evict)
-
-        def texts(ended):
-            named = [(*owner, None, 0, number, text) for number, text in ended] if owner else []
-            return pd.DataFrame(named, columns=[*scope, "line", "n", "number", "template"])
-
-        def kept():
-            return texts([(k, " ".join(t)) for k, t in miner.templates.items()])
-
-        for pdf in batches:
-            for key, part in pdf.groupby(scope, sort=False, dropna=False):
-                if key != owner:
-                    yield kept()
-                    owner, miner = key, Miner(most=most, evict=evict)
-                numbers = [miner.mine(list(words)) for words in part["words"]]
-                yield part[[*scope, "line", "n"]].assign(number=numbers, template=None)
-                yield texts(miner.gone)
-                miner.gone = []
-        yield kept()
-
-    dealt = rows.repartition(*scope).sortWithinPartitions(*scope, "first").drop("first")
-    out = dealt.mapInPandas(fold, "".join(f"{c} string, " for c in scope) + "line string, n long, number long, template string")
-    out = settled(out)  # mined once for lines and texts
-    named = out.where("line is null").select(*scope, "number", F.col("template").alias("text"))
-    lined = out.where("line is not null").join(named, [*scope, "number"], "left")
-    return lined.select(*scope, "line", "n", "number", F.coalesce("text", F.lit(OTHER_TEMPLATE)).alias("template"))
-
-
-def mine_templates(logs: DataFrame, most: int = 10, scope: list[str] = _SERVICE, evict: bool = False) -> DataFrame:
-    """(scope, template, n): how many lines fall under each template."""
-    return mined_lines(logs, most, scope, evict).groupBy(*scope, "number", "template").agg(F.sum("n").alias("n")).drop("number")
-
-
-def with_template(logs: DataFrame, most: int = 10, scope: list[str] = _SERVICE, evict: bool = False) -> DataFrame:
-    """``logs`` with the template that each one's body was mined to."""
-    line = F.md5(F.array_join(S.mask_tokens(F.col("body")), " "))
-    return logs.withColumn("line", line).join(mined_lines(logs, most, scope, evict).select(*scope, "line", "template"), [*scope, "line"], "left").drop("line")
-
-
 def latest(logs: DataFrame, k: int = 50) -> DataFrame:
     return logs.orderBy(F.desc("timestamp"), F.desc("log_id")).limit(k)
 

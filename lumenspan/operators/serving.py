@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import sketch
 from ..schema import FUTURE_SECONDS, LATENESS_SECONDS, OTHER, WINDOW_SECONDS
+from .sampling import cooldown
 from .settle import settled
 from .traffic import is_error
 
@@ -371,7 +372,12 @@ def service_health(nodes: DataFrame, service: str) -> DataFrame:
     return nodes.where(F.col("service_name") == service).select("tenant_id", "service_name", S.health_score_fallback(rate, F.col("avg_ms")).alias("score"), S.health_status(S.health_score_fallback(rate, F.col("avg_ms"))).alias("state"))
 
 
-def investigations(spikes: DataFrame, chains: DataFrame, most: int = 100) -> DataFrame:
-    """An investigation for each spike (service, moment, severity) that error chains root in, newest first, with its evidence."""
-    roots = chains.groupBy(F.col("root_service").alias("service")).agg(F.count(F.lit(1)).alias("chains"), F.max("hops").alias("longest"))
-    return spikes.join(roots, "service").orderBy(F.desc("moment"), "service").limit(most)
+def investigations(spikes: DataFrame, chains: DataFrame, most: int = 100, cooldown_seconds: int = 300) -> DataFrame:
+    """An investigation for each spike (tenant_id, service, moment, severity) that error chains root in, newest first, with its evidence.
+
+    Of a service's spikes one opens an investigation only when the last that did is ``cooldown_seconds`` past.
+    """
+    keys = ["tenant_id", "service"]
+    roots = chains.groupBy("tenant_id", F.col("root_service").alias("service")).agg(F.count(F.lit(1)).alias("chains"), F.max("hops").alias("longest"))
+    rooted = spikes.join(roots, keys)
+    return cooldown(rooted.select(*keys, "moment"), keys, cooldown_seconds).join(rooted, [*keys, "moment"]).orderBy(F.desc("moment"), *keys).limit(most)

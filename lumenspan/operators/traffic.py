@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schema import STATUS_ERROR
+from .selection import exact_quantile
 
 SORTABLE = {"timestamp": "start_time", "duration": "duration_us", "service_name": "service_name", "status": "status", "trace_id": "trace_id"}
 
@@ -57,18 +58,19 @@ def dashboard(spans: DataFrame, logs: DataFrame) -> DataFrame:
         F.count_if(F.col("status").ilike("%ERROR%")).alias("total_errors"),
         F.avg("duration_us").alias("mean"),
         F.count_distinct("service_name").alias("active_services"),
-        percentile_disc("duration_us", 0.99).alias("p99"),
     )
+    p99 = exact_quantile(spans, [], "duration_us", 0.99).select(F.col("quantile").alias("p99"))
     n = logs.agg(F.count(F.lit(1)).alias("total_logs"))
     rate = F.when(F.col("total_traces") > 0, F.col("total_errors") / F.col("total_traces") * 100).otherwise(0.0)
-    return t.crossJoin(F.broadcast(n)).select(  # two single rows
+    return t.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(p99)).select(  # three single rows
         "total_traces", "total_logs", "total_errors", S.scaled_round(rate, 4).alias("error_rate"),
         S.scaled_round(F.coalesce("mean", F.lit(0.0)) / 1000, 4).alias("avg_latency_ms"), "active_services", F.coalesce("p99", F.lit(0)).cast("long").alias("p99_latency_us"),
     )
 
 
 def p99_exact(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("tenant_id", "service_name").agg(percentile_disc("duration_us", 0.99).cast("long").alias("p99_us"), F.count(F.lit(1)).alias("n"))
+    """The exact p99 of each tenant's services; rows without a duration count for none."""
+    return exact_quantile(spans, ["tenant_id", "service_name"], "duration_us", 0.99).select("tenant_id", "service_name", F.col("quantile").alias("p99_us"), "n")
 
 
 def top_failing(spans: DataFrame, k: int = 5) -> DataFrame:

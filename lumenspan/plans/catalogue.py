@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import sketch
-from ..operators import anomaly, counters, graph, histogram, logs, rollup, sampling, traffic
+from ..operators import anomaly, counters, graph, histogram, logs, mining, rollup, sampling, traffic
 from ..operators.traffic import stamp
 from ..sources import telemetry as T
 from . import views as V
@@ -261,7 +261,7 @@ def token_mask(spark, d):
 
 @_query()
 def template_mine(spark, d):
-    return logs.mine_templates(T.document_logs(spark, d))
+    return mining.mine_templates(T.document_logs(spark, d))
 
 
 @_query(
@@ -463,14 +463,41 @@ def health_score(spark, d):
 
 
 _CHAIN = f"""seed AS (SELECT tenant_id, trace_id, arg_min(span_id, (start_time, span_id)) AS error_span FROM spans WHERE {V.ERROR} GROUP BY 1, 2),
-walk AS (SELECT s.tenant_id, s.trace_id, error_span, x.span_id AS moment, x.parent_span_id AS next, x.service_name, 0 AS hops, [x.span_id] AS path FROM seed s JOIN spans x ON x.tenant_id = s.tenant_id AND x.trace_id = s.trace_id AND x.span_id = error_span
- UNION ALL SELECT w.tenant_id, w.trace_id, w.error_span, p.span_id, p.parent_span_id, p.service_name, w.hops + 1, list_append(w.path, p.span_id) FROM walk w JOIN spans p ON p.tenant_id = w.tenant_id AND p.trace_id = w.trace_id AND p.span_id = w.next WHERE NOT list_contains(w.path, p.span_id)),
-chains AS (SELECT trace_id, error_span, arg_max(moment, hops) AS root_span, arg_max(service_name, hops) AS root_service, max(hops)::BIGINT AS hops, arg_max(next, hops) = '' AS complete FROM walk GROUP BY tenant_id, 1, 2)"""
+walk AS (SELECT s.tenant_id, s.trace_id, error_span, x.span_id AS moment, x.parent_span_id AS next, x.service_name, x.operation_name, 0 AS hops, [x.span_id] AS path FROM seed s JOIN spans x ON x.tenant_id = s.tenant_id AND x.trace_id = s.trace_id AND x.span_id = error_span
+ UNION ALL SELECT w.tenant_id, w.trace_id, w.error_span, p.span_id, p.parent_span_id, p.service_name, p.operation_name, w.hops + 1, list_append(w.path, p.span_id) FROM walk w JOIN spans p ON p.tenant_id = w.tenant_id AND p.trace_id = w.trace_id AND p.span_id = w.next WHERE NOT list_contains(w.path, p.span_id)),
+chains AS (SELECT tenant_id, trace_id, error_span, arg_max(moment, hops) AS root_span, arg_max(service_name, hops) AS root_service, arg_max(operation_name, hops) AS root_operation, max(hops)::BIGINT AS hops, arg_max(next, hops) = '' AS complete, string_agg(moment, '>' ORDER BY hops) AS chain FROM walk GROUP BY 1, 2, 3)"""
 
 
 @_query(f"WITH RECURSIVE {V.CONV}, {_CHAIN} SELECT * FROM chains")
 def error_chain(spark, d):
-    return graph.error_chains(T.conversation_spans(spark, d))
+    return graph.error_chains(T.conversation_spans(spark, d)).withColumn("chain", F.array_join(F.col("chain.span_id"), ">"))
+
+
+_SEEDS = f"""seed AS (SELECT tenant_id, trace_id, arg_max(span_id, (start_time, span_id)) AS error_span FROM (SELECT * FROM spans WHERE {V.ERROR} AND service_name = 'assistant-1' AND start_time > TIMESTAMP '2024-01-01 00:10:00'
+ QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY start_time DESC, span_id DESC) <= 20) GROUP BY 1, 2),"""
+_CHAINS_OF = _SEEDS + _CHAIN[_CHAIN.index("\nwalk AS") :]
+
+
+def _chains_of(spark, d):
+    return graph.error_chains(T.conversation_spans(spark, d), service="assistant-1", since=datetime(2024, 1, 1, 0, 10), limit=20)
+
+
+@_query(f"WITH RECURSIVE {V.CONV}, {_CHAINS_OF} SELECT * FROM chains")
+def error_chain_of_service(spark, d):
+    return _chains_of(spark, d).withColumn("chain", F.array_join(F.col("chain.span_id"), ">"))
+
+
+@_query(
+    f"""WITH RECURSIVE {V.CONV}, {V.NODES}, {_CHAINS_OF}, r AS (SELECT tenant_id, root_service AS service, root_operation AS operation, count(*) AS points, list('error chain from trace ' || trace_id ORDER BY trace_id) AS traces, arg_max(chain, trace_id) AS chain, bool_and(complete) AS complete FROM chains GROUP BY 1, 2, 3),
+a AS (SELECT tenant_id, service_name AS service, 'anomaly: ' || errors || ' errors' AS text FROM nodes WHERE errors / spans > 0.2), o AS (SELECT coalesce(r.tenant_id, a.tenant_id) AS tenant_id, coalesce(r.service, a.service) AS service, coalesce(operation, '') AS operation,
+ (coalesce(points, 0) + CASE WHEN text IS NULL THEN 0 ELSE 2 END)::BIGINT AS score, array_to_string(list_concat(coalesce(traces, []), CASE WHEN text IS NULL THEN [] ELSE [text] END), '; ') AS evidence, coalesce(chain, '') AS chain, coalesce(complete, false) AS complete FROM r FULL JOIN a ON a.tenant_id = r.tenant_id AND a.service = r.service)
+SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY score DESC, service, operation)::BIGINT AS rank FROM o"""
+)
+def ranked_causes(spark, d):
+    spans = T.conversation_spans(spark, d)
+    failing = traffic.service_map_nodes(spans).where("errors / spans > 0.2").select("tenant_id", F.col("service_name").alias("service"), F.concat(F.col("errors").cast("string"), F.lit(" errors")).alias("text"))
+    out = graph.ranked_causes(_chains_of(spark, d), failing)
+    return out.withColumns({"evidence": F.array_join("evidence", "; "), "chain": F.coalesce(F.array_join(F.col("chain.span_id"), ">"), F.lit(""))})
 
 
 @_query(
@@ -513,12 +540,12 @@ def shortest_path(spark, d):
 
 
 @_query(
-    f"""WITH RECURSIVE {V.CONV1}, {V.NODES}, {_CHAIN}, ev AS (SELECT root_service AS service, 1 AS points FROM chains UNION ALL SELECT service_name, 2 FROM nodes WHERE errors / spans > 0.2)
-SELECT service, sum(points)::BIGINT AS score, count(*)::BIGINT AS evidence FROM ev GROUP BY 1"""
+    f"""WITH RECURSIVE {V.CONV}, {V.NODES}, {_CHAIN}, ev AS (SELECT tenant_id, root_service AS service, 1 AS points FROM chains UNION ALL SELECT tenant_id, service_name, 2 FROM nodes WHERE errors / spans > 0.2)
+SELECT tenant_id, service, sum(points)::BIGINT AS score, count(*)::BIGINT AS evidence FROM ev GROUP BY 1, 2"""
 )
 def root_cause(spark, d):
-    spans = _one(T.conversation_spans(spark, d))
-    failing = traffic.service_map_nodes(spans).where("errors / spans > 0.2").select(F.col("service_name").alias("service"))
+    spans = T.conversation_spans(spark, d)
+    failing = traffic.service_map_nodes(spans).where("errors / spans > 0.2").select("tenant_id", F.col("service_name").alias("service"))
     return graph.root_causes(graph.error_chains(spans), failing)
 
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import graph, histogram, logs, merging, rollup, traffic
+from ..operators import graph, histogram, merging, mining, rollup, traffic
 from ..operators.traffic import stamp
 from ..sources import telemetry as T
 from . import views as V
@@ -153,8 +153,13 @@ def shortest_route(spark, d):
 
 @_query()
 def tenant_templates(spark, d):
-    """Lines under the templates of a whole tenant, of which the 200 used last are kept; mining has no SQL."""
-    return logs.mine_templates(T.document_logs(spark, d), 200, ["tenant_id"], evict=True)
+    """Each template of a whole tenant with its lines, and whether it is one of the 200 used last; mining has no SQL."""
+    scope = ["tenant_id"]
+    mined = mining.mine(T.document_logs(spark, d), scope, None)
+    kept = mining.live(mined.templates, scope, 200).select(*scope, "made_at", "made_log", F.lit(True).alias("live"))
+    rows = mined.templates.where("alias_at is null").join(kept, [*scope, "made_at", "made_log"], "left")
+    lines = mined.lines.join(mining.aliases(mined.templates, scope), [*scope, "made_at", "made_log"]).groupBy(*scope, F.col("final_at").alias("made_at"), F.col("final_log").alias("made_log")).agg(F.sum("n").alias("n"))
+    return rows.drop("n").join(lines, [*scope, "made_at", "made_log"]).select(*scope, F.array_join("words", " ").alias("template"), "n", F.coalesce("live", F.lit(False)).alias("live"))
 
 
 @_query(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import sketch
-from ..operators import graph, histogram, identity, logs, rollup, traffic
+from ..operators import graph, histogram, identity, logs, mining, rollup, traffic
 from ..operators.traffic import stamp
 from ..sources import sinks
 from ..sources import telemetry as T
@@ -128,7 +128,7 @@ def unreferenced_series(spark, d):
 
 
 @_query(
-    """WITH RECURSIVE t AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 4 <> 0 THEN n_nationkey - 1 END AS alias_of FROM nation), w AS (SELECT id, id AS final, 0 AS k FROM t UNION ALL SELECT w.id, t.alias_of, k + 1 FROM w JOIN t ON t.id = w.final WHERE t.alias_of IS NOT NULL AND k < 8)
+    """WITH RECURSIVE t AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 4 <> 0 THEN n_nationkey - 1 END AS alias_of FROM nation), w AS (SELECT id, id AS final, 0 AS k FROM t UNION ALL SELECT w.id, t.alias_of, k + 1 FROM w JOIN t ON t.id = w.final WHERE t.alias_of IS NOT NULL)
 SELECT id::BIGINT AS id, arg_max(final, k)::BIGINT AS final FROM w GROUP BY 1"""
 )
 def template_aliases(spark, d):
@@ -136,6 +136,16 @@ def template_aliases(spark, d):
     return identity.resolve_aliases(T.table(spark, d, "nation").select(key.alias("id"), F.when(key % 4 != 0, key - 1).alias("alias_of")))
 
 
+@_query(
+    """WITH RECURSIVE t AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 25 <> 1 THEN c_custkey - 1 END AS alias_of FROM customer), m AS (SELECT o_custkey AS id FROM orders WHERE o_totalprice > 400000 UNION SELECT t.alias_of FROM m JOIN t ON t.id = m.id WHERE t.alias_of IS NOT NULL)
+SELECT id::BIGINT AS id FROM t WHERE id NOT IN (SELECT id FROM m)"""
+)
+def identity_sweep(spark, d):
+    key = F.col("c_custkey").cast("long")
+    identities = T.table(spark, d, "customer").select(key.alias("id"), F.when(key % 25 != 1, key - 1).alias("alias_of"))
+    return identity.sweep(identities, T.table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").cast("long").alias("id"))).select("id")
+
+
 @_query(f"WITH {V.EVT} SELECT trace_id, service_name, min(span_id::BIGINT)::VARCHAR AS span_id FROM spans GROUP BY 1, 2")
 def keep_min_id(spark, d):
     spans = T.event_spans(spark, d).withColumn("id", F.col("span_id").cast("long"))
@@ -292,5 +302,5 @@ def correlated_logs(spark, d):
 
 @_query()
 def log_clusters(spark, d):
-    mined = logs.with_template(T.document_logs(spark, d))
+    mined = mining.with_template(T.document_logs(spark, d))
     return logs.clusters(mined).select("cluster_id", "tenant_id", "service_name", "template", "n")

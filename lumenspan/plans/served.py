@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import sketch
-from ..operators import anomaly, graph, logs, rollup, serving, traffic
+from ..operators import anomaly, graph, logs, mining, serving, traffic
 from ..operators.traffic import stamp
 from ..sources import telemetry as T
 from . import views as V
-from .catalogue import _BINS, _DELTAS, _deltas, _one, _query
+from .catalogue import _BINS, _CHAIN, _DELTAS, _deltas, _one, _query
 
 _NOON = datetime(2024, 1, 15, 12)
 
@@ -135,7 +136,7 @@ def metric_dims(spark, d):
 @_query()
 def template_series(spark, d):
     """Log deltas by mined template; mining has no SQL."""
-    return serving.template_deltas(logs.with_template(T.document_logs(spark, d))).withColumn("bucket", stamp("window")).drop("window")
+    return serving.template_deltas(mining.with_template(T.document_logs(spark, d))).withColumn("bucket", stamp("window")).drop("window")
 
 
 @_query(
@@ -304,7 +305,7 @@ def evidence_edges(spark, d):
 @_query()
 def emitted_by(spark, d):
     """Edges of mined clusters to their services; mining has no SQL."""
-    return serving.emitted_by(logs.clusters(logs.with_template(T.document_logs(spark, d))))
+    return serving.emitted_by(logs.clusters(mining.with_template(T.document_logs(spark, d))))
 
 
 @_query(
@@ -347,12 +348,20 @@ def service_health(spark, d):
 
 
 @_query(
-    f"""WITH RECURSIVE {V.CONV1}, {V.NODES}, seed AS (SELECT trace_id, arg_min(span_id, (start_time, span_id)) AS error_span FROM spans WHERE {V.ERROR} GROUP BY 1),
-walk AS (SELECT s.trace_id, x.span_id, x.parent_span_id AS next, x.service_name, 0 AS hops FROM seed s JOIN spans x ON x.trace_id = s.trace_id AND x.span_id = error_span UNION ALL SELECT w.trace_id, p.span_id, p.parent_span_id, p.service_name, hops + 1 FROM walk w JOIN spans p ON p.trace_id = w.trace_id AND p.span_id = w.next),
-chains AS (SELECT trace_id, arg_max(service_name, hops) AS service, max(hops)::BIGINT AS hops FROM walk GROUP BY 1)
-SELECT service, 'warning' AS severity, '2024-01-15 12:00:00' AS moment, count(*)::BIGINT AS chains, max(hops)::BIGINT AS longest FROM chains JOIN nodes ON service_name = service WHERE errors / spans > 0.1 GROUP BY 1"""
+    f"""WITH RECURSIVE {V.CONV}, {_CHAIN}, h AS (SELECT tenant_id, service_name AS service, {V.window('start_time', 600)} AS moment, count(*) AS n, count(*) FILTER ({V.ERROR}) AS e FROM spans GROUP BY 1, 2, 3),
+b AS (SELECT *, sum(n) OVER w AS bn, sum(e) OVER w AS be, count(*) OVER w AS prior FROM h WINDOW w AS (PARTITION BY tenant_id, service ORDER BY moment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT tenant_id, service, moment, CASE WHEN e / n >= 2 * be / bn THEN 'warning' ELSE 'info' END AS severity FROM b WHERE prior >= 2 AND e / n > be / bn),
+roots AS (SELECT tenant_id, root_service AS service, count(*)::BIGINT AS chains, max(hops)::BIGINT AS longest FROM chains GROUP BY 1, 2),
+l AS (SELECT tenant_id, service, list([epoch_us(moment)] ORDER BY moment) AS l FROM s JOIN roots USING (tenant_id, service) GROUP BY 1, 2),
+k AS (SELECT tenant_id, service, make_timestamp(unnest(list_reduce(l, lambda a, x: CASE WHEN x[1] - a[-1] >= 1200000000 THEN list_concat(a, x) ELSE a END))) AS moment FROM l)
+SELECT tenant_id, service, {V.stamp('k.moment')} AS moment, severity, chains, longest FROM k JOIN s USING (tenant_id, service, moment) JOIN roots USING (tenant_id, service) ORDER BY k.moment DESC, tenant_id, service LIMIT 100"""
 )
 def investigations(spark, d):
-    spans = _one(T.conversation_spans(spark, d))
-    spikes = traffic.service_map_nodes(spans).where("errors / spans > 0.1").select(F.col("service_name").alias("service"), F.lit(_NOON).alias("moment"), F.lit("warning").alias("severity"))
-    return serving.investigations(spikes, graph.error_chains(spans)).withColumn("moment", stamp("moment"))
+    """Ten minutes with a higher error rate than all before them, twenty minutes apart, that error chains root in."""
+    spans, keys = T.conversation_spans(spark, d), ["tenant_id", "service"]
+    rows = spans.groupBy("tenant_id", F.col("service_name").alias("service"), S.window_start(F.col("start_time"), 600).alias("moment")).agg(F.count(F.lit(1)).alias("n"), F.count_if(traffic.is_error()).alias("e"))
+    before = Window.partitionBy(*keys).orderBy("moment").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"bn": F.sum("n").over(before), "be": F.sum("e").over(before), "prior": F.count(F.lit(1)).over(before)})
+    rate, base = F.col("e") / F.col("n"), F.col("be") / F.col("bn")
+    spikes = rows.where((F.col("prior") >= 2) & (rate > base)).select(*keys, "moment", F.when(rate >= 2 * base, "warning").otherwise("info").alias("severity"))
+    return serving.investigations(spikes, graph.error_chains(spans), cooldown_seconds=1200).withColumn("moment", stamp("moment"))

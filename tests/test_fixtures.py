@@ -1,5 +1,6 @@
 """Hand-computed cases of the service map, counters, masks, routes, histograms and anomalies."""
 
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.functions import scalars as S
 from lumenspan.functions import sketch
-from lumenspan.operators import anomaly, counters, graph, histogram, logs, merging, rollup, sampling, serving, traffic
+from lumenspan.operators import anomaly, counters, graph, histogram, identity, logs, merging, mining, rollup, sampling, selection, serving, settle, traffic
 from lumenspan.sources import sinks
 from lumenspan.streaming import pipelines
 
@@ -215,14 +216,44 @@ def test_error_chains_have_no_depth_limit(spark):
     ring = [("t2", f"r{k}", f"r{(k + 1) % 12}", f"svc-{k}", E if k == 0 else U, NOON) for k in range(12)]
     lost = [("t3", "x", "gone", "svc-x", E, NOON)]
     spans = spark.createDataFrame([("default", *r) for r in chain + ring + lost], "tenant_id string, trace_id string, span_id string, parent_span_id string, service_name string, status string, start_time timestamp")
-    got = {tuple(r) for r in graph.error_chains(spans).collect()}
+    pick = ["trace_id", "error_span", "root_span", "root_service", "hops", "complete"]
+    got = {tuple(r) for r in graph.error_chains(spans).select(pick).collect()}
     assert got == {("t1", "s14", "s0", "svc-0", 14, True), ("t2", "r0", "r11", "svc-11", 11, False), ("t3", "x", "x", "svc-x", 0, False)}
     assert {(r["root_span"], r["hops"]) for r in graph.error_chains(spans.where("trace_id = 't1'"), 3).collect()} == {("s11", 3)}
     assert graph.error_chains(spans.where("trace_id = 't4'")).count() == 0
-    roots = graph.root_causes(graph.error_chains(spans), spark.createDataFrame([], "service string"))
+    roots = graph.root_causes(graph.error_chains(spans), spark.createDataFrame([], "tenant_id string, service string"))
     assert {r["service"] for r in roots.collect()} == {"svc-0", "svc-11", "svc-x"}
 
 
+def test_deep_chains_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(graph, "settled", lambda df: rounds.append(1) or settle.settled(df))
+    chain = [("default", "t1", f"s{k}", f"s{k - 1}" if k else "", f"svc-{k % 7}", E if k == 999 else U, NOON) for k in range(1000)]
+    spans = spark.createDataFrame(chain, "tenant_id string, trace_id string, span_id string, parent_span_id string, service_name string, status string, start_time timestamp")
+    r = graph.error_chains(spans).first()
+    assert (r["hops"], r["complete"], r["root_span"]) == (999, True, "s0") and [s["span_id"] for s in r["chain"]] == [f"s{k}" for k in range(999, -1, -1)]
+    assert len(rounds) <= 4 + 2 * 10
+
+
+def test_chains_of_a_service_with_clusters_and_causes(spark):
+    def span(t, tr, s, p, svc, status, k):
+        return (t, tr, s, p, f"op-{svc}", svc, NOON + timedelta(seconds=k), status)
+
+    rows = [span("default", f"t{k}", "a", "", "web" if k < 3 else "db", E, 10 * k) for k in range(5)] + [span("default", f"t{k}", "b", "a", "api", E, 10 * k + 1) for k in range(5)] + [span("default", "t0", "c", "gone", "api", E, 500), span("other", "t1", "b", "", "api", E, 9)]
+    spans = spark.createDataFrame(rows, "tenant_id string, trace_id string, span_id string, parent_span_id string, operation_name string, service_name string, start_time timestamp, status string")
+    clusters = spark.createDataFrame([("default", "api", "c1", NOON + timedelta(hours=1)), ("default", "web", "c2", NOON - timedelta(hours=1)), ("default", "web", "c3", NOON + timedelta(hours=1)), ("other", "web", "c4", NOON + timedelta(hours=1))], "tenant_id string, service_name string, cluster_id string, last_seen timestamp")
+    got = {(r["tenant_id"], r["trace_id"]): r for r in graph.error_chains(spans, service="api", since=NOON + timedelta(seconds=5), limit=3, clusters=clusters).collect()}
+    assert set(got) == {("default", "t0"), ("default", "t4"), ("default", "t3"), ("other", "t1")}  # the newest three of a tenant
+    t0, t3 = got["default", "t0"], got["default", "t3"]
+    assert (t0["root_span"], t0["complete"], t0["clusters"]) == ("c", False, ["c1"]) and (t3["root_service"], t3["hops"], t3["clusters"]) == ("db", 1, ["c1"])
+    every = graph.error_chains(spans, service="api", clusters=clusters)
+    assert {r["trace_id"]: r["clusters"] for r in every.where("tenant_id = 'default' and trace_id = 't1'").collect()} == {"t1": ["c1", "c2", "c3"]}
+    anomalies = spark.createDataFrame([("default", "db", "slow"), ("default", "db", "errors"), ("default", "cache", "evictions")], "tenant_id string, service string, text string")
+    ranked = graph.ranked_causes(every.where("tenant_id = 'default'"), anomalies).orderBy("rank").collect()
+    assert [(r["service"], r["operation"], r["score"], r["complete"]) for r in ranked] == [("db", "op-db", 6, True), ("web", "op-web", 3, True), ("cache", "", 2, False)]
+    assert ranked[0]["evidence"] == ["error chain from trace t3", "error chain from trace t4", "anomaly: errors", "anomaly: slow"] and [s["span_id"] for s in ranked[0]["chain"]] == ["b", "a"] and ranked[2]["chain"] is None
+
+
 def test_shortest_path_has_no_round_limit(spark):
     edges = [(f"n{k}", f"n{k + 1}", 100) for k in range(9)] + [("n0", "n9", 2)]  # nine light edges beat one heavy one
     got = dict(map(tuple, graph.shortest_path(spark.createDataFrame(edges, "caller string, callee string, calls long"), "n0").collect()))
@@ -262,12 +293,12 @@ def test_miner(spark):
     bodies = ["a b c d p0 p1 q r", "a b c d x0 p1 s t", "a b c d z0 z1 q r"] + [f"only {w} here" for w in "efghijklmno"] + ["", "a b c d p0 p1 q r"]
     rows = [(t, "svc", NOON + timedelta(seconds=i), i, b) for t in ("one", "two") for i, b in enumerate(bodies)]
     df = spark.createDataFrame(rows, "tenant_id string, service_name string, timestamp timestamp, log_id long, body string")
-    got = {(r["tenant_id"], r["template"]): r["n"] for r in logs.mine_templates(df, 2).collect()}
+    got = {(r["tenant_id"], r["template"]): r["n"] for r in mining.mine_templates(df, most=2).collect()}
     # the words that differ widen a template, and lines before that count under its last text
-    assert got == {(t, x): n for t in ("one", "two") for x, n in {"a b c d <*> <*> <*> <*>": 4, "only e here": 1, logs.OTHER_TEMPLATE: 11}.items()}
-    with_text = {(r["log_id"], r["template"]) for r in logs.with_template(df, 2).where("tenant_id = 'one'").collect()}
+    assert got == {(t, x): n for t in ("one", "two") for x, n in {"a b c d <*> <*> <*> <*>": 4, "only e here": 1, mining.OTHER: 11}.items()}
+    with_text = {(r["log_id"], r["template"]) for r in mining.with_template(df, most=2).where("tenant_id = 'one'").collect()}
     assert {k for k, t in with_text if t.startswith("a b")} == {0, 1, 2, len(bodies) - 1} and len(with_text) == len(bodies)
-    assert logs.mine_templates(df.where("log_id < 0")).count() == 0
+    assert mining.mine_templates(df.where("log_id < 0")).count() == 0
 
 
 def test_sketch_collapse_without_keys(spark):
@@ -295,14 +326,13 @@ def test_anomaly_upsert_and_late_split(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("tenant_id", "date").count().count() == 2
 
 
-def test_miner_of_a_tenant_drops_the_template_used_longest_ago(spark):
-    lines = [("one", "a b c d e f"), ("two", "k l m n o p"), ("one", "a b c d e g"), ("two", "u v w x y z"), ("two", "k l m n o q")]
-    rows = [(t, v, NOON + timedelta(seconds=i), i, b) for t in ("t1", "t2") for i, (v, b) in enumerate(lines)]
+def test_templates_used_last_are_live(spark):
+    lines = ["a b c d e f", "k l m n o p", "a b c d e g", "u v w x y z"]
+    rows = [(t, "s", NOON + timedelta(seconds=i), i, b) for t in ("t1", "t2") for i, b in enumerate(lines)]
     df = spark.createDataFrame(rows, "tenant_id string, service_name string, timestamp timestamp, log_id long, body string")
-    got = sorted(map(tuple, logs.mine_templates(df, 2, ["tenant_id"], evict=True).collect()))
-    # the third line widens the first template, so the fourth takes the second's place and the fifth the first's
-    assert got == sorted((t, x, n) for t in ("t1", "t2") for x, n in (("a b c d e <*>", 2), ("k l m n o p", 1), ("u v w x y z", 1), ("k l m n o q", 1)))
-    assert {r["template"] for r in logs.with_template(df, 2, ["tenant_id"], evict=True).where("log_id in (0, 2)").collect()} == {"a b c d e <*>"}
+    mined = mining.mine(df, ["tenant_id"], None)
+    got = sorted((r["tenant_id"], " ".join(r["words"]), r["n"]) for r in mining.live(mined.templates, ["tenant_id"], 2).collect())
+    assert got == [(t, x, n) for t in ("t1", "t2") for x, n in (("a b c d e <*>", 2), ("u v w x y z", 1))]  # the second was used longest ago
 
 
 def test_hash_by_published_vectors(spark):
@@ -343,3 +373,39 @@ def test_merging_of_nothing(spark):
     assert tuple(merging.merge_gauges(no_point, ["k"]).first()) == ("a", 1, 2.0, 2.0, 2.0, 2.0, NOON - timedelta(hours=1))
     spans = spark.createDataFrame([], "tenant_id string, service_name string, span_id string, start_time timestamp, duration_us long, status string")
     assert merging.service_nodes(spans, 60).count() == 0
+
+
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.99, 1.0])
+def test_quantile_by_selection(spark, q, monkeypatch):
+    rng = random.Random(11)
+    values = {"a": [rng.randrange(10**9) for _ in range(301)], "b": [5] * 40 + [7], "c": [-(2**63), 2**63 - 1, 0, None], "d": [None], "e": [rng.randrange(-50, 50) for _ in range(200)]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v long")
+    nth = lambda vs: sorted(vs)[max(1, math.ceil(q * len(vs))) - 1] if vs else None
+    want = {k: (len(s), nth(s)) for k, vs in values.items() for s in [[v for v in vs if v is not None]]}
+    out = selection.exact_quantile(df, ["k"], "v", q)
+    assert {r["k"]: (r["n"], r["quantile"]) for r in out.collect()} == want
+    if q == 0.99:
+        every = [v for vs in values.values() for v in vs if v is not None]
+        assert tuple(selection.exact_quantile(df, [], "v", q).first()) == (len(every), nth(every))
+        monkeypatch.setattr(selection, "PARTS", 4)
+        assert {r["k"]: r["quantile"] for r in selection.exact_quantile(df.where("k <> 'c'"), ["k"], "v", q).collect()} == {k: v for k, (_, v) in want.items() if k != "c"}
+        assert tuple(selection.exact_quantile(df.where("k = 'none'"), [], "v", q).first()) == (0, None) and selection.exact_quantile(df.where("k = 'none'"), ["k"], "v", q).count() == 0
+
+
+def test_p99_of_fifty(spark):
+    rows = [("t", "s", 1000 * (k + 1)) for k in range(50)] + [("u", "s", 10**7)]
+    got = traffic.p99_exact(spark.createDataFrame(rows, "tenant_id string, service_name string, duration_us long"))
+    assert {(r["tenant_id"], r["p99_us"]) for r in got.collect()} == {("t", 50_000), ("u", 10**7)}
+
+
+def test_sweep_and_aliases_reach_any_length(spark):
+    chain = [(k, k - 1 if k else None) for k in range(40)]  # 39 leads to 0
+    ring = [(100, 101), (101, 102), (102, 100), (103, 100)]
+    rows = spark.createDataFrame([*chain, *ring, (200, 999), (201, None)], "id long, alias_of long")
+    final = dict(map(tuple, identity.resolve_aliases(rows).collect()))
+    assert final == {k: 0 for k in range(40)} | {k: 100 for k in range(100, 104)} | {200: 999, 201: 201}
+    refs = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    left = lambda *r: {x["id"] for x in identity.sweep(rows, *r).collect()}
+    every = {r["id"] for r in rows.collect()}
+    assert left(refs(20), refs(101, None, 777)) == every - set(range(21)) - {100, 101, 102}
+    assert left(refs(39, 103, 200)) == {201} and left(refs()) == every
