@@ -1,13 +1,14 @@
-"""Queries over stored state: the text index."""
+"""Queries over stored state: the text index, the graph."""
 
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from ..functions.stemming import stem_ctes
-from ..operators import textindex
+from ..operators import incremental, textindex
 from ..operators.settle import scratch
 from ..sources import telemetry as T
 from . import views as V
@@ -58,3 +59,24 @@ def log_search_phrase(spark, d):
 @_query(f"WITH {_WORDS} SELECT term, count(DISTINCT log_id)::BIGINT AS docs, count(*)::BIGINT AS n FROM terms GROUP BY 1")
 def log_index_terms(spark, d):
     return textindex.postings(T.document_logs(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("positions")).alias("n"))
+
+
+# ------------------------------------------------------------------ stored graph
+
+
+def _advanced(spark, d):
+    """The graph of the orders, folded in four times: up to three moments, and whole."""
+    spans, path = T.order_spans(spark, d), f"{scratch(spark)}/graph-{uuid.uuid4().hex}"
+    for upto in (datetime(1994, 6, 1), datetime(1996, 1, 1), datetime(1997, 3, 1), None):
+        incremental.advance(spans, path, upto)
+    return path
+
+
+@_query(f"WITH {V.ORD}, {V.CALLS} SELECT tenant_id, caller, callee, count(*)::BIGINT AS n, (count(*) FILTER ({V.ERROR}))::BIGINT AS errors, sum(duration_us)::BIGINT AS duration_sum FROM calls GROUP BY 1, 2, 3")
+def graph_edges_advanced(spark, d):
+    return incremental.graph(spark, _advanced(spark, d), "edges").drop("first_seen", "last_seen")
+
+
+@_query(f"WITH {V.ORD} SELECT tenant_id, service_name, operation_name, count(*)::BIGINT AS n, (count(*) FILTER ({V.ERROR}))::BIGINT AS errors, sum(duration_us)::BIGINT AS duration_sum FROM spans GROUP BY 1, 2, 3")
+def graph_nodes_advanced(spark, d):
+    return incremental.graph(spark, _advanced(spark, d), "nodes").drop("first_seen", "last_seen")

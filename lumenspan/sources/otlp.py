@@ -32,6 +32,11 @@ def read_json(spark: SparkSession, path: str, schema: str, multi_line: bool = Fa
     return spark.read.schema(schema).json(path, multiLine=multi_line)
 
 
+def stream_json(spark: SparkSession, path: str, schema, files: int = 100) -> DataFrame:
+    """Export requests as a stream, so many files a micro-batch: each file once, also after a restart from its checkpoint."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(path)
+
+
 def attribute(attrs: Column, key: str) -> Column:
     """The value of an attribute as text; null if absent."""
     v = F.get(F.filter(attrs, lambda a: a["key"] == key), F.lit(0))["value"]

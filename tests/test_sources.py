@@ -48,6 +48,21 @@ def test_otlp_logs_and_metrics(spark, tmp_path):
     assert (h["counts"], h["bounds"], h["temporality"]) == ([1, 2], [1.0], "delta")
 
 
+def test_a_stream_of_requests_reads_each_once(spark, tmp_path):
+    def request(k):
+        span = {"traceId": "t", "spanId": f"s{k}", "name": "op", "kind": 2, "startTimeUnixNano": str(NANOS), "endTimeUnixNano": str(NANOS + 1000)}
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / f"in/{k}.json").write_text(json.dumps({"resourceSpans": [{"resource": {"attributes": [_attr("service.name", "api")]}, "scopeSpans": [{"spans": [span]}]}]}))
+
+    for k in range(6):
+        request(k)
+        if k in (2, 3, 5):  # stopped and started again
+            spans = otlp.spans(otlp.stream_json(spark, str(tmp_path / "in"), otlp.TRACE_SCHEMA, 2))
+            q = spans.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+            q.awaitTermination()
+    assert sorted(r["span_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [f"s{k}" for k in range(6)]
+
+
 def _spans(spark, n=300):
     rows = [("default", f"t{i % 20}", f"s{i}", "" if i < 20 else f"s{i % 20}", f"op{i % 3}", f"svc-{i % 4}", NOON + timedelta(seconds=7 * i), 1000 + i, "STATUS_CODE_ERROR" if i % 9 == 0 else "STATUS_CODE_UNSET", 1, None) for i in range(n)]
     return spark.createDataFrame(rows, SPANS)
