@@ -69,10 +69,10 @@ def ticks(anomalies: DataFrame, seconds: int = 1800) -> DataFrame:
 
 
 def raw_thresholds(nodes: DataFrame) -> DataFrame:
-    """The raw path's detector over (service_name, spans, errors, avg_ms): error rate over 5 %, or mean over 500 ms with more than 10 calls."""
+    """The raw path's detector over (tenant_id, service_name, spans, errors, avg_ms): error rate over 5 %, or mean over 500 ms with more than 10 calls."""
     rate = F.col("errors") / F.col("spans")
-    error = nodes.where(rate > 0.05).select("service_name", F.lit("error_spike").alias("type"), S.error_severity(rate).alias("severity"))
-    slow = nodes.where((F.col("avg_ms") > 500) & (F.col("spans") > 10)).select("service_name", F.lit("latency_spike").alias("type"), S.latency_severity(F.col("avg_ms")).alias("severity"))
+    error = nodes.where(rate > 0.05).select("tenant_id", "service_name", F.lit("error_spike").alias("type"), S.error_severity(rate).alias("severity"))
+    slow = nodes.where((F.col("avg_ms") > 500) & (F.col("spans") > 10)).select("tenant_id", "service_name", F.lit("latency_spike").alias("type"), S.latency_severity(F.col("avg_ms")).alias("severity"))
     return error.unionByName(slow)
 
 

@@ -106,60 +106,70 @@ def trace_graph(spans: DataFrame) -> DataFrame:
 
 
 def _reach(edges: DataFrame, seed: str, depth: int) -> DataFrame:
-    """(node, depth): the fewest steps from a seed along edges (a, b)."""
-    start = edges.sparkSession.createDataFrame([(seed,)], "node string")
-    frontiers, frontier = [], start
+    """(tenant_id, node, depth): the fewest steps from a seed along each tenant's edges (tenant_id, a, b)."""
+    frontiers, frontier = [], edges.select("tenant_id").distinct().withColumn("node", F.lit(seed))
+    steps = edges.withColumnRenamed("a", "node")
     for k in range(1, depth + 1):
-        frontier = frontier.join(edges, frontier["node"] == edges["a"]).select(F.col("b").alias("node")).distinct()
+        frontier = frontier.join(steps, ["tenant_id", "node"]).select("tenant_id", F.col("b").alias("node")).distinct()
         frontiers.append(frontier.withColumn("depth", F.lit(k).cast("long")))
     found = reduce(DataFrame.unionByName, frontiers)
-    return found.where(F.col("node") != seed).groupBy("node").agg(F.min("depth").alias("depth"))
+    return found.where(F.col("node") != seed).groupBy("tenant_id", "node").agg(F.min("depth").alias("depth"))
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    there = edges.withColumnsRenamed({"caller": "a", "callee": "b"})
+    return there.unionByName(edges.withColumnsRenamed({"callee": "a", "caller": "b"}))
 
 
 def impact(edges: DataFrame, health: DataFrame, seed: str, depth: int = 5) -> DataFrame:
-    """Services downstream of a seed; impact is one less the health (1 if unknown)."""
-    found = _reach(edges.select(F.col("caller").alias("a"), F.col("callee").alias("b")).distinct(), seed, depth)
-    return found.join(health, found["node"] == health["service_name"], "left").select(F.col("node").alias("service"), "depth", S.scaled_round(1 - F.coalesce("score", F.lit(0.0)), 6).alias("impact"))
+    """Services of each tenant downstream of a seed; impact is one less the health (1 if unknown); ``health``: (tenant_id, service_name, score)."""
+    found = _reach(edges.select("tenant_id", F.col("caller").alias("a"), F.col("callee").alias("b")).distinct(), seed, depth).withColumnRenamed("node", "service")
+    known = health.select("tenant_id", F.col("service_name").alias("service"), "score")
+    return found.join(known, ["tenant_id", "service"], "left").select("tenant_id", "service", "depth", S.scaled_round(1 - F.coalesce("score", F.lit(0.0)), 6).alias("impact"))
 
 
 def map_around(edges: DataFrame, seed: str, depth: int = 1) -> DataFrame:
-    """Services within ``depth`` calls of a seed in either direction."""
-    both = edges.select(F.col("caller").alias("a"), F.col("callee").alias("b")).union(edges.select(F.col("callee").alias("a"), F.col("caller").alias("b"))).distinct()
-    return _reach(both, seed, depth).select(F.col("node").alias("service"), F.col("depth").alias("hops"))
+    """Services of each tenant within ``depth`` calls of a seed in either direction."""
+    both = _both_ways(edges.select("tenant_id", "caller", "callee")).distinct()
+    return _reach(both, seed, depth).select("tenant_id", F.col("node").alias("service"), F.col("depth").alias("hops"))
+
+
+def _weights(edges: DataFrame) -> DataFrame:
+    """(tenant_id, a, b, w): an undirected edge weighs 1/calls."""
+    return settled(_both_ways(edges.select("tenant_id", "caller", "callee", "calls")).groupBy("tenant_id", "a", "b").agg((1.0 / F.max("calls")).alias("w")).withColumnRenamed("a", "node"))
 
 
 def shortest_path(edges: DataFrame, source: str) -> DataFrame:
-    """(service, distance) of least weight from a source; an undirected edge weighs 1/calls.
+    """(tenant_id, service, distance) of least weight from a source in each tenant's graph.
 
     Bellman-Ford until no distance falls: one join and one grouping for each round, over services, not spans.
     """
-    w = edges.select(F.col("caller").alias("a"), F.col("callee").alias("b"), "calls").union(edges.select(F.col("callee").alias("a"), F.col("caller").alias("b"), "calls"))
-    w = settled(w.groupBy("a", "b").agg((1.0 / F.max("calls")).alias("w")))
-    best = fallen = settled(edges.sparkSession.createDataFrame([(source, 0.0)], "node string, distance double"))
+    w, keys = _weights(edges), ["tenant_id", "node"]
+    best = fallen = settled(w.select("tenant_id").distinct().select("tenant_id", F.lit(source).alias("node"), F.lit(0.0).alias("distance")))
     while not fallen.isEmpty():
-        moved = fallen.join(w, fallen["node"] == w["a"]).groupBy(F.col("b").alias("node")).agg(F.min(F.col("distance") + F.col("w")).alias("nearer"))
-        both = settled(best.join(moved, "node", "full"))
+        moved = fallen.join(w, keys).groupBy("tenant_id", F.col("b").alias("node")).agg(F.min(F.col("distance") + F.col("w")).alias("nearer"))
+        both = settled(best.join(moved, keys, "full"))
         falls = F.col("distance").isNull() | (F.col("nearer") < F.col("distance"))
-        fallen = both.where(falls).select("node", F.col("nearer").alias("distance"))
-        best = both.select("node", F.least("distance", "nearer").alias("distance"))
-    return best.select(F.col("node").alias("service"), "distance")
+        fallen = both.where(falls).select(*keys, F.col("nearer").alias("distance"))
+        best = both.select(*keys, F.least("distance", "nearer").alias("distance"))
+    return best.select("tenant_id", F.col("node").alias("service"), "distance")
 
 
 def shortest_routes(edges: DataFrame, source: str) -> DataFrame:
-    """(service, distance, path) as ``shortest_path``, with the services on the way; of equal ways the first by name.
+    """(tenant_id, service, distance, path) as ``shortest_path``, with the services on the way; of equal ways the first by name.
 
     Distances are kept to twelve places, so that sums in another order are still equal.
     """
-    w = edges.select(F.col("caller").alias("a"), F.col("callee").alias("b"), "calls").union(edges.select(F.col("callee").alias("a"), F.col("caller").alias("b"), "calls"))
-    w = settled(w.groupBy("a", "b").agg((1.0 / F.max("calls")).alias("w")))
-    best = moved = settled(edges.sparkSession.createDataFrame([(source, (0.0, [source]))], "node string, way struct<distance:double, path:array<string>>"))
+    w, keys = _weights(edges), ["tenant_id", "node"]
+    start = F.struct(F.lit(0.0).alias("distance"), F.array(F.lit(source)).alias("path")).alias("way")
+    best = moved = settled(w.select("tenant_id").distinct().select("tenant_id", F.lit(source).alias("node"), start))
     while not moved.isEmpty():
         way = F.struct(F.round(F.col("way.distance") + F.col("w"), 12).alias("distance"), F.array_append("way.path", F.col("b")).alias("path"))
-        near = moved.join(w, moved["node"] == w["a"]).where(~F.array_contains("way.path", F.col("b"))).groupBy(F.col("b").alias("node")).agg(F.min(way).alias("nearer"))
-        both = settled(best.join(near, "node", "full"))
-        moved = both.where(F.col("way").isNull() | (F.col("nearer") < F.col("way"))).select("node", F.col("nearer").alias("way"))
-        best = both.select("node", F.least("way", "nearer").alias("way"))
-    return best.select(F.col("node").alias("service"), "way.distance", "way.path")
+        near = moved.join(w, keys).where(~F.array_contains("way.path", F.col("b"))).groupBy("tenant_id", F.col("b").alias("node")).agg(F.min(way).alias("nearer"))
+        both = settled(best.join(near, keys, "full"))
+        moved = both.where(F.col("way").isNull() | (F.col("nearer") < F.col("way"))).select(*keys, F.col("nearer").alias("way"))
+        best = both.select(*keys, F.least("way", "nearer").alias("way"))
+    return best.select("tenant_id", F.col("node").alias("service"), "way.distance", "way.path")
 
 
 def root_causes(chains: DataFrame, anomalies: DataFrame) -> DataFrame:
@@ -191,11 +201,11 @@ def ranked_causes(chains: DataFrame, anomalies: DataFrame) -> DataFrame:
 
 
 def service_map(nodes: DataFrame, spans: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each service with its operations, callees and callers as sorted lists."""
-    listed = lambda df, key, value, name: df.groupBy(F.col(key).alias("service_name")).agg(F.array_join(F.array_sort(F.collect_set(value)), ",").alias(name))
-    out = nodes.select("service_name", "spans", "errors")
+    """Each tenant's services with their operations, callees and callers as sorted lists."""
+    listed = lambda df, key, value, name: df.groupBy("tenant_id", F.col(key).alias("service_name")).agg(F.array_join(F.array_sort(F.collect_set(value)), ",").alias(name))
+    out = nodes.select("tenant_id", "service_name", "spans", "errors")
     for df, key, value, name in ((spans, "service_name", "operation_name", "operations"), (edges, "caller", "callee", "calls_to"), (edges, "callee", "caller", "called_by")):
-        out = out.join(listed(df, key, value, name), "service_name", "left")
+        out = out.join(listed(df, key, value, name), ["tenant_id", "service_name"], "left")
     return out.na.fill("", ["operations", "calls_to", "called_by"])
 
 

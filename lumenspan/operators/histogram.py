@@ -104,3 +104,21 @@ def quantile_with_tail(folded: DataFrame, keys: list[str], q: float) -> DataFram
     hit = ranked.withColumn("upto", upto).join(body, keys).where(F.col("upto") > rank).groupBy(*keys).agg(F.min_by("bin", "upto").alias("bin"))
     out = folded.where("usable").join(hit, keys, "left")
     return out.select(*keys, F.coalesce(F.when(F.col("bin").isNotNull(), sketch.value_of(F.col("bin"))), "tail_bound").alias("value"), (F.col("bin").isNull() & F.col("tail_bound").isNotNull()).alias("is_lower_bound"))
+
+
+def accuracy(folded: DataFrame, keys: list[str]) -> DataFrame:
+    """What to say beside the quantiles of folded points: how far they may be off, and whether there are any.
+
+    (keys, relative_error_bound, source_bucket_error, unbounded_tail, unbounded_tail_bound, percentiles_unavailable): the sketch's own bound is
+    of a value in its bin; the source's widest bucket says how far a value may be from where it was put.
+    """
+    tail = F.col("tail_count") > 0
+    return folded.select(
+        *keys, F.lit(sketch.relative_error()).alias("relative_error_bound"), F.coalesce("source_error", F.lit(0.0)).alias("source_bucket_error"),
+        tail.alias("unbounded_tail"), F.when(tail, F.col("tail_bound")).alias("unbounded_tail_bound"), (~F.col("usable")).alias("percentiles_unavailable"),
+    )
+
+
+def sketch_accuracy(bins: DataFrame, keys: list[str], scale: int = sketch.SCALE) -> DataFrame:
+    """(keys, sketch_scale, relative_error_bound, populated_bins, n) of merged bins."""
+    return bins.groupBy(*keys).agg(F.lit(scale).alias("sketch_scale"), F.lit(sketch.relative_error(scale)).alias("relative_error_bound"), F.count_if(F.col("bin").isNotNull() & (F.col("count") > 0)).alias("populated_bins"), F.sum("count").alias("n"))

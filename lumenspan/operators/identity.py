@@ -78,10 +78,10 @@ def page_after(rows: DataFrame, keys: list[str], cursor: tuple | None, limit: in
 
 
 def worst_first(nodes: DataFrame, alerted: Column) -> DataFrame:
-    """Rank of services: critical, degraded, alerted, healthy; then by health, then by name."""
+    """Rank of each tenant's services: critical, degraded, alerted, healthy; then by health, then by name."""
     bucket = F.when(F.col("state") == "critical", 0).when(F.col("state") == "degraded", 1).when(alerted, 2).otherwise(3)
     rows = nodes.withColumn("bucket", bucket.cast("long"))
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy("bucket", "score", "service_name")).cast("long"))  # one row a service
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("tenant_id").orderBy("bucket", "score", "service_name")).cast("long"))  # one row a service
 
 
 def reduction_stats(points: DataFrame) -> DataFrame:

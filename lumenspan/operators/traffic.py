@@ -163,11 +163,11 @@ def late_points(points: DataFrame, arrival: str = "arrival") -> DataFrame:
 
 
 def system_summary(nodes: DataFrame) -> DataFrame:
-    """Counts by status and the unweighted mean of the services' rates; ``nodes``: (service_name, spans, errors, avg_ms)."""
+    """Each tenant's services by status and the unweighted mean of their rates; ``nodes``: (tenant_id, service_name, spans, errors, avg_ms)."""
     rate = F.when(F.col("spans") > 0, F.col("errors") / F.col("spans")).otherwise(0.0)
     scored = nodes.withColumn("rate", rate).withColumn("score", S.health_score_fallback(F.col("rate"), F.col("avg_ms"))).withColumn("state", S.health_status(F.col("score")))
     state = lambda s: F.count_if(F.col("state") == s)
-    return scored.agg(
+    return scored.groupBy("tenant_id").agg(
         F.count(F.lit(1)).alias("services"), state("healthy").alias("healthy"), state("degraded").alias("degraded"), state("critical").alias("critical"),
         S.scaled_round(F.avg("rate"), 6).alias("mean_error_rate"), S.scaled_round(F.avg("avg_ms"), 4).alias("mean_latency_ms"),
     )

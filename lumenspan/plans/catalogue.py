@@ -29,11 +29,6 @@ def _query(sql: str | None = None):
     return add
 
 
-def _one(spans: DataFrame) -> DataFrame:
-    """One tenant's rows."""
-    return spans.where("tenant_id = 'default'")
-
-
 def _windows(spans: DataFrame) -> DataFrame:
     """Daily windows of each service in the shape of the detectors; all but the newest are final."""
     spike = F.col("start_time") >= F.lit("2024-01-30").cast("timestamp")  # an outage on the last day: views fail, all is slow
@@ -197,12 +192,12 @@ def db_stats(spark, d):
 
 
 @_query(
-    f"""WITH {V.ORD1}, {V.NODES}, r AS (SELECT *, errors / spans AS rate FROM nodes), s AS (SELECT *, round(greatest(0, 1 - 5 * rate - CASE WHEN avg_ms > 200 THEN (avg_ms - 200) / 2000 ELSE 0 END) * 100) / 100 AS score FROM r)
-SELECT count(*)::BIGINT AS services, (count(*) FILTER (score >= 0.9))::BIGINT AS healthy, (count(*) FILTER (score >= 0.7 AND score < 0.9))::BIGINT AS degraded, (count(*) FILTER (score < 0.7))::BIGINT AS critical,
-round(avg(rate) * 1000000) / 1000000 AS mean_error_rate, round(avg(avg_ms) * 10000) / 10000 AS mean_latency_ms FROM s"""
+    f"""WITH {V.ORD}, {V.NODES}, r AS (SELECT *, errors / spans AS rate FROM nodes), s AS (SELECT *, round(greatest(0, 1 - 5 * rate - CASE WHEN avg_ms > 200 THEN (avg_ms - 200) / 2000 ELSE 0 END) * 100) / 100 AS score FROM r)
+SELECT tenant_id, count(*)::BIGINT AS services, (count(*) FILTER (score >= 0.9))::BIGINT AS healthy, (count(*) FILTER (score >= 0.7 AND score < 0.9))::BIGINT AS degraded, (count(*) FILTER (score < 0.7))::BIGINT AS critical,
+round(avg(rate) * 1000000) / 1000000 AS mean_error_rate, round(avg(avg_ms) * 10000) / 10000 AS mean_latency_ms FROM s GROUP BY 1"""
 )
 def system_summary(spark, d):
-    return traffic.system_summary(traffic.service_map_nodes(_one(T.order_spans(spark, d))))
+    return traffic.system_summary(traffic.service_map_nodes(T.order_spans(spark, d)))
 
 
 @_query(f"WITH {V.ORD}, {V.CALLS} SELECT * FROM edges WHERE caller IN ('1-URGENT', 'sup-1', 'sup-2', '5-LOW') AND callee IN ('1-URGENT', 'sup-1', 'sup-2', '5-LOW')")
@@ -449,17 +444,34 @@ def hist_quantile(spark, d):
     return out.withColumn("value", F.round("value", 6))
 
 
+@_query(
+    f"""WITH {V.METRICS}, b(lo, hi) AS (VALUES (0.0, 1.0), (1.0, 5.0), (5.0, 10.0), (10.0, 50.0), (50.0, 100.0), (100.0, 250.0)), s AS (SELECT service_name, name, min(value) AS mn, count(*) FILTER (value > 250) AS tail FROM points GROUP BY 1, 2),
+c AS (SELECT p.service_name, p.name, hi::DOUBLE AS hi, greatest(lo::DOUBLE, any_value(mn)) AS lo FROM points p JOIN b ON value > lo AND value <= hi JOIN s ON s.service_name = p.service_name AND s.name = p.name GROUP BY p.service_name, p.name, b.lo, b.hi),
+e AS (SELECT service_name, name, max(CASE WHEN lo = 0 THEN 1.0 ELSE sqrt(hi / lo) - 1 END) AS err FROM c GROUP BY 1, 2)
+SELECT service_name, name, round((pow(2.0, 0.0625) - 1) / (pow(2.0, 0.0625) + 1), 9) AS relative_error_bound, round(coalesce(err, 0), 9) AS source_bucket_error, tail > 0 AS unbounded_tail, CASE WHEN tail > 0 THEN 250.0 END AS unbounded_tail_bound, false AS percentiles_unavailable FROM s LEFT JOIN e USING (service_name, name)"""
+)
+def histogram_accuracy(spark, d):
+    out = histogram.accuracy(histogram.fold_explicit(_histogram_points(spark, d), ["service_name", "name"]), ["service_name", "name"])
+    return out.withColumns({c: F.round(c, 9) for c in ("relative_error_bound", "source_bucket_error")})
+
+
+@_query(f"WITH {V.EVT}, {_BINS} SELECT service_name, 4 AS sketch_scale, round((pow(2.0, 0.0625) - 1) / (pow(2.0, 0.0625) + 1), 9) AS relative_error_bound, (count(*) FILTER (bin IS NOT NULL))::BIGINT AS populated_bins, sum(count)::BIGINT AS n FROM bins GROUP BY 1")
+def sketch_accuracy(spark, d):
+    bins = sketch.build(T.event_spans(spark, d), ["service_name"], "duration_us")
+    return histogram.sketch_accuracy(bins, ["service_name"]).withColumn("relative_error_bound", F.round("relative_error_bound", 9))
+
+
 # ------------------------------------------------------------------ graph
 
 
 @_query(
-    f"""WITH {V.ORD1}, {V.NODES}, r AS (SELECT *, errors / spans AS rate FROM nodes), s AS (SELECT *, greatest(0.0, least(1.0, 1 - 5 * rate - 0.1 * greatest(0.0, (avg_ms - 100) / 100))) AS score FROM r)
-SELECT service_name, round(score, 6) AS score, CASE WHEN score >= 0.9 THEN 'healthy' WHEN score >= 0.7 THEN 'degraded' ELSE 'critical' END AS state FROM s"""
+    f"""WITH {V.ORD}, {V.NODES}, r AS (SELECT *, errors / spans AS rate FROM nodes), s AS (SELECT *, greatest(0.0, least(1.0, 1 - 5 * rate - 0.1 * greatest(0.0, (avg_ms - 100) / 100))) AS score FROM r)
+SELECT tenant_id, service_name, round(score, 6) AS score, CASE WHEN score >= 0.9 THEN 'healthy' WHEN score >= 0.7 THEN 'degraded' ELSE 'critical' END AS state FROM s"""
 )
 def health_score(spark, d):
-    nodes = traffic.service_map_nodes(_one(T.order_spans(spark, d)))
+    nodes = traffic.service_map_nodes(T.order_spans(spark, d))
     score = S.health_score(F.col("errors") / F.col("spans"), F.col("avg_ms"))
-    return nodes.select("service_name", F.round(score, 6).alias("score"), S.health_status(score).alias("state"))
+    return nodes.select("tenant_id", "service_name", F.round(score, 6).alias("score"), S.health_status(score).alias("state"))
 
 
 _CHAIN = f"""seed AS (SELECT tenant_id, trace_id, arg_min(span_id, (start_time, span_id)) AS error_span FROM spans WHERE {V.ERROR} GROUP BY 1, 2),
@@ -509,31 +521,31 @@ def trace_graph(spark, d):
 
 
 def _conv_edges(spark, d):
-    return traffic.service_map_edges(_one(T.conversation_spans(spark, d)))
+    return traffic.service_map_edges(T.conversation_spans(spark, d))
 
 
 @_query(
-    f"""WITH RECURSIVE {V.CONV1}, {V.CALLS}, {V.NODES}, reach AS (SELECT 'system-0' AS node, 0 AS depth UNION SELECT callee, depth + 1 FROM reach JOIN edges ON caller = node WHERE depth < 5),
-h AS (SELECT service_name, round(greatest(0.0, 1 - 5 * (errors / spans) - CASE WHEN avg_ms > 200 THEN (avg_ms - 200) / 2000 ELSE 0 END) * 100) / 100 AS score FROM nodes)
-SELECT node AS service, min(depth)::BIGINT AS depth, round((1 - coalesce(any_value(score), 0)) * 1000000) / 1000000 AS impact FROM reach LEFT JOIN h ON service_name = node WHERE node <> 'system-0' GROUP BY 1"""
+    f"""WITH RECURSIVE {V.CONV}, {V.CALLS}, {V.NODES}, reach AS (SELECT DISTINCT tenant_id, 'system-0' AS node, 0 AS depth FROM edges UNION SELECT edges.tenant_id, callee, depth + 1 FROM reach JOIN edges ON edges.tenant_id = reach.tenant_id AND caller = node WHERE depth < 5),
+h AS (SELECT tenant_id, service_name, round(greatest(0.0, 1 - 5 * (errors / spans) - CASE WHEN avg_ms > 200 THEN (avg_ms - 200) / 2000 ELSE 0 END) * 100) / 100 AS score FROM nodes)
+SELECT reach.tenant_id, node AS service, min(depth)::BIGINT AS depth, round((1 - coalesce(any_value(score), 0)) * 1000000) / 1000000 AS impact FROM reach LEFT JOIN h ON service_name = node AND h.tenant_id = reach.tenant_id WHERE node <> 'system-0' GROUP BY 1, 2"""
 )
 def impact_bfs(spark, d):
-    nodes = traffic.service_map_nodes(_one(T.conversation_spans(spark, d)))
-    health = nodes.select("service_name", S.health_score_fallback(F.col("errors") / F.col("spans"), F.col("avg_ms")).alias("score"))
+    nodes = traffic.service_map_nodes(T.conversation_spans(spark, d))
+    health = nodes.select("tenant_id", "service_name", S.health_score_fallback(F.col("errors") / F.col("spans"), F.col("avg_ms")).alias("score"))
     return graph.impact(_conv_edges(spark, d), health, "system-0", 5)
 
 
 @_query(
-    f"""WITH RECURSIVE {V.CONV1}, {V.CALLS}, u AS (SELECT caller AS a, callee AS b FROM edges UNION SELECT callee, caller FROM edges),
-reach AS (SELECT 'user-1' AS node, 0 AS depth UNION SELECT b, depth + 1 FROM reach JOIN u ON a = node WHERE depth < 2) SELECT node AS service, min(depth)::BIGINT AS hops FROM reach WHERE node <> 'user-1' GROUP BY 1"""
+    f"""WITH RECURSIVE {V.CONV}, {V.CALLS}, u AS (SELECT tenant_id, caller AS a, callee AS b FROM edges UNION SELECT tenant_id, callee, caller FROM edges),
+reach AS (SELECT DISTINCT tenant_id, 'user-1' AS node, 0 AS depth FROM edges UNION SELECT u.tenant_id, b, depth + 1 FROM reach JOIN u ON u.tenant_id = reach.tenant_id AND a = node WHERE depth < 2) SELECT tenant_id, node AS service, min(depth)::BIGINT AS hops FROM reach WHERE node <> 'user-1' GROUP BY 1, 2"""
 )
 def map_around(spark, d):
     return graph.map_around(_conv_edges(spark, d), "user-1", 2)
 
 
 @_query(
-    f"""WITH RECURSIVE {V.CONV1}, {V.CALLS}, u AS (SELECT a, b, 1.0 / max(calls) AS w FROM (SELECT caller AS a, callee AS b, calls FROM edges UNION ALL SELECT callee, caller, calls FROM edges) GROUP BY 1, 2),
-p AS (SELECT 'user-1' AS node, 0.0::DOUBLE AS dist, ['user-1'] AS path UNION ALL SELECT b, dist + w, list_append(path, b) FROM p JOIN u ON a = node WHERE NOT list_contains(path, b)) SELECT node AS service, round(min(dist), 9) AS distance FROM p GROUP BY 1"""
+    f"""WITH RECURSIVE {V.CONV}, {V.CALLS}, u AS (SELECT tenant_id, a, b, 1.0 / max(calls) AS w FROM (SELECT tenant_id, caller AS a, callee AS b, calls FROM edges UNION ALL SELECT tenant_id, callee, caller, calls FROM edges) GROUP BY 1, 2, 3),
+p AS (SELECT DISTINCT tenant_id, 'user-1' AS node, 0.0::DOUBLE AS dist, ['user-1'] AS path FROM edges UNION ALL SELECT u.tenant_id, b, dist + w, list_append(path, b) FROM p JOIN u ON u.tenant_id = p.tenant_id AND a = node WHERE NOT list_contains(path, b)) SELECT tenant_id, node AS service, round(min(dist), 9) AS distance FROM p GROUP BY 1, 2"""
 )
 def shortest_path(spark, d):
     return graph.shortest_path(_conv_edges(spark, d), "user-1").withColumn("distance", F.round("distance", 9))
@@ -550,11 +562,13 @@ def root_cause(spark, d):
 
 
 @_query(
-    f"""WITH {V.CONV1}, {V.CALLS}, {V.NODES} SELECT service_name, spans, errors, (SELECT string_agg(o, ',' ORDER BY o) FROM (SELECT DISTINCT operation_name AS o FROM spans s WHERE s.service_name = nodes.service_name)) AS operations,
-coalesce((SELECT string_agg(callee, ',' ORDER BY callee) FROM edges WHERE caller = service_name), '') AS calls_to, coalesce((SELECT string_agg(caller, ',' ORDER BY caller) FROM edges WHERE callee = service_name), '') AS called_by FROM nodes"""
+    f"""WITH {V.CONV}, {V.CALLS}, {V.NODES} SELECT tenant_id, service_name, spans, errors, operations, coalesce(calls_to, '') AS calls_to, coalesce(called_by, '') AS called_by FROM nodes
+LEFT JOIN (SELECT tenant_id, service_name, string_agg(DISTINCT operation_name, ',' ORDER BY operation_name) AS operations FROM spans GROUP BY 1, 2) USING (tenant_id, service_name)
+LEFT JOIN (SELECT tenant_id, caller AS service_name, string_agg(callee, ',' ORDER BY callee) AS calls_to FROM edges GROUP BY 1, 2) USING (tenant_id, service_name)
+LEFT JOIN (SELECT tenant_id, callee AS service_name, string_agg(caller, ',' ORDER BY caller) AS called_by FROM edges GROUP BY 1, 2) USING (tenant_id, service_name)"""
 )
 def service_map(spark, d):
-    spans = _one(T.conversation_spans(spark, d))
+    spans = T.conversation_spans(spark, d)
     return graph.service_map(traffic.service_map_nodes(spans), spans, traffic.service_map_edges(spans))
 
 
@@ -622,11 +636,11 @@ def anomaly_ticks(spark, d):
 
 
 @_query(
-    f"""WITH {V.ORD1}, {V.NODES}, r AS (SELECT *, errors / spans AS rate FROM nodes) SELECT service_name, 'error_spike' AS type, CASE WHEN rate > 0.2 THEN 'critical' WHEN rate > 0.1 THEN 'warning' ELSE 'info' END AS severity FROM r WHERE rate > 0.05
-UNION ALL SELECT service_name, 'latency_spike', CASE WHEN avg_ms > 2000 THEN 'critical' WHEN avg_ms > 1000 THEN 'warning' ELSE 'info' END FROM r WHERE avg_ms > 500 AND spans > 10"""
+    f"""WITH {V.ORD}, {V.NODES}, r AS (SELECT *, errors / spans AS rate FROM nodes) SELECT tenant_id, service_name, 'error_spike' AS type, CASE WHEN rate > 0.2 THEN 'critical' WHEN rate > 0.1 THEN 'warning' ELSE 'info' END AS severity FROM r WHERE rate > 0.05
+UNION ALL SELECT tenant_id, service_name, 'latency_spike', CASE WHEN avg_ms > 2000 THEN 'critical' WHEN avg_ms > 1000 THEN 'warning' ELSE 'info' END FROM r WHERE avg_ms > 500 AND spans > 10"""
 )
 def raw_thresholds(spark, d):
-    return anomaly.raw_thresholds(traffic.service_map_nodes(_one(T.order_spans(spark, d))))
+    return anomaly.raw_thresholds(traffic.service_map_nodes(T.order_spans(spark, d)))
 
 
 # ------------------------------------------------------------------ sampling

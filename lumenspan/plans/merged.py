@@ -143,12 +143,12 @@ def valid_series(spark, d):
 
 
 @_query(
-    f"""WITH RECURSIVE {V.CONV1}, {V.CALLS}, u AS (SELECT a, b, 1.0::DOUBLE / max(calls) AS w FROM (SELECT caller AS a, callee AS b, calls FROM edges UNION ALL SELECT callee, caller, calls FROM edges) GROUP BY 1, 2),
-p AS (SELECT 'user-1' AS node, 0.0::DOUBLE AS dist, ['user-1'] AS path UNION ALL SELECT b, round(dist + w, 12), list_append(path, b) FROM p JOIN u ON a = node WHERE NOT list_contains(path, b))
-SELECT node AS service, array_to_string(arg_min(path, (dist, path)), '>') AS path FROM p GROUP BY 1"""
+    f"""WITH RECURSIVE {V.CONV}, {V.CALLS}, u AS (SELECT tenant_id, a, b, 1.0::DOUBLE / max(calls) AS w FROM (SELECT tenant_id, caller AS a, callee AS b, calls FROM edges UNION ALL SELECT tenant_id, callee, caller, calls FROM edges) GROUP BY 1, 2, 3),
+p AS (SELECT DISTINCT tenant_id, 'user-1' AS node, 0.0::DOUBLE AS dist, ['user-1'] AS path FROM edges UNION ALL SELECT u.tenant_id, b, round(dist + w, 12), list_append(path, b) FROM p JOIN u ON u.tenant_id = p.tenant_id AND a = node WHERE NOT list_contains(path, b))
+SELECT tenant_id, node AS service, array_to_string(arg_min(path, (dist, path)), '>') AS path FROM p GROUP BY 1, 2"""
 )
 def shortest_route(spark, d):
-    return graph.shortest_routes(_conv_edges(spark, d), "user-1").select("service", F.array_join("path", ">").alias("path"))
+    return graph.shortest_routes(_conv_edges(spark, d), "user-1").select("tenant_id", "service", F.array_join("path", ">").alias("path"))
 
 
 @_query()

@@ -14,7 +14,7 @@ from ..operators.traffic import stamp
 from ..sources import sinks
 from ..sources import telemetry as T
 from . import views as V
-from .catalogue import _deltas, _DELTAS, _one, _query
+from .catalogue import _deltas, _DELTAS, _query
 
 # ------------------------------------------------------------------ scalars
 
@@ -55,14 +55,14 @@ def line_mask(spark, d):
 
 
 @_query(
-    f"""WITH {V.ORD1}, {V.NODES}, r AS (SELECT *, errors / spans AS rate FROM nodes) SELECT service_name, round(greatest(0, 1 - 5 * rate - CASE WHEN avg_ms > 200 THEN (avg_ms - 200) / 2000 ELSE 0 END) * 100) / 100 AS score,
+    f"""WITH {V.ORD}, {V.NODES}, r AS (SELECT *, errors / spans AS rate FROM nodes) SELECT tenant_id, service_name, round(greatest(0, 1 - 5 * rate - CASE WHEN avg_ms > 200 THEN (avg_ms - 200) / 2000 ELSE 0 END) * 100) / 100 AS score,
 concat_ws('; ', CASE WHEN rate > 0.05 THEN 'high error rate: ' || floor(rate * 100)::BIGINT || '%' END, CASE WHEN avg_ms > 150 THEN 'p99 latency exceeds 500ms' END) AS alerts FROM r"""
 )
 def service_alerts(spark, d):
-    nodes = traffic.service_map_nodes(_one(T.order_spans(spark, d)))
+    nodes = traffic.service_map_nodes(T.order_spans(spark, d))
     rate = F.col("errors") / F.col("spans")
     slow = F.when(F.col("avg_ms") > 150, 501.0).otherwise(1.0)
-    return nodes.select("service_name", S.health_score_fallback(rate, F.col("avg_ms")).alias("score"), F.array_join(S.alerts(rate, slow), "; ").alias("alerts"))
+    return nodes.select("tenant_id", "service_name", S.health_score_fallback(rate, F.col("avg_ms")).alias("score"), F.array_join(S.alerts(rate, slow), "; ").alias("alerts"))
 
 
 @_query(
@@ -173,15 +173,15 @@ def bucket_page(spark, d):
 
 
 @_query(
-    f"""WITH {V.ORD1}, {V.NODES}, s AS (SELECT service_name, errors / spans AS rate, greatest(0.0, least(1.0, 1 - 5 * (errors / spans) - 0.1 * greatest(0.0, (avg_ms - 100) / 100))) AS score FROM nodes),
-b AS (SELECT service_name, round(score, 6) AS score, CASE WHEN score >= 0.9 THEN 3 WHEN score >= 0.7 THEN 1 ELSE 0 END AS bucket FROM s)
-SELECT service_name, score, (CASE WHEN bucket = 3 AND service_name LIKE 'sup-1%' THEN 2 ELSE bucket END)::BIGINT AS bucket, row_number() OVER (ORDER BY CASE WHEN bucket = 3 AND service_name LIKE 'sup-1%' THEN 2 ELSE bucket END, score, service_name)::BIGINT AS rank FROM b"""
+    f"""WITH {V.ORD}, {V.NODES}, s AS (SELECT tenant_id, service_name, errors / spans AS rate, greatest(0.0, least(1.0, 1 - 5 * (errors / spans) - 0.1 * greatest(0.0, (avg_ms - 100) / 100))) AS score FROM nodes),
+b AS (SELECT tenant_id, service_name, round(score, 6) AS score, CASE WHEN score >= 0.9 THEN 3 WHEN score >= 0.7 THEN 1 ELSE 0 END AS bucket FROM s)
+SELECT tenant_id, service_name, score, (CASE WHEN bucket = 3 AND service_name LIKE 'sup-1%' THEN 2 ELSE bucket END)::BIGINT AS bucket, row_number() OVER (PARTITION BY tenant_id ORDER BY CASE WHEN bucket = 3 AND service_name LIKE 'sup-1%' THEN 2 ELSE bucket END, score, service_name)::BIGINT AS rank FROM b"""
 )
 def worst_first(spark, d):
-    nodes = traffic.service_map_nodes(_one(T.order_spans(spark, d)))
+    nodes = traffic.service_map_nodes(T.order_spans(spark, d))
     score = S.health_score(F.col("errors") / F.col("spans"), F.col("avg_ms"))
-    scored = nodes.select("service_name", F.round(score, 6).alias("score"), S.health_status(score).alias("state"))
-    return identity.worst_first(scored, F.col("service_name").startswith("sup-1")).select("service_name", "score", "bucket", "rank")
+    scored = nodes.select("tenant_id", "service_name", F.round(score, 6).alias("score"), S.health_status(score).alias("state"))
+    return identity.worst_first(scored, F.col("service_name").startswith("sup-1")).select("tenant_id", "service_name", "score", "bucket", "rank")
 
 
 @_query(f"WITH {V.EVT}, l AS (SELECT service_name, trace_id AS id, max(start_time) AS last_seen FROM spans GROUP BY 1, 2) SELECT service_name, id FROM l QUALIFY row_number() OVER (PARTITION BY service_name ORDER BY last_seen DESC, id) <= 4")

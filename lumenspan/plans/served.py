@@ -13,7 +13,7 @@ from ..operators import anomaly, graph, logs, mining, serving, traffic
 from ..operators.traffic import stamp
 from ..sources import telemetry as T
 from . import views as V
-from .catalogue import _BINS, _CHAIN, _DELTAS, _deltas, _one, _query
+from .catalogue import _BINS, _CHAIN, _DELTAS, _deltas, _query
 
 _NOON = datetime(2024, 1, 15, 12)
 
@@ -340,11 +340,11 @@ def worst_severity(spark, d):
 
 
 @_query(
-    f"""WITH {V.ORD1}, {V.NODES}, s AS (SELECT *, round(greatest(0, 1 - 5 * (errors / spans) - CASE WHEN avg_ms > 200 THEN (avg_ms - 200) / 2000 ELSE 0 END) * 100) / 100 AS score FROM nodes)
+    f"""WITH {V.ORD}, {V.NODES}, s AS (SELECT *, round(greatest(0, 1 - 5 * (errors / spans) - CASE WHEN avg_ms > 200 THEN (avg_ms - 200) / 2000 ELSE 0 END) * 100) / 100 AS score FROM nodes)
 SELECT tenant_id, service_name, score, CASE WHEN score >= 0.9 THEN 'healthy' WHEN score >= 0.7 THEN 'degraded' ELSE 'critical' END AS state FROM s WHERE service_name = '5-LOW'"""
 )
 def service_health(spark, d):
-    return serving.service_health(traffic.service_map_nodes(_one(T.order_spans(spark, d))), "5-LOW")
+    return serving.service_health(traffic.service_map_nodes(T.order_spans(spark, d)), "5-LOW")
 
 
 @_query(

@@ -256,7 +256,9 @@ def test_chains_of_a_service_with_clusters_and_causes(spark):
 
 def test_shortest_path_has_no_round_limit(spark):
     edges = [(f"n{k}", f"n{k + 1}", 100) for k in range(9)] + [("n0", "n9", 2)]  # nine light edges beat one heavy one
-    got = dict(map(tuple, graph.shortest_path(spark.createDataFrame(edges, "caller string, callee string, calls long"), "n0").collect()))
+    other = [("u", "n0", "n1", 1)]  # another tenant's edge is no way
+    both = spark.createDataFrame([("t", *e) for e in edges] + other, "tenant_id string, caller string, callee string, calls long")
+    got = {r["service"]: r["distance"] for r in graph.shortest_path(both, "n0").where("tenant_id = 't'").collect()}
     assert {k: round(v, 9) for k, v in got.items()} == {f"n{k}": round(k / 100, 9) for k in range(10)}
 
 
@@ -352,7 +354,7 @@ def test_durations_and_moments(spark):
 
 def test_shortest_route(spark):
     edges = [(f"n{k}", f"n{k + 1}", 100) for k in range(9)] + [("n0", "n9", 2), ("n0", "m", 100), ("m", "n2", 100)]  # m is as near as n1, and first by name
-    got = {r["service"]: r["path"] for r in graph.shortest_routes(spark.createDataFrame(edges, "caller string, callee string, calls long"), "n0").collect()}
+    got = {r["service"]: r["path"] for r in graph.shortest_routes(spark.createDataFrame([("t", *e) for e in edges], "tenant_id string, caller string, callee string, calls long"), "n0").collect()}
     assert got["n9"] == ["n0", "m"] + [f"n{k}" for k in range(2, 10)] and got["n1"] == ["n0", "n1"] and got["n0"] == ["n0"]
 
 
