@@ -72,6 +72,7 @@ def batch_priority(spans: DataFrame, batch: list[str], slow_us: int = 500_000) -
     return spans.groupBy("tenant_id", *batch).agg(F.count(F.lit(1)).alias("n"), F.max(is_error() | (F.col("duration_us") >= slow_us)).alias("priority"))
 
 
+#: Fixed values in the next two: shares at which batches are dropped, percentages at which disks shed.
 def admission(fill: Column, priority: Column, in_flight: Column, tenant_cap: int) -> Column:
     """What becomes of a batch: rejected when full, dropped at nine tenths or beyond the tenant's share unless it has priority."""
     return F.when(fill >= 1, "reject").when(~priority & ((fill >= 0.9) | (in_flight >= tenant_cap)), "drop").otherwise("accept")

@@ -133,6 +133,17 @@ def metric_dims(spark, d):
     return rows.groupBy("tenant_id", "service_name", "dims").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query(
+    f"""WITH {V.EVT}, x AS (SELECT tenant_id, service_name, operation_name AS name, start_time, duration_us, json_extract_string(props, '$.k') AS k, span_id::BIGINT AS seq FROM spans)
+SELECT {V.stamp(V.window('start_time'))} AS bucket, tenant_id, service_name, name, k AS dims, count(*)::BIGINT AS n, sum(duration_us)::BIGINT AS sum, min(duration_us) AS min, max(duration_us) AS max, arg_max(duration_us, (start_time, seq)) AS last FROM x GROUP BY 1, 2, 3, 4, 5"""
+)
+def metric_dim_series(spark, d):
+    """Durations as metric points with the events' properties."""
+    spans = T.event_spans(spark, d)
+    points = spans.select("tenant_id", "service_name", F.col("operation_name").alias("name"), F.col("duration_us").alias("value"), F.col("start_time").alias("timestamp"), F.col("span_id").cast("long").alias("seq"), F.col("attributes_json").alias("attributes"))
+    return serving.dim_deltas(points, ["k"]).withColumns({"dims": F.array_join("dims", "/"), "bucket": stamp("window")}).drop("window")
+
+
 @_query()
 def template_series(spark, d):
     """Log deltas by mined template; mining has no SQL."""
