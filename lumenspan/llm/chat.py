@@ -108,6 +108,16 @@ def text_parts(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), *[F.lit(None).cast(t).alias(k) for k, t in none.items()]))
 
 
+def json_parts(content: Column) -> Column:
+    """Content of parts from JSON: a list of objects with the names of ``PARTS``, or a string, which is one text part.
+
+    What is neither (or broken) is a text as it stands; null is an empty list.
+    """
+    listed = F.from_json(F.when(content.rlike(r"^\s*\["), content), PARTS)
+    quoted = F.get_json_object(F.concat(F.lit('{"x":'), F.when(content.rlike(r'^\s*"'), content), F.lit("}")), "$.x")
+    return F.when(content.isNotNull(), F.coalesce(listed, text_parts(F.coalesce(quoted, content)).cast(PARTS)))
+
+
 def format_turns(
     table: DataFrame, content: Column, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", learned: tuple[str, ...] = ("assistant",), visitor: Visitor = Visitor()
 ) -> DataFrame:

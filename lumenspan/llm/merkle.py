@@ -12,6 +12,9 @@ dealt by ranges of (group, order), numbered inside their block, and blocks are a
 block and group is sorted by group. A run has ``fanout`` rows at most. Levels are written to the shared folder;
 the driver learns nothing but the largest group's size, which says how many levels there are.
 
+``record`` keeps a table's manifest, its levels and all, in a folder; ``changes`` compares two of them, from the
+groups' subroots down, and reads leaves of those runs alone whose digests differ.
+
 Cases: a null field is framed as ``-``, which no value is; a null group is a group of its own, before all
 others; rows with a null id come first in their group; rows that repeat an id, or are wholly equal, are
 leaves of their own (in the order of their digests; equal ones in any order, as they can't be told apart);
@@ -23,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -121,6 +124,41 @@ def manifest(table: DataFrame, fields: Sequence[str], id_col: str = "doc_id", gr
     return found.select(F.col("id").alias(id_col), F.col("digest").alias("leaf"), "subroot", "root", "path", *carry)
 
 
+def record(table: DataFrame, fields: Sequence[str], path: str, id_col: str = "doc_id", group_col: str = "source", fanout: int = FANOUT) -> None:
+    """Write ``subroots`` (g, group, digest), ``runs`` (g, run, digest) and, by run, ``leaves`` (g, run, id, digest) of a table below ``path``."""
+    rows = table.select(F.col(id_col).alias("id"), F.col(group_col).alias("group"), framed(F.col(group_col)).alias("g"), leaf(*[F.col(f) for f in fields]).alias("digest"))
+    rows = common.materialize(rows, "merkle-leaves")
+    placed, dealt = _numbered(rows.drop("group"), [F.col("id").asc_nulls_first(), F.col("digest")])
+    levels, subroots = _climb(placed, ["id"], fanout, "merkle-record")
+    subroots.join(rows.select("g", "group").distinct(), "g").write.mode("overwrite").parquet(f"{path}/subroots")
+    levels[0].select("g", "run", "digest").write.mode("overwrite").parquet(f"{path}/runs")
+    leaves = levels[0].select("g", "run", F.explode("members").alias("m")).select("g", "run", "m.id", "m.digest")
+    leaves.sortWithinPartitions("g", "run").write.mode("overwrite").parquet(f"{path}/leaves")
+    for done in (dealt, rows, *levels):
+        common.release(done)
+
+
+def changes(spark: SparkSession, old: str, new: str) -> DataFrame:
+    """(group, id, change) of the rows that differ between two recorded manifests: ``added``, ``removed`` or ``changed``.
+
+    Groups of equal subroots are not looked into, nor, of the others, runs that are equal at the same place. A row put in
+    moves all that follow it in its group, so their runs differ too; such rows are compared and found
+    equal. Rows are told apart by (group, id); of rows that repeat an id each digest that one side has more often counts: as
+    ``changed`` where the other side has other rows of the id that it lacks, else as added or removed.
+    """
+    read = lambda path, name: spark.read.parquet(f"{path}/{name}")
+    sides = [read(p, "subroots").select("g", "group", F.col("digest").alias(n)) for p, n in ((old, "was"), (new, "now"))]
+    groups = sides[0].join(sides[1].withColumnRenamed("group", "other"), "g", "full")
+    groups = groups.where(~F.col("was").eqNullSafe(F.col("now"))).select("g", F.coalesce("group", "other").alias("group"))
+    runs = [read(p, "runs").join(groups.select("g"), "g", "left_semi").select("g", "run", F.col("digest").alias(n)) for p, n in ((old, "was"), (new, "now"))]
+    differ = runs[0].join(runs[1], ["g", "run"], "full").where(~F.col("was").eqNullSafe(F.col("now"))).select("g", "run")
+    sign = lambda p, n: read(p, "leaves").join(differ, ["g", "run"], "left_semi").select("g", "id", "digest", F.lit(n).alias("n"))
+    left = sign(old, -1).unionByName(sign(new, 1)).groupBy("g", "id", "digest").agg(F.sum("n").alias("n")).where("n <> 0")
+    found = left.groupBy("g", "id").agg(F.sum(F.when(F.col("n") > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.when(F.col("n") < 0, -F.col("n")).otherwise(0)).alias("less"))
+    change = F.when((F.col("more") > 0) & (F.col("less") > 0), "changed").when(F.col("more") > 0, "added").otherwise("removed")
+    return found.join(groups, "g").select("group", "id", change.alias("change"))
+
+
 def folded(node: Column, path: Column) -> Column:
     """The root that a leaf and its path lead to."""
     return F.aggregate(path, node, lambda d, s: F.sha2(F.concat(s["left"], d, s["right"]), 256))

@@ -14,7 +14,8 @@ vectors of another length are a space of their own, with its own count (``MOST_L
 beyond); an empty vector has no component. A component without variance (as all are where there is one
 vector, or only copies of one) has a null whitened value, and the identity is not asked of it; where no
 component has variance, the error is 0. A deviation that does not fit a long is null. Components of equal
-variance may be turned within their plane. An empty table gives no rows; other columns are left behind.
+variance may be turned within their plane. An empty table gives no rows; other columns are left behind. Vectors of a
+length that was not fitted, in a table other than the fitted one, have nulls beside their id.
 """
 
 from __future__ import annotations
@@ -173,7 +174,10 @@ def whiten(table: DataFrame, spaces: dict[int, Space], id_col: str = "vec_id", c
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for d, at, x in _by_length(b.column(1)):
-                space = held.value[d]
+                space = held.value.get(d)
+                if space is None:
+                    yield pa.record_batch([b.column(0).take(pa.array(at)), pa.array([d] * len(x), pa.int32()), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.list_(pa.float64()))], names=[id_col, "d", "deviation", "whitened"])
+                    continue
                 values = np.full((len(x), len(space.values)), np.nan)
                 values[:, space.values > 0] = space.whitened(x)
                 flat = pa.array(values.ravel(), pa.float64(), mask=np.isnan(values).ravel())

@@ -34,3 +34,18 @@ def test_stages(spark):
 
 def test_run(spark):
     assert cp.run(spark, SF).count() > 0
+
+
+def test_stages_on_an_empty_table_and_on_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clash = ["predicted", "place", "carried", "block", "kept", "component_id", "spans", "base"]
+    for table in (docs.where("false"), docs.where("doc_id < 40").withColumns({c: F.lit(c) for c in clash}).unionByName(docs.where("doc_id = 1").select("doc_id", F.repeat("text", 300).alias("text"), "lang", "source", "n_chars", *[F.lit(c).alias(c) for c in clash]))):
+        rows = table.count()
+        for name, stage in cp.STAGES[:-1]:
+            out = common.materialize(stage(spark, table, SF), name)
+            assert out.columns == table.columns and (out.count() > 0) == (rows > 0)
+            if rows:
+                assert [tuple(r) for r in out.select(*[c for c in clash if c in out.columns]).distinct().collect()] == [tuple(clash)]
+            table = out
+        packed = cp.STAGES[-1][1](spark, table, SF)
+        assert packed.select("doc_id").distinct().count() == table.select("doc_id").distinct().count()

@@ -69,6 +69,12 @@ def test_each_length_is_a_space(spark):
     assert {d: s.n for d, s in spaces.items()} == {2: 20, 3: 20} and {len(r["whitened"]) for r in got} == {2} and len(got) == 40
 
 
+def test_vectors_of_a_length_that_was_not_fitted(spark):
+    spaces = whitening.fit(vectors_of(spark, [(1, [1.0, 2.0]), (2, [2.0, 1.0])]))
+    got = {r["vec_id"]: r for r in whitening.whiten(vectors_of(spark, [(3, [1.0, 1.0]), (4, [1.0])]), spaces).collect()}
+    assert (got[3]["n"], len(got[3]["whitened"])) == (2, 2) and tuple(got[4])[1:] == (None,) * 5
+
+
 def test_deviation_at_the_edge_of_a_long():
     space = whitening.Space(1, np.array([0, 0], dtype=object), np.eye(2), np.ones(2), np.ones(2))
     x = np.array([[3_037_000_499, 0], [3_037_000_500, 0], [3_037_000_499, 77_936], [3_037_000_499, 77_935], [2**40, 1]])
@@ -118,6 +124,18 @@ def test_null_is_no_value(spark):
     assert [r[0] for r in rows] == ["-", "1:-", "3:1:a", "0:"]
 
 
+def test_changes_between_manifests(spark, tmp_path):
+    rows = [(k, f"s{k % 3}", "en", k, f"text {k}") for k in range(150)] + [(7, None, "en", 7, "x"), (8, "s0", "en", 1, "twice"), (8, "s0", "en", 1, "twice")]
+    other = [(*r[:4], "other") if r[0] in (20, 21) else r for r in rows if r[0] != 90] + [(-5, "s1", "en", 0, "first"), (1, "new", "en", 0, "n"), (8, "s0", "en", 1, "twice")]
+    for name, table in (("a", rows), ("b", other), ("none", [])):
+        data = spark.createDataFrame([(*r, "x", "x", "x", "x") for r in table], DOCS)
+        merkle.record(data, ["doc_id", "source", "lang", "n_chars", "text"], str(tmp_path / name))
+    of = lambda a, b: {tuple(r) for r in merkle.changes(spark, str(tmp_path / a), str(tmp_path / b)).collect()}
+    assert of("a", "b") == {("s2", 20, "changed"), ("s0", 21, "changed"), ("s0", 90, "removed"), ("s1", -5, "added"), ("new", 1, "added"), ("s0", 8, "added")}
+    assert of("a", "a") == set() and of("none", "none") == set() and of("none", "a") == {(r[1], r[0], "added") for r in rows}
+    assert {c for *_, c in of("a", "none")} == {"removed"}
+
+
 # ------------------------------------------------------------------ chat
 
 TURNS = "conv_id long, turn long, role string, text string, id string, head string, body string, parts string"
@@ -166,3 +184,12 @@ def test_typed_parts(spark):
     assert [tuple(p) for p in r["read"]] == [("text", "see <|image|> "), ("image", "a.png"), ("image", "b.png"), ("text", "and\\"), *[(k, ref) for k, ref, _ in want[2:]]]
     assert [(x["formatted"], x["attachments"], x["expanded_tokens"], x["read"]) for x in got[1:]] == [("<s>user[INST][/INST]</s>", [], 0, [])] * 2
     assert chat.read_back(chat.format_turns(table, F.col("content"))).first()["expanded_tokens"] == r["expanded_tokens"]
+
+
+def test_parts_from_json(spark):
+    cases = ['[{"type": "text", "text": "a"}, {"type": "image", "ref": "x.png", "width": 28, "height": 28}]', '"quoted \\"text\\""', "plain", "[broken", None, "[]", '{"type": "text"}', ""]
+    table = spark.createDataFrame([(k, 0, "user", c) for k, c in enumerate(cases)], "conv_id long, turn long, role string, content string")
+    got = {r["conv_id"]: r for r in chat.format_turns(table, chat.json_parts(F.col("content"))).collect()}
+    body = lambda k: got[k]["formatted"][len("<s>user[INST]") : -len("[/INST]</s>")]
+    assert [body(k) for k in range(8)] == ["a<|image|>", 'quoted "text"', "plain", "[broken", "", "", '{"type": "text"}', ""]
+    assert [tuple(a) for a in got[0]["attachments"]] == [("image", "x.png", 1)]
