@@ -209,6 +209,20 @@ def service_map(nodes: DataFrame, spans: DataFrame, edges: DataFrame) -> DataFra
     return out.na.fill("", ["operations", "calls_to", "called_by"])
 
 
+def system_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each tenant's services and calls in one table, with health, status and alerts: what a system view draws.
+
+    (tenant_id, kind, source, target, n, avg_ms, error_rate, score, status, alerts); ``target`` and ``alerts`` of a call are empty. ``nodes``: (tenant_id,
+    service_name, spans, errors, avg_ms), ``edges``: (tenant_id, caller, callee, calls, avg_ms, error_rate).
+    """
+    rate = F.when(F.col("spans") > 0, F.col("errors") / F.col("spans")).otherwise(0.0)
+    services = nodes.select("tenant_id", F.lit("service").alias("kind"), F.col("service_name").alias("source"), F.lit("").alias("target"), F.col("spans").alias("n"), "avg_ms", rate.alias("rate"))
+    calls = edges.select("tenant_id", F.lit("call").alias("kind"), F.col("caller").alias("source"), F.col("callee").alias("target"), F.col("calls").alias("n"), "avg_ms", F.col("error_rate").alias("rate"))
+    score = S.health_score_fallback(F.col("rate"), F.col("avg_ms"))
+    alerts = F.when(F.col("kind") == "service", F.array_join(S.alerts_by_mean(F.col("rate"), F.col("avg_ms")), "; ")).otherwise("")
+    return services.unionByName(calls).select("tenant_id", "kind", "source", "target", "n", "avg_ms", S.scaled_round(F.col("rate"), 6).alias("error_rate"), score.alias("score"), S.health_status(score).alias("status"), alerts.alias("alerts"))
+
+
 def typed_edges(spans: DataFrame, logs: DataFrame | None = None) -> DataFrame:
     """(type, source, target) for each structural edge: EXPOSES, CONTAINS, CHILD_OF, and LOGGED_DURING with logs."""
     parts = [

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from .settle import settled
+from .traffic import is_error
 
 
 def unreferenced(candidates: DataFrame, keys: list[str], *users: DataFrame) -> DataFrame:
@@ -84,6 +86,15 @@ def worst_first(nodes: DataFrame, alerted: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("tenant_id").orderBy("bucket", "score", "service_name")).cast("long"))  # one row a service
 
 
+def error_counts(spans: DataFrame, logs: DataFrame) -> DataFrame:
+    """(tenant_id, service_name, spans, span_errors, logs, log_errors): input and errors by service, of both signals."""
+    tier = S.severity_tier(F.col("severity"), F.lit(None).cast("int"))
+    zero = F.lit(0).cast("long")
+    s = spans.groupBy("tenant_id", "service_name").agg(F.count(F.lit(1)).alias("spans"), F.count_if(is_error()).alias("span_errors")).withColumns({"logs": zero, "log_errors": zero})
+    x = logs.groupBy("tenant_id", "service_name").agg(F.count(F.lit(1)).alias("logs"), F.count_if(tier >= 5).alias("log_errors")).withColumns({"spans": zero, "span_errors": zero})
+    return s.unionByName(x).groupBy("tenant_id", "service_name").agg(*[F.sum(c).alias(c) for c in ("spans", "span_errors", "logs", "log_errors")])
+
+
 def reduction_stats(points: DataFrame) -> DataFrame:
     """Points by signal and class (late, future, accepted)."""
     return points.groupBy("signal").agg(*[F.count_if(F.col("class") == c).alias(c) for c in ("accepted", "late", "future")], F.count(F.lit(1)).alias("input"))

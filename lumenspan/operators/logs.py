@@ -89,6 +89,11 @@ def clusters(mined: DataFrame) -> DataFrame:
     return out.withColumn("cluster_id", F.concat(F.lit("lc_"), "service_name", F.lit("_"), F.lower(F.hex(F.xxhash64("template")))))
 
 
+def correlated(clusters: DataFrame, services: DataFrame, since) -> DataFrame:
+    """Clusters of the services (tenant_id, service_name) that were last seen after a moment."""
+    return clusters.where(F.col("last_seen") > F.lit(since)).join(services.select("tenant_id", "service_name").distinct(), ["tenant_id", "service_name"], "left_semi")
+
+
 def latest(logs: DataFrame, k: int = 50) -> DataFrame:
     return logs.orderBy(F.desc("timestamp"), F.desc("log_id")).limit(k)
 

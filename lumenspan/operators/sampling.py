@@ -93,6 +93,31 @@ def cooldown(events: DataFrame, keys: list[str], seconds: int = 300) -> DataFram
     return kept.select(*keys, F.timestamp_micros("micros").alias("moment"))
 
 
+#: Logs made from spans that a span and a trace keep.
+PER_SPAN_LOGS, PER_TRACE_LOGS = 8, 64
+
+
+def capped_logs(logs: DataFrame, order: list[str], per_span: int = PER_SPAN_LOGS, per_trace: int = PER_TRACE_LOGS) -> DataFrame:
+    """``logs`` (tenant_id, trace_id, span_id, ...) with ``dropped``: null if kept, else the cap (``span``, ``trace``) that a log is beyond.
+
+    The first logs by ``order`` stay; what a span's cap drops takes no place of its trace's.
+    """
+    of_span = F.row_number().over(Window.partitionBy("tenant_id", "trace_id", "span_id").orderBy(*order))
+    rows = logs.withColumn("over", of_span > per_span)
+    of_trace = F.sum(F.when(F.col("over"), 0).otherwise(1)).over(Window.partitionBy("tenant_id", "trace_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("taken", of_trace)
+    full = F.col("taken") - F.when(F.col("over"), 0).otherwise(1) >= per_trace  # before this log
+    return rows.withColumn("dropped", F.when(full, "trace").when(F.col("over"), "span")).drop("over", "taken")
+
+
+def truncation(marked: DataFrame) -> DataFrame:
+    """(tenant_id, trace_id, kept, dropped_by_span, dropped_by_trace, truncated) of what ``capped_logs`` marked."""
+    n = lambda c: F.count_if(c)
+    return marked.groupBy("tenant_id", "trace_id").agg(
+        n(F.col("dropped").isNull()).alias("kept"), n(F.col("dropped") == "span").alias("dropped_by_span"), n(F.col("dropped") == "trace").alias("dropped_by_trace"), F.max(F.col("dropped").isNotNull()).alias("truncated")
+    )
+
+
 def capped_bytes(spans: DataFrame, size: str, most: int) -> DataFrame:
     """Spans of a trace while their running size stays within a cap, in order of time."""
     w = Window.partitionBy("tenant_id", "trace_id").orderBy("start_time", "span_id").rowsBetween(Window.unboundedPreceding, 0)

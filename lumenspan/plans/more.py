@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import sketch
-from ..operators import graph, histogram, identity, logs, mining, rollup, traffic
+from ..operators import graph, histogram, identity, logs, mining, rollup, sampling, traffic
 from ..operators.traffic import stamp
 from ..sources import sinks
 from ..sources import telemetry as T
@@ -304,3 +304,44 @@ def correlated_logs(spark, d):
 def log_clusters(spark, d):
     mined = mining.with_template(T.document_logs(spark, d))
     return logs.clusters(mined).select("cluster_id", "tenant_id", "service_name", "template", "n")
+
+
+@_query()
+def correlated_clusters(spark, d):
+    """Mined clusters of each tenant's services with late errors, seen after a moment; mining has no SQL."""
+    services = T.event_spans(spark, d).where(traffic.is_error() & (F.col("start_time") > F.lit("2024-01-29").cast("timestamp"))).select("tenant_id", "service_name")
+    rows = T.document_logs(spark, d).withColumn("service_name", F.concat(F.lit("svc-"), (F.col("log_id") % 8).cast("string")))
+    found = logs.correlated(logs.clusters(mining.with_template(rows)), services, datetime(2024, 1, 1, 1))
+    return found.select("cluster_id", "tenant_id", "service_name", "template", "n")
+
+
+@_query(
+    f"""WITH {V.ORD}, {V.CALLS}, {V.NODES}, g AS (SELECT tenant_id, 'service' AS kind, service_name AS source, '' AS target, spans AS n, avg_ms, errors / spans AS rate FROM nodes UNION ALL SELECT tenant_id, 'call', caller, callee, calls, avg_ms, error_rate FROM edges),
+s AS (SELECT *, round(greatest(0, 1 - 5 * rate - CASE WHEN avg_ms > 200 THEN (avg_ms - 200) / 2000 ELSE 0 END) * 100) / 100 AS score FROM g)
+SELECT tenant_id, kind, source, target, n, avg_ms, round(rate * 1000000) / 1000000 AS error_rate, score, CASE WHEN score >= 0.9 THEN 'healthy' WHEN score >= 0.7 THEN 'degraded' ELSE 'critical' END AS status,
+CASE WHEN kind = 'call' THEN '' ELSE concat_ws('; ', CASE WHEN rate > 0.05 THEN 'error rate above 5%' END, CASE WHEN rate > 0.10 THEN 'error rate above 10% — investigate immediately' END, CASE WHEN avg_ms > 500 THEN 'avg latency above 500ms' END, CASE WHEN avg_ms > 1000 THEN 'avg latency above 1s — SLA breach risk' END) END AS alerts FROM s"""
+)
+def system_graph(spark, d):
+    spans = T.order_spans(spark, d)
+    return graph.system_graph(traffic.service_map_nodes(spans), traffic.service_map_edges(spans))
+
+
+@_query(
+    f"""WITH {V.EVT}, a AS (SELECT tenant_id, trace_id, operation_name AS span_id, start_time, span_id::BIGINT AS seq FROM spans), b AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, trace_id, span_id ORDER BY start_time, seq) AS rn FROM a),
+c AS (SELECT *, CASE WHEN rn <= 8 THEN row_number() OVER (PARTITION BY tenant_id, trace_id, rn <= 8 ORDER BY start_time, seq) END AS place FROM b),
+f AS (SELECT tenant_id, trace_id, max((start_time, seq)) FILTER (place = 20) AS edge FROM c GROUP BY 1, 2)
+SELECT tenant_id, trace_id, (count(*) FILTER (rn <= 8 AND place <= 20))::BIGINT AS kept, (count(*) FILTER (rn > 8 AND (edge IS NULL OR (start_time, seq) < edge)))::BIGINT AS dropped_by_span, (count(*) FILTER (edge IS NOT NULL AND (start_time, seq) > edge))::BIGINT AS dropped_by_trace,
+bool_or(rn > 8 OR coalesce(place, 0) > 20) AS truncated FROM c JOIN f USING (tenant_id, trace_id) GROUP BY 1, 2"""
+)
+def synthesized_log_caps(spark, d):
+    """Events as logs of their operations: eight for each, and twenty for each trace."""
+    events = T.event_spans(spark, d).select("tenant_id", "trace_id", F.col("operation_name"), "start_time", F.col("span_id").cast("long").alias("seq")).withColumnRenamed("operation_name", "span_id")
+    return sampling.truncation(sampling.capped_logs(events, ["start_time", "seq"], 8, 20))
+
+
+@_query(
+    f"""WITH {V.EVT}, {V.LOGS}, u AS (SELECT tenant_id, service_name, 1 AS s, CASE WHEN {V.ERROR} THEN 1 ELSE 0 END AS se, 0 AS l, 0 AS le FROM spans UNION ALL SELECT tenant_id, service_name, 0, 0, 1, CASE WHEN severity = 'ERROR' THEN 1 ELSE 0 END FROM logs)
+SELECT tenant_id, service_name, sum(s)::BIGINT AS spans, sum(se)::BIGINT AS span_errors, sum(l)::BIGINT AS logs, sum(le)::BIGINT AS log_errors FROM u GROUP BY 1, 2"""
+)
+def reduction_errors(spark, d):
+    return identity.error_counts(T.event_spans(spark, d), T.document_logs(spark, d))

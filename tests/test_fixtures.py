@@ -411,3 +411,16 @@ def test_sweep_and_aliases_reach_any_length(spark):
     every = {r["id"] for r in rows.collect()}
     assert left(refs(20), refs(101, None, 777)) == every - set(range(21)) - {100, 101, 102}
     assert left(refs(39, 103, 200)) == {201} and left(refs()) == every
+
+
+def test_logs_of_a_span_and_of_a_trace_are_capped(spark):
+    rows = [("t", "tr", f"s{k % 5}", k) for k in range(60)] + [("t", "one", "s", k) for k in range(10)] + [("u", "one", "s", 0)]
+    marked = sampling.capped_logs(spark.createDataFrame(rows, "tenant_id string, trace_id string, span_id string, seq long"), ["seq"], 8, 30)
+    kept, total, spans = [], 0, {}
+    for k in range(60):  # one log after another
+        if total < 30 and spans.get(k % 5, 0) < 8:
+            kept.append(k)
+            total, spans[k % 5] = total + 1, spans.get(k % 5, 0) + 1
+    assert sorted(r["seq"] for r in marked.where("trace_id = 'tr' and dropped is null").collect()) == kept
+    got = {(r["tenant_id"], r["trace_id"]): tuple(r)[2:] for r in sampling.truncation(marked).collect()}
+    assert got == {("t", "tr"): (30, 0, 30, True), ("t", "one"): (8, 2, 0, True), ("u", "one"): (1, 0, 0, False)}

@@ -188,3 +188,9 @@ def test_registered_queries(spark):
     assert dict(series) == by_service
     edges = QUERIES["emitted_by"](spark, sf).where("source is not null").collect()
     assert {(r["source"], r["target"]) for r in edges} == {(r["cluster_id"], r["service_name"]) for r in clusters} and {r["type"] for r in edges} == {"EMITTED_BY"}
+    # clusters of services with late errors, over the same lines under other names
+    errors = telemetry.event_spans(spark, sf).where("status = 'STATUS_CODE_ERROR' and start_time > '2024-01-29'").select("tenant_id", "service_name").distinct().collect()
+    renamed = logs.withColumn("service_name", F.concat(F.lit("svc-"), (F.col("log_id") % 8).cast("string")))
+    lines = masked(renamed, service)
+    got = got_of(QUERIES["correlated_clusters"](spark, sf), service)
+    assert got and got.items() <= plain(lines, 10).items() and {s for s, _ in got} <= {tuple(e) for e in errors}
