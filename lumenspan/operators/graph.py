@@ -51,7 +51,7 @@ def chain_spans(spans: DataFrame, seeds: DataFrame, depth: int | None = None) ->
     most = most if depth is None else min(most, depth + 1)
     parents = known.select(*_TRACE, F.col("span_id").alias("up"))
     jump = settled(known.join(parents, [*_TRACE, "up"]).select(*_TRACE, "span_id", "up"))
-    chain = [settled(seeds.select(*_TRACE, "error_span", F.lit(0).cast("long").alias("position"), F.col("error_span").alias("span_id")))]
+    chain = [seeds.select(*_TRACE, "error_span", F.lit(0).cast("long").alias("position"), F.col("error_span").alias("span_id"))]
     step = 1
     while step < most:
         so_far = reduce(DataFrame.unionByName, chain)

@@ -144,27 +144,28 @@ def _round(items: DataFrame, scope: list[str]) -> DataFrame:
     """
     columns = [*scope, "leaf", "key", "words", "made_at", "made_log", "last_at", "n", "alias_at", "alias_log"]
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in columns[-6:]})
+
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         owner, leaf = None, None
 
-        def texts():
-            found = [(*owner[:-1], None, *(words, *made, last, n, *heir)) for words, made, last, n, heir in leaf.results()] if leaf else []
-            return pd.DataFrame(found, columns=columns).astype({c: "Int64" for c in columns[-6:]})
+        def texts() -> list[tuple]:
+            return [(*owner[:-1], None, words, *made, last, n, *heir) for words, made, last, n, heir in leaf.results()] if leaf else []
 
         for pdf in batches:
-            lined = []
-            for key, part in pdf.groupby([*scope, "leaf", "block"], sort=False, dropna=False):
+            out = []
+            for *key, old, name, words, at, log, last, n, until in zip(*(pdf[c] for c in [*scope, "leaf", "block", "old", "key", "words", "at", "log", "last", "n", "until"])):
                 if key != owner:
-                    yield texts()
-                    owner, leaf = key, Leaf(len(part["words"].iloc[0]))
-                for old, name, words, at, log, last, n, until in zip(*(part[c] for c in ("old", "key", "words", "at", "log", "last", "n", "until"))):
-                    if old:
-                        leaf.add(words, (at, log), last, n)
-                    else:
-                        k = leaf.take(words, (at, log), last, n, pd.isna(until) or at <= until)
-                        lined.append((*key[:-1], name, None, *(leaf.made[k] if k >= 0 else (None, None)), last, n, None, None))
-            yield pd.DataFrame(lined, columns=columns).astype({c: "Int64" for c in columns[-6:]})
-        yield texts()
+                    out += texts()
+                    owner, leaf = key, Leaf(len(words))
+                if old:
+                    leaf.add(words, (at, log), last, n)
+                else:
+                    k = leaf.take(words, (at, log), last, n, pd.isna(until) or at <= until)
+                    out.append((*key[:-1], name, None, *(leaf.made[k] if k >= 0 else (None, None)), last, n, None, None))
+            yield frame(out)
+        yield frame(texts())
 
     dealt = items.repartition(*scope, "leaf", "block").sortWithinPartitions(*scope, "leaf", "block", F.desc("old"), "at", "log")
     schema = "".join(f"{c} string, " for c in scope) + "leaf string, key string, words array<string>, made_at long, made_log long, last_at long, n long, alias_at long, alias_log long"
