@@ -46,6 +46,14 @@ def downscale(bins: DataFrame, keys: list[str], by: int) -> DataFrame:
     return merge(bins.withColumn("bin", F.shiftright("bin", by)), keys)
 
 
+def populated(bins: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, positive, zeros, total): filled bins of positive values, and how many values are in the zero bin and in all."""
+    full = F.col("count") > 0
+    return bins.groupBy(*keys).agg(
+        F.count_distinct(F.when(full, F.col("bin"))).alias("positive"), F.coalesce(F.sum(F.when(F.col("bin").isNull(), F.col("count"))), F.lit(0)).alias("zeros"), F.sum("count").alias("total")
+    )
+
+
 def collapse(bins: DataFrame, keys: list[str], most: int = MAX_BINS) -> DataFrame:
     """At most ``most`` bins: the lowest ones fold into the lowest that is kept."""
     if keys:

@@ -25,7 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -272,10 +272,14 @@ def live(templates: DataFrame, scope: list[str], most: int = TENANT_TEMPLATES) -
     return templates.where("alias_at is null").withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("place")
 
 
+def line_key(body: Column) -> Column:
+    """What stands for a masked line: its md5."""
+    return F.md5(F.array_join(S.mask_tokens(F.coalesce(body, F.lit(""))), " "))
+
+
 def with_template(logs: DataFrame, scope: list[str] = SERVICE, most: int | None = 10) -> DataFrame:
     """``logs`` with the template that each one's body was mined to; null where it has no word."""
-    line = F.md5(F.array_join(S.mask_tokens(F.coalesce("body", F.lit(""))), " "))
-    return logs.withColumn("line", line).join(mined_lines(logs, scope, most).select(*scope, "line", "template"), [*scope, "line"], "left").drop("line")
+    return logs.withColumn("line", line_key(F.col("body"))).join(mined_lines(logs, scope, most).select(*scope, "line", "template"), [*scope, "line"], "left").drop("line")
 
 
 def save(mined: Mined, path: str, scope: list[str], most: int = TENANT_TEMPLATES) -> None:

@@ -47,6 +47,59 @@ def reduce_edges(calls: DataFrame) -> DataFrame:
     return rows.groupBy("window", "tenant_id", "caller", "callee").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_error()).alias("errors"), F.sum("duration_us").alias("duration_sum"))
 
 
+def edge_series(calls: DataFrame, parsed: dict[str, Column], variant: Column) -> DataFrame:
+    """Deltas of edges by the whole series key: the ends, and status, HTTP class, method and kind of the callee; all measures are the callee's.
+
+    Calls with an empty end, or onto the same service, are none. ``parsed`` has ``http_class`` and ``method``.
+    """
+    real = calls.where("caller <> '' and callee <> '' and caller <> callee")
+    kind = F.col("kind") if "kind" in calls.columns else F.lit(None).cast("int")
+    rows = real.withColumns({"http_class": parsed["http_class"], "method": parsed["method"], "variant": variant, "window": S.window_start(F.col("start_time")), "request": S.is_request(F.col("parent_span_id"), kind)})
+    return rows.groupBy("window", "tenant_id", "caller", "callee", "status", "http_class", "method", "variant").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(is_error()).alias("errors"), F.count_if("request").alias("requests"),
+        F.sum("duration_us").alias("duration_sum"), F.min("duration_us").alias("duration_min"), F.max("duration_us").alias("duration_max"),
+    )
+
+
+def canonical(attributes: Column) -> Column:
+    """JSON attributes with their names in order and no blanks, so that equal ones are equal texts; none, or no JSON, is ``{}``."""
+    return F.coalesce(F.to_json(F.try_parse_json(attributes)), F.lit("{}"))
+
+
+def tsdb_buckets(points: DataFrame, per_tenant: int = 0, in_all: int = 0, seconds: int = 30) -> DataFrame:
+    """Buckets of (tenant, service, name, attributes) with extremes, sum and count; ``points`` have ``attributes`` and ``seq``.
+
+    In each window a tenant's first ``per_tenant`` series by (timestamp, seq) have buckets of their own; what comes beyond
+    falls into the tenant's ``__overflow__``. Of the others, those beyond the first ``in_all`` of the window fall into one
+    for all tenants, ``__global__``. Both carry their first point's service and no attributes. A cap of 0 is none. Points
+    are reduced to buckets first, and the ranking is over those.
+    """
+    key = ["window", "tenant_id", "service_name", "name", "attributes"]
+    rows = points.withColumns({"window": S.window_start(F.col("timestamp"), seconds), "attributes": canonical(F.col("attributes"))})
+    at = F.struct("timestamp", "seq")
+    out = rows.groupBy(*key).agg(F.min("value").alias("min"), F.max("value").alias("max"), F.sum("value").alias("sum"), F.count(F.lit(1)).alias("count"), F.min(at).alias("first"))
+    if not per_tenant and not in_all:
+        return out.drop("first")
+    out = out.withColumns({"place": F.struct("first", "tenant_id", "service_name", "name", "attributes"), "tenant_last": F.lit(None), "all_last": F.lit(None)})
+    within = F.coalesce(F.col("place") <= F.col("tenant_last"), F.lit(True))
+    for scope, most, column in ((["window", "tenant_id"], per_tenant, "tenant_last"), (["window"], in_all, "all_last")):
+        if most:
+            # a task keeps no more of a scope than its cap before the shuffle; the others are compared with the last one kept
+            top = out.where(within).withColumn("rank", F.row_number().over(Window.partitionBy(*scope).orderBy("place"))).where(F.col("rank") <= most)
+            full = F.when(F.count(F.lit(1)) == most, F.max("place"))
+            out = out.drop(column).join(top.groupBy(*scope).agg(full.alias(column)), scope, "left")
+    # a tenant is full only if its last series came before the window was full
+    over = F.coalesce(F.col("place") > F.col("all_last"), F.lit(False))
+    filled = F.coalesce(F.col("tenant_last") <= F.col("all_last"), F.col("tenant_last").isNotNull())
+    out = out.withColumn("tenant_over", F.coalesce(F.col("place") > F.col("tenant_last"), F.lit(False)) & filled).withColumn("over", over & ~F.col("tenant_over"))
+    own, both = ~F.col("tenant_over") & ~F.col("over"), F.col("tenant_over") | F.col("over")
+    routed = out.withColumns({
+        "service": F.when(own, F.col("service_name")), "attributes": F.when(own, F.col("attributes")), "tenant": F.when(F.col("over"), "__global__").otherwise(F.col("tenant_id")), "name": F.when(both, "__overflow__").otherwise(F.col("name")),
+    })
+    merged = routed.groupBy("window", "tenant", "service", "name", "attributes").agg(F.min("min").alias("min"), F.max("max").alias("max"), F.sum("sum").alias("sum"), F.sum("count").alias("count"), F.min_by("service_name", "place").alias("first_service"))
+    return merged.select("window", F.col("tenant").alias("tenant_id"), F.coalesce("service", "first_service").alias("service_name"), "name", "attributes", "min", "max", "sum", "count")
+
+
 def reduce_logs(logs: DataFrame) -> DataFrame:
     """Deltas of logs by service and severity tier; error means tier 5 or more."""
     tier = S.severity_tier(F.col("severity"), F.lit(None).cast("int")).cast("long")

@@ -122,3 +122,40 @@ def capped_bytes(spans: DataFrame, size: str, most: int) -> DataFrame:
     """Spans of a trace while their running size stays within a cap, in order of time."""
     w = Window.partitionBy("tenant_id", "trace_id").orderBy("start_time", "span_id").rowsBetween(Window.unboundedPreceding, 0)
     return spans.withColumn("running", F.sum(size).over(w)).where(F.col("running") <= most).drop("running")
+
+
+#: Bytes that a retained trace, and a service's window, may hand on.
+TRACE_BYTES, SERVICE_WINDOW_BYTES = 256 * 1024, 512 * 1024
+
+
+def reserve_spans(spans: DataFrame, size: str, per_trace: int = TRACE_BYTES, per_service: int = SERVICE_WINDOW_BYTES, seconds: int = 300) -> DataFrame:
+    """(tenant_id, service_name, window, trace_id, span_id, retained) of the spans of selected traces.
+
+    In order of (start_time, span_id) a span is retained if its trace and its service's window have room for it; one that
+    hasn't takes none, so a smaller one may follow. A window's spans stream through one task, which holds a number for each
+    selected trace of it, and those are budgeted.
+    """
+    keys = ["tenant_id", "service_name", "window"]
+    rows = spans.withColumn("window", S.window_start(F.col("start_time"), seconds)).select(*keys, "start_time", "span_id", "trace_id", F.col(size).cast("long").alias("size"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, used, traces = None, 0, {}
+        for pdf in batches:
+            kept = []
+            for *now, trace, n in pdf[[*keys, "trace_id", "size"]].itertuples(index=False, name=None):
+                if now != key:
+                    key, used, traces = now, 0, {}
+                fits = used + n <= per_service and traces.get(trace, 0) + n <= per_trace
+                if fits:
+                    used += n
+                    traces[trace] = traces.get(trace, 0) + n
+                kept.append(fits)
+            yield pdf[[*keys, "trace_id", "span_id"]].assign(retained=kept)
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "start_time", "span_id")
+    return dealt.mapInPandas(fold, "tenant_id string, service_name string, window timestamp, trace_id string, span_id string, retained boolean")
+
+
+def trace_stats(reserved: DataFrame) -> DataFrame:
+    """(tenant_id, service_name, window, trace_id, observed, retained, truncated) of what ``reserve_spans`` judged."""
+    return reserved.groupBy("tenant_id", "service_name", "window", "trace_id").agg(F.count(F.lit(1)).alias("observed"), F.count_if("retained").alias("retained"), F.max(~F.col("retained")).alias("truncated"))

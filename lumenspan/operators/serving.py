@@ -309,6 +309,16 @@ def capped_series(points: DataFrame, per_tenant: int, in_all: int, order: str =
     return out.withColumn("series", F.when(F.col("kept"), F.concat_ws("|", "service_name", "name")).otherwise("__overflow__")).drop("kept")
 
 
+def refused_series(points: DataFrame, most: int, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(recorded, refusals): points of the first ``most`` series (tenant, service, name) by first use, and (tenant_id, refused) how many points of new series were turned away."""
+    keys = ["tenant_id", "service_name", "name"]
+    first = points.groupBy(*keys).agg(F.min(F.struct(*order)).alias("first")).withColumn("key", F.struct("first", *keys))
+    edge = _edges(first, [], "key", most)
+    late = first.crossJoin(F.broadcast(edge)).where(F.col("key") > F.col("edge")).select(*keys)  # a single row
+    refused = points.join(late, keys, "left_semi").groupBy("tenant_id").agg(F.count(F.lit(1)).alias("refused"))
+    return points.join(late, keys, "left_anti"), refused
+
+
 def topology_caps(nodes: DataFrame, scope: list[str], most: int, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped): the first nodes of a scope up to a cap, and how many of each scope are beyond it."""
     rows = nodes.withColumn("place", F.row_number().over(Window.partitionBy(*scope).orderBy(*order)))

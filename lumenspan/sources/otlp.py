@@ -100,7 +100,7 @@ def histogram_points(requests: DataFrame) -> DataFrame:
     h = m.where("m.histogram is not null").select("service_name", F.col("m.name").alias("name"), F.col("m.histogram.aggregationTemporality").alias("t"), F.explode("m.histogram.dataPoints").alias("p"))
     return h.select(
         "service_name", "name", _nanos(F.col("p.timeUnixNano")).alias("timestamp"), F.col("p.explicitBounds").alias("bounds"), F.transform("p.bucketCounts", lambda c: c.cast("long")).alias("counts"),
-        F.col("p.count").cast("long").alias("count"), F.col("p.min").alias("min"), F.col("p.max").alias("max"), F.when(F.col("t") == 1, "delta").otherwise("cumulative").alias("temporality"),
+        F.col("p.count").cast("long").alias("count"), F.col("p.sum").alias("sum"), F.col("p.min").alias("min"), F.col("p.max").alias("max"), F.when(F.col("t") == 1, "delta").otherwise("cumulative").alias("temporality"),
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import mining
+from ..operators.rollup import canonical
 from ..operators.traffic import is_error
 from ..schema import WINDOW
 
@@ -46,3 +48,46 @@ def edges(spans: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     near = (F.col("start_time") >= F.col("parent_start") - F.expr(f"INTERVAL {lateness}")) & (F.col("start_time") <= F.col("parent_start") + F.expr(f"INTERVAL {lateness}"))
     same = (child["tenant_id"] == parent["tenant_id"]) & (child["trace_id"] == parent["trace_id"]) & (F.col("parent_span_id") == F.col("parent"))
     return child.join(parent, same & near).where("caller <> service_name").select("caller", F.col("service_name").alias("callee"), "start_time", "duration_us", "status")
+
+
+def metric_buckets(points: DataFrame, lateness: str = "10 minutes", seconds: int = 30) -> DataFrame:
+    """Buckets of (tenant, service, name, attributes) as ``rollup.tsdb_buckets`` has them without caps, each once the watermark has passed it."""
+    rows = points.withColumn("attributes", canonical(F.col("attributes"))).withWatermark("timestamp", lateness)
+    out = rows.groupBy(F.window("timestamp", f"{seconds} seconds"), "tenant_id", "service_name", "name", "attributes").agg(
+        F.min("value").alias("min"), F.max("value").alias("max"), F.sum("value").alias("sum"), F.count(F.lit(1)).alias("count")
+    )
+    return out.select(F.col("window.start").alias("window"), "tenant_id", "service_name", "name", "attributes", "min", "max", "sum", "count")
+
+
+def template_facts(path: str, scope: list[str] = mining.SERVICE, most: int | None = None):
+    """A sink for ``foreachBatch`` of logs: each batch is mined on from the templates of those before, and its facts are appended.
+
+    Below ``path``: ``facts/batch=N`` (tenant_id, service_name, severity, template, n, first_seen, last_seen) and ``state/batch=N``,
+    what mining goes on from. A batch that runs again starts from the same state and overwrites its own folders.
+    """
+
+    def sink(logs: DataFrame, batch: int) -> None:
+        logs = logs.where("service_name <> ''").persist()
+        try:
+            before = _newest_state(logs.sparkSession, path, batch)
+            old = None if before is None else mining.load(logs.sparkSession, f"{path}/state/batch={before}", scope)
+            mined = mining.mine(logs, scope, most, old)
+            named = mined.lines.join(mining.texts(mined, scope), [*scope, "made_at", "made_log"]).select(*scope, "line", "template")
+            facts = logs.withColumn("line", mining.line_key(F.col("body"))).join(named, [*scope, "line"])
+            facts = facts.groupBy("tenant_id", "service_name", "severity", "template").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
+            facts.write.mode("overwrite").parquet(f"{path}/facts/batch={batch}")
+            mining.save(mined, f"{path}/state/batch={batch}", scope)
+        finally:
+            logs.unpersist()
+
+    return sink
+
+
+def _newest_state(spark: SparkSession, path: str, before: int) -> int | None:
+    """The last batch before this one whose state stands."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/state")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return None
+    numbers = [int(s.getPath().getName().partition("=")[2]) for s in system.listStatus(folder) if system.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "nodes/_SUCCESS"))]
+    return max((n for n in numbers if n < before), default=None)
