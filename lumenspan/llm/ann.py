@@ -8,7 +8,8 @@ needed for ``RECALL``; candidates there are ranked by exact inner products in do
 A task holds a bundle of parts next to each other in the cutting, so that a query reports its
 nearest once for all of the bundle's parts that it visits, not once for each.
 
-There are at most ``MOST_PARTS`` parts, as their graph and classifier are fitted on a bounded
+A table has at least ``LEAST_PARTS`` parts, however small (but each is learned from 32 sampled
+vectors), so the same method answers at every size. There are at most ``MOST_PARTS`` parts, as their graph and classifier are fitted on a bounded
 sample: beyond ``MOST_PARTS * PART_VECTORS`` vectors the parts grow with the table, and so does the
 work for each query. No row is left out.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common, vectors
 
 SAMPLE = 8192
-PART_VECTORS, MOST_PARTS = 2048, 256
+PART_VECTORS, LEAST_PARTS, MOST_PARTS = 2048, 8, 256
 GRAPH_NEIGHBOURS = 10
 RECALL = 0.97
 #: A bundle has two to this power of parts, and is dealt out in chunks beyond so many members.
@@ -97,7 +98,7 @@ class Router:
 def fit(x: np.ndarray, count: int, k: int) -> tuple[Router, int]:
     """The router of a sample, and how many parts a query should visit."""
     levels = 0
-    while (1 << levels) < min(MOST_PARTS, len(x) // 32) and (PART_VECTORS << levels) < count:
+    while (2 << levels) <= min(MOST_PARTS, len(x) // 32) and ((1 << levels) < LEAST_PARTS or (PART_VECTORS << levels) < count):
         levels += 1
     u = vectors.unit(x)
     if not levels:

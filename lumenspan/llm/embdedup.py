@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common, vectors
 
 SAMPLE = 20_000
-LIST_VECTORS = 4096
+LIST_VECTORS, LEAST_LISTS = 4096, 3
 SUBSPACE_DIMS, CODES = 8, 256
 #: A length with fewer sampled vectors gets a single list.
 LEAST_SAMPLE = 32
@@ -38,6 +38,11 @@ _ROWS = 256
 _PAIRS = 50_000
 
 
+def lists(n: int, sampled: int) -> int:
+    """Coarse lists of ``n`` vectors: by their number, at least ``LEAST_LISTS``, each from ``LEAST_SAMPLE`` sampled ones."""
+    return max(1, min(max(LEAST_LISTS, -(-n // LIST_VECTORS)), sampled // LEAST_SAMPLE))
+
+
 class Codebook:
     """Coarse centres and subspace codewords of unit vectors; without a sample one list whose code is the origin."""
 
@@ -124,7 +129,7 @@ def near_duplicates(table: DataFrame, least: float = 0.95, id_col: str = "vec_id
     books, first = {}, 0
     for d, n in sorted(counts.items()):
         x = vectors.unit(np.array(known[d], dtype=np.float64)) if known[d] else np.zeros((0, d))
-        book = Codebook(x, d, max(1, min(-(-n // LIST_VECTORS), len(x) // LEAST_SAMPLE)))
+        book = Codebook(x, d, lists(n, len(x)))
         books[d] = (book, first)
         first += len(book.centres)
     sent = spark.sparkContext.broadcast(books)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lumenspan.llm import bpe, common, langid, pii, quality
+from lumenspan.llm import ann, bpe, common, embdedup, langid, pii, quality
 from lumenspan.llm.queries import QUERIES, vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -53,6 +53,7 @@ def test_op2(spark):
     ids, x = _vectors(spark)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = u @ u.T >= 0.95
+    assert embdedup.lists(len(np.unique(x, axis=0)), len(ids)) > 1
     label = common.local_labels(len(ids), *np.nonzero(near))
     got = run(spark, "op2_embedding_near_dedup", ("vec_id", "bigint"), ("n_links", "bigint"), ("component_id", "bigint"), ("kept", "boolean"))
     assert sorted(map(tuple, got)) == [(int(i), int(near[k].sum() - 1), int(ids[label[k]]), bool(label[k] == k)) for k, i in enumerate(ids)]
@@ -139,6 +140,8 @@ def test_op8(spark, docs):
 
 def test_op9(spark):
     ids, x = _vectors(spark)
+    router, visits = ann.fit(x, len(x), 20)
+    assert 1 < visits <= len(router.b) == ann.LEAST_PARTS
     got = defaultdict(list)
     for r in sorted(run(spark, "op9_ann_search", ("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double"))):
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
