@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions import sketch
-from ..operators import rollup, sampling, serving, topology, traffic
+from ..operators import rollup, sampling, serving, topology, traffic, views
 from ..operators.traffic import stamp
 from ..sources import telemetry as T
 from . import views as V
@@ -156,3 +156,34 @@ def exemplar_reserves(spark, d):
 @_query(f"WITH {V.EVT}, {_BINS} SELECT service_name, count(DISTINCT bin)::BIGINT AS positive, coalesce(sum(count) FILTER (bin IS NULL), 0)::BIGINT AS zeros, sum(count)::BIGINT AS total FROM bins GROUP BY 1")
 def sketch_populated(spark, d):
     return sketch.populated(sketch.build(T.event_spans(spark, d), ["service_name"], "duration_us"), ["service_name"])
+
+
+# ------------------------------------------------------------------ JSON views
+
+
+def _moment(column):
+    return f"""regexp_replace(strftime({column}, '%Y-%m-%dT%H:%M:%S.%f'), '\\.0+$|(\\.[0-9]*[1-9])0+$', '\\1') || 'Z'"""
+
+
+@_query(
+    f"""WITH {V.EVT} SELECT tenant_id, trace_id, span_id, json_object('trace_id', trace_id, 'span_id', span_id, 'parent_span_id', parent_span_id, 'operation_name', operation_name, 'start_time', {_moment('start_time')},
+'end_time', {_moment('start_time + to_microseconds(duration_us)')}, 'duration', duration_us, 'service_name', service_name, 'status', status, 'attributes_json', props)::VARCHAR AS body FROM spans"""
+)
+def span_views(spark, d):
+    return views.spans(T.event_spans(spark, d))
+
+
+@_query(f"WITH {V.LOGS} SELECT tenant_id, log_id, md5(coalesce(body, '')) AS text, {_moment('moment')} AS at FROM logs")
+def log_views(spark, d):
+    """Logs read back from their JSON."""
+    read = F.from_json("body", "body string, timestamp string")
+    return views.logs(T.document_logs(spark, d)).select("tenant_id", "log_id", F.md5(read["body"]).alias("text"), read["timestamp"].alias("at"))
+
+
+@_query(
+    f"""WITH {V.ORD}, {V.CALLS}, {V.NODES} SELECT tenant_id, 'node' AS part, json_object('name', service_name, 'total_traces', spans, 'error_count', errors, 'avg_latency_ms', avg_ms)::VARCHAR AS body FROM nodes
+UNION ALL SELECT tenant_id, 'edge', json_object('source', caller, 'target', callee, 'call_count', calls, 'avg_latency_ms', avg_ms, 'error_rate', error_rate)::VARCHAR FROM edges"""
+)
+def service_map_views(spark, d):
+    spans = T.order_spans(spark, d)
+    return views.service_map(traffic.service_map_nodes(spans), traffic.service_map_edges(spans))
