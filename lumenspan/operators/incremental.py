@@ -16,6 +16,8 @@ from .traffic import is_error
 MARK = "number long, start_time timestamp, span_id string, tenant_id string"
 _ORDER = ["start_time", "tenant_id", "span_id"]
 _TRACE = ["tenant_id", "trace_id"]
+#: What a graph needs of a span.
+SPAN = [*_TRACE, "span_id", "parent_span_id", "service_name", "operation_name", "status", "duration_us", "start_time"]
 NODE, EDGE = ["tenant_id", "service_name", "operation_name"], ["tenant_id", "caller", "callee"]
 
 
@@ -29,16 +31,14 @@ def _merged(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def edge_deltas(old: DataFrame, new: DataFrame) -> DataFrame:
     """Edges that ``new`` spans add to those of ``old`` ones: new children of any parent, and old children whose parent has only now come."""
-    named = lambda df: df.where("service_name <> ''")
-    owner = lambda df: named(df).groupBy(*_TRACE, F.col("span_id").alias("parent_span_id")).agg(F.min("service_name").alias("caller"))
-    child = lambda df: named(df).where("parent_span_id <> '' and parent_span_id <> '0000000000000000'")
-    keys = [*_TRACE, "parent_span_id"]
     touched = new.select(*_TRACE).distinct()  # only traces that go on are read of the old spans
-    old = settled(old.join(touched, _TRACE, "left_semi").select(*_TRACE, "span_id", "parent_span_id", "service_name", "status", "duration_us", "start_time"))
-    known = owner(old)
-    came = owner(new).join(known, keys, "left_anti")
-    columns = [*keys, "service_name", "status", "duration_us", "start_time"]
-    calls = child(new).select(columns).join(known.unionByName(came), keys).unionByName(child(old).select(columns).join(came, keys))
+    columns = [*_TRACE, "span_id", "parent_span_id", "service_name", "status", "duration_us", "start_time"]
+    old = settled(old.where("service_name <> ''").join(touched, _TRACE, "left_semi").select(*columns))
+    both = old.withColumn("is_new", F.lit(False)).unionByName(new.where("service_name <> ''").select(*columns).withColumn("is_new", F.lit(True)))
+    # an owner that was known stays; all children of one that has only now come are new calls
+    owner = both.groupBy(*_TRACE, F.col("span_id").alias("parent_span_id")).agg(F.min(F.when(~F.col("is_new"), F.col("service_name"))).alias("known"), F.min("service_name").alias("first"))
+    child = both.where("parent_span_id <> '' and parent_span_id <> '0000000000000000'").drop("span_id")
+    calls = child.join(owner, [*_TRACE, "parent_span_id"]).where(F.col("is_new") | F.col("known").isNull()).withColumn("caller", F.coalesce("known", "first"))
     return calls.where("caller <> service_name").withColumnRenamed("service_name", "callee").groupBy(*EDGE).agg(*_measures())
 
 
@@ -60,6 +60,7 @@ def advance(spans: DataFrame, path: str, upto=None, edge_ttl=None, idle_ttl=None
 
     The mark is the last span in the order of (start_time, tenant, span). With ``edge_ttl`` (seconds) nodes and edges go that
     were last seen so long before it, and with ``idle_ttl`` all of a tenant (but ``default``) of which nothing was seen since.
+    The new spans are written out once, as five steps use them; the old ones are read once. What makes ``spans`` runs twice.
     """
     spark, mark = spans.sparkSession, last_mark(spans.sparkSession, path)
     place = F.struct(*_ORDER)
@@ -69,6 +70,7 @@ def advance(spans: DataFrame, path: str, upto=None, edge_ttl=None, idle_ttl=None
     else:
         at = F.struct(*[F.lit(mark[c]).alias(c) for c in _ORDER])
         old, new = rows.where(F.col("start_time") <= F.lit(mark["start_time"])).where(place <= at), rows.where(F.col("start_time") >= F.lit(mark["start_time"])).where(place > at)
+    new = settled(new.select(*SPAN))
     last = new.agg(F.max(place).alias("m")).first()["m"]
     if last is None:
         return mark["number"] if mark else 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stemming import stem_ctes
 from ..operators import incremental, textindex
-from ..operators.settle import scratch
+from ..operators.settle import scratch, settled
 from ..sources import telemetry as T
 from . import views as V
 from .catalogue import _query
@@ -65,8 +65,8 @@ def log_index_terms(spark, d):
 
 
 def _advanced(spark, d):
-    """The graph of the orders, folded in four times: up to three moments, and whole."""
-    spans, path = T.order_spans(spark, d), f"{scratch(spark)}/graph-{uuid.uuid4().hex}"
+    """The graph of the orders, folded in four times: up to three moments, and whole; their lines are numbered once."""
+    spans, path = settled(T.order_spans(spark, d)), f"{scratch(spark)}/graph-{uuid.uuid4().hex}"
     for upto in (datetime(1994, 6, 1), datetime(1996, 1, 1), datetime(1997, 3, 1), None):
         incremental.advance(spans, path, upto)
     return path

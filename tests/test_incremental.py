@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 from lumenspan.operators import incremental, traffic
+from lumenspan.sources import telemetry
 
 NOON = datetime(2026, 6, 1, 12)
 SPANS = "tenant_id string, trace_id string, span_id string, parent_span_id string, service_name string, operation_name string, start_time timestamp, duration_us long, status string"
@@ -55,3 +56,19 @@ def test_old_edges_and_idle_tenants_go(spark, tmp_path):
     incremental.advance(spans, path, NOON + timedelta(seconds=10))
     incremental.advance(spans, path, edge_ttl=3600)
     assert set(_edges(incremental.graph(spark, path, "edges"))) == {("y", "a", "c")}
+
+
+def test_spans_are_made_twice_at_most_for_each_step(spark, tmp_path):
+    """What makes the spans runs for the new ones once and for the old ones once, not for each use of them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = _rows()
+    spans, path = spark.createDataFrame(rows, SPANS).mapInArrow(count, SPANS), str(tmp_path / "g")
+    for steps, minutes in ((1, 20), (3, 60)):
+        incremental.advance(spans, path, NOON + timedelta(minutes=minutes))
+        assert made.value <= steps * len(rows) + len(rows)
