@@ -34,20 +34,21 @@ def service_map_nodes(spans: DataFrame) -> DataFrame:
     return out.select("tenant_id", "service_name", "spans", "errors", S.scaled_round(F.col("mean") / 1000, 2).alias("avg_ms"))
 
 
-def calls(spans: DataFrame) -> DataFrame:
+def calls(spans: DataFrame, owners: DataFrame | None = None) -> DataFrame:
     """Child spans with their parents' service, where both have one and they differ.
 
     Parent and child share a trace, so the join is on (tenant, trace, span); of duplicated
-    span ids one row stands, the smallest by service.
+    span ids one row stands, the smallest by service. ``owners`` are all spans that any other names
+    as its parent, where a source can tell them; without it, any span may be one.
     """
-    parents = spans.where("service_name <> ''").groupBy("tenant_id", "trace_id", F.col("span_id").alias("parent_span_id")).agg(F.min("service_name").alias("caller"))
+    parents = (spans if owners is None else owners).where("service_name <> ''").groupBy("tenant_id", "trace_id", F.col("span_id").alias("parent_span_id")).agg(F.min("service_name").alias("caller"))
     children = spans.where("service_name <> '' and parent_span_id <> '' and parent_span_id <> '0000000000000000'")
     joined = children.join(parents, ["tenant_id", "trace_id", "parent_span_id"])
     return joined.where("caller <> service_name").withColumnRenamed("service_name", "callee")
 
 
-def service_map_edges(spans: DataFrame) -> DataFrame:
-    out = calls(spans).groupBy("tenant_id", "caller", "callee").agg(F.count(F.lit(1)).alias("calls"), F.count_if(is_error()).alias("errors"), F.avg("duration_us").alias("mean"))
+def service_map_edges(spans: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+    out = calls(spans, owners).groupBy("tenant_id", "caller", "callee").agg(F.count(F.lit(1)).alias("calls"), F.count_if(is_error()).alias("errors"), F.avg("duration_us").alias("mean"))
     return out.select("tenant_id", "caller", "callee", "calls", S.scaled_round(F.col("mean") / 1000, 2).alias("avg_ms"), S.scaled_round(F.col("errors") / F.col("calls"), 4).alias("error_rate"))
 
 

@@ -72,3 +72,11 @@ def test_spans_are_made_twice_at_most_for_each_step(spark, tmp_path):
     for steps, minutes in ((1, 20), (3, 60)):
         incremental.advance(spans, path, NOON + timedelta(minutes=minutes))
         assert made.value <= steps * len(rows) + len(rows)
+
+
+def test_owners_give_the_same_calls(spark):
+    sf = "/root/testdata/sf0.001"
+    every, owned = traffic.calls(telemetry.order_spans(spark, sf)), traffic.calls(telemetry.order_spans(spark, sf), telemetry.order_owners(spark, sf))
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, owned.select(every.columns).collect()))
+    plan = lambda df: df.drop("span_id").groupBy("caller").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan(every) and "Window" not in plan(owned)  # no line is numbered
