@@ -10,7 +10,7 @@ Blocks hang on the lines alone, so results don't hang on partitions, and a task
 
 A template's identity is the moment and log of the line that made it, and stays when its text widens. With
 ``most``, a scope has that many templates and all further lines are ``__other__``: the moment of the last one that
-fits is looked for first, then leaves are mined again and make none after it. (A place that
+fits is looked for first, in each scope's first lines, then leaves are mined and make none after it. (A place that
 an alias frees is not given anew.) ``live`` says which templates a miner that keeps the ``TENANT_TEMPLATES`` last used would hold.
 
 ``state`` saves templates and nodes; a run that starts from them goes on as if it hadn't stopped, for lines that are
@@ -22,9 +22,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,10 @@ from .settle import settled
 DEPTH, CHILDREN, SIMILARITY, TENANT_TEMPLATES = 4, 100, 0.4, 50_000
 #: Lines, or templates, that one task takes in order.
 CHUNK = 20_000
+#: Rows that a task has as Python objects at once, going in and coming out.
+SLICE = 500
+#: Of a scope's lines so many are looked at first for the moment of the last template that fits, then ``MORE`` times as many.
+FIRST, MORE = 1_000, 8
 WILD, OTHER = "<*>", "__other__"
 SERVICE = ["tenant_id", "service_name"]
 
@@ -44,7 +49,7 @@ class Leaf:
 
     def __init__(self, length: int):
         self.words: dict[str, int] = {WILD: 0}
-        self.texts = np.zeros((8, length), dtype=np.int64)
+        self.texts = np.zeros((8, length), dtype=np.int32)
         self.alive = np.zeros(8, dtype=bool)
         self.made: list[tuple[int, int]] = []
         self.last: list[int] = []
@@ -52,13 +57,14 @@ class Leaf:
         self.heir: dict[int, int] = {}
 
     def _row(self, words) -> np.ndarray:
-        return np.array([self.words.setdefault(w, len(self.words)) for w in words], dtype=np.int64)
+        """Numbers of words, -1 of those that no template has."""
+        return np.array([self.words.get(w, -1) for w in words], dtype=np.int32)
 
     def add(self, words, made: tuple[int, int], last: int, n: int) -> int:
         k = len(self.made)
         if k == len(self.texts):
             self.texts, self.alive = np.concatenate([self.texts, np.zeros_like(self.texts)]), np.concatenate([self.alive, np.zeros_like(self.alive)])
-        self.texts[k], self.alive[k] = self._row(words), True
+        self.texts[k], self.alive[k] = [self.words.setdefault(w, len(self.words)) for w in words], True
         self.made.append(made)
         self.last.append(last)
         self.n.append(n)
@@ -140,36 +146,42 @@ def _leaves(lines: DataFrame, scope: list[str], known: DataFrame | None) -> tupl
 def _round(items: DataFrame, scope: list[str]) -> DataFrame:
     """Mines each (scope, leaf, block) in order: a row for each item with its template, and one for each template.
 
-    ``items``: (scope, leaf, block, old, key, words, at, log, last, n, until); old ones are templates of an earlier run.
+    ``items``: (scope, leaf, block, old, key, words, at, log, last, n, until, until_log); old ones are templates of an earlier run.
     """
     columns = [*scope, "leaf", "key", "words", "made_at", "made_log", "last_at", "n", "alias_at", "alias_log"]
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in columns[-6:]})
+    taken = [*scope, "leaf", "block", "old", "key", "words", "at", "log", "last", "n", "until", "until_log"]
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         owner, leaf = None, None
 
-        def texts() -> list[tuple]:
-            return [(*owner[:-1], None, words, *made, last, n, *heir) for words, made, last, n, heir in leaf.results()] if leaf else []
-
-        for pdf in batches:
-            out = []
-            for *key, old, name, words, at, log, last, n, until in zip(*(pdf[c] for c in [*scope, "leaf", "block", "old", "key", "words", "at", "log", "last", "n", "until"])):
-                if key != owner:
-                    out += texts()
-                    owner, leaf = key, Leaf(len(words))
-                if old:
-                    leaf.add(words, (at, log), last, n)
-                else:
-                    k = leaf.take(words, (at, log), last, n, pd.isna(until) or at <= until)
-                    out.append((*key[:-1], name, None, *(leaf.made[k] if k >= 0 else (None, None)), last, n, None, None))
-            yield frame(out)
-        yield frame(texts())
+        def texts() -> Iterator[tuple]:
+            return ((*owner[:-1], None, words, *made, last, n, *heir) for words, made, last, n, heir in leaf.results()) if leaf else iter(())
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                for *key, old, name, words, at, log, last, n, until, until_log in zip(*(part.column(c).to_pylist() for c in taken)):
+                    if key != owner:
+                        yield from texts()
+                        owner, leaf = key, Leaf(len(words))
+                    if old:
+                        leaf.add(words, (at, log), last, n)
+                    else:
+                        fits = until is None or at < until or at == until and (log is None or until_log is not None and log <= until_log)
+                        k = leaf.take(words, (at, log), last, n, fits)
+                        yield (*key[:-1], name, None, *(leaf.made[k] if k >= 0 else (None, None)), last, n, None, None)
+        yield from texts()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([*((c, pa.string()) for c in columns[: len(scope) + 2]), ("words", pa.list_(pa.string())), *((c, pa.int64()) for c in columns[-6:])])
+        rows = results(batches)
+        while out := list(islice(rows, SLICE)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds.field(i).type) for i, c in enumerate(zip(*out))], schema=kinds)
 
     dealt = items.repartition(*scope, "leaf", "block").sortWithinPartitions(*scope, "leaf", "block", F.desc("old"), "at", "log")
     schema = "".join(f"{c} string, " for c in scope) + "leaf string, key string, words array<string>, made_at long, made_log long, last_at long, n long, alias_at long, alias_log long"
-    return settled(dealt.mapInPandas(fold, schema))
+    return settled(dealt.mapInArrow(fold, schema))
 
 
 def _mine(lines: DataFrame, scope: list[str], old: DataFrame | None, until: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -177,7 +189,7 @@ def _mine(lines: DataFrame, scope: list[str], old: DataFrame | None, until: Data
     if until is not None:
         lines = lines.join(until, scope, "left")
     else:
-        lines = lines.withColumn("until", F.lit(None).cast("long"))
+        lines = lines.withColumns({"until": F.lit(None).cast("long"), "until_log": F.lit(None).cast("long")})
     items, mapped = lines.withColumn("old", F.lit(False)), None
     before = None
     while True:
@@ -188,7 +200,7 @@ def _mine(lines: DataFrame, scope: list[str], old: DataFrame | None, until: Data
         blocks = F.lit(1) if last else F.ceil(F.col("size") / CHUNK)
         dealt = items.join(sizes, [*scope, "leaf"]).withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).drop("size")
         if last and old is not None:
-            kept = old.where("alias_at is null").select(*scope, "leaf", F.lit(0).alias("block"), F.lit(True).alias("old"), F.lit("").alias("key"), "words", F.col("made_at").alias("at"), F.col("made_log").alias("log"), F.col("last_at").alias("last"), "n", F.lit(None).cast("long").alias("until"))
+            kept = old.where("alias_at is null").select(*scope, "leaf", F.lit(0).alias("block"), F.lit(True).alias("old"), F.lit("").alias("key"), "words", F.col("made_at").alias("at"), F.col("made_log").alias("log"), F.col("last_at").alias("last"), "n", F.lit(None).cast("long").alias("until"), F.lit(None).cast("long").alias("until_log"))
             dealt = dealt.unionByName(kept.select(*dealt.columns))
         out = _round(dealt, scope)
         templates = out.where("key is null").drop("key")
@@ -204,7 +216,26 @@ def _mine(lines: DataFrame, scope: list[str], old: DataFrame | None, until: Data
         if last:
             return mapped, templates
         items = templates.where("alias_at is null").select(*scope, "leaf", name("made_at", "made_log").alias("key"), "words", F.col("made_at").alias("at"), F.col("made_log").alias("log"), F.col("last_at").alias("last"), "n")
-        items = (items.join(until, scope, "left") if until is not None else items.withColumn("until", F.lit(None).cast("long"))).withColumn("old", F.lit(False))
+        items = (items.join(until, scope, "left") if until is not None else items.withColumns({"until": F.lit(None).cast("long"), "until_log": F.lit(None).cast("long")})).withColumn("old", F.lit(False))
+
+
+def _moments(lines: DataFrame, scope: list[str], old: DataFrame | None, most: int) -> DataFrame | None:
+    """(scope, until, until_log): when, and by which log, a scope's template number ``most`` was made; none where there are fewer.
+
+    What a line makes hangs on the lines before it, so each scope's first lines are mined by themselves, and more of them only
+    where they make fewer templates and there are more.
+    """
+    order, made = Window.partitionBy(*scope).orderBy("at", "log"), Window.partitionBy(*scope).orderBy("made_at", "made_log")
+    rest, found, size = lines, None, FIRST
+    while True:
+        first = settled(rest.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size))
+        _, templates = _mine(first.drop("place"), scope, old, None)
+        until = settled(templates.withColumn("place", F.row_number().over(made)).where(F.col("place") == most).select(*scope, F.col("made_at").alias("until"), F.col("made_log").alias("until_log")))
+        found = until if found is None else found.unionByName(until.join(found, scope, "left_anti"))  # saved templates come up each time
+        open_ones = first.where(F.col("place") == size).select(*scope).join(until, scope, "left_anti")
+        if open_ones.isEmpty():
+            return None if found.isEmpty() else found
+        rest, size = rest.join(open_ones, scope, "left_semi"), size * MORE
 
 
 def mine(logs: DataFrame, scope: list[str] = SERVICE, most: int | None = 10, state: Mined | None = None) -> Mined:
@@ -216,13 +247,7 @@ def mine(logs: DataFrame, scope: list[str] = SERVICE, most: int | None = 10, sta
     lines, wordless = every.where(F.size("words") > 0), every.where(F.size("words") == 0)
     placed, nodes = _leaves(lines, scope, state.nodes if state else None)
     placed, old = settled(placed), state.templates if state else None
-    mapped, templates = _mine(placed, scope, old, None)
-    if most is not None:
-        made = Window.partitionBy(*scope).orderBy("made_at", "made_log")
-        until = templates.withColumn("place", F.row_number().over(made)).where(F.col("place") == most).select(*scope, F.col("made_at").alias("until"))
-        until = settled(until)
-        if not until.isEmpty():
-            mapped, templates = _mine(placed, scope, old, until)
+    mapped, templates = _mine(placed, scope, old, _moments(placed, scope, old, most) if most is not None else None)
     if old is not None:  # aliases of earlier runs go on
         templates = templates.unionByName(old.where("alias_at is not null").select(*templates.columns))
     # equal texts of several leaves

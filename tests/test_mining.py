@@ -109,6 +109,25 @@ def test_nodes_know_so_many_words(spark, monkeypatch):
     assert got_of(mining.mine_templates(logs, ["tenant_id"], None), ["tenant_id"]) == want and ("<*> x y z <*> tail" in {t for _, t in want})
 
 
+@pytest.mark.parametrize("first", [1, 3, 1000])
+def test_the_last_that_fits_is_found_in_first_lines(spark, random_logs, monkeypatch, first):
+    """How many lines are looked at first changes nothing, and no more of them are mined without a cap than that takes."""
+    monkeypatch.setattr(mining, "FIRST", first)
+    want = plain(masked(random_logs, ["tenant_id"]), 3)
+    assert got_of(mining.mine_templates(random_logs, ["tenant_id"], 3), ["tenant_id"]) == want
+    seen, whole = [], mining._mine
+    monkeypatch.setattr(mining, "_mine", lambda lines, *rest: seen.append(lines.count()) or whole(lines, *rest))
+    mining.mine_templates(random_logs, ["tenant_id"], 1)
+    assert seen[0] <= first * random_logs.select("tenant_id").distinct().count()
+
+
+def test_a_leaf_keeps_no_words_of_lines_that_make_nothing():
+    leaf = mining.Leaf(4)
+    for k in range(100):
+        leaf.take(["a", "b", "c", f"x{k}"], (k, k), k, 1)
+    assert len(leaf.words) == 5 and [w for w, *_ in leaf.results()] == [["a", "b", "c", "<*>"]]
+
+
 def test_blocks_are_merged(spark, random_logs, monkeypatch):
     whole = mining.mine(random_logs, ["tenant_id"], None)
     monkeypatch.setattr(mining, "CHUNK", 5)
