@@ -30,11 +30,12 @@ LAST = "\U0010ffff"
 def postings(logs: DataFrame) -> DataFrame:
     """(term, log_id, positions, len) of each stem of each line."""
     rows = logs.where("log_id is not null").select("log_id", _words("body").alias("body"), _words("service_name").alias("name"))
-    rows = rows.select("log_id", stems("body").alias("body"), stems("name").alias("name"))
-    at = lambda words, start: F.transform(words, lambda w, i: F.struct(w.alias("term"), (i + start).alias("position")))
-    placed = F.concat(at("body", F.lit(0)), at("name", F.size("body") + 1))  # apart, so that no phrase runs from one into the other
-    rows = rows.select("log_id", (F.size("body") + F.size("name")).alias("len"), F.explode(placed).alias("p"))
-    return rows.groupBy(F.col("p.term").alias("term"), "log_id", "len").agg(F.sort_array(F.collect_list("p.position")).alias("positions")).select("term", "log_id", "positions", "len")
+    length, words = (F.size("body") + F.size("name")).alias("len"), F.concat("body", F.array(F.lit("")), "name")  # apart, so that no phrase runs from one into the other
+    # each different word is stemmed once; written, so that Spark knows the table's size before it chooses the join
+    different = rows.select(F.explode(F.array_distinct(words)).alias("word")).distinct().where("word <> ''")
+    known = settled(different.withColumn("words", F.array("word")).select("word", F.get(stems("words"), F.lit(0)).alias("term")))
+    placed = rows.select("log_id", length, F.posexplode(words).alias("position", "word")).join(known, "word")
+    return placed.groupBy("term", "log_id", "len").agg(F.sort_array(F.collect_list("position")).alias("positions")).select("term", "log_id", "positions", "len")
 
 
 def _words(column: str) -> Column:

@@ -114,3 +114,11 @@ def test_stream_of_segments(spark, index, tmp_path):
     q.awaitTermination()
     assert len(textindex._segments(spark, path)) == 2
     assert _hits(spark, path, "conn refus") == pytest.approx(_hits(spark, index, "conn refus"))
+
+
+def test_each_different_word_is_stemmed_once(spark):
+    logs = spark.createDataFrame([(k, "connected connecting the connected", "a") for k in range(50)], LOGS)
+    got = textindex.postings(logs)
+    assert {(r["term"], tuple(r["positions"]), r["len"]) for r in got.collect()} == {("connect", (0, 1, 3), 5), ("the", (2,), 5), ("a", (5,), 5)} and got.count() == 150
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()  # the lines are not stemmed
