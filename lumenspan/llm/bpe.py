@@ -5,8 +5,9 @@ a word can be cut between them: its fragments are encoded independently and thei
 concatenated. Only a word's last fragment carries the end-of-word suffix.
 
 Words are the pieces between ASCII white space; no normaliser or split pattern of a word-level
-vocabulary looks across it. Each worker keeps the ids of recent words (at most ``CACHE_WORDS``),
-so that a frequent word is cut and merged once.
+vocabulary looks across it. Plain words are cut
+together, as columns. Each worker keeps the ids of recent fragments (at most ``CACHE_WORDS``), so that a
+frequent one is merged once.
 
 Cases: null counts as empty; empty texts have no ids and decode to an empty text; special
 tokens in a text are found as the library finds them; rows without an id are left out.
@@ -33,10 +34,10 @@ CACHE_WORDS = 600_000
 BATCH_IDS = 1 << 20
 #: Bytes of text whose words are looked up together.
 LOOKUP_BYTES = 4 << 20
-#: Printable ASCII and the letters of Latin-1, on which normalisation is lower-casing alone, and
-#: the split pattern of word-level vocabularies with word ends on the lower-cased text.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_PLAIN_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Printable ASCII and the letters of Latin-1, on which normalisation is lower-casing alone.
+_PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
+#: What splits the letters of such a text.
+_PLAIN_MARK = "('s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^a-z0-9ß-öø-ÿ]+)"
 _PLAIN_NORMALIZERS = ("NFC", "Replace", "Lowercase")
 _PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -68,6 +69,15 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+def _places(first: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, places): runs first[c] .. first[c] + size[c] of each code c, one after another."""
+    each = size[code]
+    upto = np.concatenate([[0], np.cumsum(each)])
+    at = np.repeat(first[code] - upto[:-1], each)
+    at += np.arange(len(at))
+    return upto, at
+
+
 class Encoder:
     """Encodes with forced boundaries by one vocabulary file, and decodes."""
 
@@ -100,8 +110,9 @@ class Encoder:
         split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         self.plain = tuple(x["type"] for x in steps) == _PLAIN_NORMALIZERS and split.get("pattern", {}).get("Regex") == _PLAIN_SPLIT
         self.alphabet = dict(enumerate(byte_alphabet()))
+        self.joined_bytes = np.array([[a + b in self.joined for b in self.alphabet.values()] for a in self.alphabet.values()])
         self.chunks = Recent(self.chunk, CACHE_WORDS // 8)
-        self.parts = Recent(self.part, CACHE_WORDS)
+        self.tails = Recent(lambda f: self.merged(self.last, self.shown(f)), CACHE_WORDS)
         self.inner_ids = Recent(lambda f: self.merged(self.inner, f), CACHE_WORDS // 8)
         self.last_ids = Recent(lambda f: self.merged(self.last, f), CACHE_WORDS // 8)
 
@@ -138,55 +149,86 @@ class Encoder:
             return b"".join([self.specials.get(p) or self.piece(p) for p in self.special.split(text) if p])
         return self.piece(text)
 
-    def part(self, text: str) -> bytes:
-        """Ids of one word, mark or digit of plain lower-case text."""
-        return self.word(text if text.isascii() else self.shown(text))
+    def shown(self, fragment: bytes) -> str:
+        """Some bytes of printable text in the byte alphabet."""
+        return fragment.decode() if fragment.isascii() else fragment.decode("latin-1").translate(self.alphabet)
 
-    def looked_up(self, text: str) -> bytes:
-        """``chunk`` by way of the caches; of plain text they keep the parts, not how these are joined or capitalised."""
-        if not self.plain or not _PLAIN.fullmatch(text) or (self.special and "<" in text):
-            return self.chunks[text]
-        low = text.lower()
-        return self.parts[low] if low.isalpha() else b"".join(map(self.parts.__getitem__, _PLAIN_WORD.findall(low)))
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, size, ids) of distinct words: word k has size[k] ids from first[k] on.
 
-    def shown(self, word: str) -> str:
-        """A word in the byte alphabet."""
-        return word.encode().decode("latin-1").translate(self.alphabet)
+        Plain words are lower-cased, split and cut as columns; the others go by ``chunk``.
+        """
+        plain = pc.match_substring_regex(words, _PLAIN) if self.plain else pa.array(np.zeros(len(words), bool))
+        for special in self.specials:
+            plain = pc.and_not(plain, pc.match_substring(words, special))
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), _PLAIN_MARK, r" \1 "))
+        coded = lists.flatten().dictionary_encode()
+        first, size, ids = self.encode_parts(coded.dictionary)
+        upto, at = _places(first, size, coded.indices.to_numpy(zero_copy_only=False))
+        ends = upto[lists.offsets.to_numpy()]
+        other_size, other_ids = self.joined_ids(self.chunks, words.filter(pc.invert(plain)))
+        plain = plain.to_numpy(zero_copy_only=False)
+        first, size = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        first[plain], size[plain] = ends[:-1], np.diff(ends)
+        first[~plain], size[~plain] = len(at) + np.cumsum(other_size) - other_size, other_size
+        return first, size, np.concatenate([ids[at], other_ids])
+
+    def encode_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``encode_words`` of words, marks and digits of plain lower-case text, all cut into fragments at once."""
+        raw = np.frombuffer(b"".join(parts.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint8)
+        ends = np.cumsum(pc.binary_length(parts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        last, mark = np.zeros(len(raw) + 1, bool), np.zeros(len(raw) + 1, bool)
+        last[ends] = True
+        mark[1:-1] = ~self.joined_bytes[raw[:-1], raw[1:]]
+        mark |= last
+        mark[0] = False
+        upto = np.concatenate([[0], np.cumsum(mark)[ends]])  # fragments before each part
+        stops = np.flatnonzero(mark)
+        fragments = pa.Array.from_buffers(pa.binary(), len(stops), [None, pa.py_buffer(np.concatenate([[0], stops]).astype(np.int32)), pa.py_buffer(raw)])
+        last = last[stops]
+        tail = fragments.filter(pa.array(last)).dictionary_encode()
+        inner = fragments.filter(pa.array(~last)).dictionary_encode()
+        tail_size, tail_ids = self.joined_ids(self.tails, tail.dictionary)
+        inner_size, inner_ids = self.joined_ids(self.inner_ids, pa.array(map(self.shown, inner.dictionary.to_pylist()), pa.string()))
+        size, code = np.concatenate([tail_size, inner_size]), np.empty(len(stops), np.int64)
+        code[last] = tail.indices.to_numpy(zero_copy_only=False)
+        code[~last] = len(tail_size) + inner.indices.to_numpy(zero_copy_only=False)
+        until, at = _places(np.cumsum(size) - size, size, code)
+        ends = until[upto]
+        return ends[:-1], np.diff(ends), np.concatenate([tail_ids, inner_ids])[at]
+
+    def joined_ids(self, cache: Recent, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of ids of some words by one cache, and the ids."""
+        found = list(map(cache.__getitem__, words.to_numpy(zero_copy_only=False).tolist()))
+        return np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.dtype.itemsize, np.frombuffer(b"".join(found), dtype=self.dtype)
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ends, ids) of a column of texts, null as empty: text k has ids[ends[k]:ends[k + 1]].
 
-        Each distinct word of the column is looked up once; numpy puts the ids together.
+        Each distinct word of the column is encoded once; numpy puts the ids together.
         """
         lists = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        found = list(map(self.parts.get, words))  # most are plain and in lower case
-        for i, ids in enumerate(found):
-            if ids is None:
-                found[i] = self.looked_up(words[i])
-        flat = np.frombuffer(b"".join(found), dtype=self.dtype)
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.dtype.itemsize
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        each = size[code]
-        upto = np.concatenate([[0], np.cumsum(each)])
-        first = np.cumsum(size) - size
-        at = np.repeat(first[code] - upto[:-1], each)
-        at += np.arange(len(at))
+        first, size, ids = self.encode_words(coded.dictionary)
+        upto, at = _places(first, size, coded.indices.to_numpy(zero_copy_only=False))
         bounds = lists.offsets.to_numpy()
-        return upto[bounds - bounds[0]], flat[at]
+        return upto[bounds - bounds[0]], ids[at]
 
-    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text of a column, a few megabytes at a time."""
+    def encode_slices(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``encode_column`` of a column a few megabytes at a time."""
         size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(texts):
             before = size[at - 1] if at else 0
             stop = max(at + 1, int(np.searchsorted(size, before + LOOKUP_BYTES, side="right")))
-            ends, ids = self.encode_column(texts.slice(at, stop - at))
+            yield self.encode_column(texts.slice(at, stop - at))
+            at = stop
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column."""
+        for ends, ids in self.encode_slices(texts):
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
                 yield ids[a:b]
-            at = stop
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_column(pa.array([text], pa.string()))[1]

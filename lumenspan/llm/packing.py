@@ -33,6 +33,7 @@ SHARD_TOKENS = 4 << 20
 K1, B = 1.2, 0.75
 #: Tokens in a larger part of a shard's documents have a dense row of weights, which takes at most 1/DENSE as many cells as there are postings.
 DENSE = 0.25
+_ENCODED = ["doc_id", "n_tokens", "key", "ids", "df"]
 _COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -41,40 +42,66 @@ def _ranking(size: int) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, n_tokens, key, ids): compressed ids of each row, the end id included."""
+    """(doc_id, n_tokens, key, ids, df): compressed ids of each row, the end id included.
+
+    One more row of each task, without doc_id, has in ``df`` the compressed numbers of its rows that hold each token.
+    """
     common.ship_package(docs.sparkSession)
 
     def run(batches):
         enc, press = bpe.encoder(path), zstandard.ZstdCompressor(level=3)
         rank, end = _ranking(len(enc.tokens)), np.array([end_id], enc.dtype)
+        df = np.zeros(len(enc.tokens), np.int64)
         for b in batches:
             n, key, ids = [], [], []
-            for x in enc.encode_all(b.column(1)):
-                x = np.append(x, end)
-                n.append(len(x))
-                key.append(int(rank[x[:-1]].min()) if len(x) > 1 else 0)
-                ids.append(press.compress(x.tobytes()))
-            yield pa.record_batch([b.column(0), common.long_array(n), pa.array(key, pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "key", "ids"])
-
-    return common.documents_of(docs).mapInArrow(run, "doc_id long, n_tokens long, key int, ids binary")
+            for ends, flat in enc.encode_slices(b.column(1)):
+                counts = _frequencies(ends, flat, len(df))
+                counts[end_id] = len(ends) - 1  # a text may hold it too
+                df += counts
+                starts = ends[:-1][np.diff(ends) > 0]
+                least = np.zeros(len(ends) - 1, np.int64)
+                if len(starts):
+                    least[np.diff(ends) > 0] = np.minimum.reduceat(rank[flat], starts)
+                key.append(least)
+                n.append(np.diff(ends) + 1)
+                ids += [press.compress(flat[i:j].tobytes() + end.tobytes()) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            if ids:
+                columns = [b.column(0), common.long_array(np.concatenate(n)), pa.array(np.concatenate(key).astype(np.int32)), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())]
+                yield pa.record_batch(columns, names=_ENCODED)
+        if df.any():
+            columns = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([press.compress(df.tobytes())], pa.binary())]
+            yield pa.record_batch(columns, names=_ENCODED)
+
+    return common.documents_of(docs).mapInArrow(run, "doc_id long, n_tokens long, key int, ids binary, df binary")
+
+
+def _frequencies(ends: np.ndarray, flat: np.ndarray, size: int) -> np.ndarray:
+    """In how many of the runs ends[k] .. ends[k + 1] of ``flat`` each token is."""
+    pairs = np.repeat(np.arange(len(ends) - 1, dtype=np.int64) * size, np.diff(ends)) + flat
+    if (len(ends) - 1) * size < 1 << 32:
+        pairs = pairs.astype(np.uint32)  # sorted faster
+    pairs.sort()
+    first = np.ones(len(pairs), bool)
+    first[1:] = pairs[1:] != pairs[:-1]
+    return np.bincount((pairs[first] % size).astype(np.int64), minlength=size)
 
 
 def _plain(packed: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=dtype)
 
 
-def document_frequencies(rows: DataFrame, size: int, dtype: str) -> DataFrame:
+def document_frequencies(rows: DataFrame) -> DataFrame:
     """(token, df) over all rows of ``encoded``."""
 
     def run(batches):
-        total = np.zeros(size, np.int64)
+        total = 0
         for b in batches:
             for packed in b.column(0).to_pylist():
-                total[np.unique(_plain(packed, dtype))] += 1
+                total = total + _plain(packed, np.int64)
         at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["token", "df"])
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(np.atleast_1d(total)[at], pa.int64())], names=["token", "df"])
 
-    return rows.select("ids").mapInArrow(run, "token int, df long").groupBy("token").agg(F.sum("df").alias("df"))
+    return rows.where("doc_id is null").select("df").mapInArrow(run, "token int, df long").groupBy("token").agg(F.sum("df").alias("df"))
 
 
 class Shard:
@@ -182,13 +209,14 @@ class Shard:
 def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2) -> DataFrame:
     """Pieces of all documents in sequences of at most ``window`` tokens; columns as in the query."""
     spark = docs.sparkSession
-    rows = common.materialize(encoded(docs, path, end_id), "packing-ids")
+    table = common.materialize(encoded(docs, path, end_id), "packing-ids")
+    rows = table.where("doc_id is not null")
     enc = bpe.encoder(path)
     size, dtype = len(enc.tokens), enc.dtype.str
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens")).first()
     n, tokens = stats["n"], stats["tokens"] or 0
     df = np.zeros(size)
-    for r in document_frequencies(rows, size, dtype).collect():  # at most one row for each token id
+    for r in document_frequencies(table).collect():  # at most one row for each token id
         df[r["token"]] = r["df"]
     idf = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32))
     average = tokens / max(1, n)

@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -145,6 +146,42 @@ def test_forced_cuts():
             assert not any(a[-1] + b[0] in t for t in names)
 
 
+def test_plain_words_are_cut_as_columns(monkeypatch):
+    from tokenizers import Tokenizer
+
+    lib, enc = Tokenizer.from_file(vocabulary()), bpe.Encoder(vocabulary())
+    rng = random.Random(5)
+    parts = [*"aZéÀÖØÞßöøÿ09!~<>|'#-  ", "'ll", "'RE", "'s", "the", "ção", "×", "÷", "qzxjvq", "<|endoftext|>", "\x85", "\xa0", "e\u0301"]
+    texts = [None, "", " \n", "#", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(3000))]
+    ends, ids = enc.encode_column(pa.array(["x", *texts])[1:])
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    words = []
+    monkeypatch.setattr(enc, "word", words.append)  # what takes words one at a time
+    assert enc.encode("The house, l'été: Don't! (42) qzxjvq").tolist() == lib.encode("The house, l'été: Don't! (42) qzxjvq", add_special_tokens=False).ids
+    assert words == []
+
+
+def test_packing_counts_frequencies_while_it_encodes(spark, texts):
+    enc = bpe.encoder(vocabulary())
+    holding_end = next(t for t in ("#" + chr(c) for c in range(33, 127)) if 2 in enc.encode(t))
+    rows = [*texts, (9000, holding_end), (9001, None), (None, "no id")]
+    table = packing.encoded(docs_of(spark, rows).repartition(3), vocabulary(), 2).cache()
+    want, docs = defaultdict(int), {}
+    for i, t in rows:
+        if i is not None:
+            docs[i] = np.append(enc.encode(t or ""), np.array([2], enc.dtype))
+            for token in set(docs[i].tolist()):
+                want[token] += 1
+    assert {r["token"]: r["df"] for r in packing.document_frequencies(table).collect()} == want
+    rank = packing._ranking(len(enc.tokens))
+    got = table.where("doc_id is not null").collect()
+    assert len(got) == len(rows) - 1  # repeated rows, too
+    for r in got:
+        x = docs[r["doc_id"]]
+        assert np.array_equal(packing._plain(bytes(r["ids"]), enc.dtype), x) and r["n_tokens"] == len(x) and r["df"] is None
+        assert r["key"] == (rank[x[:-1]].min() if len(x) > 1 else 0)
+
+
 def test_packing(spark, texts):
     rows = packing.pack(docs_of(spark, texts), vocabulary(), 256, 2).collect()
     enc = bpe.encoder(vocabulary())
