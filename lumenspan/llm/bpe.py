@@ -5,9 +5,8 @@ a word can be cut between them: its fragments are encoded independently and thei
 concatenated. Only a word's last fragment carries the end-of-word suffix.
 
 Words are the pieces between ASCII white space; no normaliser or split pattern of a word-level
-vocabulary looks across it. Plain words are cut
-together, as columns. Each worker keeps the ids of recent fragments (at most ``CACHE_WORDS``), so that a
-frequent one is merged once.
+vocabulary looks across it. Plain words are cut together, as columns. Each worker
+keeps the ids of recent fragments (at most ``CACHE_WORDS``), so that a frequent one is merged once.
 
 Cases: null counts as empty; empty texts have no ids and decode to an empty text; special
 tokens in a text are found as the library finds them; rows without an id are left out.
