@@ -214,3 +214,50 @@ def test_registered_queries(spark):
     lines = masked(renamed, service)
     got = got_of(QUERIES["correlated_clusters"](spark, sf), service)
     assert got and got.items() <= plain(lines, 10).items() and {s for s, _ in got} <= {tuple(e) for e in errors}
+
+
+class Whole(Plain):
+    """A plain miner that takes lines under none of its templates on to templates of their own, in the same leaves."""
+
+    def __init__(self, most):
+        super().__init__(most)
+        self.others = Plain(None)
+        self.others.kids = self.kids
+
+    def mine(self, words):
+        t = super().mine(words)
+        return (t, False) if t else (self.others.mine(words), True)
+
+
+def whole(rows, most):
+    """{(scope, template, rest): lines}, where ``__other__`` is told by its own templates."""
+    miners, lines, counts = {}, {}, Counter()
+    for scope, _, words in sorted(rows, key=lambda r: r[1]):
+        if words and (scope, words) not in lines:
+            lines[scope, words] = miners.setdefault(scope, Whole(most)).mine(words)
+    for scope, _, words in rows:
+        t, beyond = lines.get((scope, words), (None, False))
+        while t and t.get("heir"):
+            t = t["heir"]
+        text = " ".join(t["words"]) if t else None
+        counts[(scope, "__other__", text) if beyond or t is None else (scope, text, None)] += 1
+    return dict(counts)
+
+
+def test_templates_beyond_the_cap_are_counted_too(spark, random_logs):
+    scope = ["tenant_id", "service_name"]
+    rows = masked(random_logs, scope)
+    got = mining.mine_templates(random_logs, scope, 5).collect()
+    assert {(tuple(r[c] for c in scope), r["template"], r["rest"]): r["lines"] for r in got} == whole(rows, 5) and sum(r["lines"] for r in got) == len(rows)
+    assert {(tuple(r[c] for c in scope), r["template"]): r["n"] for r in got} == plain(rows, 5) and sum(r["rest"] is not None for r in got) > 20
+
+
+@pytest.mark.parametrize("first", [3, 1000])
+def test_long_leaves_with_a_cap_equal_one_plain_miner(spark, random_logs, monkeypatch, first):
+    """A leaf of over ``CHUNK`` lines has no block of its own mind: lines find the templates that others made."""
+    monkeypatch.setattr(mining, "CHUNK", 5)
+    monkeypatch.setattr(mining, "FIRST", first)
+    rows = masked(random_logs, ["tenant_id"])
+    got = mining.mined_lines(random_logs, ["tenant_id"], 6).groupBy("tenant_id", "template").agg(F.sum("n").alias("n"))
+    assert got_of(got, ["tenant_id"]) == plain(rows, 6)
+    assert mining.mined_lines(random_logs, ["tenant_id"], 6).where("template = '__other__' and rest is null").agg(F.sum("n")).first()[0] == sum(not w for _, _, w in rows)
