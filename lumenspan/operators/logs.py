@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .mining import OTHER
 from .settle import settled
 
 K1, B = 1.2, 0.75
@@ -81,12 +82,19 @@ def severity_gate(logs: DataFrame, least: str) -> DataFrame:
 
 
 def clusters(mined: DataFrame) -> DataFrame:
-    """Mined log lines (tenant_id, service_name, template, severity, timestamp) by template: counts, first and last, severities."""
-    by = mined.groupBy("tenant_id", "service_name", "template", "severity").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
-    out = by.groupBy("tenant_id", "service_name", "template").agg(
-        F.sum("n").alias("n"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"), F.map_from_entries(F.collect_list(F.struct("severity", "n"))).alias("severities")
-    )
-    return out.withColumn("cluster_id", F.concat(F.lit("lc_"), "service_name", F.lit("_"), F.lower(F.hex(F.xxhash64("template")))))
+    """Mined log lines (tenant_id, service_name, template, rest, severity, timestamp) by template: counts, first and last, severities.
+
+    Each template of the rest is a cluster; ``lines`` are a cluster's own, and ``n`` those of all with its ``template``, which differ for ``__other__`` alone.
+    """
+    keys, service = ["tenant_id", "service_name", "template", "rest"], ["tenant_id", "service_name"]
+    by = mined.groupBy(*keys, "severity").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+    out = settled(by.groupBy(*keys).agg(
+        F.sum("n").alias("lines"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"), F.map_from_entries(F.collect_list(F.struct("severity", "n"))).alias("severities")
+    ))
+    other = F.col("template") == OTHER
+    all_other = out.where(other).groupBy(*service).agg(F.sum("lines").alias("others"))
+    out = out.join(all_other, service, "left").withColumn("n", F.when(other, F.coalesce("others", "lines")).otherwise(F.col("lines"))).drop("others")
+    return out.withColumn("cluster_id", F.concat(F.lit("lc_"), "service_name", F.lit("_"), F.lower(F.hex(F.xxhash64("template", "rest")))))
 
 
 def correlated(clusters: DataFrame, services: DataFrame, since) -> DataFrame:

@@ -244,6 +244,25 @@ def whole(rows, most):
     return dict(counts)
 
 
+@pytest.mark.parametrize("scope, most", [(["tenant_id", "service_name"], 10), (["tenant_id"], 3)])
+def test_logs_and_clusters_beyond_the_cap_have_templates_of_their_own(spark, random_logs, scope, most):
+    from lumenspan.operators import logs as L
+    from lumenspan.operators import serving
+
+    want = whole(masked(random_logs, scope), most)
+    assert len({t for _, x, t in want if x == "__other__" and t}) > 5 and None in {t for _, x, t in want if x == "__other__"}
+    mined = mining.with_template(random_logs, scope, most).withColumn("severity", F.lit("INFO"))
+    assert Counter((tuple(r[c] for c in scope), r["template"], r["rest"]) for r in mined.collect()) == want
+    if scope == ["tenant_id", "service_name"]:
+        found = L.clusters(mined).collect()
+        assert {((r["tenant_id"], r["service_name"]), r["template"], r["rest"]): r["lines"] for r in found} == want and len({r["cluster_id"] for r in found}) >= len({(k[0][1], *k[1:]) for k in want})
+        assert {((r["tenant_id"], r["service_name"]), r["template"]): r["n"] for r in found} == plain(masked(random_logs, scope), most)
+        series = Counter()
+        for r in serving.template_deltas(mined).collect():
+            series[(r["tenant_id"], r["service_name"]), r["template"], r["rest"]] += r["n"]
+        assert series == want
+
+
 def test_templates_beyond_the_cap_are_counted_too(spark, random_logs):
     scope = ["tenant_id", "service_name"]
     rows = masked(random_logs, scope)
